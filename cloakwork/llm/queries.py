@@ -44,3 +44,37 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+@query
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cloakwork.llm.secret_scan import digest, scan
+
+    return digest(scan(table(spark, sf_dir, "documents")))
+
+
+def _op3_sql() -> str:
+    from cloakwork.llm import secret_scan as S
+
+    def spans(pattern: str, kind: int, value: str = "true") -> str:
+        p = pattern.replace("'", "''")
+        return f"""SELECT doc_id, {kind} AS kind, start, start + len AS stop FROM (
+            SELECT doc_id, unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))) AS start,
+                   unnest(list_transform(m, lambda x: length(x))) AS len, unnest({'list_transform(v, lambda x: length(x) >= 8)' if value != 'true' else 'list_transform(m, lambda x: true)'}) AS ok
+            FROM (SELECT doc_id, regexp_extract_all(body, '{p}') AS m, string_split_regex(body, '{p}') AS g, {f"regexp_extract_all(body, '{p}', 2)" if value != 'true' else 'NULL'} AS v FROM d)) WHERE ok"""
+
+    names = "['" + "','".join(S.KINDS) + "']"
+    near = lambda c: f"EXISTS (SELECT 1 FROM p AS q WHERE q.doc_id = p.doc_id AND q.kind IN ({','.join(str(i) for i, k in enumerate(S.KINDS) if S.CLASSES[k] == c)}) AND q.start BETWEEN p.start - 200 AND p.start + 200)"
+    listed = f"string_agg({names}[kind + 1] || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, kind, stop)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+p AS ({spans(S.ASSIGN, 0, 'value')} UNION ALL {spans(S.ACCESS, 1)} UNION ALL {spans(S.HEX, 2)} UNION ALL {spans(S.ACCESS_PART, 3)} UNION ALL {spans(S.SECRET_PART, 4)} UNION ALL {spans(S.ENDPOINT_PART, 5)}),
+base AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, {listed} AS listed FROM p WHERE kind < 3 GROUP BY doc_id),
+weak AS (SELECT * FROM p WHERE kind >= 3 AND ((kind = 3 AND {near('secret')}) OR (kind = 4 AND ({near('id')} OR {near('endpoint')})) OR (kind = 5 AND {near('id')} AND {near('secret')}))
+         AND NOT EXISTS (SELECT 1 FROM p AS q WHERE q.doc_id = p.doc_id AND q.kind < 3 AND q.start < p.stop AND p.start < q.stop)),
+every AS (SELECT doc_id, {listed} AS spans FROM (SELECT * FROM p WHERE kind < 3 UNION ALL SELECT * FROM weak) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(listed, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN every USING (doc_id)
+"""
+
+
+ORACLES["op3_secret_scan"] = _op3_sql()
