@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,3 +61,11 @@ def text_key(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def worker_cache(key: tuple, make: Callable):
+    """What ``make`` gives, once for each Python process: tasks that reuse a worker find it again."""
+    kept = sys.modules.setdefault("_cloakwork_worker", types.ModuleType("_cloakwork_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]

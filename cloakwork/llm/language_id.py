@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakwork.llm.common import small_batches
+from cloakwork.llm.common import small_batches, worker_cache
 
 UNKNOWN = "und"
 SEED = 0x5EED
@@ -40,18 +40,17 @@ class Profiles:
     n: int
 
 
-_TABLE: list = []
-
-
 def letter_table() -> np.ndarray:
     """For each code point: the lower-case letter it counts as, or 0 if it is no letter."""
-    if not _TABLE:
+
+    def make() -> np.ndarray:
         found = np.zeros(0x110000, np.uint32)
         for c in range(0x110000):
             if (ch := chr(c)).isalpha():
                 found[c] = ord(ch.lower()[0])
-        _TABLE.append(found)
-    return _TABLE[0]
+        return found
+
+    return worker_cache(("letters",), make)
 
 
 def letters_of(text: str) -> np.ndarray:

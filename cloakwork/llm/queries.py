@@ -78,3 +78,10 @@ FROM d LEFT JOIN base USING (doc_id) LEFT JOIN every USING (doc_id)
 
 
 ORACLES["op3_secret_scan"] = _op3_sql()
+
+
+@query
+def op9_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cloakwork.llm.piece_sampling import digest
+
+    return digest(table(spark, sf_dir, "documents"))
