@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cloakwork.llm.common import table
 
@@ -85,3 +86,10 @@ def op9_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cloakwork.llm.piece_sampling import digest
 
     return digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cloakwork.llm.quality_rules import judge
+
+    return judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
