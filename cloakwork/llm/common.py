@@ -69,3 +69,8 @@ def worker_cache(key: tuple, make: Callable):
     if key not in kept:
         kept[key] = make()
     return kept[key]
+
+
+def table_schema(df: DataFrame) -> str:
+    """The columns of df as a schema string."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)

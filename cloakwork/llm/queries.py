@@ -93,3 +93,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cloakwork.llm.quality_rules import judge
 
     return judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
+
+
+@query
+def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cloakwork.llm.near_dup import components
+
+    return components(table(spark, sf_dir, "documents"), k=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
