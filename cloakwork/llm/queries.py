@@ -100,3 +100,21 @@ def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cloakwork.llm.near_dup import components
 
     return components(table(spark, sf_dir, "documents"), k=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query
+def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cloakwork.llm.warc_zip import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
+_B32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v[{i + 1}] >> {s}) & 31 AS INTEGER) + 1, 1)" for i in range(8) for s in (15, 10, 5, 0))
+ORACLES["op10_warc_zip"] = f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+h AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS sha, max(page_id) OVER (PARTITION BY payload) AS top FROM p),
+d AS (SELECT *, list_transform(range(0, 8), lambda i: ('0x' || substr(sha, CAST(1 + 5 * i AS INTEGER), 5))::BIGINT) AS v FROM h)
+SELECT page_id, n AS payload_bytes, {_B32} AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to
+FROM d
+"""
