@@ -118,3 +118,60 @@ SELECT page_id, n AS payload_bytes, {_B32} AS payload_digest, CASE WHEN page_id
        CASE WHEN page_id <> top THEN top END AS refers_to
 FROM d
 """
+
+
+@query
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cloakwork.llm.url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages"))
+
+
+@query
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cloakwork.llm.license_scan import digest, scan
+
+    return digest(scan(table(spark, sf_dir, "documents")))
+
+
+def _op5_sql() -> str:
+    from cloakwork.llm.license_scan import TEMPLATES
+
+    values = ", ".join(f"('{k}', '{v.replace(chr(39), chr(39) * 2)}')" for k, v in sorted(TEMPLATES.items()))
+    words = lambda x: f"regexp_extract_all(translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    bigrams = lambda w: f"list_distinct(list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1]))"
+    return rf"""
+WITH t AS (SELECT name, {bigrams('w')} AS b FROM (SELECT name, {words('text')} AS w FROM (VALUES {values}) AS v(name, text))),
+d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+seg AS (
+  SELECT doc_id, 0 AS level, i - 1 AS place, p[i] AS body FROM (SELECT doc_id, string_split(body, chr(10)) AS p FROM d), unnest(range(1, len(p) + 1)) AS u(i)
+  UNION ALL SELECT doc_id, 1, i - 1, p[i] FROM (SELECT doc_id, string_split_regex(body, '\n[ \t]*\n[ \t\n\f\r]*') AS p FROM d), unnest(range(1, len(p) + 1)) AS u(i) WHERE contains(p[i], chr(10))
+  UNION ALL SELECT doc_id, 2, 0, body FROM d WHERE len(string_split_regex(body, '\n[ \t]*\n[ \t\n\f\r]*')) > 1),
+own AS (SELECT doc_id, level, place, {bigrams('w')} AS b FROM (SELECT doc_id, level, place, {words('body')} AS w FROM seg) WHERE len(w) > 1),
+hit AS (SELECT doc_id, level, place, name, len(o.b) + len(t.b) AS n, len(list_intersect(o.b, t.b)) AS shared FROM own AS o JOIN t ON len(o.b) * 120 >= len(t.b) * 80 AND len(t.b) * 120 >= len(o.b) * 80 AND list_has_any(o.b, t.b)),
+good AS (SELECT *, round(shared * 2 / n, 6) AS dice FROM hit WHERE shared * 200 >= n * 80),
+best AS (SELECT doc_id, count(*) AS n_matches, string_agg(name || ':' || ['line', 'paragraph', 'text'][level + 1] || ':' || place, ',' ORDER BY dice DESC, level, name, place) AS matches,
+         first(name ORDER BY dice DESC, level, name, place) AS license, max(dice) AS dice FROM good GROUP BY doc_id)
+SELECT d.doc_id, license, dice, coalesce(n_matches, 0) AS n_matches, coalesce(matches, '') AS matches FROM d LEFT JOIN best USING (doc_id)
+"""
+
+
+ORACLES["op5_license_scan"] = _op5_sql()
+
+
+@query
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cloakwork.llm.chat_format import format_chats
+
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op7_chat_format"] = """
+WITH turns AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+convs AS (SELECT conv_id, list(coalesce(CAST(length(role) AS VARCHAR), 'null') || ':' || coalesce(role, '') || coalesce(CAST(length(text) AS VARCHAR), 'null') || ':' || coalesce(text, '') ORDER BY turn NULLS FIRST, role NULLS FIRST, text) AS t,
+          string_agg('<|im_start|>' || replace(coalesce(role, ''), '<|', '<\\|') || chr(10) || replace(coalesce(text, ''), '<|', '<\\|') || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text) AS rendered
+          FROM turns GROUP BY conv_id),
+pre AS (SELECT DISTINCT t[1:i] AS p FROM convs, unnest(range(1, len(t))) AS u(i)),
+whole AS (SELECT t, min(conv_id) AS conv_id, count(*) AS copies FROM convs GROUP BY t)
+SELECT w.conv_id, len(w.t) AS n_turns, copies, rendered FROM whole AS w JOIN convs AS c ON c.conv_id = w.conv_id WHERE NOT EXISTS (SELECT 1 FROM pre WHERE pre.p = w.t)
+"""
