@@ -72,8 +72,9 @@ class Shingler:
         known = self.known
         if len(known) > KNOWN_WORDS:
             known.clear()
-        for w in set(cut) - known.keys():
-            known[w] = xxhash.xxh3_64_intdigest(w)
+        for w in cut:
+            if w not in known:
+                known[w] = xxhash.xxh3_64_intdigest(w)
         return np.fromiter(map(known.__getitem__, cut), np.uint64, len(cut))
 
     def set_of(self, text: str | None) -> np.ndarray:
