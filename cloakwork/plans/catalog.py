@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from cloakwork.plans import calls, detection, outputs, scores
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in (detection, outputs, calls, scores):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
