@@ -111,7 +111,7 @@ def escape_regex(s: Column) -> Column:
 
 def bearer(headers: Column) -> Column:
     """The token of an Authorization header, whatever the case of its name; '[present]' is none."""
-    value = F.element_at(F.map_values(F.map_filter(headers, lambda k, v: F.lower(k) == "authorization")), 1)
+    value = F.get(F.map_values(F.map_filter(headers, lambda k, v: F.lower(k) == "authorization")), 0)
     token = strip(F.regexp_extract(value, r"(?is)^\s*bearer\s+(.*)$", 1))
     return F.when((strip(value) == "[present]") | (token == "") | (token == "[present]"), F.lit(None)).otherwise(token)
 

@@ -49,7 +49,8 @@ def warm(texts: DataFrame, vault: DataFrame, detectors: list[str]) -> DataFrame:
     sent = texts.where(F.btrim("text", F.lit(" \t\n\r\x0b\x0c")) != "").join(vault.select("call_id", "entries"), "call_id").where(F.size("entries") > 0)
     present = F.filter("entries", lambda e: F.contains(F.col("text"), e["original"]))
     slots = [F.struct(F.lit("pipeline").alias("slot"), F.col("present").alias("m"))]
-    slots += [F.struct(F.lit(d).alias("slot"), F.filter("present", lambda e, d=d: F.array_contains(e["source_detectors"], F.lit(d))).alias("m")) for d in detectors]
+    own = lambda d: F.filter("present", lambda e: F.array_contains(e["source_detectors"], F.lit(d)))
+    slots += [F.struct(F.lit(d).alias("slot"), own(d).alias("m")) for d in detectors]
     out = sent.withColumn("present", present).select("call_id", "text", F.explode(F.array(*slots)).alias("s"))
     return out.select("call_id", "text", "s.slot", F.transform("s.m", lambda e: F.struct(e["original"].alias("text"), e["entity_type"].alias("entity_type"))).alias("matches"))
 

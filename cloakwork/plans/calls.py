@@ -1,4 +1,467 @@
-"""Queries."""
+"""Queries of calls: anonymising and restoring, surrogates, vault and caches, request policy, chunked answers."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cloakwork.functions import text as T
+from cloakwork.model import DETECTORS
+from cloakwork.operators import anonymize as A
+from cloakwork.operators import policy as P
+from cloakwork.operators import resolve as R
+from cloakwork.operators import surrogate as X
+from cloakwork.operators import vault as V
+from cloakwork.plans.detection import EMAIL, IPV4, _spans_sql
+from cloakwork.plans.fixtures import frame, values
+from cloakwork.sources import rules as rule_source
+from cloakwork.sources.rules import Rule
+from cloakwork.streaming import gate as G
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+SALT = "pepper"
+RULES = [Rule("EMAIL_ADDRESS", EMAIL, (), "@"), Rule("IPV4_ADDRESS", IPV4, (), ".")]
+
+
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as calls of one text each."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("call_id"), F.array("text").alias("texts"))
+
+
+def anonymize_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: detect, validate, resolve, make tokens, replace; narrow from scan to result."""
+    done = A.anonymize_rules(_calls(spark, sf_dir), RULES, SALT)
+    return done.select(F.col("call_id").alias("doc_id"), F.size("entries").cast("bigint").alias("n_entities"), F.get("anonymized", 0).alias("text"))
+
+
+_V4_OK = "len(list_filter(string_split(value, '.'), lambda p: CAST(p AS INTEGER) <= 255)) = 4"
+_ENTITIES = f"""e AS (SELECT DISTINCT doc_id, rtrim(value, '.,;!?') AS value, kind FROM (SELECT doc_id, value, 'EMAIL_ADDRESS' AS kind FROM ({_spans_sql('documents', EMAIL)}) AS a
+  UNION ALL SELECT doc_id, value, 'IPV4_ADDRESS' FROM ({_spans_sql('documents', IPV4)}) AS b WHERE {_V4_OK})),
+t AS (SELECT doc_id, value, kind, '[' || kind || '_' || upper(substr(sha256('{SALT}' || value), 1, 8)) || ']' AS token FROM e)"""
+ORACLES["anonymize_docs"] = f"""
+WITH RECURSIVE {_ENTITIES}, l AS (SELECT doc_id, list({{'v': value, 't': token}} ORDER BY length(value) DESC, value) AS l FROM t GROUP BY doc_id),
+fold AS (SELECT d.doc_id, 0 AS i, coalesce(l, []) AS l, text FROM documents AS d LEFT JOIN l USING (doc_id)
+  UNION ALL SELECT doc_id, i + 1, l, replace(text, l[i + 1].v, l[i + 1].t) FROM fold WHERE i < len(l))
+SELECT doc_id, len(l) AS n_entities, text FROM fold WHERE i = len(l)
+"""
+
+
+def opaque_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of all calls."""
+    done = A.anonymize_rules(_calls(spark, sf_dir), RULES, SALT)
+    return done.select(F.col("call_id").alias("doc_id"), F.inline("entries")).select("doc_id", "surrogate", "original", "entity_type")
+
+
+ORACLES["opaque_tokens"] = f"WITH {_ENTITIES} SELECT doc_id, token AS surrogate, value AS original, kind AS entity_type FROM t"
+
+
+def _round(spark: SparkSession, sf_dir: str, **parameters) -> DataFrame:
+    stamp = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    done = A.anonymize_rules(_calls(spark, sf_dir), RULES, SALT, use_realistic=parameters.pop("use_realistic", False)).withColumn("ts", stamp)
+    answers = done.select("call_id", F.col("anonymized").alias("texts"), (F.col("ts") + F.expr("interval 60 seconds")).alias("ts"))
+    return A.restore(answers, V.put(done), **parameters)
+
+
+def roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X11: anonymised texts, restored from the vault, are the originals."""
+    return _round(spark, sf_dir).select(F.col("call_id").alias("doc_id"), F.get("restored", 0).alias("text"))
+
+
+def roundtrip_realistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X4, X11 with realistic values."""
+    return _round(spark, sf_dir, use_realistic=True).select(F.col("call_id").alias("doc_id"), F.get("restored", 0).alias("text"))
+
+
+def substitute_off(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X11 without substitution: what came is what goes."""
+    off = _round(spark, sf_dir, substitute=False)
+    return off.select(F.col("call_id").alias("doc_id"), (F.get("restored", 0) == F.get("texts", 0)).alias("unchanged"))
+
+
+def late_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixty seconds after the put, with a time to live of thirty."""
+    late = _round(spark, sf_dir, ttl_seconds=30)
+    return late.groupBy("late").agg(F.count("*").alias("n"))
+
+
+QUERIES |= {"anonymize_docs": anonymize_docs, "opaque_tokens": opaque_tokens, "roundtrip": roundtrip, "roundtrip_realistic": roundtrip_realistic, "substitute_off": substitute_off, "late_response": late_response}
+ORACLES["roundtrip"] = ORACLES["roundtrip_realistic"] = "SELECT doc_id, text FROM documents"
+ORACLES["substitute_off"] = "SELECT doc_id, true AS unchanged FROM documents"
+ORACLES["late_response"] = "SELECT true AS late, count(*) AS n FROM documents"
+
+# ---- calls of several texts --------------------------------------------------------------------------------------------
+
+#: Without word boundaries, which RE2 sees at letters beyond ASCII.
+NAME = r"[A-Z][a-z]{9,}"
+
+
+def union_per_call(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two detectors over all turns of a conversation, united by text with their sources."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")
+    from cloakwork.functions import spans as S
+
+    def found(pattern: str, kind: str, detector: str, rank: int) -> DataFrame:
+        hits = turns.select("conv_id", "turn", F.posexplode(S.find(F.col("text"), pattern, kind, 0)).alias("i", "c"))
+        return hits.select("conv_id", F.col("c.value").alias("text"), F.col("c.entity_type").alias("entity_type"), F.lit(detector).alias("detector"), "turn", F.lit(rank).alias("rank"), "i")
+
+    both = found(NAME, "PERSON", "regex", 0).unionByName(found(r"[A-Z][a-z]{11,}", "ORGANIZATION", "denylist", 1))
+    done = R.dedup_rows(both, ["conv_id"], ["turn", "rank", "i"])
+    return done.select("conv_id", "text", "entity_type", F.array_join("source_detectors", ",").alias("sources"))
+
+
+QUERIES["union_per_call"] = union_per_call
+_C = "(SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations)"
+ORACLES["union_per_call"] = f"""
+WITH h AS (SELECT doc_id // 1000 AS conv_id, doc_id % 1000 AS turn, 0 AS rank, start, value, 'PERSON' AS kind, 'regex' AS det FROM ({_spans_sql(_C, NAME)}) AS a
+ UNION ALL SELECT doc_id // 1000, doc_id % 1000, 1, start, value, 'ORGANIZATION', 'denylist' FROM ({_spans_sql(_C, NAME.replace('9', '11'))}) AS b),
+f AS (SELECT conv_id, value, det, min((turn, rank, start, kind)) AS k FROM h GROUP BY ALL)
+SELECT conv_id, value AS text, min(k)[4] AS entity_type, string_agg(det, ',' ORDER BY k) AS sources FROM f GROUP BY conv_id, value
+""".replace("min(k)[4]", "arg_min(kind, k)").replace("min((turn, rank, start, kind)) AS k FROM h GROUP BY ALL", "min(turn * 100000000 + rank * 10000000 + start) AS k, arg_min(kind, turn * 100000000 + rank * 10000000 + start) AS kind FROM h GROUP BY conv_id, value, det")
+
+
+def anonymize_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X9, X10 on calls of many texts: an entity found in one turn is replaced in all turns of its conversation."""
+    calls = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]).alias("texts"))
+    done = A.anonymize_rules(calls, [Rule("PERSON", r"[A-Z][a-z]{12,}")], SALT)
+    return done.select("conv_id", F.size("entries").cast("bigint").alias("n_entities"), F.array_join("anonymized", "\n").alias("texts"))
+
+
+QUERIES["anonymize_calls"] = anonymize_calls
+ORACLES["anonymize_calls"] = f"""
+WITH RECURSIVE e AS (SELECT DISTINCT doc_id // 1000 AS conv_id, value FROM ({_spans_sql(_C, NAME.replace('9', '12'))}) AS a),
+l AS (SELECT conv_id, list({{'v': value, 't': '[PERSON_' || upper(substr(sha256('{SALT}' || value), 1, 8)) || ']'}} ORDER BY length(value) DESC, value) AS l FROM e GROUP BY conv_id),
+fold AS (SELECT d.conv_id, 0 AS i, coalesce(l, []) AS l, texts FROM (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS texts FROM conversations GROUP BY conv_id) AS d LEFT JOIN l USING (conv_id)
+  UNION ALL SELECT conv_id, i + 1, l, replace(texts, l[i + 1].v, l[i + 1].t) FROM fold WHERE i < len(l))
+SELECT conv_id, len(l) AS n_entities, texts FROM fold WHERE i = len(l)
+"""
+
+
+def collision_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """150 people in one call, from a vocabulary of 196 names: no value is given twice."""
+    ids = F.transform(F.sequence(F.lit(1), F.lit(150)), lambda i: F.struct(F.concat(F.lit("person "), i.cast("string")).alias("text"), F.lit("PERSON").alias("entity_type"), F.array(F.lit("regex")).alias("source_detectors")))
+    out = spark.range(1).select(F.inline(X.assign(ids, SALT, True)))
+    return out.agg(F.count("*").alias("n"), F.countDistinct("surrogate").alias("n_distinct"), F.count_if(F.col("surrogate") == F.col("original")).alias("n_same"))
+
+
+QUERIES["collision_resolve"] = collision_resolve
+ORACLES["collision_resolve"] = "SELECT CAST(150 AS BIGINT) AS n, CAST(150 AS BIGINT) AS n_distinct, CAST(0 AS BIGINT) AS n_same"
+
+
+def realistic_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """People and phones for e-mail addresses, from digits of the seed."""
+    e = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.regexp_extract_all("text", F.lit(EMAIL), F.lit(0))).alias("value")).distinct()
+    made = lambda kind: X.realistic(F.lit(kind), F.col("value"), SALT)
+    return e.select("value", X.seed(F.lit("PERSON"), F.col("value"), SALT).alias("seed"), made("PERSON").alias("person"), made("PHONE").alias("phone"), made("CREDENTIAL").alias("credential"))
+
+
+QUERIES["realistic_vocab"] = realistic_vocab
+_first, _last = ("[" + ",".join(f"'{x}'" for x in part) + "]" for part in X.NAMES["en_US"])
+_n = lambda k, d: f"CAST('0x' || substr({d}, {1 + 7 * k}, 7) AS BIGINT)"
+ORACLES["realistic_vocab"] = f"""
+WITH e AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{EMAIL}')) AS value FROM documents),
+d AS (SELECT value, sha256('{SALT}PERSON:' || value) AS p, sha256('{SALT}PHONE:' || value) AS q FROM e)
+SELECT value, CAST('0x' || substr(p, 1, 15) AS BIGINT) AS seed, {_first}[{_n(0, 'p')} % {len(X.NAMES['en_US'][0])} + 1] || ' ' || {_last}[{_n(1, 'p')} % {len(X.NAMES['en_US'][1])} + 1] AS person,
+ '+1-555-' || lpad(CAST({_n(0, 'q')} % 1000 AS VARCHAR), 3, '0') || '-' || lpad(CAST({_n(1, 'q')} % 10000 AS VARCHAR), 4, '0') AS phone,
+ '[CREDENTIAL_' || upper(substr(sha256('{SALT}' || value), 1, 8)) || ']' AS credential FROM d
+"""
+
+
+def blake2b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X1 with keyed BLAKE2b; SQL has no such digest."""
+    e = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.regexp_extract_all("text", F.lit(EMAIL), F.lit(0))).alias("text")).distinct().withColumn("entity_type", F.lit("EMAIL_ADDRESS"))
+    return X.opaque_blake2b(e, SALT)
+
+
+QUERIES["blake2b_tokens"] = blake2b_tokens
+
+# ---- vault and caches --------------------------------------------------------------------------------------------------
+
+_STAMP = "TIMESTAMP '2024-01-01 00:00:00' + doc_id % 300 * INTERVAL 1 SECOND"
+
+
+def _vault(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of all calls, put at times that depend on the id."""
+    done = A.anonymize_rules(_calls(spark, sf_dir), RULES, SALT)
+    return V.put(done.withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(secs=(F.col("call_id") % 300).cast("decimal(18,6)"))))
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _calls(spark, sf_dir).select("call_id", F.lit("2024-01-01 00:04:00").cast("timestamp").alias("ts"))
+
+
+_LIVE = f"epoch_us(TIMESTAMP '2024-01-01 00:04:00') - epoch_us({_STAMP}) <= 120000000"
+
+
+def vault_peek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2, J1, T5."""
+    return V.peek(_asked(spark, sf_dir), _vault(spark, sf_dir)).select(F.col("call_id").alias("doc_id"), "surrogate", "original", "entity_type")
+
+
+def vault_pop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays after popping the even calls."""
+    _, rest = V.pop(_asked(spark, sf_dir).where("call_id % 2 = 0"), _vault(spark, sf_dir))
+    return rest.select(F.col("call_id").alias("doc_id"), F.size("entries").cast("bigint").alias("n"))
+
+
+def vault_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2: expiry, then the ten last puts; ties go to the smaller id."""
+    return V.sweep(_vault(spark, sf_dir), "2024-01-01 00:04:00", most=10).select(F.col("call_id").alias("doc_id"))
+
+
+def vault_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3: JSON of entries, read back field by field."""
+    w = V.wire(_vault(spark, sf_dir).where(F.size("entries") == 1))
+    m = F.from_json("value", "struct<surrogates:map<string,struct<original:string,entity_type:string,source_detectors:array<string>>>,detector_mode:array<string>,kwargs:string>")
+    return w.select("key", m.alias("m")).select("key", F.get(F.map_keys("m.surrogates"), 0).alias("surrogate"), F.get(F.map_values("m.surrogates"), 0)["original"].alias("original"), F.array_join("m.detector_mode", ",").alias("mode"))
+
+
+QUERIES |= {"vault_peek": vault_peek, "vault_pop": vault_pop, "vault_sweep": vault_sweep, "vault_wire": vault_wire}
+ORACLES["vault_peek"] = f"WITH {_ENTITIES} SELECT doc_id, token AS surrogate, value AS original, kind AS entity_type FROM t WHERE {_LIVE}"
+ORACLES["vault_pop"] = f"WITH {_ENTITIES} SELECT doc_id, count(*) AS n FROM t WHERE doc_id % 2 <> 0 GROUP BY doc_id"
+ORACLES["vault_sweep"] = f"WITH {_ENTITIES} SELECT doc_id FROM (SELECT DISTINCT doc_id FROM t WHERE {_LIVE}) AS x ORDER BY {_STAMP} DESC, doc_id LIMIT 10"
+ORACLES["vault_wire"] = f"WITH {_ENTITIES} SELECT 'vault:' || doc_id AS key, any_value(token) AS surrogate, any_value(value) AS original, 'regex' AS mode FROM t GROUP BY doc_id HAVING count(*) = 1"
+
+
+def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results for every turn, each distinct text computed once, part of them from the cache."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")
+    compute = lambda texts: texts.select("text", F.length("text").alias("result"), F.lit(False).alias("cached"))
+    cache = turns.where("turn = 0").select("text").distinct().select("text", F.length("text").alias("result"), F.lit(True).alias("cached"))
+    found, _ = R.lookup_or_compute(turns, cache, ["text"], compute)
+    return found.select("conv_id", "turn", "result", "cached")
+
+
+def prewarm_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X12, J4, J5."""
+    sent = _calls(spark, sf_dir).select("call_id", F.explode("texts").alias("text"))
+    slots = V.warm(sent, _vault(spark, sf_dir), ["regex", "llm"])
+    return slots.select(F.col("call_id").alias("doc_id"), "slot", F.size("matches").cast("bigint").alias("n"))
+
+
+def append_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4: first writer wins."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    cache = turns.where("turn = 0").select(F.sha2("text", 256).alias("key"))
+    return V.append_new(cache, turns.select(F.sha2("text", 256).alias("key")), ["key"])
+
+
+def lru_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L2: the five last texts used of each conversation."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn")
+    return R.evict(turns, "turn", 5, ["conv_id"])
+
+
+QUERIES |= {"cache_lookup": cache_lookup, "prewarm_slots": prewarm_slots, "append_new": append_new, "lru_topn": lru_topn}
+ORACLES["cache_lookup"] = "SELECT conv_id, turn, CAST(length(text) AS INTEGER) AS result, text IN (SELECT text FROM conversations WHERE turn = 0) AS cached FROM conversations"
+ORACLES["prewarm_slots"] = f"""
+WITH {_ENTITIES}, p AS (SELECT doc_id, count(*) AS n FROM t JOIN documents USING (doc_id) WHERE contains(text, value) AND trim(text) <> '' GROUP BY doc_id)
+SELECT doc_id, 'pipeline' AS slot, n FROM p UNION ALL SELECT doc_id, 'regex', n FROM p UNION ALL SELECT doc_id, 'llm', 0 FROM p
+"""
+ORACLES["append_new"] = "SELECT DISTINCT sha256(text) AS key FROM conversations WHERE text NOT IN (SELECT text FROM conversations WHERE turn = 0)"
+ORACLES["lru_topn"] = "SELECT conv_id, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 5"
+
+# ---- policy ------------------------------------------------------------------------------------------------------------
+
+GATED = [(1, "Sure, I'll contact [EMAIL_ADDR", False, False, "buffer"), (2, "Mail [EMAIL_ADDRESS_0A1B2C3D] now", False, False, "buffer"), (3, "Sure thing. [INCOMPLETE", True, False, "buffer"), (4, "ends in [PER", None, False, "buffer"), (5, "anything", False, True, "buffer"), (6, "anything", False, True, "disabled"), (7, "a [", False, False, "buffer"), (8, "a [x", False, False, "buffer")]
+
+
+def wait_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P15, T1 to T3."""
+    rows = frame(spark, GATED, "id int, text string, is_final boolean, use_realistic boolean, mode string")
+    return rows.select("id", P.wait(F.array("text"), F.col("is_final"), F.col("use_realistic"), F.col("mode")).alias("waits"))
+
+
+QUERIES["wait_gate"] = wait_gate
+ORACLES["wait_gate"] = f"""SELECT id, coalesce(is_final = false, false) AND ((use_realistic AND mode = 'buffer') OR regexp_matches(text, '\\[[A-Z0-9_]*$')) AS waits
+FROM {values(GATED, ['id', 'text', 'is_final', 'use_realistic', 'mode'])}"""
+
+ACTED = [(i, t, n, e, c, w, b) for i, (t, n, e, c, w, b) in enumerate([("request", 0, 0, False, False, False), ("request", 2, 0, False, False, False), ("request", 2, 3, True, False, False), ("request", 1, 1, True, False, True), ("response", 1, 0, True, True, False), ("response", 1, 0, True, False, False), ("response", 1, 0, False, False, False), ("response", 1, 0, False, True, True)])]
+
+
+def action_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1, F6."""
+    rows = frame(spark, ACTED, "id int, input_type string, n int, n_entities int, changed boolean, waits boolean, blocked boolean")
+    texts = F.when(F.col("n") > 0, F.array_repeat(F.lit("t"), F.col("n"))).otherwise(F.array().cast("array<string>"))
+    return rows.select("id", P.action(F.col("input_type"), texts, F.col("n_entities"), F.col("changed"), F.col("waits"), F.col("blocked")).alias("action"))
+
+
+QUERIES["action_matrix"] = action_matrix
+ORACLES["action_matrix"] = "SELECT * FROM (VALUES (0, 'NONE'), (1, 'NONE'), (2, 'GUARDRAIL_INTERVENED'), (3, 'BLOCKED'), (4, 'WAIT'), (5, 'GUARDRAIL_INTERVENED'), (6, 'NONE'), (7, 'BLOCKED')) AS v(id, action)"
+
+RUNS = [("a", "regex", "crash", True), ("a", "llm", "ok", True), ("b", "llm", "unavailable", True), ("b", "gliner_pii", "unavailable", False), ("c", "llm", "unavailable", False), ("d", "privacy_filter", "crash", True), ("d", "llm", "unavailable", True)]
+
+
+def fail_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F6."""
+    return P.fail_policy(frame(spark, RUNS, "call_id string, detector string, status string, fail_closed boolean"))
+
+
+QUERIES["fail_policy"] = fail_policy
+ORACLES["fail_policy"] = f"""
+SELECT call_id, bool_or(bad) AS blocked, min(CASE WHEN bad THEN detector || ' detector is unavailable; request blocked.' END) AS blocked_reason
+FROM (SELECT *, status <> 'ok' AND fail_closed AND detector NOT IN ('regex', 'denylist') AS bad FROM {values(RUNS, ['call_id', 'detector', 'status', 'fail_closed'])}) AS x GROUP BY call_id
+"""
+
+SUBSETS = [(1, "llm,regex"), (2, "nothing"), (3, ""), (4, "regex,regex,bogus"), (5, None)]
+
+
+def detector_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P14, J7, U2, U3."""
+    wanted = F.split("wanted", ",")
+    rows = frame(spark, SUBSETS, "id int, wanted string")
+    return rows.select("id", F.array_join(R.active_detectors(wanted, DETECTORS), ",").alias("active"), F.array_join(R.unknown_detectors(wanted, DETECTORS), ",").alias("unknown"))
+
+
+QUERIES["detector_subset"] = detector_subset
+_all = ",".join(DETECTORS)
+ORACLES["detector_subset"] = f"SELECT * FROM (VALUES (1, 'llm,regex', ''), (2, '{_all}', 'nothing'), (3, '{_all}', ''), (4, 'regex', 'bogus'), (5, '{_all}', NULL)) AS v(id, active, unknown)"
+
+OVERRIDDEN = [
+    ("detector_mode", '"regex, llm"', '["regex","llm"]'), ("detector_mode", '["regex"," llm "]', '["regex","llm"]'), ("faker_locale", '"a,b,c,d"', None), ("faker_locale", '["pt_BR"]', '["pt_BR"]'),
+    ("detector_mode", '["a","b","c","d","e","f"]', None), ("gliner_threshold", "true", None), ("gliner_threshold", '"0.5"', None), ("gliner_threshold", "1", "1.0"), ("gliner_threshold", "0.25", "0.25"), ("gliner_threshold", "1.5", None),
+    ("use_faker", "true", "true"), ("use_faker", '"yes"', None), ("use_faker", "1", None), ("unknown", '"x"', None), ("llm_model", '"  "', None), ("llm_model", '" m1 "', "m1"), ("llm_model", "3", None),
+    ("regex_overlap_strategy", '" Priority "', "priority"), ("regex_overlap_strategy", '"best"', None), ("gliner_labels", '["a",3]', None), ("gliner_labels", "broken[", None), ("gliner_labels", '""', None),
+]
+
+
+def override_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P19, L3, against values worked out by hand."""
+    rows = frame(spark, OVERRIDDEN, "key string, value string, expected string")
+    return rows.select("key", "value", P.parse_override(F.col("key"), F.col("value")).alias("parsed"))
+
+
+QUERIES["override_parse"] = override_parse
+ORACLES["override_parse"] = f"SELECT * FROM {values(OVERRIDDEN, ['key', 'value', 'parsed'])}"
+
+
+def body_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3, P20 with small caps, over whole documents."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return rows.select("doc_id", P.body_ok(F.col("text"), 4000).alias("accepted"), P.too_long_for_llm(F.col("text"), 3000).alias("llm_unavailable"))
+
+
+QUERIES["body_cap"] = body_cap
+ORACLES["body_cap"] = "SELECT doc_id, strlen(text) <= 4000 AS accepted, length(text) > 3000 AS llm_unavailable FROM documents"
+
+HEADERS = [(1, "Authorization", "Bearer abc"), (2, "authorization", "bearer  x y "), (3, "AUTHORIZATION", "[present]"), (4, "Authorization", "Basic abc"), (5, "X-Other", "Bearer abc"), (6, "Authorization", "Bearer [present]")]
+
+
+def bearer_token(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P18."""
+    return frame(spark, HEADERS, "id int, k string, v string").select("id", T.bearer(F.create_map("k", "v")).alias("token"))
+
+
+QUERIES["bearer_token"] = bearer_token
+ORACLES["bearer_token"] = "SELECT * FROM (VALUES (1, 'abc'), (2, 'x y'), (3, NULL), (4, NULL), (5, NULL), (6, NULL)) AS v(id, token)"
+
+
+def trace_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K6."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.snippet(F.col("text")).alias("snippet"))
+
+
+QUERIES["trace_line"] = trace_line
+ORACLES["trace_line"] = "SELECT doc_id, CASE WHEN length(text) > 160 THEN substr(text, 1, 160) || '…' ELSE text END AS snippet FROM documents"
+
+
+def stats_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A6, S2, over the events table as a log: click is a hit, view a miss, and so on; inactive detectors give zeros."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("hit", "miss", "start", "end")]), (F.col("event_id") % 4 + 1).cast("int"))
+    log = e.select(F.element_at(F.array(*[F.lit(x) for x in DETECTORS[2:]]), (F.col("user_id") % 3 + 1).cast("int")).alias("detector"), kind.alias("kind"))
+    return P.stats(log, DETECTORS)
+
+
+QUERIES["stats_snapshot"] = stats_snapshot
+ORACLES["stats_snapshot"] = f"""
+WITH l AS (SELECT ['privacy_filter', 'gliner_pii', 'llm'][user_id % 3 + 1] AS detector, event_id % 4 AS k FROM events),
+d AS (SELECT unnest({DETECTORS!r}) AS detector)
+SELECT d.detector, count(*) FILTER (k = 0) AS hits, count(*) FILTER (k = 1) AS misses, count(*) FILTER (k = 2) - count(*) FILTER (k = 3) AS in_flight FROM d LEFT JOIN l USING (detector) GROUP BY d.detector
+"""
+
+
+def rules_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of the extended pack by type; its own come before those it extends."""
+    rules = rule_source.load_pack("bundled:rules_extended.yaml")
+    f = rule_source.rules_frame(spark, rules)
+    return f.agg(F.count("*").alias("n"), F.min(F.when(F.col("pack").endswith("default.yaml"), F.col("rule_idx"))).cast("bigint").alias("first_inherited"))
+
+
+QUERIES["rules_table"] = rules_table
+ORACLES["rules_table"] = "SELECT CAST(189 AS BIGINT) AS n, CAST(172 AS BIGINT) AS first_inherited"
+
+# ---- chunks ------------------------------------------------------------------------------------------------------------
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of conversations in pieces of 40 characters."""
+    from cloakwork.sources.synthetic import chunks
+
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'assistant' AND text <> ''")
+    cut = rows.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("call_id"), chunks(F.col("text"), 40).alias("c"))
+    return cut.select("call_id", F.size("c").alias("n"), F.posexplode("c").alias("chunk_idx", "chunk")).select("call_id", "chunk_idx", "chunk", (F.col("chunk_idx") == F.col("n") - 1).alias("is_final"))
+
+
+def accumulate_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4 as a table."""
+    return G.accumulate(_chunks(spark, sf_dir)).select("call_id", "chunk_idx", "accumulated", "is_final")
+
+
+def _drain(stream: DataFrame, name: str) -> DataFrame:
+    """Runs a stream over what there is, into memory, and gives its rows."""
+    spark = stream.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    q = stream.writeStream.format("memory").queryName(table).outputMode("append").option("checkpointLocation", f"{base}/{table}").trigger(availableNow=True).start()
+    if not q.awaitTermination(300):
+        q.stop()
+        raise TimeoutError(f"{name} did not end")
+    return spark.table(table)
+
+
+def _source(rows: DataFrame, name: str) -> DataFrame:
+    """Rows written as files, read as a stream."""
+    spark = rows.sparkSession
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.readStream.schema(rows.schema).parquet(path)
+
+
+def accumulate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4 as a stream with keyed state: what the table gives."""
+    return _drain(G.accumulate_stream(_source(_chunks(spark, sf_dir), "chunks")), "accumulated")
+
+
+def gate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1 as a stream: the stateless gate over accumulated chunks."""
+    rows = G.accumulate(_chunks(spark, sf_dir)).select("call_id", "chunk_idx", F.array(F.concat("accumulated", F.lit(" ["))).alias("texts"), "is_final")
+    return _drain(G.gate(_source(rows, "gate")), "gated").select("call_id", "chunk_idx", "action")
+
+
+QUERIES |= {"accumulate_chunks": accumulate_chunks, "accumulate_stream": accumulate_stream, "gate_stream": gate_stream}
+_ACC = "FROM conversations, unnest(range(0, (length(text) + 39) // 40)) AS u(i) WHERE role = 'assistant' AND text <> ''"
+ORACLES["accumulate_chunks"] = ORACLES["accumulate_stream"] = f"SELECT conv_id || '-' || turn AS call_id, CAST(i AS INTEGER) AS chunk_idx, substr(text, 1, CAST(40 * (i + 1) AS BIGINT)) AS accumulated, 40 * (i + 1) >= length(text) AS is_final {_ACC}"
+ORACLES["gate_stream"] = f"SELECT conv_id || '-' || turn AS call_id, CAST(i AS INTEGER) AS chunk_idx, CASE WHEN 40 * (i + 1) >= length(text) THEN 'CHECK' ELSE 'WAIT' END AS action {_ACC}"
+
+
+def restore_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses joined with puts within the time to live, as streams; inner part of the outer join."""
+    v = _vault(spark, sf_dir).select("call_id", "entries", "put_ts")
+    asked = _asked(spark, sf_dir).select("call_id", "ts")
+    joined = G.restore_stream(_source(asked, "asked"), _source(v, "puts"))
+    return _drain(joined, "restored").where("entries is not null").select(F.col("call_id").alias("doc_id"), F.size("entries").cast("bigint").alias("n"))
+
+
+def entity_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An addition of ours: events by type and hour."""
+    return G.entity_rates(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+QUERIES |= {"restore_stream": restore_stream, "entity_rates": entity_rates}
+ORACLES["restore_stream"] = f"WITH {_ENTITIES} SELECT doc_id, count(*) AS n FROM t WHERE {_LIVE} AND {_STAMP} <= TIMESTAMP '2024-01-01 00:04:00' GROUP BY doc_id"
+ORACLES["entity_rates"] = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL"

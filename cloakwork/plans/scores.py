@@ -1,4 +1,161 @@
-"""Queries."""
+"""Queries of scoring and of benchmark arithmetic."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cloakwork.operators import anonymize as A
+from cloakwork.operators import detect as D
+from cloakwork.operators import quality as Q
+from cloakwork.operators import resolve as R
+from cloakwork.plans.fixtures import frame, values
+from cloakwork.sources.rules import Literal, load_pack
+from cloakwork.sources.synthetic import CASES
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+#: Our own labelled cases: (id, text, expected (text, type, tolerated), must keep, requires), and the text after anonymising.
+LABELLED = [
+    ("creds", "host dc01.corp at 10.0.7.42, hash 8846f7eaee8fb117ad06bdd830b7586c", [("dc01.corp", "HOSTNAME", False), ("10.0.7.42", "IPV4_ADDRESS", False), ("8846f7eaee8fb117ad06bdd830b7586c", "HASH", False)], [], []),
+    ("mail", "Write to ann@example.com, please.", [("ann@example.com", "EMAIL_ADDRESS", False)], ["please"], []),
+    ("people", "Ann Lee lives in Milton.", [("Ann Lee", "PERSON", True), ("Milton", "ADDRESS", True)], [], []),
+    ("name", "Project Zephyr starts.", [("Project Zephyr", "ORGANIZATION", False)], ["starts"], ["denylist"]),
+    ("plain", "What is the capital of France?", [], ["capital of France"], []),
+    ("card", "card 4111-1111-1111-1111 and 4111-1111-1111-1112", [("4111-1111-1111-1111", "CREDIT_CARD", False), ("4111-1111-1111-1112", "CREDIT_CARD", False)], [], []),
+]
+LIST = [Literal("ORGANIZATION", "Project Zephyr"), Literal("PERSON", "starts")]
+
+
+def _outputs(spark: SparkSession, detectors: list[str]) -> DataFrame:
+    """Cases with the text that these detectors leave."""
+    rows = Q.active_cases(frame(spark, LABELLED, CASES), detectors).withColumn("texts", F.array("text"))
+    found = []
+    if "regex" in detectors:
+        found.append(R.tag(A.rule_matches(F.col("text"), load_pack()), "regex"))
+    if "denylist" in detectors:
+        from cloakwork.functions import spans as S
+
+        found.append(R.tag(D.normalized(S.greedy(D.denylist_candidates(F.col("text"), LIST))), "denylist"))
+    return A.anonymize(rows, R.dedup(F.concat(*found)), "pepper").withColumn("output", F.get("anonymized", 0))
+
+
+def corpus_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S11, P16, A1 to A4 for each case, against counts worked out by hand."""
+    return Q.score_cases(_outputs(spark, ["regex", "denylist"]))
+
+
+CASE_SCORES = [("creds", 3, 3, 3, 3, 3, 0, 0), ("mail", 1, 1, 1, 1, 1, 1, 1), ("people", 2, 0, 0, 0, 0, 0, 0), ("name", 1, 1, 1, 1, 1, 1, 0), ("plain", 0, 0, 0, 0, 0, 1, 1), ("card", 2, 2, 2, 2, 1, 0, 0)]
+_COLUMNS = ["case_id", "expected", "redacted", "strict_expected", "strict_redacted", "type_correct", "must_keep", "kept"]
+
+
+def corpus_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1 to A4."""
+    return Q.summary(Q.score_cases(_outputs(spark, ["regex", "denylist"])))
+
+
+def detector_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each detector alone, and all together, resolved anew."""
+    runs = [("regex", ["regex"]), ("denylist", ["denylist"]), ("all", ["regex", "denylist"])]
+    scored = [Q.score_cases(_outputs(spark, d)).withColumn("detectors", F.lit(n)) for n, d in runs]
+    return Q.summary(scored[0].unionByName(scored[1]).unionByName(scored[2]), ["detectors"])
+
+
+QUERIES |= {"corpus_cases": corpus_cases, "corpus_scores": corpus_scores, "detector_compare": detector_compare}
+ORACLES["corpus_cases"] = "SELECT case_id, " + ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in _COLUMNS[1:]) + f" FROM {values(CASE_SCORES, _COLUMNS)}"
+_RATIOS = "round(sum(redacted) / nullif(sum(expected), 0), 6) AS recall, round(sum(strict_redacted) / nullif(sum(strict_expected), 0), 6) AS strict_recall, round(sum(type_correct) / nullif(sum(expected), 0), 6) AS type_accuracy, round(sum(kept) / nullif(sum(must_keep), 0), 6) AS precision"
+ORACLES["corpus_scores"] = f"SELECT {_RATIOS} FROM {values(CASE_SCORES, _COLUMNS)}"
+_BY = [("all", *r) for r in CASE_SCORES]
+_BY += [("regex", "creds", 3, 3, 3, 3, 3, 0, 0), ("regex", "mail", 1, 1, 1, 1, 1, 1, 1), ("regex", "people", 2, 0, 0, 0, 0, 0, 0), ("regex", "plain", 0, 0, 0, 0, 0, 1, 1), ("regex", "card", 2, 2, 2, 2, 1, 0, 0)]
+_BY += [("denylist", "creds", 3, 0, 3, 0, 0, 0, 0), ("denylist", "mail", 1, 0, 1, 0, 0, 1, 1), ("denylist", "people", 2, 0, 0, 0, 0, 0, 0), ("denylist", "name", 1, 1, 1, 1, 1, 1, 0), ("denylist", "plain", 0, 0, 0, 0, 0, 1, 1), ("denylist", "card", 2, 0, 2, 0, 0, 0, 0)]
+ORACLES["detector_compare"] = f"SELECT detectors, {_RATIOS} FROM {values(_BY, ['detectors', *_COLUMNS])} GROUP BY detectors"
+
+
+def token_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3: types of tokens in anonymised documents, counted."""
+    from cloakwork.plans.calls import anonymize_docs
+
+    return anonymize_docs(spark, sf_dir).select(F.explode(Q.types_in(F.col("text"))).alias("entity_type")).groupBy("entity_type").agg(F.count("*").alias("n"))
+
+
+def entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10: entities and texts of each source's documents."""
+    from cloakwork.plans.calls import RULES, SALT, _calls
+
+    source = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("call_id"), "source")
+    done = A.anonymize_rules(_calls(spark, sf_dir), RULES, SALT).select("call_id", F.size("entries").alias("n"))
+    return done.join(source, "call_id").groupBy("source").agg(F.sum("n").alias("entities"), F.count("*").alias("texts"))
+
+
+def dedup_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R4 in a row, against an order worked out by hand."""
+    rows = frame(spark, [(1, [("a", "PERSON", ["regex"]), ("b", "URL", ["regex"]), ("a", "OTHER", ["llm"]), ("", "OTHER", ["llm"]), ("b", "URL", ["llm"]), ("a", "PERSON", ["regex"])]), (2, [])], "id int, m array<struct<text:string,entity_type:string,source_detectors:array<string>>>")
+    return rows.select("id", F.posexplode(R.dedup(F.col("m"))).alias("i", "m")).select("id", "i", "m.text", "m.entity_type", F.array_join("m.source_detectors", ",").alias("sources"))
+
+
+def bench_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A12."""
+    return Q.bench_matrix(spark)
+
+
+def cache_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The closed form over conversations."""
+    return Q.cache_growth(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def history_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each turn sends."""
+    return Q.history(spark.read.parquet(f"{sf_dir}/conversations.parquet")).select("conv_id", "turn", F.size("sent").cast("bigint").alias("n_sent"), F.sha2(F.array_join("sent", "|"), 256).alias("sent"))
+
+
+def _latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select((F.col("user_id") % 2).cast("string").alias("mode"), F.col("event_type").alias("service"), (F.col("event_id") % 3).cast("string").alias("size"), F.round("value", 3).alias("ms"), (F.col("event_id") % 7 > 0).alias("ok"))
+
+
+def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5, A13 over the events table."""
+    return Q.latency(_latencies(spark, sf_dir)).withColumn("total_ms", F.round("total_ms", 3))
+
+
+def speedups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A8 over the events table: event types as mixes, places by id as caches."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    cache = F.element_at(F.array(*[F.lit(x) for x in ("none", "detector", "pipeline", "both")]), (F.col("event_id") % 4 + 1).cast("int"))
+    runs = e.select(F.col("event_type").alias("mix"), F.lit("none").alias("overrides"), cache.alias("cache"), F.lit("memory").alias("backend"), F.round("value", 3).alias("ms"))
+    return Q.speedups(runs)
+
+
+def stat_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A9 over running counts of events by user."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id < 50")
+    daily = e.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.max("event_id").alias("seen"))
+    return Q.deltas(daily, "user_id", "day", ["seen"])
+
+
+QUERIES |= {f.__name__: f for f in (token_types, entity_counts, dedup_sources, bench_matrix, cache_growth, history_growth, latency_summary, speedups, stat_deltas)}
+
+
+def _late_oracles() -> None:
+    from cloakwork.plans.calls import _ENTITIES, ORACLES as CALLS
+
+    ORACLES["token_types"] = f"WITH a AS ({CALLS['anonymize_docs']}) SELECT entity_type, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\\[([A-Z][A-Z0-9_]*)_([0-9A-F]{{8,}})\\]', 1)) AS entity_type FROM a) AS x GROUP BY entity_type"
+    ORACLES["entity_counts"] = f"WITH {_ENTITIES} SELECT source, count(value) AS entities, count(DISTINCT d.doc_id) AS texts FROM documents AS d LEFT JOIN t USING (doc_id) GROUP BY source"
+
+
+_late_oracles()
+ORACLES["dedup_sources"] = "SELECT * FROM (VALUES (1, 0, 'a', 'PERSON', 'regex,llm'), (1, 1, 'b', 'URL', 'regex,llm')) AS v(id, i, text, entity_type, sources)"
+ORACLES["bench_matrix"] = """
+SELECT mix, overrides, cache, backend FROM (VALUES ('regex'), ('gliner_pii'), ('privacy_filter'), ('regex,gliner_pii'), ('regex,gliner_pii,privacy_filter')) AS m(mix), (VALUES ('none'), ('varied')) AS o(overrides),
+ (VALUES ('none', 'memory'), ('detector', 'memory'), ('detector', 'redis'), ('pipeline', 'memory'), ('pipeline', 'redis'), ('both', 'memory'), ('both', 'redis')) AS c(cache, backend)
+"""
+ORACLES["cache_growth"] = "SELECT conv_id, count(*) AS turns, sum(2 * i - 1)::BIGINT AS lookups, count(*) AS misses, (sum(2 * i - 1) - count(*))::BIGINT AS hits FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations) AS x GROUP BY conv_id"
+ORACLES["history_growth"] = "SELECT a.conv_id, a.turn, count(*) AS n_sent, sha256(string_agg(b.text, '|' ORDER BY b.turn)) AS sent FROM conversations AS a JOIN conversations AS b ON a.conv_id = b.conv_id AND b.turn <= a.turn GROUP BY a.conv_id, a.turn"
+ORACLES["latency_summary"] = "SELECT mode, service, size, count(*) AS calls, round(sum(ms), 3) AS total_ms, round(avg(ms), 6) AS avg_ms, min(ms) AS min_ms, max(ms) AS max_ms, count(*) FILTER (ok) AS n_ok, count(*) FILTER (NOT ok) AS n_err FROM (SELECT CAST(user_id % 2 AS VARCHAR) AS mode, event_type AS service, CAST(event_id % 3 AS VARCHAR) AS size, round(value, 3) AS ms, event_id % 7 > 0 AS ok FROM events) AS x GROUP BY mode, service, size"
+ORACLES["speedups"] = """
+WITH r AS (SELECT event_type AS mix, ['none', 'detector', 'pipeline', 'both'][event_id % 4 + 1] AS cache, round(value, 3) AS ms FROM events),
+c AS (SELECT mix, cache, median(ms) AS m, avg(ms) AS a FROM r GROUP BY mix, cache)
+SELECT c.mix, 'none' AS overrides, c.cache, 'memory' AS backend, round(c.m, 6) AS median_ms, round(c.a, 6) AS mean_ms, round(b.m / c.m, 6) AS speedup FROM c JOIN c AS b ON b.mix = c.mix AND b.cache = 'none'
+"""
+ORACLES["stat_deltas"] = "SELECT user_id, day, seen - coalesce(lag(seen) OVER (PARTITION BY user_id ORDER BY day), 0) AS seen FROM (SELECT user_id, CAST(ts AS DATE) AS day, max(event_id) AS seen FROM events WHERE user_id < 50 GROUP BY ALL) AS x"
