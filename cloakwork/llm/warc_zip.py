@@ -63,7 +63,7 @@ def members(file) -> list[Member]:
     file.seek(length - back)
     tail = file.read(back)
     at = tail.rfind(b"PK\x05\x06")
-    while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
+    while at >= 0 and (at + 22 > len(tail) or at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):
         at = tail.rfind(b"PK\x05\x06", 0, at)  # a signature inside the comment
     if at < 0:
         raise ValueError("no end of central directory: not a ZIP file, or cut off")
