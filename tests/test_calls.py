@@ -11,11 +11,10 @@ from cloakwork.operators import vault as V
 from cloakwork.sources.rules import load_pack
 
 CALLS = "call_id string, texts array<string>"
-STAMP = F.lit("2024-01-01 00:00:00").cast("timestamp")
 
 
 def round_trip(spark, calls, **parameters):
-    done = A.anonymize_rules(spark.createDataFrame(calls, CALLS), load_pack(), "s", **parameters).withColumn("ts", STAMP)
+    done = A.anonymize_rules(spark.createDataFrame(calls, CALLS), load_pack(), "s", **parameters).withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))
     back = A.restore(done.select("call_id", F.col("anonymized").alias("texts"), "ts"), V.put(done))
     return {r.call_id: r for r in done.collect()}, {r.call_id: r for r in back.collect()}
 
