@@ -26,6 +26,7 @@ from cloakwork.model import (
     SPAN_LABELS,
     ZERO_SHOT_LABELS,
 )
+from cloakwork.sources.literals import fold, required
 from cloakwork.sources.rules import Literal, Rule
 
 # ---- rules -------------------------------------------------------------------------------------------------------------
@@ -99,10 +100,15 @@ def scan(df: DataFrame, rules: list[Rule], text: str = "text", into: str = "cand
     return out if strategy is None else out.withColumn(into, S.greedy(F.col(into), strategy))
 
 
-def find_with_python(text: str, compiled: list[tuple[str, re.Pattern[str]]], validators: dict) -> list[dict]:
-    """D1 in Python's dialect: the named group ``entity``, else the first group that took part, else the match."""
-    found = []
-    for order, (kind, pattern) in enumerate(compiled):
+def find_with_python(text: str, compiled: list[tuple[str, re.Pattern[str], list[str] | None]], validators: dict) -> list[dict]:
+    """D1 in Python's dialect: the named group ``entity``, else the first group that took part, else the match.
+
+    Rules are skipped if the text has none of the literals that they need.
+    """
+    found, folded = [], fold(text)
+    for order, (kind, pattern, needs) in enumerate(compiled):
+        if needs is not None and not any(x in folded for x in needs):
+            continue
         named = "entity" in pattern.groupindex
         for m in pattern.finditer(text):
             group = "entity" if named and m.group("entity") is not None else next((g for g in range(1, pattern.groups + 1) if m.group(g) is not None), 0)
@@ -166,10 +172,10 @@ def _mapped(df: DataFrame, into: str, make, text: str) -> DataFrame:
 
 
 def scan_with_python(df: DataFrame, rules: list[Rule], text: str = "text", into: str = "candidates", strategy: str | None = None) -> DataFrame:
-    """D3: any pack, in Python's dialect; each rule keeps its place in the pack. A rule's literal, if it has one, guards it."""
+    """D3: any pack, in Python's dialect; each rule keeps its place in the pack."""
 
     def make():
-        compiled, checks = [(r.entity_type, r.python()) for r in rules], python_validators()
+        compiled, checks = [(r.entity_type, r.python(), required(r.python())) for r in rules], python_validators()
         return lambda t: find_with_python(t, compiled, checks)
 
     out = _mapped(df, into, make, text)
