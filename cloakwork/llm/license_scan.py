@@ -6,6 +6,9 @@ A segment can only reach that if its number of bigrams lies within (percent / (2
 segments outside the bounds of all templates are dropped before any bigram is formed, and a template is a candidate only
 within its own bounds.
 
+Before any segment is cut into words it must contain an anchor: words are chosen so that a segment without any of them lacks
+too many bigrams of each template to reach the threshold. So the choice loses nothing, and most texts cost one search.
+
 Shared bigrams are counted by looking each bigram up in the broadcast bigrams of the templates (a fixed set whose size is
 checked), so no segment is paired with a template with which it shares nothing. One scan; what is exchanged is a row for
 each document and the counts of hits.
@@ -17,11 +20,13 @@ template's name. Other columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakwork.llm.common import text_key
-from cloakwork.llm.decontaminate import words_of
+from cloakwork.llm.common import ascii_lower, text_key
+from cloakwork.llm.decontaminate import WORD, words_of
 
 #: Wording of public licences and of common notices.
 TEMPLATES = {
@@ -61,6 +66,36 @@ def template_table(spark, templates: dict[str, str]) -> DataFrame:
     return rows.select("name", _bigrams(words_of(F.col("text"))).alias("b")).select("name", F.size("b").alias("size"), F.explode("b").alias("bigram"))
 
 
+#: Longer anchors are looked for inside words too, which is faster; shorter ones only as words.
+SHORT = 3
+#: Words that are no good anchors.
+COMMON = "a all an and any are as at be by for from if in is it may not of on or that the this to with you".split()
+
+
+def anchors(templates: dict[str, str], percent: int) -> list[str]:
+    """Words of which every segment that reaches the threshold with some template has at least one.
+
+    A match shares at least size * percent / (200 - percent) of a template's bigrams, so it can't avoid all of any larger
+    rest; words are taken, those that cover most first, until the bigrams they are in are more than that rest.
+    """
+    chosen: list[str] = []
+    for _, text in sorted(templates.items()):
+        lowered = "".join(c.lower() if c.isascii() else c for c in text)
+        words = re.findall(WORD, lowered)
+        pairs = set(zip(words, words[1:]))
+        if not pairs:
+            continue
+        rest = len(pairs) - -(-len(pairs) * percent // (200 - percent))
+        within = lambda p: any(c in w if len(c) > SHORT else c == w for c in chosen for w in p)
+        covered = {p for p in pairs if within(p)}
+        while len(covered) <= rest:
+            gain = {w: sum(w in p for p in pairs - covered) for w in words}
+            best = max(sorted(gain), key=lambda w: gain[w] * (0.01 if w in COMMON else len(w)))
+            chosen.append(best)
+            covered = {p for p in pairs if within(p)}
+    return chosen
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "text", doc_id: str = "doc_id", percent: int = 80) -> DataFrame:
     """One row per row of docs: doc_id, matches (array of template, dice, level, place; best first)."""
     spark = docs.sparkSession
@@ -70,18 +105,34 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "
         raise ValueError(f"{n} template bigrams; scan with subsets of at most {MOST_BIGRAMS} and unite the results")
     low, high = (low or 1) * percent / (200 - percent), (high or 0) * (200 - percent) / percent
     body = F.coalesce(F.col(text), F.lit(""))
-    lines, paragraphs = F.split(body, "\n", -1), F.split(body, PARAGRAPHS, -1)
+    # Places are counted in the text as it is; lower case has the same lines.
+    lines, paragraphs = F.split(F.col("body"), "\n", -1), F.split(F.col("body"), PARAGRAPHS, -1)
     segment = "array<struct<level:int,place:int,body:string>>"
     numbered = lambda parts, level: F.transform(parts, lambda x, i: F.struct(F.lit(level).alias("level"), i.alias("place"), x.alias("body"))).cast(segment)
     # A bigram has at least three characters and a blank, so sizes in characters bound sizes in bigrams from above.
-    long_enough = lambda parts: F.filter(parts, lambda s: F.length(s["body"]) >= 2 * low + 1)
+    needed = anchors(TEMPLATES if templates is None else templates, percent)
+    lowered = ascii_lower(body)
+
+    def anchored(c: Column) -> Column:
+        found = F.lit(False)
+        for w in (w for w in needed if len(w) > SHORT):
+            found = found | F.contains(c, F.lit(w))
+        if short := [w for w in needed if len(w) <= SHORT]:
+            edge = r"[0-9a-z\x{80}-\x{10FFFF}]"
+            found = found | c.rlike(f"(?<!{edge})(?:{'|'.join(short)})(?!{edge})")
+        return found
+
+    plausible = lambda parts: F.filter(parts, lambda s: (F.length(s["body"]) >= 2 * low + 1) & anchored(s["body"]))
+    none = F.array().cast(segment)
     segments = F.concat(
         F.array(F.struct(F.lit(-1).alias("level"), F.lit(-1).alias("place"), F.lit("").alias("body"))).cast(segment),
-        long_enough(numbered(lines, 0)),
-        long_enough(F.filter(numbered(paragraphs, 1), lambda s: F.contains(s["body"], F.lit("\n")))),
-        F.when(F.size(paragraphs) > 1, numbered(F.array(body), 2)).otherwise(F.array().cast(segment)),
+        F.when(F.col("any"), plausible(numbered(lines, 0))).otherwise(none),
+        F.when(F.col("any"), plausible(F.filter(numbered(paragraphs, 1), lambda s: F.contains(s["body"], F.lit("\n"))))).otherwise(none),
+        F.when(F.col("any") & F.col("body").rlike(PARAGRAPHS), numbered(F.array(F.col("body")), 2)).otherwise(none),
     )
-    cut = docs.select(F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("__key"), F.explode(segments).alias("s"))
+    searched = docs.select(F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("__key"), lowered.alias("body"))
+    searched = searched.select("*", anchored(F.col("body")).alias("any"))
+    cut = searched.select("doc_id", "__key", F.explode(segments).alias("s"))
     worded = cut.select("doc_id", "__key", "s.level", "s.place", words_of(F.col("s.body")).alias("w"))
     # Distinct bigrams may be fewer than neighbouring words, so only the lower bound can be taken from the words' number here.
     sized = worded.where((F.col("level") == -1) | (F.size("w") - 1 >= low)).select("doc_id", "__key", "level", "place", _bigrams(F.col("w")).alias("b"))
