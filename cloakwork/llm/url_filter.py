@@ -25,7 +25,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakwork.llm.common import ascii_lower
+from cloakwork.llm.common import ascii_lower, written
 
 #: Fixed values of the registered query.
 RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
@@ -120,6 +120,7 @@ def train(labelled: DataFrame, most_rows: int = 20_000, most_suffixes: int = 100
     sample = rows.where(F.pmod(F.xxhash64("url", "host", "path"), F.lit(span)) < min(span, most_rows * span // n))
     ready = _with_features(sample, m).withColumn("label", F.col("blocked").cast("double"))
     names = [c for c in ready.columns if c.startswith("f_")]
+    ready = written(ready.select("label", *names), "url-sample")  # each round reads the bounded sample, not all URLs
     assembler = VectorAssembler(inputCols=names, outputCol="features")
     trees = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=1, stepSize=0.2).fit(assembler.transform(ready).select("features", "label"))
     m.trees = PipelineModel([assembler, trees])
