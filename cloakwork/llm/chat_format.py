@@ -31,6 +31,11 @@ def _hash(*columns: Column) -> Column:
     return F.xxhash64(*[x for c in columns for x in (c, c.isNull())])
 
 
+def _key(conv_id: Column) -> Column:
+    """A text that tells ids apart, null included."""
+    return F.to_json(F.struct(conv_id.alias("id")))
+
+
 def prefixes(turns: DataFrame) -> DataFrame:
     """conv_id, place (1 ...), p1, p2 (prefix hash up to this place) and n_turns, one row for each distinct turn."""
     hashed = turns.select("conv_id", "turn", "role", _hash(F.col("role"), F.col("text")).alias("h1"), _hash(F.lit("second"), F.col("text"), F.col("role")).alias("h2"))
@@ -51,18 +56,19 @@ def maximal(turns: DataFrame) -> DataFrame:
     return whole.join(proper, ["place", "p1", "p2"], "left_anti").select("conv_id", F.col("place").cast("bigint").alias("n_turns"), "copies")
 
 
-def render(turns: DataFrame) -> DataFrame:
-    """conv_id and rendered."""
+def render(turns: DataFrame, by: list[str]) -> DataFrame:
+    """The columns ``by`` and rendered, for each group."""
     text = F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit("<|"), F.lit("<\\|"))
     role = F.replace(F.coalesce(F.col("role"), F.lit("")), F.lit("<|"), F.lit("<\\|"))
-    each = turns.select("conv_id", F.struct("turn", "role", _hash(F.col("role"), F.col("text")).alias("h1"), _hash(F.lit("second"), F.col("text"), F.col("role")).alias("h2"), F.concat(F.lit("<|im_start|>"), role, F.lit("\n"), text, F.lit("<|im_end|>\n")).alias("part")).alias("t"))
-    return each.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_set("t")), lambda t: t["part"]), "").alias("rendered"))
+    part = F.concat(F.lit("<|im_start|>"), role, F.lit("\n"), text, F.lit("<|im_end|>\n")).alias("part")
+    each = turns.select(*by, F.struct("turn", "role", _hash(F.col("role"), F.col("text")).alias("h1"), _hash(F.lit("second"), F.col("text"), F.col("role")).alias("h2"), part).alias("t"))
+    return each.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_set("t")), lambda t: t["part"]), "").alias("rendered"))
 
 
 def format_chats(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """conv_id, n_turns, copies and rendered, for each maximal conversation."""
     turns = _turns(conversations, conv_id, turn, role, text)
-    kept = maximal(turns)
-    mine = turns.join(kept.select(F.col("conv_id").alias("__id")), F.col("conv_id").eqNullSafe(F.col("__id")), "left_semi")
-    done = render(mine).select(F.col("conv_id").alias("__id"), "rendered")
-    return kept.join(done, F.col("conv_id").eqNullSafe(F.col("__id"))).select("conv_id", "n_turns", "copies", "rendered")
+    kept = maximal(turns).select(_key(F.col("conv_id")).alias("__key"), "n_turns", "copies")
+    # Join and grouping share a key, so texts are exchanged once, and rendered strings never.
+    mine = turns.withColumn("__key", _key(F.col("conv_id"))).join(kept, "__key")
+    return render(mine, ["__key", "conv_id", "n_turns", "copies"]).select("conv_id", "n_turns", "copies", "rendered")
