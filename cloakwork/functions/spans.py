@@ -47,17 +47,34 @@ def greedy(candidates: Column, strategy: str = "longest") -> Column:
     acceptance.
     """
     long = strategy == "longest"
-    keyed = F.transform(
-        candidates,
-        lambda c: F.struct((c["start"] - c["end"] if long else c["ord"]).alias("k1"), c["start"].alias("k2"), c["ord"].alias("k3"), c["end"].alias("k4"), c["value"].alias("value"), c["entity_type"].alias("entity_type")),
-    )
+    kind = "array<struct<start:int,end:int,ord:int,value:string,entity_type:string>>"
+    sorted_ = F.array_sort(F.transform(candidates, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["ord"].alias("ord"), c["value"].alias("value"), c["entity_type"].alias("entity_type"))).cast(kind))
+
+    # Candidates fall into runs that overlap nothing outside; a run is small even where a text has thousands of candidates.
+    def gather(acc: Column, c: Column) -> Column:
+        apart = c["start"] >= acc["end"]
+        return F.struct(
+            F.when(apart, F.concat(acc["done"], F.array(acc["run"]))).otherwise(acc["done"]).alias("done"),
+            F.when(apart, F.array(c).cast(kind)).otherwise(F.concat(acc["run"], F.array(c).cast(kind))).alias("run"),
+            F.greatest(acc["end"], c["end"]).alias("end"),
+        )
+
+    empty = F.array().cast(kind)
+    runs = F.aggregate(sorted_, F.struct(F.array().cast(f"array<{kind}>").alias("done"), empty.alias("run"), F.lit(-1).alias("end")), gather, lambda a: F.concat(a["done"], F.array(a["run"])))
+
+    keyed = "array<struct<k1:int,k2:int,k3:int,end:int,value:string,entity_type:string>>"
+    key = lambda c: F.struct((c["start"] - c["end"] if long else c["ord"]).alias("k1"), c["start"].alias("k2"), c["ord"].alias("k3"), c["end"].alias("end"), c["value"].alias("value"), c["entity_type"].alias("entity_type"))
 
     def step(acc: Column, c: Column) -> Column:
-        clash = F.exists(acc, lambda a: (a["start"] < c["k4"]) & (c["k2"] < a["end"]))
-        one = F.struct(c["k2"].alias("start"), c["k4"].alias("end"), c["value"].alias("value"), c["entity_type"].alias("entity_type"), c["k3"].alias("ord"))
-        return F.when(clash, acc).otherwise(F.concat(acc, F.array(one).cast(CANDIDATES)))
+        clash = F.exists(acc, lambda a: (a["k2"] < c["end"]) & (c["k2"] < a["end"]))
+        return F.when(clash, acc).otherwise(F.concat(acc, F.array(c).cast(keyed)))
+
+    def accept(run: Column) -> Column:
+        mine = F.transform(run, key).cast(keyed)
+        return F.when(F.size(run) < 2, mine).otherwise(F.aggregate(F.array_sort(mine), F.array().cast(keyed), step))
 
-    return F.aggregate(F.array_sort(keyed), no_candidates(), step)
+    kept = F.array_sort(F.flatten(F.transform(runs, accept)))
+    return F.transform(kept, lambda c: F.struct(c["k2"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), c["entity_type"].alias("entity_type"), c["k3"].alias("ord"))).cast(CANDIDATES)
 
 
 def replace_all(text: Column, pattern: Column, mapping: Column) -> Column:
