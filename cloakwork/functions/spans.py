@@ -13,7 +13,7 @@ def no_candidates() -> Column:
     return F.array().cast(CANDIDATES)
 
 
-def find(text: Column, pattern: str, entity_type: str, order: int, grouped: bool = False, needs: str | None = None) -> Column:
+def find(text: Column, pattern: str, entity_type: str, order: int, grouped: bool = False, needs: str | None = None, stripped: bool = True) -> Column:
     """All non-overlapping matches of a Java pattern as candidates.
 
     ``grouped``: the pattern reads (before)(value)after, and a candidate is the value. Pieces between matches give the places,
@@ -29,7 +29,7 @@ def find(text: Column, pattern: str, entity_type: str, order: int, grouped: bool
 
     def step(acc: Column, s: Column) -> Column:
         at = acc["pos"] + s["gap"]
-        one = F.struct((at + s["lead"]).alias("start"), (at + s["lead"] + F.length(s["value"])).alias("end"), strip(s["value"]).alias("value"), F.lit(entity_type).alias("entity_type"), F.lit(order).alias("ord"))
+        one = F.struct((at + s["lead"]).alias("start"), (at + s["lead"] + F.length(s["value"])).alias("end"), (strip(s["value"]) if stripped else s["value"]).alias("value"), F.lit(entity_type).alias("entity_type"), F.lit(order).alias("ord"))
         return F.struct(
             (at + F.coalesce(F.length(s["whole"]), F.lit(0))).alias("pos"),
             F.when(s["whole"].isNotNull(), F.concat(acc["out"], F.array(one).cast(CANDIDATES))).otherwise(acc["out"]).alias("out"),

@@ -208,8 +208,9 @@ def denylist_candidates(text: Column, entries: list[Literal]) -> Column:
         pattern = ("(?dU)" if exact else "(?dUiu)") + "|".join(f"(?:{f})" for f in fragments)
         types = {(e.value if exact else e.value.lower()): e.entity_type for e in mine}
         lookup = F.create_map(*[F.lit(x) for k, v in types.items() for x in (k, v)])
-        hits = S.find(text, pattern, "", 0 if exact else 1)
-        typed = F.transform(hits, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), text.substr(c["start"] + 1, c["end"] - c["start"]).alias("value"), F.try_element_at(lookup, text.substr(c["start"] + 1, c["end"] - c["start"]) if exact else F.lower(text.substr(c["start"] + 1, c["end"] - c["start"]))).alias("entity_type"), c["ord"].alias("ord")))
+        hits = S.find(text, pattern, "", 0 if exact else 1, stripped=False)
+        kind = lambda v: F.try_element_at(lookup, v if exact else F.lower(v))  # noqa: B023, E731
+        typed = F.transform(hits, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), kind(c["value"]).alias("entity_type"), c["ord"].alias("ord")))  # noqa: B023
         found.append(F.filter(typed, lambda c: c["entity_type"].isNotNull()).cast(CANDIDATES))
     return F.concat(*found) if found else S.no_candidates()
 
