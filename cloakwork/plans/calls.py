@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +16,7 @@ from cloakwork.operators import surrogate as X
 from cloakwork.operators import vault as V
 from cloakwork.plans.detection import EMAIL, IPV4, _spans_sql
 from cloakwork.plans.fixtures import frame, values
+from cloakwork.session import shared_dir
 from cloakwork.sources import rules as rule_source
 from cloakwork.sources.rules import Rule
 from cloakwork.streaming import gate as G
@@ -415,8 +415,7 @@ def _drain(stream: DataFrame, name: str) -> DataFrame:
     """Runs a stream over what there is, into memory, and gives its rows."""
     spark = stream.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    q = stream.writeStream.format("memory").queryName(table).outputMode("append").option("checkpointLocation", f"{base}/{table}").trigger(availableNow=True).start()
+    q = stream.writeStream.format("memory").queryName(table).outputMode("append").option("checkpointLocation", f"{shared_dir(spark)}/{table}").trigger(availableNow=True).start()
     if not q.awaitTermination(300):
         q.stop()
         raise TimeoutError(f"{name} did not end")
@@ -426,8 +425,7 @@ def _drain(stream: DataFrame, name: str) -> DataFrame:
 def _source(rows: DataFrame, name: str) -> DataFrame:
     """Rows written as files, read as a stream."""
     spark = rows.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     rows.write.parquet(path)
     return spark.readStream.schema(rows.schema).parquet(path)
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +15,7 @@ from cloakwork.plans.calls import RULES, _drain
 from cloakwork.plans.fixtures import frame, values
 from cloakwork.plans.scores import ORACLES as SCORES
 from cloakwork.plans.scores import speedups
+from cloakwork.session import shared_dir
 from cloakwork.sources import requests
 from cloakwork.sources.rules import Literal
 
@@ -33,8 +33,7 @@ BODIES = [
 
 
 def _requests(spark: SparkSession, stream: bool = False) -> tuple[DataFrame, DataFrame]:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    path = f"{base}/requests-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/requests-{uuid.uuid4().hex}"
     frame(spark, [(b,) for b in BODIES], "value string").write.text(path)
     return requests.read(spark, path, stream, most_bytes=300)
 
@@ -109,8 +108,7 @@ ORACLES["detector_fanout"] = "SELECT * FROM (VALUES (1, 'ann@example.org', 'EMAI
 
 def headline_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K5, L4: the report written as JSON and read again."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    path = f"{base}/report-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
     sorted_ = report.headline(speedups(spark, sf_dir))
     report.write_json(sorted_, path)
     return spark.read.schema(sorted_.schema).json(path)
