@@ -46,6 +46,26 @@ def parse_override(key: Column, value: Column) -> Column:
     return F.when(key == "regex_overlap_strategy", F.when((kind == "STRING") & F.lower(stripped).isin(STRATEGIES), F.lower(stripped))).otherwise(out)
 
 
+KNOWN_OVERRIDES = ["use_faker", "detector_mode", "faker_locale", "gliner_labels", "gliner_threshold", "regex_overlap_strategy", *NAME_FIELDS]
+
+
+def override_problem(key: Column, value: Column) -> Column:
+    """L3: the first thing wrong with an override, or null. Blank names and empty lists are no override, not wrong."""
+    v = F.try_parse_json(value)
+    kind = F.schema_of_variant(v)
+    size = F.when(kind == "STRING", F.size(F.filter(F.transform(F.split(F.try_variant_get(v, "$", "string"), ","), T.strip), lambda x: x != ""))).when(kind.startswith("ARRAY"), F.size(F.try_variant_get(v, "$", "array<variant>")))
+    most = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, n in LIST_CAPS.items() for x in (k, n)]), key), F.lit(1 << 30))
+    blank = (kind == "STRING") & (T.strip(F.try_variant_get(v, "$", "string")) == "")
+    empty = key.isin([*LIST_CAPS, *NAME_FIELDS]) & (blank | (kind.startswith("ARRAY") & (size == 0)))
+    wrong = F.array(
+        F.when(~key.isin(KNOWN_OVERRIDES), "unknown override"),
+        F.when(v.isNull(), "not JSON"),
+        F.when(size > most, F.concat(F.lit("length "), size.cast("string"), F.lit(" exceeds cap of "), most.cast("string"))),
+        F.when(parse_override(key, value).isNull() & ~empty, "wrong type or value"),
+    )
+    return F.get(F.filter(wrong, lambda x: x.isNotNull()), 0)
+
+
 def wait(texts: Column, is_final: Column, use_realistic: Column, mode: Column) -> Column:
     """A chunk that isn't the last waits if realistic values are buffered, or if any text ends inside a token."""
     return F.coalesce(is_final == F.lit(False), F.lit(False)) & ((use_realistic & (mode == "buffer")) | F.exists(texts, T.partial_token))

@@ -13,6 +13,11 @@ def active_cases(cases: DataFrame, active: list[str]) -> DataFrame:
     return cases.where(F.size(F.array_except("requires", F.array(*[F.lit(d) for d in active]).cast("array<string>"))) == 0)
 
 
+def scored(results: DataFrame) -> DataFrame:
+    """Results of cases that were neither skipped nor blocked; only these count."""
+    return results.where(~F.coalesce("skipped", F.lit(False)) & ~F.coalesce("blocked", F.lit(False)))
+
+
 def types_in(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1))
 

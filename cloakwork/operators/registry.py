@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakwork.functions import spans as S
-from cloakwork.model import ATTRIBUTED, DETECTORS
+from cloakwork.model import ATTRIBUTED, DETECTORS, MOST_LLM_CHARS
 from cloakwork.operators import detect as D
 from cloakwork.operators import resolve as R
 from cloakwork.sources.rules import Literal, Rule
@@ -112,3 +112,13 @@ def detect_calls(calls: DataFrame, detectors: list, into: str = "entities") -> D
     """Adds the entities of each call; a column detector_mode narrows the detectors row by row."""
     wanted = F.col("detector_mode") if "detector_mode" in calls.columns else None
     return calls.withColumn(into, entities(F.col("texts"), detectors, wanted))
+
+
+def merged_entities(texts: Column, detector, most_chars: int = MOST_LLM_CHARS) -> Column:
+    """One look at all texts of a call, joined by the sentinel; longer calls are looked at text by text.
+
+    Matches that hold the sentinel are dropped.
+    """
+    blob = D.merged_text(F.filter(texts, lambda t: t.isNotNull()))
+    whole = R.dedup(R.tag(D.without_sentinel(detector.matches(blob)), detector.name))
+    return F.when(F.length(blob) > most_chars, entities(texts, [detector])).otherwise(whole)

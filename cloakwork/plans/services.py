@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 from cloakwork.operators import registry as G
 from cloakwork.operators import remote, report
 from cloakwork.operators import detect as D
-from cloakwork.plans.calls import RULES, _drain
+from cloakwork.operators import policy, quality
+from cloakwork.plans.calls import _C, NAME, OVERRIDDEN, RULES, _drain
+from cloakwork.plans.detection import _spans_sql
 from cloakwork.plans.fixtures import frame, values
 from cloakwork.plans.scores import ORACLES as SCORES
 from cloakwork.plans.scores import speedups
 from cloakwork.session import shared_dir
 from cloakwork.sources import requests
-from cloakwork.sources.rules import Literal
+from cloakwork.sources.rules import Literal, Rule
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -116,3 +118,38 @@ def headline_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["headline_report"] = headline_report
 ORACLES["headline_report"] = SCORES["speedups"]
+
+
+def merged_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in whole conversations, looked at once, or turn by turn where they are long."""
+    calls = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]).alias("texts"))
+    found = G.merged_entities(F.col("texts"), G.RuleDetector((Rule("PERSON", NAME), Rule("OTHER", "ANONYMIZER-[A-Z-]+"))), 3000)
+    return calls.select("conv_id", F.explode(found).alias("e")).select("conv_id", "e.text", "e.entity_type")
+
+
+QUERIES["merged_detect"] = merged_detect
+ORACLES["merged_detect"] = f"SELECT DISTINCT doc_id // 1000 AS conv_id, value AS text, 'PERSON' AS entity_type FROM ({_spans_sql(_C, NAME)}) AS a"
+
+
+def override_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L3: the first problem of each override, by what kind it is."""
+    rows = frame(spark, [r[:2] for r in OVERRIDDEN], "key string, value string")
+    problem = policy.override_problem(F.col("key"), F.col("value"))
+    return rows.select("key", "value", problem.alias("problem"))
+
+
+_PROBLEMS = [(k, v, None if e is not None or v in ('"  "', '""') else "unknown override" if k == "unknown" else "not JSON" if v == "broken[" else "length 4 exceeds cap of 3" if "d" in v and k == "faker_locale" else "length 6 exceeds cap of 5" if k == "detector_mode" else "wrong type or value") for k, v, e in OVERRIDDEN]
+QUERIES["override_problems"] = override_problems
+ORACLES["override_problems"] = f"SELECT * FROM {values(_PROBLEMS, ['key', 'value', 'problem'])}"
+
+RESULTS = [("a", False, False, 2, 2), ("b", True, False, 3, 0), ("c", False, True, 4, 0), ("d", None, None, 2, 1)]
+
+
+def scored_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skipped and blocked cases don't count."""
+    rows = frame(spark, RESULTS, "case_id string, skipped boolean, blocked boolean, expected int, redacted int")
+    return quality.scored(rows).agg(F.count("*").alias("cases"), F.round(F.try_divide(F.sum("redacted"), F.sum("expected")), 6).alias("recall"))
+
+
+QUERIES["scored_cases"] = scored_cases
+ORACLES["scored_cases"] = f"SELECT count(*) AS cases, round(sum(redacted) / sum(expected), 6) AS recall FROM {values(RESULTS, ['case_id', 'skipped', 'blocked', 'expected', 'redacted'])} WHERE NOT coalesce(skipped, false) AND NOT coalesce(blocked, false)"
