@@ -22,13 +22,13 @@ def dedup(attributed: Column) -> Column:
 
     Empty texts are dropped.
     """
-    order = F.array_distinct(F.transform(F.filter(attributed, lambda m: m["text"] != ""), lambda m: m["text"]))
 
-    def one(t: Column) -> Column:
-        mine = F.filter(attributed, lambda m: m["text"] == t)
-        return F.struct(t.alias("text"), F.get(mine, 0)["entity_type"].alias("entity_type"), F.array_distinct(F.flatten(F.transform(mine, lambda m: m["source_detectors"]))).alias("source_detectors"))
+    # A fold, so that what makes the matches is evaluated once.
+    def step(acc: Column, m: Column) -> Column:
+        grown = F.transform(acc, lambda a: F.when(a["text"] == m["text"], F.struct(a["text"].alias("text"), a["entity_type"].alias("entity_type"), F.array_distinct(F.concat(a["source_detectors"], m["source_detectors"])).alias("source_detectors"))).otherwise(a))
+        return F.when(F.exists(acc, lambda a: a["text"] == m["text"]), grown).otherwise(F.concat(acc, F.array(m))).cast(ATTRIBUTED)
 
-    return F.transform(order, one).cast(ATTRIBUTED)
+    return F.aggregate(F.filter(attributed, lambda m: m["text"] != ""), F.array().cast(ATTRIBUTED), step)
 
 
 def dedup_rows(matches: DataFrame, keys: list[str], order: list[str], text: str = "text", entity_type: str = "entity_type", detector: str = "detector") -> DataFrame:

@@ -53,7 +53,7 @@ SELECT doc_id, len(l) AS n_entities, text FROM fold WHERE i = len(l)
 def opaque_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entries of all calls."""
     done = A.anonymize_rules(_calls(spark, sf_dir), RULES, SALT)
-    return done.select(F.col("call_id").alias("doc_id"), F.inline("entries")).select("doc_id", "surrogate", "original", "entity_type")
+    return done.select(F.col("call_id").alias("doc_id"), F.inline_outer("entries")).where("surrogate is not null").select("doc_id", "surrogate", "original", "entity_type")
 
 
 ORACLES["opaque_tokens"] = f"WITH {_ENTITIES} SELECT doc_id, token AS surrogate, value AS original, kind AS entity_type FROM t"

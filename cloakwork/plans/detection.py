@@ -156,13 +156,13 @@ for _s in ("longest", "priority"):
 
 def default_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The default pack over documents, validated and resolved; a look-behind in one rule has no SQL counterpart."""
-    found = D.scan(docs(spark, sf_dir), load_pack(), strategy="longest").select("doc_id", F.explode("candidates").alias("c"))
+    found = D.scan(docs(spark, sf_dir), load_pack(), strategy="longest").select("doc_id", F.explode_outer("candidates").alias("c")).where("c is not null")
     return found.select("doc_id", "c.start", F.col("c.end").alias("stop"), "c.value", "c.entity_type")
 
 
 def extended_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D3: the extended pack over documents, in Python's dialect."""
-    found = D.scan_with_python(docs(spark, sf_dir), load_pack("bundled:rules_extended.yaml"), strategy="longest").select("doc_id", F.explode("candidates").alias("c"))
+    found = D.scan_with_python(docs(spark, sf_dir), load_pack("bundled:rules_extended.yaml"), strategy="longest").select("doc_id", F.explode_outer("candidates").alias("c")).where("c is not null")
     return found.select("doc_id", "c.start", F.col("c.end").alias("stop"), "c.value", "c.entity_type")
 
 
@@ -175,7 +175,7 @@ FLAGGED = [(1, "Token: ABC\ntoken: def"), (2, "x token:ghi"), (3, "TOKEN: é1")]
 def rule_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A multi-line, caseless rule with a group."""
     rule = Rule("TOKEN", r"^token:\s*(\S+)", ("IGNORECASE", "MULTILINE"))
-    found = D.scan(frame(spark, FLAGGED, "doc_id bigint, text string"), [rule]).select("doc_id", F.explode("candidates").alias("c"))
+    found = D.scan(frame(spark, FLAGGED, "doc_id bigint, text string"), [rule]).select("doc_id", F.explode_outer("candidates").alias("c")).where("c is not null")
     return found.select("doc_id", "c.start", F.col("c.end").alias("stop"), "c.value")
 
 
@@ -191,7 +191,7 @@ CASELESS = [Literal("ORGANIZATION", "the", False, True), Literal("IDENTIFIER", "
 
 def _deny(entries: list[Literal], backend: str = "regex"):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = D.denylist(docs(spark, sf_dir), entries, backend=backend).select("doc_id", F.explode("candidates").alias("c"))
+        found = D.denylist(docs(spark, sf_dir), entries, backend=backend).select("doc_id", F.explode_outer("candidates").alias("c")).where("c is not null")
         return found.select("doc_id", "c.start", F.col("c.end").alias("stop"), "c.value", "c.entity_type")
 
     return run
@@ -223,7 +223,7 @@ PEOPLE = [Literal("PERSON", "Bob"), Literal("PERSON", "Alice"), Literal("ORGANIZ
 
 def denylist_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D7, R3."""
-    found = D.denylist(frame(spark, NAMED, "doc_id bigint, text string"), PEOPLE).select("doc_id", F.explode("candidates").alias("c"))
+    found = D.denylist(frame(spark, NAMED, "doc_id bigint, text string"), PEOPLE).select("doc_id", F.explode_outer("candidates").alias("c")).where("c is not null")
     return found.select("doc_id", "c.start", F.col("c.end").alias("stop"), "c.value", "c.entity_type")
 
 

@@ -100,7 +100,7 @@ def detector_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two detectors over calls, narrowed row by row."""
     calls = frame(spark, SIDE_BY_SIDE, "call_id int, text string, mode string").select("call_id", F.array("text").alias("texts"), F.split("mode", ",").alias("detector_mode"))
     both = [G.DenylistDetector((Literal("OTHER", "Zephyr"), Literal("USERNAME", "ann@example.org"))), G.RuleDetector(tuple(RULES))]
-    found = G.detect_calls(calls, both).select("call_id", F.explode("entities").alias("e"))
+    found = G.detect_calls(calls, both).select("call_id", F.explode_outer("entities").alias("e")).where("e is not null")
     return found.select("call_id", "e.text", "e.entity_type", F.array_join("e.source_detectors", ",").alias("sources"))
 
 
@@ -124,7 +124,7 @@ def merged_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names in whole conversations, looked at once, or turn by turn where they are long."""
     calls = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]).alias("texts"))
     found = G.merged_entities(F.col("texts"), G.RuleDetector((Rule("PERSON", NAME), Rule("OTHER", "ANONYMIZER-[A-Z-]+"))), 3000)
-    return calls.select("conv_id", F.explode(found).alias("e")).select("conv_id", "e.text", "e.entity_type")
+    return calls.select("conv_id", F.explode_outer(found).alias("e")).where("e is not null").select("conv_id", "e.text", "e.entity_type")
 
 
 QUERIES["merged_detect"] = merged_detect
