@@ -7,8 +7,9 @@ links reach.
 1. One scan makes, for each document, the set's size, a 128-bit digest of the set and one 64-bit key for each band of
    ``ROWS`` universal hash minima. Equal sets are one class from here on: copies are never paired.
 2. Classes that share a band key are candidates. In each bucket the class with the most bucket mates is the pivot; each
-   class is verified on full sets against the pivot with which it shares most bands. So a group of n near copies around
-   a text costs n verifications, not n^2 / 2.
+   class is verified on full sets against the pivot with which it shares most bands, then, in buckets that still hold
+   several components, against the pivots of other components. So a group of n near copies around a text costs a few n
+   verifications, not n^2 / 2.
 3. What may be left are links between classes of different components that share a bucket. They are found exactly, by a
    prefix join over the classes of such buckets: shingles are ordered rare first, two linked sets share one of their first
    few shingles, and the places at which they share it bound their intersection. Pairs are formed only across components.
@@ -42,6 +43,8 @@ ROWS = 4
 MISS = 1e-7
 SKETCH = 1 << 18
 KNOWN_WORDS = 300_000
+#: Up to so many candidates are broadcast to the texts; more are joined with a shuffle of the texts.
+FEW = 200_000
 C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -142,6 +145,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int, text: str, doc_id: str) ->
     """cls and the full set, as sorted signed hashes, of each class in ``wanted`` (cls, rep)."""
     reps = wanted.select("cls", F.col("rep.doc_id").alias("__id"), F.col("rep.__key").alias("__k"))
     mine = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), text_key(F.col(text)).alias("__key"))
+    if wanted.count() <= FEW:  # counted, so this is a bound: about 10 MB
+        reps = F.broadcast(reps)
     found = mine.join(reps, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")))
     one = found.groupBy("cls").agg(F.first("text").alias("text"))  # rows may be repeated
     small_batches(docs.sparkSession)
@@ -230,6 +235,24 @@ def _across(sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.col("p.cls").alias("x"), F.col("q.cls").alias("y")).distinct()
 
 
+def _with_pivots(rows: DataFrame) -> DataFrame:
+    """(x, y) for each row of rows (bucket, cls, degree, root) and its bucket's pivot, if their roots differ."""
+    top = rows.groupBy("bucket").agg(F.max(F.struct("degree", "cls", "root")).alias("top")).select("bucket", F.col("top.cls").alias("y"), F.col("top.root").alias("y_root"))
+    return rows.select("bucket", F.col("cls").alias("x"), "root").join(written(top, "pivots"), "bucket").where("root != y_root")
+
+
+def _unsettled(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows (bucket, cls, degree) with their roots, of buckets with more than one root."""
+    rooted = rows.join(roots.withColumnRenamed("v", "cls"), "cls", "left").select("bucket", "cls", "degree", F.coalesce("root", "cls").alias("root"))
+    rooted = written(rooted, "rooted")
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r != s").select("bucket")
+    return written(rooted.join(mixed, "bucket"), "unsettled")
+
+
+def _stars(roots: DataFrame) -> DataFrame:
+    return roots.where("v != root").select(F.col("v").alias("x"), F.col("root").alias("y"))
+
+
 def components(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of docs: doc_id, __key (of the text), n_shingles, component_id, kept."""
     sig = written(signatures(docs, k, percent, text, doc_id), "signatures")
@@ -240,23 +263,21 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text
     shared = rows.groupBy("bucket").agg(F.count("*").alias("mates")).where("mates > 1")
     rows = written(rows.join(shared, "bucket"), "buckets")
     degree = rows.groupBy("cls").agg(F.sum("mates").alias("degree"))
-    pivots = rows.join(degree, "cls").groupBy("bucket").agg(F.max(F.struct("degree", "cls")).alias("top")).select("bucket", F.col("top.cls").alias("y"))
-    pivots = written(pivots, "pivots")
-    tried = rows.select(F.col("cls").alias("x"), "bucket").join(pivots, "bucket").where("x != y").groupBy("x", "y").agg(F.count("*").alias("together"))
-    pairs = tried.groupBy("x").agg(F.max(F.struct("together", "y")).alias("top")).select("x", F.col("top.y").alias("y"))
-    candidates = rows.select("cls").distinct().join(classes.select("cls", "rep"), "cls")
+    rows = written(rows.select("bucket", "cls").join(degree, "cls"), "ranked")
+    candidates = written(degree.select("cls").join(classes.select("cls", "rep"), "cls"), "candidates")
     sets = written(_sets(docs, candidates, k, text, doc_id), "sets")
-    links = written(_verified(pairs, sets, percent), "links")
-    roots = connected(links)
 
-    rooted = rows.join(roots.withColumnRenamed("v", "cls"), "cls", "left").select("bucket", "cls", F.coalesce("root", "cls").alias("root"))
-    rooted = written(rooted, "rooted")
-    unsettled = rooted.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r != s").select("bucket")
-    open_ = written(rooted.join(unsettled, "bucket").select("cls", "root").distinct(), "unsettled")
-    if not open_.isEmpty():
-        more = _verified(written(_across(open_.join(sets, "cls"), percent), "across"), sets, percent)
-        stars = roots.where("v != root").select(F.col("v").alias("x"), F.col("root").alias("y"))
-        roots = connected(stars.union(more))
+    tried = _with_pivots(rows.withColumn("root", F.col("cls"))).groupBy("x", "y").agg(F.count("*").alias("together"))
+    best = tried.groupBy("x").agg(F.max(F.struct("together", "y")).alias("top")).select("x", F.col("top.y").alias("y"))
+    roots = connected(written(_verified(best, sets, percent), "links"))
+    rows = _unsettled(rows, roots)
+    if not rows.isEmpty():
+        more = _verified(_with_pivots(rows).select("x", "y").distinct(), sets, percent)
+        roots = connected(_stars(roots).union(more))
+        rows = _unsettled(rows.drop("root"), roots)
+    if not rows.isEmpty():
+        pairs = written(_across(rows.select("cls", "root").distinct().join(sets, "cls"), percent), "across")
+        roots = connected(_stars(roots).union(_verified(pairs, sets, percent)))
 
     grouped = roots.withColumnRenamed("v", "cls").join(classes.select("cls", "least_id"), "cls")
     of_root = written(grouped.groupBy("root").agg(F.min("least_id").alias("component")), "component-ids")
