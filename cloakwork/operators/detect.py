@@ -26,7 +26,7 @@ from cloakwork.model import (
     SPAN_LABELS,
     ZERO_SHOT_LABELS,
 )
-from cloakwork.sources.literals import fold, required
+from cloakwork.sources.literals import fold, may_match, required
 from cloakwork.sources.rules import Literal, Rule
 
 # ---- rules -------------------------------------------------------------------------------------------------------------
@@ -100,14 +100,14 @@ def scan(df: DataFrame, rules: list[Rule], text: str = "text", into: str = "cand
     return out if strategy is None else out.withColumn(into, S.greedy(F.col(into), strategy))
 
 
-def find_with_python(text: str, compiled: list[tuple[str, re.Pattern[str], list[str] | None]], validators: dict) -> list[dict]:
+def find_with_python(text: str, compiled: list[tuple[str, re.Pattern[str], list[list[str]]]], validators: dict) -> list[dict]:
     """D1 in Python's dialect: the named group ``entity``, else the first group that took part, else the match.
 
-    Rules are skipped if the text has none of the literals that they need.
+    Rules are skipped if the text lacks literals that they need.
     """
     found, folded = [], fold(text)
     for order, (kind, pattern, needs) in enumerate(compiled):
-        if needs is not None and not any(x in folded for x in needs):
+        if not may_match(folded, needs):
             continue
         named = "entity" in pattern.groupindex
         for m in pattern.finditer(text):

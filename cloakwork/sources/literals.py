@@ -9,22 +9,32 @@ from re import _parser
 #: Letters beyond ASCII that match an ASCII letter if case is ignored.
 FOLDS = str.maketrans({"İ": "i", "ı": "i", "ſ": "s", "K": "k"})
 MOST = 24
+CLAUSES = 4
 
 
 def fold(text: str) -> str:
     return text.translate(FOLDS).lower()
 
 
-def required(pattern: re.Pattern[str]) -> list[str] | None:
-    """Folded literals of which at least one is in the folded form of every text that matches; None if there are none to tell.
+def required(pattern: re.Pattern[str]) -> list[list[str]]:
+    """Clauses of folded literals: the folded form of every text that matches has at least one literal of each clause.
 
-    Runs of characters that every match has are found in the parse tree; where alternatives are, each must have one.
+    Runs of characters that every match has are found in the parse tree, also in what must stand before or behind; where
+    alternatives are, the best clause of each is united. No clauses: nothing to tell.
     """
-    return _best(_parser.parse(pattern.pattern, pattern.flags & ~re.DEBUG))
+    found = _clauses(_parser.parse(pattern.pattern, pattern.flags & ~re.DEBUG))
+    return sorted(found, key=_worth, reverse=True)[:CLAUSES]
 
 
-def _best(tree) -> list[str] | None:
-    """The choice whose shortest literal is longest."""
+def may_match(folded: str, clauses: list[list[str]]) -> bool:
+    return all(any(x in folded for x in c) for c in clauses)
+
+
+def _worth(clause: list[str]) -> tuple[int, int]:
+    return min(map(len, clause)), -len(clause)
+
+
+def _clauses(tree) -> list[list[str]]:
     found: list[list[str]] = []
     run = ""
     for op, arg in [*tree, (None, None)]:
@@ -34,21 +44,20 @@ def _best(tree) -> list[str] | None:
         if run:
             found.append([run])
             run = ""
+        inner: list[list[str]] = []
         if op is K.SUBPATTERN:
-            inner = _best(arg[3])
+            inner = _clauses(arg[3])
         elif op is K.BRANCH:
-            each = [_best(b) for b in arg[1]]
-            inner = None if any(e is None for e in each) else sorted({x for e in each for x in e})
+            each = [_clauses(b) for b in arg[1]]
+            if all(each):
+                inner = [sorted({x for e in each for x in max(e, key=_worth)})]
         elif op in (K.MAX_REPEAT, K.MIN_REPEAT, K.POSSESSIVE_REPEAT) and arg[0] > 0:
-            inner = _best(arg[2])
+            inner = _clauses(arg[2])
         elif op is K.ATOMIC_GROUP:
-            inner = _best(arg)
-        elif op is K.ASSERT and arg[0] >= 0:
-            inner = _best(arg[1])
+            inner = _clauses(arg)
+        elif op is K.ASSERT:
+            inner = _clauses(arg[1])
         elif op is K.IN and all(o is K.LITERAL and a < 128 for o, a in arg):
-            inner = sorted({chr(a).lower() for _, a in arg})
-        else:
-            inner = None
-        if inner and len(inner) <= MOST:
-            found.append(inner)
-    return max(found, key=lambda c: (min(map(len, c)), -len(c)), default=None)
+            inner = [sorted({chr(a).lower() for _, a in arg})]
+        found += [c for c in inner if len(c) <= MOST and c not in found]
+    return found
