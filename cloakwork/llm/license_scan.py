@@ -134,10 +134,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "
     searched = searched.select("*", anchored(F.col("body")).alias("any"))
     cut = searched.select("doc_id", "__key", F.explode(segments).alias("s"))
     worded = cut.select("doc_id", "__key", "s.level", "s.place", words_of(F.col("s.body")).alias("w"))
-    # Distinct bigrams may be fewer than neighbouring words, so only the lower bound can be taken from the words' number here.
-    sized = worded.where((F.col("level") == -1) | (F.size("w") - 1 >= low)).select("doc_id", "__key", "level", "place", _bigrams(F.col("w")).alias("b"))
-    sized = sized.select("*", F.size("b").alias("own")).where((F.col("level") == -1) | F.col("own").between(low, high))
-    each = sized.select("doc_id", "__key", "level", "place", "own", F.explode(F.when(F.col("level") == -1, F.array(F.lit(0).cast("bigint"))).otherwise(F.col("b"))).alias("bigram"))
+    sized = worded.select("doc_id", "__key", "level", "place", _bigrams(F.col("w")).alias("b"))
+    # The bounds stand inside the generator: a filter would be pushed below and cut the words again.
+    within = F.when(F.col("level") == -1, F.array(F.lit(0).cast("bigint"))).when(F.size("b").between(low, high), F.col("b"))
+    each = sized.select("doc_id", "__key", "level", "place", F.size("b").alias("own"), F.explode(within).alias("bigram"))
     side = known.select(F.col("bigram").alias("tb"), "name", "size")
     bounded = (F.col("own") * (200 - percent) >= F.col("size") * percent) & (F.col("size") * (200 - percent) >= F.col("own") * percent)
     hit = each.join(F.broadcast(side), (F.col("bigram") == F.col("tb")) & (F.col("level") >= 0) & bounded, "left").where((F.col("level") == -1) | F.col("name").isNotNull())
