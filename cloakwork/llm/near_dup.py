@@ -42,6 +42,8 @@ from cloakwork.llm.common import small_batches, table_schema, text_key, written
 ROWS = 4
 MISS = 1e-7
 SKETCH = 1 << 18
+#: Bands that a class and a pivot share if they are worth a verification.
+LIKELY = 4
 KNOWN_WORDS = 300_000
 #: Up to so many candidates are broadcast to the texts; more are joined with a shuffle of the texts.
 FEW = 200_000
@@ -236,9 +238,11 @@ def _across(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _with_pivots(rows: DataFrame) -> DataFrame:
-    """(x, y) for each row of rows (bucket, cls, degree, root) and its bucket's pivot, if their roots differ."""
+    """(x, y, together) for rows (bucket, cls, degree, root): each class, its buckets' pivots of another root, and how many
+    buckets they share. Pairs that share few bands are hardly linked and left to the exact join, which misses nothing.
+    """
     top = rows.groupBy("bucket").agg(F.max(F.struct("degree", "cls", "root")).alias("top")).select("bucket", F.col("top.cls").alias("y"), F.col("top.root").alias("y_root"))
-    return rows.select("bucket", F.col("cls").alias("x"), "root").join(written(top, "pivots"), "bucket").where("root != y_root")
+    return rows.select("bucket", F.col("cls").alias("x"), "root").join(written(top, "pivots"), "bucket").where("root != y_root").groupBy("x", "y").agg(F.count("*").alias("together")).where(F.col("together") >= LIKELY)
 
 
 def _unsettled(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -267,12 +271,12 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text
     candidates = written(degree.select("cls").join(classes.select("cls", "rep"), "cls"), "candidates")
     sets = written(_sets(docs, candidates, k, text, doc_id), "sets")
 
-    tried = _with_pivots(rows.withColumn("root", F.col("cls"))).groupBy("x", "y").agg(F.count("*").alias("together"))
+    tried = _with_pivots(rows.withColumn("root", F.col("cls")))
     best = tried.groupBy("x").agg(F.max(F.struct("together", "y")).alias("top")).select("x", F.col("top.y").alias("y"))
     roots = connected(written(_verified(best, sets, percent), "links"))
     rows = _unsettled(rows, roots)
     if not rows.isEmpty():
-        more = _verified(_with_pivots(rows).select("x", "y").distinct(), sets, percent)
+        more = _verified(_with_pivots(rows), sets, percent)
         roots = connected(_stars(roots).union(more))
         rows = _unsettled(rows.drop("root"), roots)
     if not rows.isEmpty():

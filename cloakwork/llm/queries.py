@@ -175,3 +175,16 @@ pre AS (SELECT DISTINCT t[1:i] AS p FROM convs, unnest(range(1, len(t))) AS u(i)
 whole AS (SELECT t, min(conv_id) AS conv_id, count(*) AS copies FROM convs GROUP BY t)
 SELECT w.conv_id, len(w.t) AS n_turns, copies, rendered FROM whole AS w JOIN convs AS c ON c.conv_id = w.conv_id WHERE NOT EXISTS (SELECT 1 FROM pre WHERE pre.p = w.t)
 """
+
+
+#: All pairs that share a shingle, counted: for small tables.
+ORACLES["op6_near_dup"] = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex({LOWER_ASCII}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 2], ' ') END AS sh FROM w, unnest(range(1, greatest(len(w) - 1, 2))) AS u(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s AS a JOIN s AS b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT x, y FROM pairs JOIN n AS nx ON nx.doc_id = x JOIN n AS ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+both_ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (SELECT doc_id AS v, doc_id AS r FROM documents UNION SELECT v, y FROM reach JOIN both_ways ON r = x)
+SELECT v AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id, v = min(r) AS kept FROM reach LEFT JOIN n ON n.doc_id = v GROUP BY v
+"""
