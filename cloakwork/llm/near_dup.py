@@ -42,8 +42,6 @@ from cloakwork.llm.common import small_batches, table_schema, text_key, written
 ROWS = 4
 MISS = 1e-7
 SKETCH = 1 << 18
-#: Bands that a class and a pivot share if they are worth a verification.
-LIKELY = 4
 KNOWN_WORDS = 300_000
 #: Up to so many candidates are broadcast to the texts; more are joined with a shuffle of the texts.
 FEW = 200_000
@@ -238,11 +236,11 @@ def _across(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _with_pivots(rows: DataFrame) -> DataFrame:
-    """(x, y, together) for rows (bucket, cls, degree, root): each class, its buckets' pivots of another root, and how many
-    buckets they share. Pairs that share few bands are hardly linked and left to the exact join, which misses nothing.
+    """(x, y, together) for rows (bucket, cls, degree, root): each class, its buckets' pivots of another root, and in how
+    many buckets it meets them.
     """
     top = rows.groupBy("bucket").agg(F.max(F.struct("degree", "cls", "root")).alias("top")).select("bucket", F.col("top.cls").alias("y"), F.col("top.root").alias("y_root"))
-    return rows.select("bucket", F.col("cls").alias("x"), "root").join(written(top, "pivots"), "bucket").where("root != y_root").groupBy("x", "y").agg(F.count("*").alias("together")).where(F.col("together") >= LIKELY)
+    return rows.select("bucket", F.col("cls").alias("x"), "root").join(written(top, "pivots"), "bucket").where("root != y_root").groupBy("x", "y").agg(F.count("*").alias("together"))
 
 
 def _unsettled(rows: DataFrame, roots: DataFrame) -> DataFrame:
