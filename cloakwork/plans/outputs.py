@@ -209,6 +209,6 @@ def conversation_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["conversation_source"] = conversation_source
 ORACLES["conversation_source"] = """
-SELECT s || '-' || n AS name, n AS turns, least(n, 30) AS users, (SELECT count(*) FROM range(0, n) AS r(i) WHERE (i % 30) // 10 = 1) AS mails
+SELECT s || '-' || n AS name, CAST(n AS BIGINT) AS turns, CAST(least(n, 30) AS BIGINT) AS users, (SELECT count(*) FROM range(0, n) AS r(i) WHERE (i % 30) // 10 = 1) AS mails
 FROM (VALUES ('support'), ('hr'), ('tech')) AS a(s), (VALUES (5), (35)) AS b(n)
 """

@@ -62,7 +62,7 @@ def warm_final(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {"request_source": request_source, "request_stream": request_stream, "request_admission": request_admission, "warm_final": warm_final}
 ORACLES["request_source"] = ORACLES["request_stream"] = "SELECT * FROM (VALUES ('a', 'request', NULL, 0, 'x'), ('a', 'request', NULL, 1, 'y'), ('b', 'response', false, 0, 'z'), ('d', 'response', true, 0, 'w')) AS v(call_id, input_type, is_final, text_idx, text)"
-ORACLES["request_admission"] = f"SELECT strlen(b) AS bytes, CASE WHEN strlen(b) > 300 THEN 'too large' ELSE 'malformed' END AS reason FROM {values([(b,) for b in BODIES[4:]], ['b'])}"
+ORACLES["request_admission"] = f"SELECT CAST(strlen(b) AS INTEGER) AS bytes, CASE WHEN strlen(b) > 300 THEN 'too large' ELSE 'malformed' END AS reason FROM {values([(b,) for b in BODIES[4:]], ['b'])}"
 ORACLES["warm_final"] = "SELECT * FROM (VALUES ('a', NULL), ('c', true), ('d', true)) AS v(call_id, is_final)"
 
 ASKED = [(1, "Ann met Bob"), (2, "Ann met Bob"), (3, " \n"), (4, "please time out"), (5, "bad shape"), (6, "crash now"), (7, "nobody"), (8, None)]
