@@ -171,19 +171,19 @@ class Scorer:
         return self.p.languages[best], float(min(1.0, max(0.0, products[best] / length)))
 
 
-def identify(docs: DataFrame, profiles: Profiles, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """One row per row of docs: the columns ``keep`` (default doc_id), lang_pred and score. Narrow: no shuffle."""
+def identify(docs: DataFrame, profiles: Profiles, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """One row per row of docs: the columns ``keep`` (default doc_id), and language and score under ``names``. Narrow: no shuffle."""
     small_batches(docs.sparkSession)
     keep = ["doc_id"] if keep is None else keep
     sent = docs.select(*keep, F.col(text).alias("__body"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), "lang_pred string, score double"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), f"`{names[0]}` string, `{names[1]}` double"])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(profiles)
         for batch in batches:
             found = [scorer.score(x) for x in batch.column(len(keep)).to_pylist()]
             columns = [batch.column(i) for i in range(len(keep))] + [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
 
     return sent.mapInArrow(predict, schema)
 

@@ -8,7 +8,9 @@ the next stage. All stages but the last return the columns of documents.
 2. ``near_dup`` keeps one document of each near-duplicate group (5-word shingles, similarity of 0.8 or more).
 3. ``decontaminate`` drops documents in which a 10-word window of a benchmark item occurs.
 4. ``secrets`` replaces secrets by a mask in the text (n_chars follows); no document is dropped.
-5. ``encode`` adds sampled piece ids, and keeps documents' columns.
+5. ``encode`` adds sampled piece ids as ``ids``, and keeps documents' other columns.
+
+Extra columns are kept by all stages; names that start with two underscores are reserved.
 """
 
 from __future__ import annotations
@@ -29,9 +31,9 @@ from cloakwork.llm.common import shared_dir, table
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     usable = F.col("doc_id").isNotNull() & ~languages.held_out(F.col("doc_id"))
     profiles = languages.learn(docs, usable=usable)
-    known = languages.identify(docs, profiles, keep=docs.columns)
+    known = languages.identify(docs, profiles, keep=docs.columns, names=("__lang", "__score"))
     # With nothing to learn from, no document has a known language; then only those without letters go.
-    told = F.col("lang_pred") != languages.UNKNOWN if profiles.languages else F.col("text").rlike(r"\p{L}")
+    told = F.col("__lang") != languages.UNKNOWN if profiles.languages else F.col("text").rlike(r"\p{L}")
     return known.where(told).select(*docs.columns)
 
 
@@ -49,7 +51,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encode(docs)
+    return pieces.encode(docs.drop("ids"))
 
 
 STAGES = [("language_id", language_id), ("near_dup", near_dup), ("decontaminate", decontaminate), ("secrets", secrets), ("encode", encode)]

@@ -1,5 +1,7 @@
 import inspect
 
+from pyspark.sql import functions as F
+
 from cloakwork.llm import near_dup, queries
 from tests.llm.helpers import DOCS
 
@@ -10,9 +12,11 @@ def test_stages(spark, tmp_path):
     assert [n for n, _ in P.STAGES] == ["language_id", "near_dup", "decontaminate", "secrets", "encode"]
     body = " ".join(f"wordy{c}" for c in "abcdefghijklmnopqrstuvwxyz")
     rows = [(1, body, "en", "s", 1), (2, body.upper() + " x", "en", "s", 1), (3, "123 456", "en", "s", 1), (4, None, "en", "s", 1), (5, "an item of ten words that stands in the benchmark too", "en", "s", 1), (6, "note password=supersecret99 here", "en", "s", 1), (7, "a clean text", "en", "s", 1)]
-    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    extra = {k: F.lit("clash") for k in ("lang_pred", "score", "ids", "kept", "cls", "spans", "words", "hash")}
+    spark.createDataFrame(rows, DOCS).withColumns(extra).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "An item of ten words that stands in the benchmark")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = {r.doc_id: r for r in P.run(spark, str(tmp_path)).collect()}
+    assert out[1].lang_pred == out[1].cls == "clash" and out[1].ids != "clash"
     assert set(out) == {1, 6, 7} and out[6].text == "note [SECRET] here" and out[6].n_chars == len(out[6].text) and out[7].text == "a clean text" and out[7].ids
 
 
