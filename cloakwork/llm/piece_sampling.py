@@ -272,8 +272,14 @@ class Lattice:
         return joined.decode("utf-8", "surrogatepass")[1:]
 
 
+def _shared(spark: SparkSession, model: str):
+    """The vocabulary as a broadcast of plain values, which workers can read without this package; its size is the file's."""
+    v = read_vocabulary(model)
+    return spark.sparkContext.broadcast((v.pieces, v.log_p, v.bytes_at, v.digest))
+
+
 def _lattice(vocabulary, alpha: float) -> Lattice:
-    v = vocabulary.value
+    v = Vocabulary(*vocabulary.value)
     return worker_cache(("lattice", v.digest, alpha), lambda: Lattice(v, alpha))
 
 
@@ -295,7 +301,7 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", model: str
     """docs with a column of sampled piece ids. Narrow: no shuffle."""
     spark = docs.sparkSession
     small_batches(spark)
-    vocabulary = spark.sparkContext.broadcast(read_vocabulary(model))
+    vocabulary = _shared(spark, model)
     at, by = docs.columns.index(text), docs.columns.index(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +318,7 @@ def decode(encoded: DataFrame, ids: str = "ids", model: str = MODEL, text: str =
     """encoded with a column of the texts that its ids spell."""
     spark = encoded.sparkSession
     small_batches(spark)
-    vocabulary = spark.sparkContext.broadcast(read_vocabulary(model))
+    vocabulary = _shared(spark, model)
     at = encoded.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,7 +333,7 @@ def digest(docs: DataFrame, text: str = "text", key: str = "doc_id", model: str
     """For each row: the key, n_pieces, ids_sha256 (of the ids as little-endian 32-bit numbers) and lossless: whether decoding gives the text back."""
     spark = docs.sparkSession
     small_batches(spark)
-    vocabulary = spark.sparkContext.broadcast(read_vocabulary(model))
+    vocabulary = _shared(spark, model)
     sent = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
