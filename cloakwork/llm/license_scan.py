@@ -1,7 +1,8 @@
 """License scan: normalised text against licence templates by the Dice coefficient over word bigrams.
 
 Texts and templates are lower-cased over A-Z and cut into words; a segment (a line, a paragraph of several lines, a text of
-several paragraphs) matches a template if 2 * shared / (own + template's) distinct bigrams is at least ``percent`` / 100.
+several paragraphs, a run of consecutive lines) matches a template if 2 * shared / (own + template's) distinct bigrams is
+at least ``percent`` / 100.
 A segment can only reach that if its number of bigrams lies within (percent / (200 - percent)) of the template's, so
 segments outside the bounds of all templates are dropped before any bigram is formed, and a template is a candidate only
 within its own bounds.
@@ -9,13 +10,20 @@ within its own bounds.
 Before any segment is cut into words it must contain an anchor: words are chosen so that a segment without any of them lacks
 too many bigrams of each template to reach the threshold. So the choice loses nothing, and most texts cost one search.
 
-Shared bigrams are counted by looking each bigram up in the broadcast bigrams of the templates (a fixed set whose size is
+Runs of two or more lines find what is laid out otherwise than the segments: blank lines inside a licence, code or prose
+directly around it. Of a template's runs that match, the best is taken (then the shortest, then the first), and again
+among those that overlap none taken; a run that overlaps a line, paragraph or text that matches the same template counts as
+found there. Runs are searched only in texts that hold enough of a template's bigrams. A line at either end that adds no
+shared bigram never raises the coefficient, so a run starts at a line with one, and it is followed only until it has too
+many bigrams; that loses nothing.
+
+Shared bigrams of the other segments are counted by looking each bigram up in the broadcast bigrams of the templates (a fixed set whose size is
 checked), so no segment is paired with a template with which it shares nothing. One scan; what is exchanged is a row for
 each document and the counts of hits.
 
 Defined results: null and empty texts and segments of fewer than two words match nothing; rows repeated in documents are
-reported once for each repetition; equal scores go to the more specific level (line, paragraph, text), then to the
-template's name. Other columns are ignored.
+reported once for each repetition; equal scores go to the more specific level (line, paragraph, text, then run), then to
+the template's name. A run's place is its first line. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,7 +57,7 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 
-LEVELS = ["line", "paragraph", "text"]
+LEVELS = ["line", "paragraph", "text", "run"]
 MOST_BIGRAMS = 500_000
 PARAGRAPHS = r"\n[ \t]*\n[ \t\n\f\r]*"
 
@@ -66,6 +74,92 @@ def template_table(spark, templates: dict[str, str]) -> DataFrame:
     return rows.select("name", _bigrams(words_of(F.col("text"))).alias("b")).select("name", F.size("b").alias("size"), F.explode("b").alias("bigram"))
 
 
+def _let(value: Column, use) -> Column:
+    """use(value) with value evaluated once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _record(**fields: Column) -> Column:
+    """A struct; aliases would be lost inside of arrays."""
+    return F.named_struct(*[x for k, v in fields.items() for x in (F.lit(k), v)])
+
+
+def _positions(body: Column) -> Column:
+    """All pairs of neighbouring words in order: first's word index in the text's pairs, of its line; hash; lines and paragraphs of both words; line of the last equal pair before."""
+    newlines = lambda c: F.size(F.split(c, "\n", -1)) - 1
+    steps = F.zip_with(F.split(body, PARAGRAPHS, -1), F.regexp_extract_all(body, F.lit(PARAGRAPHS), F.lit(0)), lambda p, gap: _record(part=p, n=newlines(p) + newlines(F.coalesce(gap, F.lit("")))))
+
+    def words(steps: Column) -> Column:
+        bases = F.aggregate(steps, F.array(F.lit(0)), lambda at, x: F.concat(at, F.array(F.element_at(at, -1) + x["n"])))
+        of_line = lambda line, place, p: F.transform(words_of(line), lambda w, i: _record(w=w, line=place, p=p, i=i))
+        return _let(bases, lambda at: F.flatten(F.transform(steps, lambda x, p: F.flatten(F.transform(F.split(x["part"], "\n", -1), lambda line, i: of_line(line, F.get(at, p) + i, p))))))
+
+    def pairs(w: Column) -> Column:
+        n = F.greatest(F.size(w) - 1, F.lit(0))
+        each = F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda x, y: _record(h=F.xxhash64(x["w"], y["w"]), a=x["line"], b=y["line"], pa=x["p"], pb=y["p"], i=x["i"]))
+        return F.transform(each, lambda x, k: _record(h=x["h"], k=k, line_k=k - x["i"], **{c: x[c] for c in ("a", "b", "pa", "pb")}))
+
+    def linked(s: Column) -> Column:
+        before = lambda x, j: F.when(F.get(s, j - 1)["h"] == x["h"], F.get(s, j - 1)["a"]).otherwise(-1)
+        return F.transform(s, lambda x, j: _record(**{c: x[c] for c in ("k", "line_k", "h", "a", "b", "pa", "pb")}, last=before(x, j)))
+
+    return F.sort_array(_let(F.sort_array(_let(_let(steps, words), pairs)), linked))
+
+
+RUN = "array<struct<name:string,dice:double,start:int,end:int,pa:int,pb:int>>"
+
+
+def _runs(body: Column, known: list, percent: int) -> Column:
+    """Runs of two or more lines that match, with their paragraphs; known has (name, size, bigrams). A run's last line may be one that adds nothing."""
+    # One string each, which is folded to one literal.
+    longs = lambda b: F.split(F.lit(",".join(map(str, b))), ",").cast("array<bigint>")
+    need, most = lambda size: -(-size * percent // (200 - percent)), lambda size: size * (200 - percent) // percent
+    templates = F.array(*[_record(name=F.lit(name), size=F.lit(size), need=F.lit(need(size)), most=F.lit(most(size)), b=longs(b)) for name, size, b in known])
+    every = longs(sorted({x for _, _, b in known for x in b}))
+    none = F.array().cast(RUN)
+
+    def of_start(t: Column, marked: Column, s: Column) -> Column:
+        fresh = lambda length: F.filter(F.slice(marked, s["line_k"] + 1, length), lambda x: x["last"] < s["a"])
+        # Few pairs of a text are repeated, so a short stretch mostly has enough.
+        own = F.slice(_let(fresh((t["most"] + 1) * 4), lambda x: F.when(F.size(x) > t["most"], x).otherwise(fresh(F.size(marked)))), F.lit(1), t["most"] + 1)
+        ended = lambda o: F.zip_with(o, F.slice(o, F.lit(2), t["most"] + 1), lambda x, y: _record(b=x["b"], pb=x["pb"], hit=x["hit"], ends=F.coalesce(y["b"] != x["b"], F.lit(True))))
+
+        def step(acc: Column, x: Column) -> Column:
+            own, shared = acc["own"] + 1, acc["shared"] + x["hit"].cast("int")
+            good = x["ends"] & (x["b"] > s["a"]) & (shared * 200 >= (own + t["size"]) * percent)
+            dice = F.round(shared * 2 / (own + t["size"]), 6)
+            run = _record(name=t["name"], dice=dice, start=s["a"], end=x["b"], pa=s["pa"], pb=x["pb"])
+            return _record(own=own, shared=shared, out=F.when(good, F.concat(acc["out"], F.array(run).cast(RUN))).otherwise(acc["out"]))
+
+        return F.aggregate(_let(own, ended), _record(own=F.lit(0), shared=F.lit(0), out=none), step, lambda acc: acc["out"])
+
+    def of_template(t: Column, positions: Column) -> Column:
+        marked = F.transform(positions, lambda x: _record(**{c: x[c] for c in ("line_k", "a", "b", "pa", "pb", "last")}, hit=F.array_contains(t["b"], x["h"])))
+        starts = lambda m: F.array_distinct(F.transform(F.filter(m, lambda x: x["hit"]), lambda x: _record(a=x["a"], line_k=x["line_k"], pa=x["pa"])))
+        return _let(marked, lambda m: F.flatten(F.transform(starts(m), lambda s: of_start(t, m, s))))
+
+    if not known:
+        return none
+    common = F.array_intersect(_let(words_of(body), _bigrams), every)
+    likely = _let(common, lambda c: F.filter(templates, lambda t: F.size(F.array_intersect(c, t["b"])) >= t["need"]))
+    found = lambda ts: _let(_positions(body), lambda p: F.flatten(F.transform(ts, lambda t: of_template(t, p))))
+    return _let(likely, lambda ts: F.when(F.size(ts) > 0, found(ts)).otherwise(none))
+
+
+def _chosen(runs: Column, matches: Column) -> Column:
+    """The runs to report beside the matches of the other segments, as matches."""
+
+    def elsewhere(r: Column) -> Column:
+        inside = lambda m: (m["level"] == 2) | ((m["level"] == 0) & m["place"].between(r["start"], r["end"])) | ((m["level"] == 1) & m["place"].between(r["pa"], r["pb"]))
+        return F.exists(matches, lambda m: (m["template"] == r["name"]) & inside(m))
+
+    ordered = F.sort_array(F.transform(F.filter(runs, lambda r: ~elsewhere(r)), lambda r: _record(order=-r["dice"], n=r["end"] - r["start"], start=r["start"], end=r["end"], name=r["name"], dice=r["dice"])))
+    none = F.filter(ordered, lambda r: F.lit(False))
+    apart = lambda out, r: ~F.exists(out, lambda o: (o["name"] == r["name"]) & (o["start"] <= r["end"]) & (r["start"] <= o["end"]))
+    taken = F.aggregate(ordered, none, lambda out, r: F.when(apart(out, r), F.concat(out, F.array(r))).otherwise(out))
+    return F.transform(taken, lambda r: _record(order=r["order"], level=F.lit(3), template=r["name"], place=r["start"], dice=r["dice"]))
+
+
 #: Longer anchors are looked for inside words too, which is faster; shorter ones only as words.
 SHORT = 3
 #: Words that are no good anchors.
@@ -103,6 +197,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "
     n, low, high = known.agg(F.count("*"), F.min("size"), F.max("size")).first()
     if n > MOST_BIGRAMS:
         raise ValueError(f"{n} template bigrams; scan with subsets of at most {MOST_BIGRAMS} and unite the results")
+    by_name = [(r["name"], r["size"], r["b"]) for r in known.groupBy("name", "size").agg(F.collect_set("bigram").alias("b")).orderBy("name").collect()]
     low, high = (low or 1) * percent / (200 - percent), (high or 0) * (200 - percent) / percent
     body = F.coalesce(F.col(text), F.lit(""))
     # Places are counted in the text as it is; lower case has the same lines.
@@ -132,25 +227,28 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "
     )
     searched = docs.select(F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("__key"), lowered.alias("body"))
     searched = searched.select("*", anchored(F.col("body")).alias("any"))
-    cut = searched.select("doc_id", "__key", F.explode(segments).alias("s"))
-    worded = cut.select("doc_id", "__key", "s.level", "s.place", words_of(F.col("s.body")).alias("w"))
-    sized = worded.select("doc_id", "__key", "level", "place", _bigrams(F.col("w")).alias("b"))
+    runs = F.when(F.col("any") & F.contains("body", F.lit("\n")), _runs(F.col("body"), by_name, percent))
+    cut = searched.select("doc_id", "__key", runs.alias("runs"), F.explode(segments).alias("s"))
+    worded = cut.select("doc_id", "__key", F.when(F.col("s.level") == -1, F.col("runs")).alias("runs"), "s.level", "s.place", words_of(F.col("s.body")).alias("w"))
+    sized = worded.select("doc_id", "__key", "runs", "level", "place", _bigrams(F.col("w")).alias("b"))
     # The bounds stand inside the generator: a filter would be pushed below and cut the words again.
     within = F.when(F.col("level") == -1, F.array(F.lit(0).cast("bigint"))).when(F.size("b").between(low, high), F.col("b"))
-    each = sized.select("doc_id", "__key", "level", "place", F.size("b").alias("own"), F.explode(within).alias("bigram"))
+    each = sized.select("doc_id", "__key", "runs", "level", "place", F.size("b").alias("own"), F.explode(within).alias("bigram"))
     side = known.select(F.col("bigram").alias("tb"), "name", "size")
     bounded = (F.col("own") * (200 - percent) >= F.col("size") * percent) & (F.col("size") * (200 - percent) >= F.col("own") * percent)
     hit = each.join(F.broadcast(side), (F.col("bigram") == F.col("tb")) & (F.col("level") >= 0) & bounded, "left").where((F.col("level") == -1) | F.col("name").isNotNull())
     # A document's rows come from one task, so partial aggregation does nearly all of the work. Sets hold at most a
     # template's bigrams, and make repeated rows count once.
-    counted = hit.groupBy("doc_id", "__key", "level", "place", "own", "name", "size").agg(F.count("*").alias("rows"), F.size(F.collect_set("bigram")).alias("shared"))
+    counted = hit.groupBy("doc_id", "__key", "level", "place", "own", "name", "size").agg(F.count("*").alias("rows"), F.size(F.collect_set("bigram")).alias("shared"), F.first("runs", ignorenulls=True).alias("runs"))
     found = (F.col("level") >= 0) & (F.col("shared") * 200 >= (F.col("own") + F.col("size")) * percent)
     dice = F.round(F.col("shared") * 2 / (F.col("own") + F.col("size")), 6)
     one = counted.groupBy("doc_id", "__key").agg(
         F.sum(F.when(F.col("level") == -1, F.col("rows")).otherwise(0)).alias("copies"),
         F.collect_set(F.when(found, F.struct((-dice).alias("order"), "level", F.col("name").alias("template"), "place", dice.alias("dice")))).alias("m"),
+        F.first("runs", ignorenulls=True).alias("runs"),
     )
-    out = one.select("doc_id", "copies", F.array_sort("m").alias("matches"))
+    every = F.when(F.size("runs") > 0, F.concat("m", _chosen(F.col("runs"), F.col("m")))).otherwise(F.col("m"))
+    out = one.select("doc_id", "copies", F.array_sort(every).alias("matches"))
     return out.select("doc_id", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy"), "matches").drop("__copy")
 
 

@@ -48,3 +48,58 @@ def test_anchors_cover_every_template():
         pairs = bigrams(t)
         free = [p for p in pairs if not any(c in w if len(c) > N.SHORT else c == w for c in needed for w in p)]
         assert len(free) < len(pairs) * 80 / 120
+
+
+def brute_runs(text):
+    """brute, and the best runs of lines apart from each other and from what brute has."""
+    found, lines = brute(text), (text or "").split("\n")
+    places, at = [], 0
+    for part, gap in zip(re.split(N.PARAGRAPHS, text or ""), [*re.findall(N.PARAGRAPHS, text or ""), ""]):
+        places.append((at, at + part.count("\n")))
+        at += part.count("\n") + gap.count("\n")
+    extra = []
+    for name, t in N.TEMPLATES.items():
+        other, taken, every = bigrams(t), [], []
+        for _, level, n, i in found:
+            if n == name:
+                taken.append([(i, i), places[i] if level == 1 else None, (0, len(lines))][level])
+        for i in range(len(lines)):
+            for j in range(i + 1, len(lines)):
+                own = bigrams("\n".join(lines[i : j + 1]))
+                if own and 200 * len(own & other) >= 80 * (len(own) + len(other)):
+                    every.append((-round(2 * len(own & other) / (len(own) + len(other)), 6), j - i, i, j))
+        for order, _, i, j in sorted(every):
+            if not any(a <= j and i <= b for a, b in taken):
+                taken.append((i, j))
+                extra.append((order, 3, name, i))
+    return sorted(found + extra)
+
+
+def laid_out(name, *breaks):
+    """A template with blank lines before the words given."""
+    t = N.TEMPLATES[name]
+    for b in breaks:
+        assert b in t
+        t = t.replace(b, "\n\n" + b)
+    return t
+
+
+PROSE = "\n\n".join(f"Chapter {i} of the work tells\nwhat the software of house {i} is for: n{i} a{i} b{i} c{i} d{i}." for i in range(20))
+PARTED = {
+    "MIT": laid_out("MIT", "The above copyright notice", "THE SOFTWARE IS PROVIDED"),
+    "Apache-2.0-notice": laid_out("Apache-2.0-notice", "http://www", "Unless required"),
+    "GPL-3.0-notice": laid_out("GPL-3.0-notice", "This program is distributed", "You should have"),
+}
+
+
+def test_licences_in_their_normal_layout(spark):
+    texts = [f"{PROSE}\n\n{t}\n\n{PROSE}" for t in PARTED.values()]
+    texts += ["int a;\n" + PARTED["MIT"].replace(", ", ",\n").replace("\n\n", "\n") + "\nint b;\n" * 9 + PROSE, PROSE + "\n\n" + "\n \n\t\n  ".join(PARTED.values()) + "\n\n" + PARTED["MIT"] + "\n" + PROSE]
+    texts += [PROSE, "all\nrights\nreserved\nx y\nall rights\nreserved", "\n\n\nMIT\n" + PARTED["GPL-3.0-notice"].replace(" ", "\n", 60) + PROSE]
+    docs = documents(spark, texts)
+    got = {r.doc_id: [(m.order, m.level, m.template, m.place) for m in r.matches] for r in N.scan(docs).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == brute_runs(t), t
+    for i, name in enumerate(PARTED):
+        assert [m[1:] for m in got[i] if m[2] == name] == [(3, name, PROSE.count("\n") + 2)]
+    assert N.digest(N.scan(docs.limit(1))).first().matches == f"MIT:run:{PROSE.count(chr(10)) + 2}"
