@@ -4,13 +4,14 @@ Strong kinds are reported wherever they match: ``assign`` (a named secret with a
 (an access key id of 16 or more characters) and ``hex`` (32 or more lower-case hexadecimal digits). Weak kinds are single
 parts of a credential, which alone mean little: ``access_part`` (a user or client id), ``secret_part`` (a short password
 assignment, or a bare run of 40 or more base-64 characters) and ``endpoint_part`` (a URL or an IPv4 address). A weak part is
-reported only if complementary parts stand in its scope, at most ``scope`` code points from its start: a secret part
-beside an identifier or an endpoint, an identifier beside a secret, an endpoint beside both an identifier and a secret.
+reported only if complementary parts stand in its scope, with at most ``scope`` code points between the end of the one and
+the start of the other: a secret part beside an identifier or an endpoint, an identifier beside a secret, an endpoint
+beside both an identifier and a secret.
 
-The interval join of parts with parts of the same document is a range frame over the document's parts ordered by place,
-so no pair of parts becomes a row; a frame holds at most ``2 * scope`` parts, whatever the length of the text. Texts stay
-in the scan: what is shuffled is a row for each document and a row for each part of documents that have both a secret and
-another part.
+The interval join of parts with parts of the same document takes running maxima: a part has another in its scope if of
+those that start at most ``scope`` after its end, the last end is at most ``scope`` before its start. So no pair of parts
+becomes a row, and parts may have any length. Texts stay in the scan: what is shuffled is a row for each document, and for
+documents that have both a secret and another part one for each part and one more for each weak part, which asks.
 
 Defined results: null and empty texts have no spans; rows repeated in documents are reported once for each repetition;
 null doc_ids are kept; weak parts that overlap a strong span, or an earlier part of the same kind, are dropped. Positions
@@ -99,17 +100,22 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", scope: int
     none = F.array().cast(SPAN)
     base = F.concat("a", "k", "h")
     whole = F.array(F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("kind"), F.lit(-1).alias("end"))).cast(SPAN)
-    rows = found.select("doc_id", "__key", base.alias("base"), F.explode(F.concat(whole, F.when(linkable, F.concat("a", "k", "h", "ap", "sp", "ep")).otherwise(none))).alias("p"))
+    parts = F.explode(F.concat(whole, F.when(linkable, F.concat("a", "k", "h", "ap", "sp", "ep")).otherwise(none)))
+    rows = found.select("doc_id", "__key", base.alias("base"), parts.alias("p"))
     rows = rows.select("doc_id", "__key", F.when(F.col("p.kind") == -1, F.col("base")).alias("base"), "p.start", "p.kind", "p.end")
+    # A weak part stands at its start to be found and at the end of its scope to ask.
+    rows = rows.withColumn("at", F.explode(F.when(F.col("kind") >= STRONG, F.array("start", F.col("end") + scope)).otherwise(F.array("start"))))
+    rows = rows.withColumn("asks", F.col("at") > F.col("start"))
 
     of = Window.partitionBy("doc_id", "__key").orderBy("start")
-    near = of.rangeBetween(-scope, scope)
+    near = Window.partitionBy("doc_id", "__key").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
     before, after = of.rangeBetween(Window.unboundedPreceding, 0), of.rangeBetween(0, Window.unboundedFollowing)
     classed = lambda c: F.col("kind").isin([i for i, k in enumerate(KINDS) if CLASSES[k] == c])
     strong = F.col("kind").between(0, STRONG - 1)
+    beside = lambda c: F.coalesce(F.max(F.when(classed(c) & ~F.col("asks"), F.col("end"))).over(near) >= F.col("start") - scope, F.lit(False)) & F.col("asks")
     seen = rows.select(
         "*",
-        F.max(classed("id")).over(near).alias("id"), F.max(classed("secret")).over(near).alias("secret"), F.max(classed("endpoint")).over(near).alias("endpoint"),
+        beside("id").alias("id"), beside("secret").alias("secret"), beside("endpoint").alias("endpoint"),
         F.max(F.when(strong, F.col("end"))).over(before).alias("strong_end"), F.min(F.when(strong, F.col("start"))).over(after).alias("strong_start"),
     )
     clear = (F.coalesce("strong_end", F.lit(-1)) <= F.col("start")) & (F.coalesce("strong_start", F.lit(2**31 - 1)) >= F.col("end"))

@@ -41,3 +41,28 @@ def test_redaction_keeps_clean_rows(spark):
     got = {r.doc_id: r.text for r in S.redact(docs).collect()}
     assert got[2] == "plain" and got[0] is None and got[1] == "" and got[3] == '[SECRET]" end' and got[12] == "token=short" and len(got) == len(TEXTS)
     assert S.scan(docs.limit(0)).count() == 0
+
+
+def weak(text, scope=200):
+    """Weak spans by all pairs of parts."""
+    patterns = [(S.ACCESS_PART, 3), (S.SECRET_PART, 4), (S.ENDPOINT_PART, 5)]
+    parts = base(text) + [(m.start(), k, m.end()) for p, k in patterns for m in re.finditer(p, text or "")]
+    found = []
+    for a, k, b in parts:
+        beside = {S.CLASSES[S.KINDS[j]] for c, j, d in parts if c - b <= scope and a - d <= scope}
+        need = {3: "secret" in beside, 4: beside & {"id", "endpoint"}, 5: {"id", "secret"} <= beside}
+        if k >= S.STRONG and need[k] and not any(j < S.STRONG and c < b and a < d for c, j, d in parts):
+            found.append((a, k, b))
+    return sorted(found)
+
+
+def test_long_parts_are_linked_from_their_ends(spark):
+    gap = lambda n: "," + " " * (n - 1)
+    url = "https://" + "h" * 300
+    texts = ["private_key=" + "A%" * 150 + " client_id=abcdef", "token=" + "a" * 800 + " user: ann", f"{url} pwd: s3cr3t! user: ann", f"user: ann at {url}?user=bob&x={'y' * 300} pwd: s3cr3t!", f"see {url}?client_id=abcdef&pass=wxyz{'/z' * 200} end"]
+    texts += [f"pwd: s3cr3t!{gap(n)}user: ann" for n in (199, 200, 201, 202)] + [f"user: ann{gap(n)}{url}{gap(m)}pwd: s3cr3t!" for n in (200, 201) for m in (200, 201)]
+    docs = documents(spark, [*texts, *TEXTS])
+    got = {r.doc_id: sorted((s.start, s.kind, s.end) for s in r.spans if s.kind >= S.STRONG) for r in S.scan(docs).collect()}
+    assert got == {i: weak(t) for i, t in enumerate([*texts, *TEXTS])}
+    assert [k for _, k, _ in got[0]] == [4, 3] and [k for _, k, _ in got[1]] == [3] and [len(got[i]) for i in (5, 6, 7, 8)] == [2, 2, 0, 0]
+    assert {r.doc_id: r.text for r in S.redact(docs.where("doc_id < 2")).collect()} == {0: "[SECRET] [SECRET]", 1: "[SECRET] [SECRET]"}
