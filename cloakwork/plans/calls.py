@@ -213,10 +213,11 @@ def vault_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vault_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K3: JSON of entries, read back field by field."""
-    w = V.wire(_vault(spark, sf_dir).where(F.size("entries") == 1))
+    """K3: JSON of entries, read back field by field; a row for each surrogate."""
+    w = V.wire(_vault(spark, sf_dir))
     m = F.from_json("value", "struct<surrogates:map<string,struct<original:string,entity_type:string,source_detectors:array<string>>>,detector_mode:array<string>,kwargs:string>")
-    return w.select("key", m.alias("m")).select("key", F.get(F.map_keys("m.surrogates"), 0).alias("surrogate"), F.get(F.map_values("m.surrogates"), 0)["original"].alias("original"), F.array_join("m.detector_mode", ",").alias("mode"))
+    each = w.select("key", m.alias("m")).select("key", F.explode_outer("m.surrogates").alias("surrogate", "entry"), F.array_join("m.detector_mode", ",").alias("mode"))
+    return each.where(F.col("surrogate").isNotNull()).select("key", "surrogate", F.col("entry.original").alias("original"), "mode")
 
 
 QUERIES |= {"vault_peek": vault_peek, "vault_pop": vault_pop, "vault_sweep": vault_sweep, "vault_wire": vault_wire}

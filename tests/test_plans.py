@@ -18,3 +18,11 @@ def test_stat_deltas_cover_all_users(spark, tmp_path):
             want.append((user, day, days[day] - before))
             before = days[day]
     assert sorted(map(tuple, catalog.QUERIES["stat_deltas"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_vault_wire_has_a_row_for_each_entry(spark, tmp_path):
+    texts = ["ann@example.org and bob@example.org at 10.0.0.1", "only 10.0.0.2", "again ann@example.org, ann@example.org", "none", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.QUERIES["vault_wire"](spark, str(tmp_path)).collect()
+    assert sorted((r.key, r.original, r.mode) for r in got) == [("vault:0", "10.0.0.1", "regex"), ("vault:0", "ann@example.org", "regex"), ("vault:0", "bob@example.org", "regex"), ("vault:1", "10.0.0.2", "regex"), ("vault:2", "ann@example.org", "regex")]
+    assert len({(r.key, r.surrogate) for r in got}) == 5 and all(r.surrogate for r in got)
