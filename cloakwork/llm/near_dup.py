@@ -23,7 +23,7 @@ folder, so that a lost executor costs a reread.
 Defined results: null and empty texts have no shingles, are linked with nothing and are their own component (kept). The
 component's id is its least doc_id that isn't null; a row with a null doc_id is kept only if its component has no other
 id. Repeated rows are returned as often as they come, with the same verdict. Other columns are ignored by ``components``
-and kept by ``deduplicate``.
+and kept by ``deduplicate``, which with ``repeats=False`` leaves one row of each kept doc_id and text, whichever comes first.
 """
 
 from __future__ import annotations
@@ -294,8 +294,9 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text
     return out.select("doc_id", "__key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs without the documents that aren't kept; all columns stay."""
+def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", repeats: bool = True) -> DataFrame:
+    """docs without the documents that aren't kept; all columns stay. Without ``repeats``, rows of the same doc_id (null too) and text leave one."""
     gone = components(docs, k, percent, text, doc_id).where("not kept").select(F.col("doc_id").alias("__id"), "__key").distinct()
     mine = docs.withColumn("__key2", text_key(F.col(text)))
-    return mine.join(gone, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__key2") == F.col("__key")), "left_anti").drop("__key2")
+    left = mine.join(gone, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__key2") == F.col("__key")), "left_anti")
+    return (left if repeats else left.dropDuplicates([doc_id, "__key2"])).drop("__key2")

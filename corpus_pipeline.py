@@ -5,7 +5,8 @@ the next stage. All stages but the last return the columns of documents.
 
 1. ``language_id`` drops documents of which no language can be told: null texts and texts without a letter. Profiles are
    learned from the stage's own labelled rows that aren't held out; the columns of what stays are unchanged.
-2. ``near_dup`` keeps one document of each near-duplicate group (5-word shingles, similarity of 0.8 or more).
+2. ``near_dup`` keeps one document of each near-duplicate group (5-word shingles, similarity of 0.8 or more),
+   and one row of those repeated with doc_id and text.
 3. ``decontaminate`` drops documents in which a 10-word window of a benchmark item occurs.
 4. ``secrets`` replaces secrets by a mask in the text (n_chars follows); no document is dropped.
 5. ``encode`` adds sampled piece ids as ``ids``, and keeps documents' other columns.
@@ -38,7 +39,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return duplicates.deduplicate(docs, k=5, percent=80)
+    return duplicates.deduplicate(docs, k=5, percent=80, repeats=False)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,3 +89,12 @@ def test_connected_settles_on_chains(spark):
 def test_bands_miss_few():
     for percent in (80, 85, 95):
         assert (1 - (percent / 100) ** N.ROWS) ** N.bands_for(percent) < 1e-7
+
+
+def test_one_row_of_repeated_ones_stays_in_the_pipeline(spark):
+    import corpus_pipeline as P
+
+    body = "a text of its own with some words"
+    rows = [(1, "x " * 9), (1, "x " * 9), (None, body), (None, body), (None, body), (None, "another of them which nothing else is like"), (2, None), (2, None), (2, ""), (None, None), (None, None), (3, None)]
+    left = P.near_dup(spark, documents(spark, rows).repartition(3), "").collect()
+    assert sorted(repr((r.doc_id, r.text)) for r in left) == sorted(map(repr, set(rows)))
