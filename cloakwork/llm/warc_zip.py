@@ -165,7 +165,8 @@ def records(file, step: int = 1 << 20) -> Iterator[tuple[dict[str, str], bytes]]
             got = file.read(min(step, left))
             at, left = at + len(got), left - len(got)
             *lines, part = (part + got).split(b"\n")
-            for line in lines:
+            # The last line may have no newline.
+            for line in lines if left else [*lines, *filter(bytes.strip, [part])]:
                 entry = json.loads(line)
                 file.seek(base + entry["offset"])
                 yield parse_record(file.read(entry["length"]))

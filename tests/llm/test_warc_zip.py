@@ -94,3 +94,14 @@ def test_broken_packages():
         z.writestr(W.ARCHIVE, gzip.compress(b"x") * 10)
     with pytest.raises(ValueError, match="compressed"):
         list(W.records(raw))
+
+
+def test_an_index_without_a_last_newline():
+    for n, end in ((1, b""), (3, b""), (3, b" "), (3, b"\n"), (3, b"\n ")):
+        whole = package(n)
+        raw = io.BytesIO()
+        with zipfile.ZipFile(whole) as z, zipfile.ZipFile(raw, "w", zipfile.ZIP_STORED) as out:
+            out.writestr(W.ARCHIVE, z.read(W.ARCHIVE))
+            out.writestr(W.INDEX, z.read(W.INDEX).rstrip(b"\n") + end)
+        for step in (1, 7, 1 << 20):
+            assert [h["n"] for h, _ in W.records(raw, step)] == [str(i) for i in range(n)]
