@@ -189,12 +189,28 @@ reach AS (SELECT doc_id AS v, doc_id AS r FROM documents UNION SELECT v, y FROM
 SELECT v AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id, v = min(r) AS kept FROM reach LEFT JOIN n ON n.doc_id = v GROUP BY v
 """
 
-#: Votes in the order of quality_rules.rules(); expectation-maximisation as a recursion over the list of vote patterns.
-_VOTES = """[CASE WHEN n_words < 50 THEN -1 ELSE 0 END, CASE WHEN word_chars < 3 * greatest(n_words, 1) OR greatest(word_chars, 1) > 12 * greatest(n_words, 1) THEN -1 ELSE 0 END,
- CASE WHEN n_symbols * 10 > n_words THEN -1 ELSE 0 END, CASE WHEN n_dup_lines * 10 > 3 * greatest(n_lines, 1) THEN -1 ELSE 0 END, CASE WHEN n_repeat_words * 5 > 2 * greatest(n_words, 1) THEN -1 ELSE 0 END,
- CASE WHEN n_upper * 10 > 3 * greatest(word_chars, 1) THEN -1 ELSE 0 END, CASE WHEN n_digits * 20 > 3 * greatest(word_chars, 1) THEN -1 ELSE 0 END, CASE WHEN n_ended * 10 < greatest(n_lines, 1) THEN -1 ELSE 0 END,
- CASE WHEN n_ended * 2 >= greatest(n_lines, 1) AND n_symbols * 50 <= n_words AND n_upper * 10 <= greatest(word_chars, 1) AND n_digits * 20 <= greatest(word_chars, 1) AND n_dup_lines * 10 <= greatest(n_lines, 1) THEN 1 ELSE 0 END]"""
-ORACLES["op8_quality_rules"] = rf"""
+def _op8_sql() -> str:
+    from cloakwork.llm import quality_rules as Q
+
+    k = len(Q.rules())
+    words, chars, lines = "greatest(n_words, 1)", "greatest(word_chars, 1)", "greatest(n_lines, 1)"
+    bands = [
+        ("n_words >= 100", "n_words < 50"),
+        (f"{chars} BETWEEN 4 * {words} AND 7 * {words}", f"{chars} < 3 * {words} OR {chars} > 10 * {words}"),
+        ("n_symbols * 50 <= n_words", "n_symbols * 10 > n_words"),
+        (f"n_dup_lines * 10 <= {lines}", f"n_dup_lines * 10 > 3 * {lines}"),
+        (f"n_repeat_words * 4 <= {words}", f"n_repeat_words * 5 > 2 * {words}"),
+        (f"n_upper * 500 >= {chars} AND n_upper * 20 <= {chars}", f"n_upper * 10 > 3 * {chars}"),
+        (f"n_digits * 20 <= {chars}", f"n_digits * 20 > 3 * {chars}"),
+        (f"n_ended * 5 >= 4 * {lines}", f"n_ended * 2 < {lines}"),
+    ]
+    votes = "[" + ", ".join(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END" for good, bad in bands) + "]"
+    kinds, rules = f"range(1, {k + 2})", f"range(1, {k + 1})"
+    listed = lambda x: "[" + ", ".join(f"{v}::DOUBLE" for v in x) + "]"
+    share = listed([0.5] + [0.5 / k] * k)
+    begun = f"list_transform({kinds}, lambda m: list_transform({rules}, lambda r: CASE WHEN m = 1 THEN {listed(Q.START_GOOD)} WHEN m = r + 1 THEN {listed(Q.START_OWN)} ELSE {listed(Q.START_OTHER)} END))"
+    weight = lambda v: f"list_transform({kinds}, lambda m: exp(ln(share[m]) + list_sum(list_transform({rules}, lambda r: ln(rate[m][r][{v}[r] + 2])))))"
+    return rf"""
 WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
 win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i:i + 2]) AS c FROM d, unnest(range(1, len(w) - 1)) AS u(i)),
@@ -202,12 +218,18 @@ hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i
 counts AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(l) AS n_lines, len(regexp_extract_all(t, '[A-Z]')) AS n_upper, len(regexp_extract_all(t, '[0-9]')) AS n_digits,
    len(list_filter(l, lambda x: regexp_matches(x, '[.!?:"][\x20\x09-\x0D]*$'))) AS n_ended FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id),
-voted AS (SELECT *, {_VOTES} AS v FROM counts),
-pats AS (SELECT list({{'v': v, 'c': c}} ORDER BY v) AS l FROM (SELECT v, count(*) AS c FROM voted GROUP BY v) AS x),
-em AS (SELECT 0 AS i, list_transform(range(0, 9), lambda k: 0.8::DOUBLE) AS r
-  UNION ALL SELECT i + 1, list_transform(range(1, 10), lambda k: least(0.99, greatest(0.55,
-    (8 + list_sum(list_transform(g, lambda p: p.c * CASE WHEN p.v[k] = 1 THEN p.g WHEN p.v[k] = -1 THEN 1 - p.g ELSE 0 END))) / (10 + list_sum(list_transform(g, lambda p: p.c * abs(p.v[k])))))))
-  FROM (SELECT i, list_transform(l, lambda p: {{'v': p.v, 'c': p.c, 'g': 1 / (1 + exp(-list_sum(list_transform(range(1, 10), lambda j: p.v[j] * ln(r[j] / (1 - r[j]))))))}}) AS g FROM em, pats WHERE i < 50) AS y),
-post AS (SELECT voted.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 1 / (1 + exp(-list_sum(list_transform(range(1, 10), lambda j: v[j] * ln(r[j] / (1 - r[j])))))) AS p FROM voted, em WHERE i = 50)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND p >= 0.5 AS kept, round(p, 6) AS posterior FROM post
+voted AS (SELECT *, {votes} AS v FROM counts),
+pats AS (SELECT list({{'v': v, 'c': c}} ORDER BY v) AS l, sum(c) AS total FROM (SELECT v, count(*) AS c FROM voted GROUP BY v) AS x),
+em AS (SELECT 0 AS i, {share} AS share, {begun} AS rate
+  UNION ALL SELECT i + 1,
+    list_transform({kinds}, lambda m: (list_sum(list_transform(g, lambda p: p.g[m])) + {Q.PSEUDO} * first_share[m]) / (total + {Q.PSEUDO})),
+    list_transform({kinds}, lambda m: list_transform({rules}, lambda r: list_transform(range(1, 4), lambda o:
+      (list_sum(list_transform(g, lambda p: CASE WHEN p.v[r] = o - 2 THEN p.g[m] ELSE 0 END)) + {Q.PSEUDO} * first_rate[m][r][o]) / (list_sum(list_transform(g, lambda p: p.g[m])) + {Q.PSEUDO}))))
+  FROM (SELECT i, total, {share} AS first_share, {begun} AS first_rate, list_transform(e, lambda p: {{'v': p.v, 'g': list_transform(p.e, lambda y: p.c * y / list_sum(p.e))}}) AS g
+    FROM (SELECT i, total, list_transform(l, lambda p: {{'v': p.v, 'c': p.c, 'e': {weight('p.v')}}}) AS e FROM em, pats WHERE i < {Q.ROUNDS}) AS y) AS z),
+post AS (SELECT voted.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {weight('v')} AS e FROM voted, em WHERE i = {Q.ROUNDS})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND e[1] / list_sum(e) >= 0.5 AS kept, round(e[1] / list_sum(e), 6) AS posterior FROM post
 """
+
+
+ORACLES["op8_quality_rules"] = _op8_sql()
