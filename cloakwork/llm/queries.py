@@ -64,7 +64,7 @@ def _op3_sql() -> str:
             FROM (SELECT doc_id, regexp_extract_all(body, '{p}') AS m, string_split_regex(body, '{p}') AS g, {f"regexp_extract_all(body, '{p}', 2)" if value != 'true' else 'NULL'} AS v FROM d)) WHERE ok"""
 
     names = "['" + "','".join(S.KINDS) + "']"
-    near = lambda c: f"EXISTS (SELECT 1 FROM p AS q WHERE q.doc_id = p.doc_id AND q.kind IN ({','.join(str(i) for i, k in enumerate(S.KINDS) if S.CLASSES[k] == c)}) AND q.start BETWEEN p.start - 200 AND p.start + 200)"
+    near = lambda c: f"EXISTS (SELECT 1 FROM p AS q WHERE q.doc_id = p.doc_id AND q.kind IN ({','.join(str(i) for i, k in enumerate(S.KINDS) if S.CLASSES[k] == c)}) AND q.start <= p.stop + 200 AND q.stop >= p.start - 200)"
     listed = f"string_agg({names}[kind + 1] || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, kind, stop)"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),

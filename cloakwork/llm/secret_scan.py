@@ -10,20 +10,22 @@ beside both an identifier and a secret.
 
 The interval join of parts with parts of the same document takes running maxima: a part has another in its scope if of
 those that start at most ``scope`` after its end, the last end is at most ``scope`` before its start. So no pair of parts
-becomes a row, and parts may have any length. Texts stay in the scan: what is shuffled is a row for each document, and for
-documents that have both a secret and another part one for each part and one more for each weak part, which asks.
-
-Defined results: null and empty texts have no spans; rows repeated in documents are reported once for each repetition;
-null doc_ids are kept; weak parts that overlap a strong span, or an earlier part of the same kind, are dropped. Positions
-count code points from 0, the end is exclusive. Other columns are ignored by ``scan`` and kept by ``redact``.
+is formed, and parts may have any length. The join stays inside the row: the parts' events are sorted and scanned in blocks
+(``arrays.prefix``), so nothing is shuffled, each row is judged for itself whatever rows repeat it, and a text of many
+matches costs little more than its patterns.
+
+Defined results: null and empty texts have no spans; repeated rows and null doc_ids are reported row by row; weak parts that
+overlap a strong span, or an earlier part of the same kind, are dropped. Positions count code points from 0, the end is
+exclusive. The noncharacters U+FDD0 to U+FDD2 are searched as U+FDD3, which no pattern tells from them. Other columns are
+ignored by ``scan`` unless kept, and kept by ``redact``; names that start with two underscores are reserved.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakwork.llm.common import text_key
+from cloakwork.functions.arrays import let, pieces, prefix, record, running_max, running_sum
 
 
 def _any_case(word: str) -> str:
@@ -50,82 +52,92 @@ STRONG = 3
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
+#: Noncharacters that mark where a match begins, where its value does, and where both end.
+BEGIN, VALUE, END = "\ufdd0", "\ufdd1", "\ufdd2"
+OTHER = "\ufdd3"
+
+
+def _spans(text: Column, pattern: str, kind: int, value_group: int = 0, least_value: int = 0) -> Column:
+    """All leftmost non-overlapping matches as (start, kind, end); those with a shorter value are dropped after matching.
+
+    One pass marks the matches; what stands between the marks gives lengths, and their running sums the places.
+    """
+    marked = F.regexp_replace(F.translate(text, BEGIN + VALUE + END, OTHER * 3), F.lit(pattern), F.lit(f"{BEGIN}$0{VALUE}${value_group}{END}"))
 
-def _spans(text: Column, pattern: str, kind: int, value_group: int | None = None, least_value: int = 0) -> Column:
-    """All leftmost non-overlapping matches as (start, kind, end); those with a shorter value are dropped after matching."""
-    none = F.array().cast(SPAN)
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    sized = F.zip_with(F.split(text, pattern, -1), matches, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("len")))
-    if value_group:
-        values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))
-        sized = F.zip_with(sized, values, lambda s, v: F.struct(s["gap"].alias("gap"), s["len"].alias("len"), (F.length(v) >= least_value).alias("ok")))
-    else:
-        sized = F.transform(sized, lambda s: F.struct(s["gap"].alias("gap"), s["len"].alias("len"), F.lit(True).alias("ok")))
-    placed = F.aggregate(
-        sized,
-        F.struct(F.lit(0).alias("pos"), none.alias("out")),
-        lambda s, x: F.struct(
-            (s["pos"] + x["gap"] + F.coalesce(x["len"], F.lit(0))).alias("pos"),
-            F.when(
-                x["len"].isNotNull() & x["ok"],
-                F.concat(s["out"], F.array(F.struct((s["pos"] + x["gap"]).alias("start"), F.lit(kind).alias("kind"), (s["pos"] + x["gap"] + x["len"]).alias("end"))).cast(SPAN)),
-            ).otherwise(s["out"]).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    return F.when(text.rlike(pattern), placed).otherwise(none)
+    def measured(piece: Column) -> Column:
+        value, end = F.instr(piece, VALUE), F.instr(piece, END)
+        return record(len=value - 1, ok=end - value - 1 >= least_value, rest=F.length(piece) - end)
+
+    def placed(parts: Column) -> Column:
+        sized = F.transform(F.slice(parts, F.lit(2), F.size(parts)), measured)
+        ends = lambda x: running_sum(F.transform(x, lambda m, i: m["len"] + F.when(i == 0, F.length(F.get(parts, 0))).otherwise(F.get(x, i - 1)["rest"])))
+        spans = lambda x: F.zip_with(x, ends(x), lambda m, end: record(start=end - m["len"], kind=F.lit(kind), end=end, ok=m["ok"]))
+        return F.transform(F.filter(let(sized, spans), lambda m: m["ok"]), lambda m: record(start=m["start"], kind=m["kind"], end=m["end"])).cast(SPAN)
+
+    return F.when(text.rlike(pattern), let(F.split(marked, BEGIN, -1), placed)).otherwise(F.array().cast(SPAN))
 
 
 def _listed(spans: Column) -> Column:
     """kind:start:end by start, then kind, comma-joined."""
     names = F.array(*[F.lit(k) for k in KINDS])
-    return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
-
-
-def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", scope: int = 200) -> DataFrame:
-    """One row per row of docs: doc_id, __key (of the text), base (strong spans) and spans (all), as sorted arrays."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    found = docs.select(
-        F.col(doc_id).alias("doc_id"),
-        text_key(F.col(text)).alias("__key"),
-        _spans(body, ASSIGN, 0, value_group=2, least_value=8).alias("a"),
-        _spans(body, ACCESS, 1).alias("k"),
-        _spans(body, HEX, 2).alias("h"),
-        _spans(body, ACCESS_PART, 3).alias("ap"),
-        _spans(body, SECRET_PART, 4).alias("sp"),
-        _spans(body, ENDPOINT_PART, 5).alias("ep"),
-    )
-    has = lambda *names: F.greatest(*[F.size(n) for n in names]) > 0
-    linkable = has("ap", "sp", "ep") & has("a", "h", "sp") & has("k", "ap", "ep")
-    none = F.array().cast(SPAN)
-    base = F.concat("a", "k", "h")
-    whole = F.array(F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("kind"), F.lit(-1).alias("end"))).cast(SPAN)
-    parts = F.explode(F.concat(whole, F.when(linkable, F.concat("a", "k", "h", "ap", "sp", "ep")).otherwise(none)))
-    rows = found.select("doc_id", "__key", base.alias("base"), parts.alias("p"))
-    rows = rows.select("doc_id", "__key", F.when(F.col("p.kind") == -1, F.col("base")).alias("base"), "p.start", "p.kind", "p.end")
-    # A weak part stands at its start to be found and at the end of its scope to ask.
-    rows = rows.withColumn("at", F.explode(F.when(F.col("kind") >= STRONG, F.array("start", F.col("end") + scope)).otherwise(F.array("start"))))
-    rows = rows.withColumn("asks", F.col("at") > F.col("start"))
-
-    of = Window.partitionBy("doc_id", "__key").orderBy("start")
-    near = Window.partitionBy("doc_id", "__key").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
-    before, after = of.rangeBetween(Window.unboundedPreceding, 0), of.rangeBetween(0, Window.unboundedFollowing)
-    classed = lambda c: F.col("kind").isin([i for i, k in enumerate(KINDS) if CLASSES[k] == c])
-    strong = F.col("kind").between(0, STRONG - 1)
-    beside = lambda c: F.coalesce(F.max(F.when(classed(c) & ~F.col("asks"), F.col("end"))).over(near) >= F.col("start") - scope, F.lit(False)) & F.col("asks")
-    seen = rows.select(
-        "*",
-        beside("id").alias("id"), beside("secret").alias("secret"), beside("endpoint").alias("endpoint"),
-        F.max(F.when(strong, F.col("end"))).over(before).alias("strong_end"), F.min(F.when(strong, F.col("start"))).over(after).alias("strong_start"),
-    )
-    clear = (F.coalesce("strong_end", F.lit(-1)) <= F.col("start")) & (F.coalesce("strong_start", F.lit(2**31 - 1)) >= F.col("end"))
-    linked = ((F.col("kind") == 3) & F.col("secret")) | ((F.col("kind") == 4) & (F.col("id") | F.col("endpoint"))) | ((F.col("kind") == 5) & F.col("id") & F.col("secret"))
-    one = seen.groupBy("doc_id", "__key").agg(
-        F.first("base", ignorenulls=True).alias("base"),
-        F.sum(F.when(F.col("kind") == -1, 1).otherwise(0)).alias("copies"),
-        F.collect_set(F.when(linked & clear, F.struct("start", "kind", "end"))).alias("weak"),
-    )
-    return one.select("doc_id", "__key", "base", F.concat("base", F.col("weak").cast(SPAN)).alias("spans"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).drop("__copy")
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+NEVER = -(2**30)
+
+
+def _linked(strong: Column, weak: Column, scope: int) -> Column:
+    """The weak parts to report."""
+    kinds = lambda c: [i for i, k in enumerate(KINDS) if CLASSES[k] == c]
+    event = lambda p, at, asks: record(at=at, asks=F.lit(asks), start=p["start"], kind=p["kind"], end=p["end"])
+
+    # A part stands at its start to be found; a weak one stands again at the end of its scope, behind those found there, to ask.
+    events = F.sort_array(F.concat(F.transform(F.concat(strong, weak), lambda p: event(p, p["start"], 0)), F.transform(weak, lambda p: event(p, p["end"] + scope, 1))))
+
+    def asked(e: Column) -> Column:
+        seen = lambda x: record(**{c: F.when((x["asks"] == 0) & x["kind"].isin(kinds(c)), x["end"]).otherwise(NEVER) for c in ("id", "secret", "endpoint")})
+        last = prefix(F.transform(e, seen), lambda a, b: record(**{c: F.greatest(a[c], b[c]) for c in ("id", "secret", "endpoint")}))
+
+        def told(x: Column, m: Column) -> Column:
+            has = {c: m[c] >= x["start"] - scope for c in ("id", "secret", "endpoint")}
+            enough = ((x["kind"] == 3) & has["secret"]) | ((x["kind"] == 4) & (has["id"] | has["endpoint"])) | ((x["kind"] == 5) & has["id"] & has["secret"])
+            return record(start=x["start"], kind=x["kind"], end=x["end"], ok=(x["asks"] == 1) & enough)
+
+        return F.filter(F.zip_with(e, last, told), lambda x: x["ok"])
+
+    # Of the strong spans that start before a part's end, none may end behind its start.
+    def clear(parts: Column) -> Column:
+        both = F.sort_array(F.concat(F.transform(parts, lambda p: event(p, p["end"], 0)), F.transform(strong, lambda p: event(p, p["start"], 1))))
+        ends = lambda e: running_max(F.transform(e, lambda x: F.when(x["asks"] == 1, x["end"]).otherwise(NEVER)))
+        free = lambda x, end: record(start=x["start"], kind=x["kind"], end=x["end"], ok=(x["asks"] == 0) & (end <= x["start"]))
+        return F.filter(let(both, lambda e: F.zip_with(e, ends(e), free)), lambda x: x["ok"])
+
+    found = let(let(events, asked), lambda p: F.when(F.size(p) > 0, clear(p)))
+    return F.transform(F.coalesce(found, F.array().cast("array<struct<start:int,kind:int,end:int,ok:boolean>>")), lambda x: record(start=x["start"], kind=x["kind"], end=x["end"])).cast(SPAN)
+
+
+def found_in(text: Column, scope: int = 200) -> Column:
+    """A struct of base (strong spans) and spans (all), each sorted by start, kind and end."""
+    body = F.coalesce(text, F.lit(""))
+    kinds = record(
+        a=_spans(body, ASSIGN, 0, value_group=2, least_value=8), k=_spans(body, ACCESS, 1), h=_spans(body, HEX, 2),
+        ap=_spans(body, ACCESS_PART, 3), sp=_spans(body, SECRET_PART, 4), ep=_spans(body, ENDPOINT_PART, 5),
+    )
+
+    def judged(p: Column) -> Column:
+        some = lambda *names: F.greatest(*[F.size(p[n]) for n in names]) > 0
+        linkable = some("ap", "sp", "ep") & some("a", "h", "sp") & some("k", "ap", "ep")
+        strong, weak = F.concat(p["a"], p["k"], p["h"]), F.concat(p["ap"], p["sp"], p["ep"])
+        links = F.when(linkable, let(strong, lambda s: let(weak, lambda w: _linked(s, w, scope)))).otherwise(F.array().cast(SPAN))
+        return record(base=F.sort_array(strong), spans=F.sort_array(F.concat(strong, links)))
+
+    return let(kinds, judged)
+
+
+def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", scope: int = 200, keep: list[str] | None = None) -> DataFrame:
+    """One row per row of docs: doc_id and the columns ``keep``, base (strong spans) and spans (all), as sorted arrays. Narrow."""
+    found = docs.select(F.col(doc_id).alias("doc_id"), *(keep or []), found_in(F.col(text), scope).alias("__found"))
+    return found.select("doc_id", *(keep or []), F.col("__found.base").alias("base"), F.col("__found.spans").alias("spans"))
 
 
 def digest(scanned: DataFrame) -> DataFrame:
@@ -134,17 +146,22 @@ def digest(scanned: DataFrame) -> DataFrame:
     return scanned.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mask: str = "[SECRET]", scope: int = 200) -> DataFrame:
-    """docs with each run of overlapping spans replaced by ``mask``; all columns and all rows are kept."""
-    found = scan(docs, text, doc_id, scope).where(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), "__key", F.col("spans").alias("__spans")).dropDuplicates(["__id", "__key"])
-    joined = docs.withColumn("__key2", text_key(F.col(text))).join(found, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__key2") == F.col("__key")), "left")
+def _masked(body: Column, spans: Column, mask: str) -> Column:
+    """body with ``mask`` in place of each run of overlapping spans (sorted by start)."""
+    length = F.length(body)
+
+    def rest(s: Column) -> Column:
+        def ranges(top: Column) -> Column:
+            before = F.transform(s, lambda x, i: record(first=F.when(i == 0, F.lit(0)).otherwise(F.get(top, i - 1)), last=x["start"]))
+            return F.concat(F.filter(before, lambda r: r["last"] >= r["first"]), F.array(record(first=F.element_at(top, -1), last=length)))
+
+        return let(running_max(F.transform(s, lambda x: x["end"])), ranges)
+
+    return pieces(body, let(spans, rest), mask)
+
+
+def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]", scope: int = 200) -> DataFrame:
+    """docs with each run of overlapping spans replaced by ``mask``; all columns and all rows are kept. Narrow: no shuffle."""
     body = F.col(text)
-    masked = F.aggregate(
-        F.array_sort("__spans"),
-        F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")),
-        lambda s, x: F.when(
-            x["start"] >= s["pos"], F.struct(x["end"].alias("pos"), F.concat(s["out"], body.substr(s["pos"] + 1, x["start"] - s["pos"]), F.lit(mask)).alias("out"))
-        ).otherwise(F.struct(F.greatest(x["end"], s["pos"]).alias("pos"), s["out"].alias("out"))),
-        lambda s: F.concat(s["out"], body.substr(s["pos"] + 1, F.length(body))),
-    )
-    return joined.withColumn(text, F.when(F.col("__spans").isNotNull(), masked).otherwise(body)).drop("__key2", "__id", "__key", "__spans")
+    found = docs.withColumn("__spans", found_in(body, scope)["spans"])
+    return found.withColumn(text, F.when(F.size("__spans") > 0, _masked(body, F.col("__spans"), mask)).otherwise(body)).drop("__spans")
