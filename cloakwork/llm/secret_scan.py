@@ -57,24 +57,35 @@ BEGIN, VALUE, END = "\ufdd0", "\ufdd1", "\ufdd2"
 OTHER = "\ufdd3"
 
 
-def _spans(text: Column, pattern: str, kind: int, value_group: int = 0, least_value: int = 0) -> Column:
-    """All leftmost non-overlapping matches as (start, kind, end); those with a shorter value are dropped after matching.
+#: (pattern, group of the value, least length of the value) of each kind.
+PATTERNS = [(ASSIGN, 2, 8), (ACCESS, 0, 0), (HEX, 0, 0), (ACCESS_PART, 0, 0), (SECRET_PART, 0, 0), (ENDPOINT_PART, 0, 0)]
 
-    One pass marks the matches; what stands between the marks gives lengths, and their running sums the places.
+
+def _spans(text: Column, patterns: list[tuple[str, int, int]]) -> Column:
+    """Of each pattern, all leftmost non-overlapping matches as (start, kind, end); those with a shorter value are dropped after matching.
+
+    One pass of a pattern marks its matches; what stands between the marks gives lengths, and their running sums the places.
     """
-    marked = F.regexp_replace(F.translate(text, BEGIN + VALUE + END, OTHER * 3), F.lit(pattern), F.lit(f"{BEGIN}$0{VALUE}${value_group}{END}"))
+    plain = F.translate(text, BEGIN + VALUE + END, OTHER * 3)
+    marked = [
+        record(body=F.when(text.rlike(p), F.regexp_replace(plain, F.lit(p), F.lit(f"{BEGIN}$0{VALUE}${group}{END}"))), kind=F.lit(kind), least=F.lit(least))
+        for kind, (p, group, least) in enumerate(patterns)
+    ]
+
+    def placed(m: Column) -> Column:
+        def measured(piece: Column) -> Column:
+            value, end = F.instr(piece, VALUE), F.instr(piece, END)
+            return record(len=value - 1, ok=end - value - 1 >= m["least"], rest=F.length(piece) - end)
 
-    def measured(piece: Column) -> Column:
-        value, end = F.instr(piece, VALUE), F.instr(piece, END)
-        return record(len=value - 1, ok=end - value - 1 >= least_value, rest=F.length(piece) - end)
+        def spans(parts: Column) -> Column:
+            ends = lambda x: running_sum(F.transform(x, lambda y, i: y["len"] + F.when(i == 0, F.length(F.get(parts, 0))).otherwise(F.get(x, i - 1)["rest"])))
+            each = lambda x: F.zip_with(x, ends(x), lambda y, end: record(start=end - y["len"], kind=m["kind"], end=end, ok=y["ok"]))
+            return let(F.transform(F.slice(parts, F.lit(2), F.size(parts)), measured), each)
 
-    def placed(parts: Column) -> Column:
-        sized = F.transform(F.slice(parts, F.lit(2), F.size(parts)), measured)
-        ends = lambda x: running_sum(F.transform(x, lambda m, i: m["len"] + F.when(i == 0, F.length(F.get(parts, 0))).otherwise(F.get(x, i - 1)["rest"])))
-        spans = lambda x: F.zip_with(x, ends(x), lambda m, end: record(start=end - m["len"], kind=F.lit(kind), end=end, ok=m["ok"]))
-        return F.transform(F.filter(let(sized, spans), lambda m: m["ok"]), lambda m: record(start=m["start"], kind=m["kind"], end=m["end"])).cast(SPAN)
+        return let(F.split(m["body"], BEGIN, -1), spans)
 
-    return F.when(text.rlike(pattern), let(F.split(marked, BEGIN, -1), placed)).otherwise(F.array().cast(SPAN))
+    found = F.flatten(F.transform(F.filter(F.array(*marked), lambda m: m["body"].isNotNull()), placed))
+    return F.transform(F.filter(found, lambda s: s["ok"]), lambda s: record(start=s["start"], kind=s["kind"], end=s["end"])).cast(SPAN)
 
 
 def _listed(spans: Column) -> Column:
@@ -119,19 +130,15 @@ def _linked(strong: Column, weak: Column, scope: int) -> Column:
 def found_in(text: Column, scope: int = 200) -> Column:
     """A struct of base (strong spans) and spans (all), each sorted by start, kind and end."""
     body = F.coalesce(text, F.lit(""))
-    kinds = record(
-        a=_spans(body, ASSIGN, 0, value_group=2, least_value=8), k=_spans(body, ACCESS, 1), h=_spans(body, HEX, 2),
-        ap=_spans(body, ACCESS_PART, 3), sp=_spans(body, SECRET_PART, 4), ep=_spans(body, ENDPOINT_PART, 5),
-    )
 
     def judged(p: Column) -> Column:
-        some = lambda *names: F.greatest(*[F.size(p[n]) for n in names]) > 0
-        linkable = some("ap", "sp", "ep") & some("a", "h", "sp") & some("k", "ap", "ep")
-        strong, weak = F.concat(p["a"], p["k"], p["h"]), F.concat(p["ap"], p["sp"], p["ep"])
+        classed = lambda *of: F.exists(p, lambda s: s["kind"].isin([i for i, k in enumerate(KINDS) if CLASSES[k] in of]))
+        strong, weak = F.filter(p, lambda s: s["kind"] < STRONG), F.filter(p, lambda s: s["kind"] >= STRONG)
+        linkable = F.exists(p, lambda s: s["kind"] >= STRONG) & classed("secret") & classed("id", "endpoint")
         links = F.when(linkable, let(strong, lambda s: let(weak, lambda w: _linked(s, w, scope)))).otherwise(F.array().cast(SPAN))
         return record(base=F.sort_array(strong), spans=F.sort_array(F.concat(strong, links)))
 
-    return let(kinds, judged)
+    return let(_spans(body, PATTERNS), judged)
 
 
 def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", scope: int = 200, keep: list[str] | None = None) -> DataFrame:
