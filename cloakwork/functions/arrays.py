@@ -47,6 +47,16 @@ def running_max(values: Column) -> Column:
     return prefix(values, lambda a, b: F.greatest(a, b))
 
 
+def runs(values: Column, fresh: Callable[[Column, Column], Column]) -> Column:
+    """Slices of an array; the first element and each one for which fresh(element, its place) begin one."""
+
+    def sliced(v: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(v) - 1), lambda i: (i == 0) | fresh(F.get(v, i), i))
+        return let(starts, lambda s: F.transform(s, lambda at, k: F.slice(v, at + 1, F.coalesce(F.get(s, k + 1), F.size(v)) - at)))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, sliced(v)).otherwise(F.transform(v, lambda x: F.array(x))))
+
+
 #: Pieces of a long text are cut out of chunks of so many code points, since a substring is found by counting from the start.
 CHUNK = 1000
 

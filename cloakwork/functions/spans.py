@@ -1,43 +1,78 @@
-"""Span expressions: finding matches with their places, greedy allocation, replacement. All stay in Catalyst."""
+"""Span expressions: finding matches with their places, greedy allocation, replacement. All stay in Catalyst.
+
+None of them appends to a growing array, so a text of many matches costs little more than its patterns.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cloakwork.functions.arrays import let, record, running_max, running_sum, runs
 from cloakwork.functions.text import strip
 from cloakwork.model import CANDIDATES
 
+#: Noncharacters that mark where a match, what stands before its value, and its value begin, and where all end.
+BEGIN, LEAD, VALUE, END = MARKS = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3"
+OTHER = "\ufdd4"
+
 
 def no_candidates() -> Column:
     return F.array().cast(CANDIDATES)
 
 
+@dataclass(frozen=True)
+class Sought:
+    """A Java pattern; ``grouped``: it reads (before)(value)after. ``needs``: texts without this literal are skipped."""
+
+    pattern: str
+    entity_type: str
+    order: int
+    grouped: bool = False
+    needs: str | None = None
+
+
 def find(text: Column, pattern: str, entity_type: str, order: int, grouped: bool = False, needs: str | None = None, stripped: bool = True) -> Column:
-    """All non-overlapping matches of a Java pattern as candidates.
+    """All non-overlapping matches of a Java pattern as candidates."""
+    return find_all(text, [Sought(pattern, entity_type, order, grouped, needs)], stripped)
+
+
+def find_all(text: Column, sought: list[Sought], stripped: bool = True) -> Column:
+    """The candidates of all patterns, pattern after pattern.
 
-    ``grouped``: the pattern reads (before)(value)after, and a candidate is the value. Pieces between matches give the places,
-    so the pattern runs twice over texts that match and once over others; ``needs`` skips texts without a literal.
+    A pattern runs over a text until its first match, and where there is one once more to mark all of them; lengths between
+    the marks give the places by running sums. One expression places the matches of all patterns.
     """
-    group = lambda n: F.regexp_extract_all(text, F.lit(pattern), F.lit(n))
-    sized = F.zip_with(F.split(text, pattern, -1), group(0), lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("whole")))
-    if grouped:
-        inner = F.zip_with(group(1), group(2), lambda b, v: F.struct(F.length(b).alias("lead"), v.alias("value")))
-        sized = F.zip_with(sized, inner, lambda s, v: F.struct(s["gap"].alias("gap"), s["whole"].alias("whole"), v["lead"].alias("lead"), v["value"].alias("value")))
-    else:
-        sized = F.transform(sized, lambda s: F.struct(s["gap"].alias("gap"), s["whole"].alias("whole"), F.lit(0).alias("lead"), s["whole"].alias("value")))
-
-    def step(acc: Column, s: Column) -> Column:
-        at = acc["pos"] + s["gap"]
-        one = F.struct((at + s["lead"]).alias("start"), (at + s["lead"] + F.length(s["value"])).alias("end"), (strip(s["value"]) if stripped else s["value"]).alias("value"), F.lit(entity_type).alias("entity_type"), F.lit(order).alias("ord"))
-        return F.struct(
-            (at + F.coalesce(F.length(s["whole"]), F.lit(0))).alias("pos"),
-            F.when(s["whole"].isNotNull(), F.concat(acc["out"], F.array(one).cast(CANDIDATES))).otherwise(acc["out"]).alias("out"),
-        )
-
-    placed = F.aggregate(sized, F.struct(F.lit(0).alias("pos"), no_candidates().alias("out")), step, lambda a: a["out"])
-    guard = text.rlike(pattern) if needs is None else F.contains(text, F.lit(needs)) & text.rlike(pattern)
-    return F.when(guard, placed).otherwise(no_candidates())
+    if not sought:
+        return no_candidates()
+    plain = F.translate(text, "".join(MARKS), OTHER * 4)
+
+    def marked(s: Sought) -> Column:
+        said = f"{BEGIN}$0{LEAD}$1{VALUE}$2{END}" if s.grouped else f"{BEGIN}$0{LEAD}{VALUE}$0{END}"
+        guard = text.rlike(s.pattern) if s.needs is None else F.contains(text, F.lit(s.needs)) & text.rlike(s.pattern)
+        return record(body=F.when(guard, F.regexp_replace(plain, F.lit(s.pattern), F.lit(said))), kind=F.lit(s.entity_type), ord=F.lit(s.order))
+
+    def measured(piece: Column) -> Column:
+        lead, value, end = F.instr(piece, LEAD), F.instr(piece, VALUE), F.instr(piece, END)
+        return record(len=lead - 1, lead=value - lead - 1, value=piece.substr(value + 1, end - value - 1), rest=F.length(piece) - end)
+
+    def placed(m: Column) -> Column:
+        def candidate(x: Column, end: Column) -> Column:
+            start = end - x["len"] + x["lead"]
+            # Of a text that has marks itself, values are cut out again.
+            value = F.when(text == plain, x["value"]).otherwise(text.substr(start + 1, F.length(x["value"])))
+            return record(start=start, end=start + F.length(x["value"]), value=strip(value) if stripped else value, entity_type=m["kind"], ord=m["ord"])
+
+        def spans(parts: Column) -> Column:
+            ends = lambda x: running_sum(F.transform(x, lambda y, i: y["len"] + F.when(i == 0, F.length(F.get(parts, 0))).otherwise(F.get(x, i - 1)["rest"])))
+            return let(F.transform(F.slice(parts, F.lit(2), F.size(parts)), measured), lambda x: F.zip_with(x, ends(x), candidate))
+
+        return let(F.split(m["body"], BEGIN, -1), spans)
+
+    found = F.filter(F.array(*map(marked, sought)), lambda m: m["body"].isNotNull())
+    return F.flatten(F.transform(found, placed)).cast(CANDIDATES)
 
 
 def greedy(candidates: Column, strategy: str = "longest") -> Column:
@@ -48,19 +83,11 @@ def greedy(candidates: Column, strategy: str = "longest") -> Column:
     """
     long = strategy == "longest"
     kind = "array<struct<start:int,end:int,ord:int,value:string,entity_type:string>>"
-    sorted_ = F.array_sort(F.transform(candidates, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["ord"].alias("ord"), c["value"].alias("value"), c["entity_type"].alias("entity_type"))).cast(kind))
+    sorted_ = F.sort_array(F.transform(candidates, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["ord"].alias("ord"), c["value"].alias("value"), c["entity_type"].alias("entity_type"))).cast(kind))
 
     # Candidates fall into runs that overlap nothing outside; a run is small even where a text has thousands of candidates.
-    def gather(acc: Column, c: Column) -> Column:
-        apart = c["start"] >= acc["end"]
-        return F.struct(
-            F.when(apart, F.concat(acc["done"], F.array(acc["run"]))).otherwise(acc["done"]).alias("done"),
-            F.when(apart, F.array(c).cast(kind)).otherwise(F.concat(acc["run"], F.array(c).cast(kind))).alias("run"),
-            F.greatest(acc["end"], c["end"]).alias("end"),
-        )
-
-    empty = F.array().cast(kind)
-    runs = F.aggregate(sorted_, F.struct(F.array().cast(f"array<{kind}>").alias("done"), empty.alias("run"), F.lit(-1).alias("end")), gather, lambda a: F.concat(a["done"], F.array(a["run"])))
+    ends = lambda v: running_max(F.transform(v, lambda c: c["end"]))
+    cut = lambda v: let(ends(v), lambda top: runs(v, lambda c, i: c["start"] >= F.get(top, i - 1)))
 
     keyed = "array<struct<k1:int,k2:int,k3:int,end:int,value:string,entity_type:string>>"
     key = lambda c: F.struct((c["start"] - c["end"] if long else c["ord"]).alias("k1"), c["start"].alias("k2"), c["ord"].alias("k3"), c["end"].alias("end"), c["value"].alias("value"), c["entity_type"].alias("entity_type"))
@@ -71,9 +98,9 @@ def greedy(candidates: Column, strategy: str = "longest") -> Column:
 
     def accept(run: Column) -> Column:
         mine = F.transform(run, key).cast(keyed)
-        return F.when(F.size(run) < 2, mine).otherwise(F.aggregate(F.array_sort(mine), F.array().cast(keyed), step))
+        return F.when(F.size(run) < 2, mine).otherwise(F.aggregate(F.sort_array(mine), F.array().cast(keyed), step))
 
-    kept = F.array_sort(F.flatten(F.transform(runs, accept)))
+    kept = F.sort_array(F.flatten(F.transform(let(sorted_, cut), accept)))
     return F.transform(kept, lambda c: F.struct(c["k2"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), c["entity_type"].alias("entity_type"), c["k3"].alias("ord"))).cast(CANDIDATES)
 
 

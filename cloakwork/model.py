@@ -15,6 +15,7 @@ ALWAYS_OPAQUE = ["CREDENTIAL", "TOKEN", "HASH", "JWT", "AWS_ACCESS_KEY", "PATH",
 #: Detectors in order of priority.
 DETECTORS = ["regex", "denylist", "privacy_filter", "gliner_pii", "llm"]
 
+# Labels of recorded models.
 SPAN_LABELS = {
     "private_person": "PERSON",
     "private_email": "EMAIL_ADDRESS",
@@ -46,6 +47,7 @@ ZERO_SHOT_LABELS = {
     "url": "URL",
     "username": "USERNAME",
 }
+# Merging of spans, the break between texts, limits.
 #: How far apart two spans of a type may stand to be one entity, and the characters that may stand between them.
 MERGE_GAPS = {"PERSON": 3, "ADDRESS": 3, "DATE_OF_BIRTH": 3, "URL": 2, "PHONE": 2, "CREDENTIAL": 2, "IDENTIFIER": 1, "EMAIL_ADDRESS": 0}
 MERGE_GAP_OTHERWISE = 1

@@ -82,12 +82,8 @@ def native_rule(rule: Rule) -> tuple[str, bool] | None:
 
 def rule_candidates(text: Column, rules: list[Rule]) -> Column:
     """Candidates of all rules, without those that a validator refuses (which frees their place)."""
-    each = []
-    for i, rule in enumerate(rules):
-        java, grouped = native_rule(rule) or _refuse(rule)
-        each.append(S.find(text, java, rule.entity_type, i, grouped, rule.needs))
-    found = F.concat(*each) if each else S.no_candidates()
-    return F.filter(found, lambda c: T.valid(c["value"], c["entity_type"]))
+    sought = [S.Sought(java, rule.entity_type, i, grouped, rule.needs) for i, rule in enumerate(rules) for java, grouped in [native_rule(rule) or _refuse(rule)]]
+    return F.filter(S.find_all(text, sought), lambda c: T.valid(c["value"], c["entity_type"]))
 
 
 def _refuse(rule: Rule):

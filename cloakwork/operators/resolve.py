@@ -6,10 +6,15 @@ are rows.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cloakwork.functions.arrays import let, record, runs
 from cloakwork.model import ATTRIBUTED
+from cloakwork.session import written
 
 
 def tag(matches: Column, detector: str) -> Column:
@@ -23,12 +28,18 @@ def dedup(attributed: Column) -> Column:
     Empty texts are dropped.
     """
 
-    # A fold, so that what makes the matches is evaluated once.
-    def step(acc: Column, m: Column) -> Column:
-        grown = F.transform(acc, lambda a: F.when(a["text"] == m["text"], F.struct(a["text"].alias("text"), a["entity_type"].alias("entity_type"), F.array_distinct(F.concat(a["source_detectors"], m["source_detectors"])).alias("source_detectors"))).otherwise(a))
-        return F.when(F.exists(acc, lambda a: a["text"] == m["text"]), grown).otherwise(F.concat(acc, F.array(m))).cast(ATTRIBUTED)
 
-    return F.aggregate(F.filter(attributed, lambda m: m["text"] != ""), F.array().cast(ATTRIBUTED), step)
+    # Sorted by text and place, equal texts stand together; groups go back to the order of their first place.
+    def grouped(v: Column) -> Column:
+        return runs(v, lambda m, i: m["text"] != F.get(v, i - 1)["text"])
+
+    def one(group: Column) -> Column:
+        sources = F.array_distinct(F.flatten(F.transform(group, lambda m: m["source_detectors"])))
+        return record(i=F.get(group, 0)["i"], text=F.get(group, 0)["text"], entity_type=F.get(group, 0)["entity_type"], source_detectors=sources)
+
+    numbered = F.transform(F.filter(attributed, lambda m: m["text"] != ""), lambda m, i: record(text=m["text"], i=i, entity_type=m["entity_type"], source_detectors=m["source_detectors"]))
+    first = F.sort_array(F.transform(let(F.sort_array(numbered), grouped), one))
+    return F.transform(first, lambda m: record(text=m["text"], entity_type=m["entity_type"], source_detectors=m["source_detectors"])).cast(ATTRIBUTED)
 
 
 def dedup_rows(matches: DataFrame, keys: list[str], order: list[str], text: str = "text", entity_type: str = "entity_type", detector: str = "detector") -> DataFrame:
@@ -55,11 +66,15 @@ def unknown_detectors(wanted: Column, configured: list[str]) -> Column:
 def lookup_or_compute(wanted: DataFrame, cache: DataFrame, keys: list[str], compute) -> tuple[DataFrame, DataFrame]:
     """Results for every wanted row, and the rows to append to the cache.
 
-    Each missing key is computed once, however often it is wanted.
+    Each missing key is computed once, however often it is wanted: what is computed is written to the shared folder, and both
+    results read it. Null keys are keys like others.
     """
-    keyed = wanted.select(*keys).distinct()
-    fresh = compute(keyed.join(cache, keys, "left_anti"))
-    return wanted.join(cache.unionByName(fresh), keys, "left"), fresh
+    same = lambda other: reduce(and_, [F.col(f"w.{k}").eqNullSafe(F.col(f"{other}.{k}")) for k in keys])
+    missing = wanted.select(*keys).distinct().alias("w").join(cache.alias("c"), same("c"), "left_anti")
+    fresh = written(compute(missing), "computed")
+    results = cache.unionByName(fresh)
+    others = [F.col(f"r.{c}") for c in results.columns if c not in keys]
+    return wanted.alias("w").join(results.alias("r"), same("r"), "left").select("w.*", *others), fresh
 
 
 def first_rule(rows: DataFrame, by: list[str], order: str) -> DataFrame:

@@ -45,14 +45,19 @@ def choose_locale(chain: list[str] | None, warnings: list[str] | None = None) ->
     return "en_US"
 
 
+def salted(salt: str, *parts: Column) -> Column:
+    """SHA-256 of the salt and the parts. The salt's length stands in front, so no other salt and text give the same input."""
+    return F.sha2(F.concat(F.lit(f"{len(salt.encode())}:{salt}"), *parts), 256)
+
+
 def opaque(entity_type: Column, text: Column, salt: str) -> Column:
     """[TYPE_XXXXXXXX]; the type isn't hashed."""
-    return F.concat(F.lit("["), entity_type, F.lit("_"), F.upper(F.substring(F.sha2(F.concat(F.lit(salt), text), 256), 1, 8)), F.lit("]"))
+    return F.concat(F.lit("["), entity_type, F.lit("_"), F.upper(F.substring(salted(salt, text), 1, 8)), F.lit("]"))
 
 
 def digest(entity_type: Column, text: Column, salt: str) -> Column:
     """Hexadecimal digits that seed a value of this type and text."""
-    return F.sha2(F.concat(F.lit(salt), entity_type, F.lit(":"), text), 256)
+    return salted(salt, entity_type, F.lit(":"), text)
 
 
 def seed(entity_type: Column, text: Column, salt: str) -> Column:

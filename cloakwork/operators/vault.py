@@ -9,11 +9,14 @@ TTL_SECONDS = 120
 
 
 def put(anonymized: DataFrame, put_ts: str = "ts", detector_mode: list[str] | None = None, kwargs: str = "{}") -> DataFrame:
-    """K2: vault rows of calls that have an id and an entry; the last put of a call counts."""
+    """K2: vault rows of calls that have an id and an entry; the last put of a call counts.
+
+    Of puts at the same time the one whose entries are greatest as JSON counts, so the result doesn't depend on row order.
+    """
     rows = anonymized.where(F.col("call_id").isNotNull() & (F.col("call_id").cast("string") != "") & (F.size("entries") > 0))
     mode = F.array(*[F.lit(d) for d in detector_mode or ["regex"]])
     rows = rows.select("call_id", "entries", mode.alias("detector_mode"), F.lit(kwargs).alias("kwargs"), F.col(put_ts).alias("put_ts"))
-    last = Window.partitionBy("call_id").orderBy(F.desc("put_ts"))
+    last = Window.partitionBy("call_id").orderBy(F.desc("put_ts"), F.desc(F.to_json("entries")))
     return rows.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
 
 

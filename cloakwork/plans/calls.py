@@ -16,7 +16,7 @@ from cloakwork.operators import surrogate as X
 from cloakwork.operators import vault as V
 from cloakwork.plans.detection import EMAIL, IPV4, _spans_sql
 from cloakwork.plans.fixtures import frame, values
-from cloakwork.session import shared_dir
+from cloakwork.session import shared_dir, spread
 from cloakwork.sources import rules as rule_source
 from cloakwork.sources.rules import Rule
 from cloakwork.streaming import gate as G
@@ -24,12 +24,13 @@ from cloakwork.streaming import gate as G
 QUERIES: dict = {}
 ORACLES: dict = {}
 SALT = "pepper"
+SALTED = f"{len(SALT)}:{SALT}"
 RULES = [Rule("EMAIL_ADDRESS", EMAIL, (), "@"), Rule("IPV4_ADDRESS", IPV4, (), ".")]
 
 
 def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as calls of one text each."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("call_id"), F.array("text").alias("texts"))
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("call_id"), F.array("text").alias("texts")))
 
 
 def anonymize_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +42,7 @@ def anonymize_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _V4_OK = "len(list_filter(string_split(value, '.'), lambda p: CAST(p AS INTEGER) <= 255)) = 4"
 _ENTITIES = f"""e AS (SELECT DISTINCT doc_id, rtrim(value, '.,;!?') AS value, kind FROM (SELECT doc_id, value, 'EMAIL_ADDRESS' AS kind FROM ({_spans_sql('documents', EMAIL)}) AS a
   UNION ALL SELECT doc_id, value, 'IPV4_ADDRESS' FROM ({_spans_sql('documents', IPV4)}) AS b WHERE {_V4_OK})),
-t AS (SELECT doc_id, value, kind, '[' || kind || '_' || upper(substr(sha256('{SALT}' || value), 1, 8)) || ']' AS token FROM e)"""
+t AS (SELECT doc_id, value, kind, '[' || kind || '_' || upper(substr(sha256('{SALTED}' || value), 1, 8)) || ']' AS token FROM e)"""
 ORACLES["anonymize_docs"] = f"""
 WITH RECURSIVE {_ENTITIES}, l AS (SELECT doc_id, list({{'v': value, 't': token}} ORDER BY length(value) DESC, value) AS l FROM t GROUP BY doc_id),
 fold AS (SELECT d.doc_id, 0 AS i, coalesce(l, []) AS l, text FROM documents AS d LEFT JOIN l USING (doc_id)
@@ -116,11 +117,11 @@ def union_per_call(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["union_per_call"] = union_per_call
 _C = "(SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations)"
 ORACLES["union_per_call"] = f"""
-WITH h AS (SELECT doc_id // 1000 AS conv_id, doc_id % 1000 AS turn, 0 AS rank, start, value, 'PERSON' AS kind, 'regex' AS det FROM ({_spans_sql(_C, NAME)}) AS a
- UNION ALL SELECT doc_id // 1000, doc_id % 1000, 1, start, value, 'ORGANIZATION', 'denylist' FROM ({_spans_sql(_C, NAME.replace('9', '11'))}) AS b),
-f AS (SELECT conv_id, value, det, min((turn, rank, start, kind)) AS k FROM h GROUP BY ALL)
-SELECT conv_id, value AS text, min(k)[4] AS entity_type, string_agg(det, ',' ORDER BY k) AS sources FROM f GROUP BY conv_id, value
-""".replace("min(k)[4]", "arg_min(kind, k)").replace("min((turn, rank, start, kind)) AS k FROM h GROUP BY ALL", "min(turn * 100000000 + rank * 10000000 + start) AS k, arg_min(kind, turn * 100000000 + rank * 10000000 + start) AS kind FROM h GROUP BY conv_id, value, det")
+WITH h AS (SELECT doc_id // 1000 AS conv_id, (doc_id % 1000) * 100000000 + start AS place, value, 'PERSON' AS kind, 'regex' AS det FROM ({_spans_sql(_C, NAME)}) AS a
+ UNION ALL SELECT doc_id // 1000, (doc_id % 1000) * 100000000 + 10000000 + start, value, 'ORGANIZATION', 'denylist' FROM ({_spans_sql(_C, NAME.replace('9', '11'))}) AS b),
+f AS (SELECT conv_id, value, det, min(place) AS k, arg_min(kind, place) AS kind FROM h GROUP BY conv_id, value, det)
+SELECT conv_id, value AS text, arg_min(kind, k) AS entity_type, string_agg(det, ',' ORDER BY k) AS sources FROM f GROUP BY conv_id, value
+"""
 
 
 def anonymize_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +134,7 @@ def anonymize_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["anonymize_calls"] = anonymize_calls
 ORACLES["anonymize_calls"] = f"""
 WITH RECURSIVE e AS (SELECT DISTINCT doc_id // 1000 AS conv_id, value FROM ({_spans_sql(_C, NAME.replace('9', '12'))}) AS a),
-l AS (SELECT conv_id, list({{'v': value, 't': '[PERSON_' || upper(substr(sha256('{SALT}' || value), 1, 8)) || ']'}} ORDER BY length(value) DESC, value) AS l FROM e GROUP BY conv_id),
+l AS (SELECT conv_id, list({{'v': value, 't': '[PERSON_' || upper(substr(sha256('{SALTED}' || value), 1, 8)) || ']'}} ORDER BY length(value) DESC, value) AS l FROM e GROUP BY conv_id),
 fold AS (SELECT d.conv_id, 0 AS i, coalesce(l, []) AS l, texts FROM (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS texts FROM conversations GROUP BY conv_id) AS d LEFT JOIN l USING (conv_id)
   UNION ALL SELECT conv_id, i + 1, l, replace(texts, l[i + 1].v, l[i + 1].t) FROM fold WHERE i < len(l))
 SELECT conv_id, len(l) AS n_entities, texts FROM fold WHERE i = len(l)
@@ -163,10 +164,10 @@ _first, _last = ("[" + ",".join(f"'{x}'" for x in part) + "]" for part in X.NAME
 _n = lambda k, d: f"CAST('0x' || substr({d}, {1 + 7 * k}, 7) AS BIGINT)"
 ORACLES["realistic_vocab"] = f"""
 WITH e AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{EMAIL}')) AS value FROM documents),
-d AS (SELECT value, sha256('{SALT}PERSON:' || value) AS p, sha256('{SALT}PHONE:' || value) AS q FROM e)
+d AS (SELECT value, sha256('{SALTED}PERSON:' || value) AS p, sha256('{SALTED}PHONE:' || value) AS q FROM e)
 SELECT value, CAST('0x' || substr(p, 1, 15) AS BIGINT) AS seed, {_first}[{_n(0, 'p')} % {len(X.NAMES['en_US'][0])} + 1] || ' ' || {_last}[{_n(1, 'p')} % {len(X.NAMES['en_US'][1])} + 1] AS person,
  '+1-555-' || lpad(CAST({_n(0, 'q')} % 1000 AS VARCHAR), 3, '0') || '-' || lpad(CAST({_n(1, 'q')} % 10000 AS VARCHAR), 4, '0') AS phone,
- '[CREDENTIAL_' || upper(substr(sha256('{SALT}' || value), 1, 8)) || ']' AS credential FROM d
+ '[CREDENTIAL_' || upper(substr(sha256('{SALTED}' || value), 1, 8)) || ']' AS credential FROM d
 """
 
 
@@ -224,7 +225,7 @@ QUERIES |= {"vault_peek": vault_peek, "vault_pop": vault_pop, "vault_sweep": vau
 ORACLES["vault_peek"] = f"WITH {_ENTITIES} SELECT doc_id, token AS surrogate, value AS original, kind AS entity_type FROM t WHERE {_LIVE}"
 ORACLES["vault_pop"] = f"WITH {_ENTITIES} SELECT doc_id, count(*) AS n FROM t WHERE doc_id % 2 <> 0 GROUP BY doc_id"
 ORACLES["vault_sweep"] = f"WITH {_ENTITIES} SELECT doc_id FROM (SELECT DISTINCT doc_id FROM t WHERE {_LIVE}) AS x ORDER BY {_STAMP} DESC, doc_id LIMIT 10"
-ORACLES["vault_wire"] = f"WITH {_ENTITIES} SELECT 'vault:' || doc_id AS key, any_value(token) AS surrogate, any_value(value) AS original, 'regex' AS mode FROM t GROUP BY doc_id HAVING count(*) = 1"
+ORACLES["vault_wire"] = f"WITH {_ENTITIES} SELECT 'vault:' || doc_id AS key, token AS surrogate, value AS original, 'regex' AS mode FROM t"
 
 
 def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,7 +268,10 @@ ORACLES["lru_topn"] = "SELECT conv_id, turn FROM conversations QUALIFY row_numbe
 
 # ---- policy ------------------------------------------------------------------------------------------------------------
 
-GATED = [(1, "Sure, I'll contact [EMAIL_ADDR", False, False, "buffer"), (2, "Mail [EMAIL_ADDRESS_0A1B2C3D] now", False, False, "buffer"), (3, "Sure thing. [INCOMPLETE", True, False, "buffer"), (4, "ends in [PER", None, False, "buffer"), (5, "anything", False, True, "buffer"), (6, "anything", False, True, "disabled"), (7, "a [", False, False, "buffer"), (8, "a [x", False, False, "buffer")]
+GATED = [
+    (1, "It goes to [EMAIL_ADDR", False, False, "buffer"), (2, "Write to [EMAIL_ADDRESS_0A1B2C3D] today", False, False, "buffer"), (3, "The last piece [PHONE_12", True, False, "buffer"),
+    (4, "open at the end [PER", None, False, "buffer"), (5, "plain words", False, True, "buffer"), (6, "plain words", False, True, "disabled"), (7, "a [", False, False, "buffer"), (8, "a [x", False, False, "buffer"),
+]
 
 
 def wait_gate(spark: SparkSession, sf_dir: str) -> DataFrame:

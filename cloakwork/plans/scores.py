@@ -158,4 +158,4 @@ WITH r AS (SELECT event_type AS mix, ['none', 'detector', 'pipeline', 'both'][ev
 c AS (SELECT mix, cache, median(ms) AS m, avg(ms) AS a FROM r GROUP BY mix, cache)
 SELECT c.mix, 'none' AS overrides, c.cache, 'memory' AS backend, round(c.m, 6) AS median_ms, round(c.a, 6) AS mean_ms, round(b.m / c.m, 6) AS speedup FROM c JOIN c AS b ON b.mix = c.mix AND b.cache = 'none'
 """
-ORACLES["stat_deltas"] = "SELECT user_id, day, seen - coalesce(lag(seen) OVER (PARTITION BY user_id ORDER BY day), 0) AS seen FROM (SELECT user_id, CAST(ts AS DATE) AS day, max(event_id) AS seen FROM events WHERE user_id < 50 GROUP BY ALL) AS x"
+ORACLES["stat_deltas"] = "SELECT user_id, day, seen - coalesce(lag(seen) OVER (PARTITION BY user_id ORDER BY day), 0) AS seen FROM (SELECT user_id, CAST(ts AS DATE) AS day, max(event_id) AS seen FROM events GROUP BY ALL) AS x"

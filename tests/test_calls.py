@@ -42,7 +42,7 @@ def test_tokens(spark):
     import hashlib
 
     row = spark.range(1).select(X.opaque(F.lit("URL"), F.lit("v"), "salt").alias("a"), X.opaque(F.lit("URL"), F.lit("v"), "pepper").alias("b")).first()
-    assert row.a == f"[URL_{hashlib.sha256(b'saltv').hexdigest()[:8].upper()}]" != row.b
+    assert row.a == f"[URL_{hashlib.sha256(b'4:saltv').hexdigest()[:8].upper()}]" != row.b
     t = X.opaque_blake2b(spark.createDataFrame([("v", "URL"), (None, "URL")], "text string, entity_type string"), "salt").collect()
     assert t[0].surrogate == f"[URL_{hashlib.blake2b(b'v', key=b'salt', digest_size=4).hexdigest().upper()}]" and t[1].surrogate is None
     assert len(X.salt_bytes(None)) == 32 and X.salt_bytes("x" * 99) == "x" * 64
