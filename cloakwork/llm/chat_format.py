@@ -8,11 +8,13 @@ least conv_id stays. What is left is rendered, one string a conversation.
 
 Hashes are made in the scan, so the prefix work exchanges no texts; texts move once, for conversations that stay. The
 running sum keeps one row at a time; a first turn or a conversation that a third of all rows share meets in aggregates that
-combine before the shuffle.
+combine before the shuffle. Rows without a conv_id need no order, so they pass by the window, and equal ones are one row
+before anything else.
 
 Defined results: turns are ordered by turn, then role, then hash; rows that repeat a turn, role and text of their
 conversation count once; null roles and texts are written as empty and hash apart from empty ones; a null turn comes
-first; rows with a null conv_id are one conversation; an empty table gives no rows. Special tokens inside a text are
+first; each row with a null conv_id is a conversation of one turn, and those that stay have a null conv_id; an empty table
+gives no rows. Special tokens inside a text are
 broken by a backslash, so that they can't end a turn. Other columns are ignored.
 """
 
@@ -31,44 +33,55 @@ def _hash(*columns: Column) -> Column:
     return F.xxhash64(*[x for c in columns for x in (c, c.isNull())])
 
 
-def _key(conv_id: Column) -> Column:
-    """A text that tells ids apart, null included."""
-    return F.to_json(F.struct(conv_id.alias("id")))
+def _hashed(turns: DataFrame) -> DataFrame:
+    return turns.select("*", _hash(F.col("role"), F.col("text")).alias("h1"), _hash(F.lit("second"), F.col("text"), F.col("role")).alias("h2"))
+
+
+def _step(place: Column, h: str) -> Column:
+    return F.xxhash64(place, F.col(h)).cast("decimal(20,0)")
 
 
 def prefixes(turns: DataFrame) -> DataFrame:
-    """conv_id, place (1 ...), p1, p2 (prefix hash up to this place) and n_turns, one row for each distinct turn."""
-    hashed = turns.select("conv_id", "turn", "role", _hash(F.col("role"), F.col("text")).alias("h1"), _hash(F.lit("second"), F.col("text"), F.col("role")).alias("h2"))
+    """conv_id, place (1 ...), p1, p2 (prefix hash up to this place) and is_last, for each distinct turn of conversations with an id."""
+    hashed = _hashed(turns.where(F.col("conv_id").isNotNull())).select("conv_id", "turn", "role", "h1", "h2")
     by = Window.partitionBy("conv_id").orderBy("turn", "role", "h1", "h2")
     same = lambda c: F.col(c).eqNullSafe(F.lag(c).over(by))
     fresh = hashed.withColumn("repeat", (F.row_number().over(by) > 1) & same("turn") & same("role") & same("h1") & same("h2")).where(~F.col("repeat"))
     placed = fresh.select("conv_id", "turn", "role", "h1", "h2", F.row_number().over(by).alias("place"))
     running = by.rowsBetween(Window.unboundedPreceding, 0)
-    one = lambda h: F.sum(F.xxhash64("place", h).cast("decimal(20,0)")).over(running)
-    return placed.select("conv_id", "place", one("h1").alias("p1"), one("h2").alias("p2"), F.lead("place").over(by).isNull().alias("is_last"))
+    one = lambda h: F.sum(_step(F.col("place"), h)).over(running)
+    return placed.select("conv_id", "place", one("h1").cast("decimal(30,0)").alias("p1"), one("h2").cast("decimal(30,0)").alias("p2"), F.lead("place").over(by).isNull().alias("is_last"))
 
 
 def maximal(turns: DataFrame) -> DataFrame:
-    """conv_id, n_turns and copies of the conversations that stay."""
+    """conv_id, n_turns and copies of the conversations that stay; role and text of those without an id."""
     p = prefixes(turns)
     whole = p.where("is_last").groupBy("place", "p1", "p2").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("copies"))
+    single = _hashed(turns.where(F.col("conv_id").isNull())).select(F.lit(1).alias("place"), *[_step(F.lit(1), h).cast("decimal(30,0)").alias(p) for h, p in (("h1", "p1"), ("h2", "p2"))], "conv_id", "role", "text")
+    single = single.groupBy("place", "p1", "p2").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("copies"), F.first("role").alias("role"), F.first("text").alias("text"))
+    both = whole.select("*", F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("text")).unionByName(single)
+    # At most two rows meet here, one of each kind.
+    both = both.groupBy("place", "p1", "p2").agg(F.min("conv_id").alias("conv_id"), F.sum("copies").alias("copies"), F.max("role").alias("role"), F.max("text").alias("text"))
     proper = p.where("not is_last").select("place", "p1", "p2").distinct()
-    return whole.join(proper, ["place", "p1", "p2"], "left_anti").select("conv_id", F.col("place").cast("bigint").alias("n_turns"), "copies")
+    return both.join(proper, ["place", "p1", "p2"], "left_anti").select("conv_id", F.col("place").cast("bigint").alias("n_turns"), "copies", "role", "text")
+
+
+def _part() -> Column:
+    said = lambda c: F.replace(F.coalesce(F.col(c), F.lit("")), F.lit("<|"), F.lit("<\\|"))
+    return F.concat(F.lit("<|im_start|>"), said("role"), F.lit("\n"), said("text"), F.lit("<|im_end|>\n"))
 
 
 def render(turns: DataFrame, by: list[str]) -> DataFrame:
     """The columns ``by`` and rendered, for each group."""
-    text = F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit("<|"), F.lit("<\\|"))
-    role = F.replace(F.coalesce(F.col("role"), F.lit("")), F.lit("<|"), F.lit("<\\|"))
-    part = F.concat(F.lit("<|im_start|>"), role, F.lit("\n"), text, F.lit("<|im_end|>\n")).alias("part")
-    each = turns.select(*by, F.struct("turn", "role", _hash(F.col("role"), F.col("text")).alias("h1"), _hash(F.lit("second"), F.col("text"), F.col("role")).alias("h2"), part).alias("t"))
+    each = _hashed(turns).select(*by, F.struct("turn", "role", "h1", "h2", _part().alias("part")).alias("t"))
     return each.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_set("t")), lambda t: t["part"]), "").alias("rendered"))
 
 
 def format_chats(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """conv_id, n_turns, copies and rendered, for each maximal conversation."""
     turns = _turns(conversations, conv_id, turn, role, text)
-    kept = maximal(turns).select(_key(F.col("conv_id")).alias("__key"), "n_turns", "copies")
+    kept = maximal(turns)
     # Join and grouping share a key, so texts are exchanged once, and rendered strings never.
-    mine = turns.withColumn("__key", _key(F.col("conv_id"))).join(kept, "__key")
-    return render(mine, ["__key", "conv_id", "n_turns", "copies"]).select("conv_id", "n_turns", "copies", "rendered")
+    mine = turns.join(kept.where(F.col("conv_id").isNotNull()).select("conv_id", "n_turns", "copies"), "conv_id")
+    rendered = render(mine, ["conv_id", "n_turns", "copies"]).select("conv_id", "n_turns", "copies", "rendered")
+    return rendered.unionByName(kept.where(F.col("conv_id").isNull()).select("conv_id", "n_turns", "copies", _part().alias("rendered")))

@@ -5,26 +5,16 @@ from __future__ import annotations
 import re
 import sys
 import types
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakwork.session import shared_dir
-
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+from cloakwork.session import shared_dir, spread, written
 
+__all__ = ["ascii_lower", "shared_dir", "small_batches", "table", "table_schema", "text_key", "worker_cache", "written"]
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes df as Parquet into the shared folder and reads it back.
-
-    A lost executor then costs a reread, not a recomputation, and later plans see the true sizes.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cloakwork/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -46,7 +36,7 @@ def text_key(text: Column) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def worker_cache(key: tuple, make: Callable):

@@ -167,13 +167,14 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op7_chat_format"] = """
-WITH turns AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
-convs AS (SELECT conv_id, list(coalesce(CAST(length(role) AS VARCHAR), 'null') || ':' || coalesce(role, '') || coalesce(CAST(length(text) AS VARCHAR), 'null') || ':' || coalesce(text, '') ORDER BY turn NULLS FIRST, role NULLS FIRST, text) AS t,
+WITH turns AS (SELECT DISTINCT 'c' || conv_id AS c, conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL
+     UNION ALL SELECT 'n' || row_number() OVER (), NULL, turn, role, text FROM conversations WHERE conv_id IS NULL),
+convs AS (SELECT any_value(conv_id) AS conv_id, list(coalesce(CAST(length(role) AS VARCHAR), 'null') || ':' || coalesce(role, '') || coalesce(CAST(length(text) AS VARCHAR), 'null') || ':' || coalesce(text, '') ORDER BY turn NULLS FIRST, role NULLS FIRST, text) AS t,
           string_agg('<|im_start|>' || replace(coalesce(role, ''), '<|', '<\\|') || chr(10) || replace(coalesce(text, ''), '<|', '<\\|') || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text) AS rendered
-          FROM turns GROUP BY conv_id),
+          FROM turns GROUP BY c),
 pre AS (SELECT DISTINCT t[1:i] AS p FROM convs, unnest(range(1, len(t))) AS u(i)),
-whole AS (SELECT t, min(conv_id) AS conv_id, count(*) AS copies FROM convs GROUP BY t)
-SELECT w.conv_id, len(w.t) AS n_turns, copies, rendered FROM whole AS w JOIN convs AS c ON c.conv_id = w.conv_id WHERE NOT EXISTS (SELECT 1 FROM pre WHERE pre.p = w.t)
+whole AS (SELECT t, min(conv_id) AS conv_id, count(*) AS copies, any_value(rendered) AS rendered FROM convs GROUP BY t)
+SELECT conv_id, len(t) AS n_turns, copies, rendered FROM whole AS w WHERE NOT EXISTS (SELECT 1 FROM pre WHERE pre.p = w.t)
 """
 
 
@@ -192,7 +193,6 @@ SELECT v AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component
 def _op8_sql() -> str:
     from cloakwork.llm import quality_rules as Q
 
-    k = len(Q.rules())
     words, chars, lines = "greatest(n_words, 1)", "greatest(word_chars, 1)", "greatest(n_lines, 1)"
     bands = [
         ("n_words >= 100", "n_words < 50"),
@@ -204,6 +204,7 @@ def _op8_sql() -> str:
         (f"n_digits * 20 <= {chars}", f"n_digits * 20 > 3 * {chars}"),
         (f"n_ended * 5 >= 4 * {lines}", f"n_ended * 2 < {lines}"),
     ]
+    k = len(bands)
     votes = "[" + ", ".join(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END" for good, bad in bands) + "]"
     kinds, rules = f"range(1, {k + 2})", f"range(1, {k + 1})"
     listed = lambda x: "[" + ", ".join(f"{v}::DOUBLE" for v in x) + "]"

@@ -5,10 +5,12 @@ the longest fitting rule decides. Other URLs are judged by boosted trees trained
 ratio, entropy of characters, counts of parameters, dots, hyphens and other marks, and statistics of the host's suffix
 (how often it occurs among labelled URLs, and its smoothed share of blocked ones).
 
-Features are column expressions. Suffix statistics are counted over all labelled URLs; those of the ``most_suffixes`` most
-frequent ones become a literal map, the others get the prior. Trees are fitted on at most about ``most_rows`` labelled URLs,
-taken by a hash of the URL whose share follows from the exact count, so the fit does not grow with the corpus. Scoring is
-narrow: no shuffle, only the url column is read.
+Features are column expressions. Suffix statistics are counted over all labelled URLs and kept in a table, which is joined:
+broadcast if it has at most ``most_broadcast`` rows (they are counted), by a shuffle on the suffix otherwise. A URL that the
+trees are fitted on has those of the other folds only (folds go by a hash of the URL), so no label tells of itself. Trees
+are fitted on at most about ``most_rows`` distinct labelled URLs, taken by a hash of the URL whose share follows from the
+number of distinct ones, and weighted by how often they come: so the fit grows neither with the corpus nor with repeated
+rows. Scoring reads the url column only and is narrow while the statistics are broadcast.
 
 Defined results: a null URL, or one without ``://``, has empty host and path, fits no rule and is judged by the trees on its
 zero features. Without labelled URLs, or with one label only, the verdict without a rule is that label, or allow. Repeated
@@ -17,7 +19,7 @@ rows are judged each for itself. Other columns are ignored.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
@@ -89,63 +91,89 @@ def suffix_of(host: Column) -> Column:
     return F.substring_index(host, ".", -1)
 
 
+FOLDS = 5
+
+
 @dataclass
 class UrlModel:
-    """trees: None if there was nothing to tell apart; then ``only`` is the verdict."""
+    """trees: None if there was nothing to tell apart; then ``only`` is the verdict. suffixes: suffix, seen, bad (counts) and so for each fold."""
 
     trees: PipelineModel | None
     only: str = "allow"
-    suffixes: dict[str, tuple[float, float]] = field(default_factory=dict)
-    prior: float = 0.5
+    suffixes: DataFrame | None = None
+    broadcast: bool = True
+    total: int = 0
+    bad: int = 0
+
+
+def _fold() -> Column:
+    return F.pmod(F.xxhash64(F.lit("fold"), F.col("url")), F.lit(FOLDS)).cast("int")
 
 
-def _with_features(urls: DataFrame, m: UrlModel) -> DataFrame:
-    """Adds f_ columns; urls has url, host, path."""
-    stats = F.create_map(*[F.lit(x) for s, v in sorted(m.suffixes.items()) for x in (s, F.array(F.lit(v[0]), F.lit(v[1])))]) if m.suffixes else F.create_map().cast("map<string,array<double>>")
-    known = stats[suffix_of(F.col("host"))]
+def _with_features(urls: DataFrame, m: UrlModel, others_only: bool = False) -> DataFrame:
+    """Adds f_ columns; urls has url, host, path. ``others_only``: suffix statistics leave out the URL's own fold."""
     out = urls.withColumns({f"f_{k}": v.cast("double") for k, v in features(F.col("url"), F.col("host"), F.col("path")).items()})
-    return out.withColumns({"f_suffix_seen": F.coalesce(F.get(known, 0), F.lit(0.0)), "f_suffix_blocked": F.coalesce(F.get(known, 1), F.lit(m.prior))})
+    stats = F.broadcast(m.suffixes) if m.broadcast else m.suffixes
+    out = out.withColumn("__suffix", suffix_of(F.col("host"))).join(stats.withColumnRenamed("suffix", "__s"), F.col("__suffix") == F.col("__s"), "left")
+    of = lambda c: F.coalesce(F.col(c) - (F.get(f"{c}_in", _fold()) if others_only else F.lit(0)), F.lit(0))
+    out = out.withColumns({"f_suffix_seen": of("seen") / m.total, "f_suffix_blocked": (of("bad") + 10 * m.bad / m.total) / (of("seen") + 10)})
+    return out.drop("__suffix", "__s", "seen", "bad", "seen_in", "bad_in")
 
 
-def train(labelled: DataFrame, most_rows: int = 20_000, most_suffixes: int = 1000, rounds: int = 15, depth: int = 3) -> UrlModel:
+def train(labelled: DataFrame, most_rows: int = 20_000, most_broadcast: int = 50_000, rounds: int = 15, depth: int = 3) -> UrlModel:
     """From url, host, path and blocked (0 or 1; null: not labelled)."""
-    rows = labelled.where("blocked is not null")
-    per = rows.groupBy(suffix_of(F.col("host")).alias("suffix")).agg(F.count("*").alias("n"), F.sum("blocked").alias("bad"))
-    n, bad = per.agg(F.sum("n"), F.sum("bad")).first()
+    rows = labelled.where("blocked is not null").select("url", "host", "path", F.col("blocked").cast("int").alias("blocked"))
+    in_fold = lambda k: F.when(_fold() == k, 1).otherwise(0)
+    per = rows.groupBy(suffix_of(F.col("host")).alias("suffix")).agg(
+        F.count("*").alias("seen"), F.sum("blocked").alias("bad"),
+        F.array(*[F.sum(in_fold(k)) for k in range(FOLDS)]).alias("seen_in"), F.array(*[F.sum(in_fold(k) * F.col("blocked")) for k in range(FOLDS)]).alias("bad_in"),
+    )
+    per = written(per, "suffixes")
+    known, n, bad = per.agg(F.count("*"), F.sum("seen"), F.sum("bad")).first()
     if not n or bad in (0, n):
         return UrlModel(None, "block" if n and bad == n else "allow")
-    top = per.orderBy(F.desc("n"), "suffix").limit(most_suffixes).collect()  # the most frequent suffixes, a parameter
-    m = UrlModel(None, "allow", {r["suffix"]: (r["n"] / n, (r["bad"] + 10 * bad / n) / (r["n"] + 10)) for r in top}, bad / n)
+    m = UrlModel(None, "allow", per, known <= most_broadcast, n, bad)
     span = 1 << 30
-    sample = rows.where(F.pmod(F.xxhash64("url", "host", "path"), F.lit(span)) < min(span, most_rows * span // n))
-    ready = _with_features(sample, m).withColumn("label", F.col("blocked").cast("double"))
+    distinct = rows.agg(F.approx_count_distinct("url", 0.01)).first()[0] + 1
+    taken = rows.where(F.pmod(F.xxhash64("url"), F.lit(span)) < min(span, most_rows * span // distinct))
+    sample = taken.groupBy("url", "host", "path", "blocked").agg(F.count("*").cast("double").alias("weight"))
+    ready = _with_features(sample, m, others_only=True).withColumn("label", F.col("blocked").cast("double"))
     names = [c for c in ready.columns if c.startswith("f_")]
-    ready = written(ready.select("label", *names), "url-sample")  # each round reads the bounded sample, not all URLs
+    ready = written(ready.select("label", "weight", *names), "url-sample")  # each round reads the bounded sample, not all URLs
     assembler = VectorAssembler(inputCols=names, outputCol="features")
-    trees = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=1, stepSize=0.2).fit(assembler.transform(ready).select("features", "label"))
+    trees = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=1, stepSize=0.2, weightCol="weight").fit(assembler.transform(ready).select("features", "label", "weight"))
     m.trees = PipelineModel([assembler, trees])
     return m
 
 
+def scored(urls: DataFrame, m: UrlModel) -> DataFrame:
+    """Adds ``p``, the trees' probability of block, to url, host and path."""
+    from pyspark.ml.functions import vector_to_array
+
+    return m.trees.transform(_with_features(urls, m)).withColumn("p", F.get(vector_to_array("probability"), 1))
+
+
+def with_parts(df: DataFrame) -> DataFrame:
+    """Adds host and path of the column url."""
+    host, path = parts(F.col("url"))
+    return df.withColumns({"host": F.coalesce(host, F.lit("")), "path": F.coalesce(path, F.lit(""))})
+
+
 def judge(pages: DataFrame, rules: dict[str, str] | None = None, labels: DataFrame | None = None, key: str = "page_id", url: str = "url", **parameters) -> DataFrame:
     """page_id, host, path, rule, verdict and score (the trees' probability of block, null where a rule decides).
 
     labels: url and blocked. Without it, URLs that a rule decides are the labelled ones.
     """
     rules = RULES if rules is None else rules
-    host, path = parts(F.col("url"))
     said = F.element_at(F.create_map(*[F.lit(x) for r, v in rules.items() for x in (r, v)]), F.col("rule")) if rules else F.lit(None).cast("string")
-    ruled = lambda df: df.withColumns({"host": F.coalesce(host, F.lit("")), "path": F.coalesce(path, F.lit(""))})
-    urls = ruled(pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"))).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("ruled", said)
+    urls = with_parts(pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"))).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("ruled", said)
     if labels is None:
         labelled = urls.select("url", "host", "path", F.when(F.col("ruled") == "block", 1).when(F.col("ruled") == "allow", 0).alias("blocked"))
     else:
-        labelled = ruled(labels.select("url", F.col("blocked").cast("int").alias("blocked")))
+        labelled = with_parts(labels.select("url", F.col("blocked").cast("int").alias("blocked")))
     m = train(labelled, **parameters)
     if m.trees is None:
         return urls.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit(m.only)).alias("verdict"), F.lit(None).cast("double").alias("score"))
-    from pyspark.ml.functions import vector_to_array
-
-    scored = m.trees.transform(_with_features(urls, m)).withColumn("p", F.get(vector_to_array("probability"), 1))
+    done = scored(urls, m)
     verdict = F.coalesce("ruled", F.when(F.col("p") >= 0.5, "block").otherwise("allow"))
-    return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.when(F.col("ruled").isNull(), F.round("p", 6)).alias("score"))
+    return done.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.when(F.col("ruled").isNull(), F.round("p", 6)).alias("score"))

@@ -9,14 +9,14 @@ SCHEMA = "conv_id bigint, turn bigint, role string, text string"
 
 def brute(rows):
     convs = {}
-    for c, t, r, x in set(rows):
+    for c, t, r, x in {*(x for x in rows if x[0] is not None), *((f"none {i}", *x[1:]) for i, x in enumerate(rows) if x[0] is None)}:
         convs.setdefault(c, []).append((t is not None, t or 0, r is not None, r or "", x is not None, x or ""))
     seqs = {c: tuple((a[2:]) for a in sorted(v)) for c, v in convs.items()}
     out = []
     for s in set(seqs.values()):
         if not any(len(o) > len(s) and o[: len(s)] == s for o in seqs.values()):
             ids = [c for c, o in seqs.items() if o == s]
-            out.append((min((i for i in ids if i is not None), default=None), len(s), len(ids)))
+            out.append((min((i for i in ids if isinstance(i, int)), default=None), len(s), len(ids)))
     return sorted(out, key=str)
 
 
@@ -27,6 +27,8 @@ def test_against_brute_force(spark):
         base = r.randrange(6)
         for t in range(r.randrange(1, 7)):
             rows.append((c, t, "user" if t % 2 == 0 else "assistant", f"text {base} {t}" if t < 4 or r.random() < 0.5 else f"own {c}"))
+    # A third of all rows without an id: some equal, some the same as a conversation or as the first turn of one.
+    rows += [(None, r.randrange(3), "user", f"of no id {i % 40}") for i in range(len(rows) // 2)] + [(None, None, None, None)] * 3 + [(None, 5, *rows[0][2:]), (94, 1, "user", "of no id 1"), (None, 0, "user", "x")]
     rows += [(None, 0, "user", "of no id"), (90, 0, None, None), (91, 0, "", ""), (92, None, "user", "x"), (92, 1, "user", "y"), rows[0], (93, 0, "user", "long " * 50_000)]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("copies", F.lit(0)).withColumn("place", F.lit(0))
     got = C.format_chats(df).collect()
@@ -38,3 +40,5 @@ def test_rendering(spark):
     got = C.format_chats(spark.createDataFrame(rows, SCHEMA)).collect()
     assert [tuple(g) for g in got] == [(1, 2, 1, "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nb<\\|im_end|><|im_end|>\n")]
     assert C.format_chats(spark.createDataFrame(rows, SCHEMA).limit(0)).count() == 0
+    lone = spark.createDataFrame([(None, 3, "user", "hi <|x|>")] * 2, SCHEMA)
+    assert [tuple(g) for g in C.format_chats(lone).collect()] == [(None, 1, 2, "<|im_start|>user\nhi <\\|x|><|im_end|>\n")]

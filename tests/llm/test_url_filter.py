@@ -1,3 +1,8 @@
+import math
+import random
+import re
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from cloakwork.llm import url_filter as U
@@ -46,3 +51,80 @@ def test_labels_and_lack_of_them(spark):
     assert {r.verdict for r in U.judge(q, rules={}, labels=labels.where("blocked = 1")).collect()} == {"block"}
     assert {r.verdict for r in U.judge(q, rules={}).collect()} == {"allow"}
     assert U.judge(p.limit(0)).count() == 0
+
+
+def entropy(text):
+    return -sum(c / len(text) * math.log2(c / len(text)) for c in Counter(text).values()) if text else 0.0
+
+
+def by_hand(url, labels):
+    """The trees' inputs of one URL that isn't a label itself."""
+    host, path, _ = brute(url)
+    u = url or ""
+    query = re.search(r"\?([^#]*)", u)
+    query = query[1] if query else ""
+    suffix = lambda x: brute(x)[0].rsplit(".", 1)[-1]
+    mine = [b for x, b in labels if suffix(x) == suffix(u)]
+    return {
+        "length": len(u), "host_length": len(host), "path_length": len(path), "depth": path.count("/"), "digit_ratio": sum(c in "0123456789" for c in u) / max(1, len(u)), "path_digits": sum(c in "0123456789" for c in path),
+        "entropy": entropy(u), "host_entropy": entropy(host), "parameters": query.count("&") + 1 if query else 0, "query_length": len(query), "labels": host.count(".") + 1, "hyphens": host.count("-"), "percents": u.count("%"),
+        "fragment": int("#" in u), "secure": int(u.startswith("https://")), "trailing_slash": int(path.endswith("/")), "extension": int(bool(re.search(r"\.[A-Za-z0-9]{1,5}$", path))),
+        "suffix_seen": len(mine) / len(labels), "suffix_blocked": (sum(mine) + 10 * sum(b for _, b in labels) / len(labels)) / (len(mine) + 10),
+    }
+
+
+def planted(n, seed=4):
+    """Labelled URLs: long digit runs, many parameters or a bad suffix mean block; one label in fifty is wrong."""
+    r = random.Random(seed)
+    out = []
+    for i in range(n):
+        bad = r.random() < 0.4
+        kind = r.randrange(3)
+        host = f"{r.choice(['www', 'm', 'news'])}.{''.join(r.choices('abcdefghij', k=7))}.{'xyz' if bad and kind == 0 else r.choice(['com', 'net', 'org'])}"
+        path = "/".join(r.choices(["a", "news", "item", "p-q"], k=r.randrange(1, 4))) + (f"/{r.randrange(10**11, 10**12)}" if bad and kind == 1 else f"/{r.randrange(100)}")
+        query = "&".join(f"k{j}=v" for j in range(6 if bad and kind == 2 else r.randrange(2)))
+        out.append((f"http{'s' * (i % 2)}://{host}/{path}" + (f"?{query}" if query else ""), int(bad != (r.random() < 0.02))))
+    return out
+
+
+def margin(node, x):
+    while node.subtreeDepth():
+        at = node.split()
+        node = node.leftChild() if x[at.featureIndex()] <= at.threshold() else node.rightChild()
+    return node.prediction()
+
+
+def test_trees_by_hand(spark):
+    """Scores equal those of walking the fitted trees with inputs computed in Python; held-out URLs are judged right."""
+    labels = planted(1500)
+    held, seen = labels[:400], labels[400:]
+    m = U.train(U.with_parts(spark.createDataFrame(seen, "url string, blocked int")))
+    assembler, trees = m.trees.stages
+    asked = [u for u, _ in held] + URLS
+    got = {r.url: r for r in U.scored(U.with_parts(spark.createDataFrame([(u,) for u in asked], "url string")), m).collect()}
+    for u in asked:
+        x = by_hand(u, seen)
+        values = [float(x[c.removeprefix("f_")]) for c in assembler.getInputCols()]
+        assert all(math.isclose(got[u][c], v, abs_tol=1e-9) for c, v in zip(assembler.getInputCols(), values)), u
+        total = sum(w * margin(t._call_java("rootNode"), values) for w, t in zip(trees.treeWeights, trees.trees))
+        assert math.isclose(got[u].p, 1 / (1 + math.exp(-2 * total)), abs_tol=1e-6), u
+    assert sum((got[u].p >= 0.5) == bool(b) for u, b in held) / len(held) > 0.93
+
+
+def test_repeats_weigh_and_dont_grow_the_fit(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(U, "written", lambda df, name: kept.append((name, df.cache())) or df)
+    rows = planted(300) + [("http://hot.com/x", 1)] * 5000
+    m = U.train(U.with_parts(spark.createDataFrame(rows, "url string, blocked int")), most_rows=100)
+    sample = dict(kept)["url-sample"]
+    assert 30 < sample.count() < 200 and m.total == 5300
+    assert U.train(U.with_parts(spark.createDataFrame(rows, "url string, blocked int")), most_broadcast=1).broadcast is False
+
+
+def test_no_label_tells_of_itself(spark):
+    """Each URL has a suffix of its own, so its suffix says nothing of it, and random labels aren't learned from it."""
+    rows = [(f"http://h{'ab'[i % 2]}.s{i:03d}/", (i * 7919 % 13) % 2) for i in range(200)]
+    urls = U.with_parts(spark.createDataFrame(rows, "url string, blocked int"))
+    m = U.train(urls)
+    out = U._with_features(urls, m, others_only=True).select("f_suffix_seen", "f_suffix_blocked").distinct().collect()
+    assert len(out) == 1 and out[0].f_suffix_seen == 0
