@@ -96,6 +96,34 @@ def scan(df: DataFrame, rules: list[Rule], text: str = "text", into: str = "cand
     return out if strategy is None else out.withColumn(into, S.greedy(F.col(into), strategy))
 
 
+def _named(name: Column, default: Column, known: dict[str, Column]) -> Column:
+    """What a name stands for; without a name, or with an unknown one, the default."""
+    found = default
+    for k, v in known.items():
+        found = F.when(name == k, v).otherwise(found)
+    return found
+
+
+def unknown_name(name: Column, known: list[str]) -> Column:
+    """A warning for a name that stands for nothing, else null."""
+    return F.when((F.coalesce(name, F.lit("")) != "") & ~name.isin("default", *known), F.concat(F.lit("unknown name '"), name, F.lit("'; the default is used")))
+
+
+def scan_named(df: DataFrame, default: list[Rule], packs: dict[str, list[Rule]], name: str, text: str = "text", into: str = "candidates") -> DataFrame:
+    """Each row's text by the pack that its column ``name`` says; adds a column ``warning``. Packs are native throughout."""
+    body = F.col(text)
+    found = _named(F.col(name), rule_candidates(body, default), {k: rule_candidates(body, v) for k, v in packs.items()})
+    return df.withColumn(into, F.when(body.isNull() | (body == ""), S.no_candidates()).otherwise(found)).withColumn("warning", unknown_name(F.col(name), list(packs)))
+
+
+def denylist_named(df: DataFrame, default: list[Literal], lists: dict[str, list[Literal]], name: str, text: str = "text", into: str = "candidates") -> DataFrame:
+    """Each row's text by the denylist that its column ``name`` says; adds a column ``warning``."""
+    body = F.col(text)
+    found = _named(F.col(name), denylist_candidates(body, default), {k: denylist_candidates(body, v) for k, v in lists.items()})
+    spotted = df.withColumn(into, F.when(body.isNull() | (body == ""), S.no_candidates()).otherwise(found))
+    return spotted.withColumn(into, S.greedy(F.col(into), "longest")).withColumn("warning", unknown_name(F.col(name), list(lists)))
+
+
 def find_with_python(text: str, compiled: list[tuple[str, re.Pattern[str], list[list[str]]]], validators: dict) -> list[dict]:
     """D1 in Python's dialect: the named group ``entity``, else the first group that took part, else the match.
 

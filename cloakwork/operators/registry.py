@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakwork.functions import spans as S
@@ -82,6 +82,21 @@ REGISTRY = [
 ]
 
 
+def specs_frame(spark: SparkSession) -> DataFrame:
+    """F2, F3 as a table, by rank."""
+    rows = [(i, s.name, s.can_be_unavailable, s.fail_closed, s.has_cache, s.at_once, s.blocked_reason or None) for i, s in enumerate(REGISTRY)]
+    return spark.createDataFrame(rows, "rank int, name string, can_be_unavailable boolean, fail_closed boolean, has_cache boolean, at_once int, blocked_reason string")
+
+
+def blocked(runs: DataFrame, specs: DataFrame) -> DataFrame:
+    """call_id and the reason of the first detector by rank that was unavailable and must not be; no row if none.
+
+    runs: call_id, detector, status. Detectors that no spec knows don't block.
+    """
+    failed = runs.where("status <> 'ok'").join(F.broadcast(specs.where("can_be_unavailable and fail_closed")), F.col("detector") == F.col("name"))
+    return failed.groupBy("call_id").agg(F.min(F.struct("rank", "blocked_reason")).alias("first")).select("call_id", F.col("first.blocked_reason").alias("blocked_reason"))
+
+
 def ranked(detectors: list) -> list:
     """Detectors in order of priority, each name once."""
     rank = {s.name: i for i, s in enumerate(REGISTRY)}

@@ -10,7 +10,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPANS = "array<struct<label:string,start:int,end:int,text:string,score:double>>"
@@ -27,29 +27,62 @@ class Unavailable(Exception):
 
 def http_client(url: str, timeout: float = 30.0, headers: dict | None = None) -> Callable[[str, dict], list]:
     """A client of a service that takes {"text": ..., **arguments} and answers {"spans": [...]} or {"matches": [...]}."""
-    import socket
+
+    def ask(text: str, arguments: dict) -> list:
+        return spans_of(_post(url, {"text": text} | {k: v for k, v in arguments.items() if v is not None}, timeout, headers or {}))
+
+    return ask
+
+
+def _post(url: str, body: dict, timeout: float, headers: dict) -> object:
+    """The JSON that a service answers with; any failure is an Unavailable of its kind."""
     import urllib.error
     import urllib.request
 
+    request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json"} | headers)
+    try:
+        with urllib.request.urlopen(request, timeout=timeout) as answer:
+            if answer.status != 200:
+                raise Unavailable("status", str(answer.status))
+            raw = answer.read()
+    except urllib.error.HTTPError as x:
+        raise Unavailable("status", str(x.code)) from x
+    except TimeoutError as x:
+        raise Unavailable("timeout") from x
+    except urllib.error.URLError as x:
+        raise Unavailable("timeout" if isinstance(x.reason, TimeoutError) else "connect", str(x.reason)) from x
+    try:
+        return json.loads(raw)
+    except ValueError as x:
+        raise Unavailable("json") from x
+
+
+def chat_body(text: Column, model: Column, prompt: Column) -> Column:
+    """The request to a chat model as JSON: temperature 0, an object as answer, the prompt and then the text."""
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    return F.to_json(F.struct(model.alias("model"), F.lit(0).alias("temperature"), F.struct(F.lit("json_object").alias("type")).alias("response_format"), F.array(message("system", prompt), message("user", text)).alias("messages")))
+
+
+def chat_client(url: str, model: str, prompt: str, key: str | None = None, timeout: float = 30.0) -> Callable[[str, dict], list]:
+    """A client of a chat model that answers with entities; arguments llm_model, llm_prompt and llm_key override.
+
+    Rows have a label and a text and no place; what doesn't stand in the text is dropped (P11). An answer that isn't the wanted
+    object is a failure, not an empty result.
+    """
+
     def ask(text: str, arguments: dict) -> list:
-        body = json.dumps({"text": text} | {k: v for k, v in arguments.items() if v is not None}).encode()
-        request = urllib.request.Request(url, body, {"Content-Type": "application/json"} | (headers or {}))
-        try:
-            with urllib.request.urlopen(request, timeout=timeout) as answer:
-                if answer.status != 200:
-                    raise Unavailable("status", str(answer.status))
-                raw = answer.read()
-        except urllib.error.HTTPError as x:
-            raise Unavailable("status", str(x.code)) from x
-        except (TimeoutError, socket.timeout) as x:
-            raise Unavailable("timeout") from x
-        except urllib.error.URLError as x:
-            raise Unavailable("timeout" if isinstance(x.reason, TimeoutError) else "connect", str(x.reason)) from x
+        told = {k: arguments.get(f"llm_{k}") or v for k, v in (("model", model), ("prompt", prompt), ("key", key))}
+        body = {"model": told["model"], "temperature": 0, "response_format": {"type": "json_object"}, "messages": [{"role": "system", "content": told["prompt"]}, {"role": "user", "content": text}]}
+        data = _post(url, body, timeout, {"Authorization": f"Bearer {told['key']}"} if told["key"] else {})
         try:
-            data = json.loads(raw)
-        except ValueError as x:
-            raise Unavailable("json") from x
-        return spans_of(data)
+            reply = data["choices"][0]["message"]["content"]
+            found = json.loads(reply[reply.index("{") : reply.rindex("}") + 1]).get("entities", [])
+        except (KeyError, IndexError, TypeError, AttributeError, ValueError) as x:
+            raise Unavailable("shape") from x
+        if not isinstance(found, list):
+            raise Unavailable("shape")
+        said = [(str(e.get("text") or "").strip(), str(e.get("type") or "OTHER")) for e in found if isinstance(e, dict)]
+        return [{"label": t, "text": x} for x, t in said if x and x in text]
 
     return ask
 

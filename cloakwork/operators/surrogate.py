@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakwork.model import ALWAYS_OPAQUE
+from cloakwork.operators.resolve import lookup_or_compute
 
 ATTEMPTS = 4
 MOST_SALT_BYTES = 64
@@ -45,6 +46,36 @@ def choose_locale(chain: list[str] | None, warnings: list[str] | None = None) ->
     return "en_US"
 
 
+def locale_of(chain: Column) -> Column:
+    """X8 row by row: the first locale of an array that there is, else en_US."""
+    return F.coalesce(F.get(F.filter(chain, lambda x: x.isin(list(NAMES))), 0), F.lit("en_US"))
+
+
+def cache_key(entity_type: Column, text: Column, use_realistic: Column, locale: Column) -> Column:
+    """What a surrogate depends on. Opaque ones don't depend on the locale, so all locales share their key."""
+    opaque_one = ~use_realistic | entity_type.isin(ALWAYS_OPAQUE)
+    return F.struct(entity_type.alias("entity_type"), text.alias("text"), (~opaque_one).alias("realistic"), F.when(opaque_one, F.lit("")).otherwise(locale).alias("locale"))
+
+
+def surrogates(wanted: DataFrame, salt: str, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Adds ``surrogate`` to rows (entity_type, text, use_realistic, locale), and gives the rows to append to the cache.
+
+    Each key is computed once, and not at all if the cache (key, surrogate) has it.
+    """
+    keyed = wanted.withColumn("key", cache_key(F.col("entity_type"), F.col("text"), F.col("use_realistic"), F.col("locale")))
+    kind, body = F.col("key.entity_type"), F.col("key.text")
+
+    def compute(keys: DataFrame) -> DataFrame:
+        made = opaque(kind, body, salt)
+        for name in NAMES:
+            made = F.when(F.col("key.realistic") & (F.col("key.locale") == name), realistic(kind, body, salt, name)).otherwise(made)
+        return keys.select("key", made.alias("surrogate"))
+
+    known = cache if cache is not None else compute(keyed.select("key").limit(0))
+    found, fresh = lookup_or_compute(keyed, known, ["key"], compute)
+    return found.drop("key"), fresh
+
+
 def salted(salt: str, *parts: Column) -> Column:
     """SHA-256 of the salt and the parts. The salt's length stands in front, so no other salt and text give the same input."""
     return F.sha2(F.concat(F.lit(f"{len(salt.encode())}:{salt}"), *parts), 256)

@@ -417,14 +417,14 @@ def accumulate_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _drain(stream: DataFrame, name: str) -> DataFrame:
-    """Runs a stream over what there is, into memory, and gives its rows."""
+    """Runs a stream over what there is, into files of the shared folder, and reads them."""
     spark = stream.sparkSession
-    table = f"{name}_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(table).outputMode("append").option("checkpointLocation", f"{shared_dir(spark)}/{table}").trigger(availableNow=True).start()
+    folder = f"{shared_dir(spark)}/cloakwork/{name}-{uuid.uuid4().hex}"
+    q = stream.writeStream.format("parquet").option("path", f"{folder}/out").outputMode("append").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     if not q.awaitTermination(300):
         q.stop()
         raise TimeoutError(f"{name} did not end")
-    return spark.table(table)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
 def _source(rows: DataFrame, name: str) -> DataFrame:
@@ -437,7 +437,7 @@ def _source(rows: DataFrame, name: str) -> DataFrame:
 
 def accumulate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T4 as a stream with keyed state: what the table gives."""
-    return _drain(G.accumulate_stream(_source(_chunks(spark, sf_dir), "chunks")), "accumulated")
+    return _drain(G.accumulate_stream(_source(_chunks(spark, sf_dir), "chunks"), idle_seconds=None), "accumulated")
 
 
 def gate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -453,11 +453,16 @@ ORACLES["gate_stream"] = f"SELECT conv_id || '-' || turn AS call_id, CAST(i AS I
 
 
 def restore_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Responses joined with puts within the time to live, as streams; inner part of the outer join."""
+    """Responses joined with puts within the time to live, as streams; those without one are late.
+
+    A later row on each side lets the watermark pass all others, so that late ones come out too.
+    """
     v = _vault(spark, sf_dir).select("call_id", "entries", "put_ts")
     asked = _asked(spark, sf_dir).select("call_id", "ts")
-    joined = G.restore_stream(_source(asked, "asked"), _source(v, "puts"))
-    return _drain(joined, "restored").where("entries is not null").select(F.col("call_id").alias("doc_id"), F.size("entries").cast("bigint").alias("n"))
+    end = spark.range(1).select(F.lit(-1).cast("bigint").alias("call_id"), F.lit("2024-01-01 06:00:00").cast("timestamp").alias("ts"))
+    puts = v.unionByName(end.select("call_id", F.array().cast(v.schema["entries"].dataType).alias("entries"), F.col("ts").alias("put_ts")))
+    done = _drain(G.restore_stream(_source(asked.unionByName(end), "asked"), _source(puts, "puts")), "restored").where("call_id <> -1")
+    return done.select(F.col("call_id").alias("doc_id"), F.size("entries").cast("bigint").alias("n"), F.col("entries").isNull().alias("late"))
 
 
 def entity_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -466,5 +471,6 @@ def entity_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"restore_stream": restore_stream, "entity_rates": entity_rates}
-ORACLES["restore_stream"] = f"WITH {_ENTITIES} SELECT doc_id, count(*) AS n FROM t WHERE {_LIVE} AND {_STAMP} <= TIMESTAMP '2024-01-01 00:04:00' GROUP BY doc_id"
+ORACLES["restore_stream"] = f"""WITH {_ENTITIES}, l AS (SELECT doc_id, count(*) AS n FROM t WHERE {_LIVE} AND {_STAMP} <= TIMESTAMP '2024-01-01 00:04:00' GROUP BY doc_id)
+SELECT doc_id, n, n IS NULL AS late FROM documents LEFT JOIN l USING (doc_id)"""
 ORACLES["entity_rates"] = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL"

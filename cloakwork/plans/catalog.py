@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from cloakwork.plans import calls, detection, outputs, scores, services
+from cloakwork.plans import calls, detection, options, outputs, scores, services
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (detection, outputs, calls, scores, services):
+for _module in (detection, outputs, calls, scores, services, options):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

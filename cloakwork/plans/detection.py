@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,6 +100,7 @@ def ipv6_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["ipv6_valid"] = ipv6_valid
 _H = "[0-9A-Fa-f]{1,4}"
 _FORMS = "|".join([f"({_H}:){{7}}{_H}"] + [f"({_H}(:{_H}){{{a - 1}}})?::({_H}(:{_H}){{0,{6 - a}}})?" if a else f"::({_H}(:{_H}){{0,6}})?" for a in range(0, 7)] + [f"({_H}:){{7}}:"])
+_TAIL_V4 = ":(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])([.](25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
 ORACLES["ipv6_valid"] = f"""
 WITH v AS (SELECT s, kind, regexp_replace(split_part(split_part(s, '/', 1), '%', 1), ':(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])([.](25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){{3}}$', ':0:0') AS plain FROM {values(IPV6, ['s', 'kind'])})
 SELECT s, kind, regexp_full_match(plain, '{_FORMS}') AND (kind = 'a' OR coalesce(TRY_CAST(nullif(split_part(s, '/', 2), '') AS INTEGER), 999) <= 128) AS ok FROM v
@@ -134,9 +137,8 @@ def _overlap(strategy: str):
     return run
 
 
-def _overlap_sql(strategy: str) -> str:
-    every = " UNION ALL ".join(f"SELECT doc_id, start, stop, value, '{k}' AS entity_type, {i} AS ord FROM ({_spans_sql('documents', p)}) AS s{i}" for i, (k, p) in enumerate(OVERLAPPING))
-    order = "start - stop, start, ord" if strategy == "longest" else "ord, start"
+def _resolved_sql(every: str, order: str) -> str:
+    """Of candidates (doc_id, start, stop, value, entity_type, ord), in this order, those that overlap none taken before."""
     return f"""
 WITH RECURSIVE c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {order}) AS n FROM ({every}) AS e),
 lists AS (SELECT doc_id, list({{'a': start, 'b': stop, 'v': value, 't': entity_type}} ORDER BY n) AS l FROM c GROUP BY doc_id),
@@ -146,6 +148,11 @@ SELECT doc_id, k.a AS start, k.b AS stop, k.v AS value, k.t AS entity_type FROM
 """
 
 
+def _overlap_sql(strategy: str) -> str:
+    every = " UNION ALL ".join(f"SELECT doc_id, start, stop, value, '{k}' AS entity_type, {i} AS ord FROM ({_spans_sql('documents', p)}) AS s{i}" for i, (k, p) in enumerate(OVERLAPPING))
+    return _resolved_sql(every, "start - stop, start, ord" if strategy == "longest" else "ord, start")
+
+
 for _s in ("longest", "priority"):
     QUERIES[f"overlap_{_s}"] = _overlap(_s)
     ORACLES[f"overlap_{_s}"] = _overlap_sql(_s)
@@ -154,20 +161,111 @@ for _s in ("longest", "priority"):
 # ---- packs -------------------------------------------------------------------------------------------------------------
 
 
-def default_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The default pack over documents, validated and resolved; a look-behind in one rule has no SQL counterpart."""
-    found = D.scan(docs(spark, sf_dir), load_pack(), strategy="longest").select("doc_id", F.explode_outer("candidates").alias("c")).where("c is not null")
-    return found.select("doc_id", "c.start", F.col("c.end").alias("stop"), "c.value", "c.entity_type")
+def _pack_query(name: str, scan):
+    """A pack over documents, validated and resolved."""
 
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = scan(docs(spark, sf_dir)).select("doc_id", F.explode_outer("candidates").alias("c")).where("c is not null")
+        return found.select("doc_id", "c.start", F.col("c.end").alias("stop"), "c.value", "c.entity_type")
 
-def extended_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D3: the extended pack over documents, in Python's dialect."""
-    found = D.scan_with_python(docs(spark, sf_dir), load_pack("bundled:rules_extended.yaml"), strategy="longest").select("doc_id", F.explode_outer("candidates").alias("c")).where("c is not null")
-    return found.select("doc_id", "c.start", F.col("c.end").alias("stop"), "c.value", "c.entity_type")
+    QUERIES[name] = run
 
 
-QUERIES["default_pack"] = default_pack
-QUERIES["extended_pack"] = extended_pack
+def _default(df: DataFrame) -> DataFrame:
+    return D.scan(df, load_pack(), strategy="longest")
+
+
+def _extended(df: DataFrame) -> DataFrame:
+    return D.scan_with_python(df, load_pack("bundled:rules_extended.yaml"), strategy="longest")
+
+
+_pack_query("default_pack", _default)
+_pack_query("extended_pack", _extended)
+
+def re2(pattern: str, flags: tuple[str, ...] = ()) -> tuple[str, str, str, str | None]:
+    """A rule in RE2's dialect: what must stand before its value, the value, what must follow, and a veto on value and rest.
+
+    RE2 has no looking around: what must (not) stand before or behind becomes part of the match, and a look ahead inside
+    becomes a pattern that value and rest must not begin with.
+    """
+    if "VERBOSE" in flags:
+        pattern = re.sub(r"\s+", "", pattern)
+    lead = re.match(r"\(\?[ims]+\)", pattern)
+    head, pattern = (lead[0], pattern[lead.end() :]) if lead else ("", pattern)
+    head += "".join(f"(?{x})" for f, x in (("IGNORECASE", "i"), ("MULTILINE", "m"), ("DOTALL", "s")) if f in flags)
+    before = after = ""
+    veto = None
+    if found := re.match(r"\(\?<([=!])((?:[^()\\]|\\.)*)\)", pattern):
+        inside = found[2]
+        before = f"(?:{inside})" if found[1] == "=" else f"(?:^|[^{inside[1:-1] if inside[0] == '[' else inside}])"
+        pattern = pattern[found.end() :]
+    if found := re.search(r"\(\?([=!])((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*)\)$", pattern):
+        after = f"(?:{found[2]})" if found[1] == "=" else f"(?:$|[^{found[2][1:-1]}])"
+        pattern = pattern[: found.start()]
+    if found := re.search(r"\(\?!((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*)\)", pattern):
+        veto = f"^(?:{found[1]})"
+        pattern = pattern[: found.start()] + pattern[found.end() :]
+    cut = D.split_group(pattern)
+    start, value, end = cut if cut else ("", f"(?:{pattern})", "")
+    return head, *(_classes(x) for x in (before + start, value, end + after)), _classes(veto) if veto else None
+
+
+def _classes(pattern: str) -> str:
+    """Word characters as in Unicode, inside and outside of sets."""
+    out, in_set, i = "", False, 0
+    while i < len(pattern):
+        two = pattern[i : i + 2]
+        if two[0] == "\\":
+            out += {"\\w": r"\pL\pN_" if in_set else r"[\pL\pN_]"}.get(two, two)
+            i += 2
+            continue
+        in_set = (in_set or two[0] == "[") and not (two[0] == "]" and in_set)
+        out += two[0]
+        i += 1
+    return out
+
+
+#: Rules whose alternatives look behind each for themselves, by a piece of their pattern: what stands before, value, after.
+APART = {
+    "(?<=AWS_SECRET_ACCESS_KEY=)": [("AWS_SECRET_ACCESS_KEY=", "[A-Za-z0-9/+]{40}", r"\b"), (r"aws_secret_access_key\s=\s", "[A-Za-z0-9/+]{40}", r"\b")],
+    r"(?:(?<=\s-p\s')": [(r"""\s-p\s['"]""", """[^'"]{4,64}""", """['"]"""), (r"\s-p\s", r"""[^\s'"]{4,64}""", r"(?:\s|$)"), (":'", "[^'@]{4,64}", "'@")],
+    r"(?:(?<=-u\s)": [(r"-u\s", r"[a-zA-Z][a-zA-Z0-9._\-]{2,40}", r"\b")],
+}
+
+
+def _parts_sql(source: str, parts: tuple[str, str, str, str, str | None]) -> str:
+    """doc_id, start, stop, value of all matches of (before)(value)after."""
+    head, before, value, after, veto = parts
+    found = _spans_sql(source, f"{head}({before})({value}){after}", 2)
+    return found if veto is None else f"SELECT * FROM ({found}) AS v WHERE NOT regexp_matches(value, '{veto}')"
+
+
+_DIGITS = "regexp_replace(value, '[^0-9]', '', 'g')"
+_SQL_CHECKS = {
+    "CREDIT_CARD": f"length({_DIGITS}) >= 2 AND list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN (length({_DIGITS}) - i) % 2 = 0 THEN CAST(substr({_DIGITS}, CAST(i AS BIGINT), 1) AS INTEGER) ELSE (2 * CAST(substr({_DIGITS}, CAST(i AS BIGINT), 1) AS INTEGER)) // 10 + (2 * CAST(substr({_DIGITS}, CAST(i AS BIGINT), 1) AS INTEGER)) % 10 END)) % 10 = 0",
+    "IBAN": "CAST(array_to_string(list_transform(string_split(substr(upper(replace(value, ' ', '')), 5) || substr(upper(replace(value, ' ', '')), 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE CAST(ascii(c) - 55 AS VARCHAR) END), '')[1:18] AS HUGEINT) IS NOT NULL AND list_reduce(list_prepend(0::BIGINT, list_transform(string_split(array_to_string(list_transform(string_split(substr(upper(replace(value, ' ', '')), 5) || substr(upper(replace(value, ' ', '')), 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE CAST(ascii(c) - 55 AS VARCHAR) END), ''), ''), lambda c: CAST(c AS BIGINT))), lambda x, y: (x * 10 + y) % 97) = 1",
+    "IPV4_ADDRESS": _V4.format(x="value"),
+    "IPV6_ADDRESS": f"regexp_full_match(regexp_replace(split_part(value, '%', 1), '{_TAIL_V4}', ':0:0'), '{_FORMS}')",
+    "IPV6_CIDR": f"regexp_full_match(regexp_replace(split_part(value, '/', 1), '{_TAIL_V4}', ':0:0'), '{_FORMS}') AND coalesce(TRY_CAST(split_part(value, '/', 2) AS INTEGER), 999) <= 128",
+    "IPV4_CIDR": _V4.format(x="split_part(value, '/', 1)") + " AND CAST(split_part(value, '/', 2) AS INTEGER) <= 32",
+}
+
+
+def _pack_sql(rules: list[Rule]) -> str:
+    """All rules as spans in RE2's dialect, checked and then resolved, the longest first."""
+    each = []
+    for i, r in enumerate(rules):
+        value = f"trim(value, {_BLANK})"
+        apart = next((v for k, v in APART.items() if r.pattern.startswith(k)), None)
+        for parts in [("(?m)", *x, None) for x in apart] if apart else [re2(r.pattern, r.flags)]:
+            spans = f"SELECT doc_id, start, stop, {value} AS value, '{r.entity_type}' AS entity_type, {i} AS ord FROM ({_parts_sql('documents', parts)}) AS s"
+            each.append(f"SELECT * FROM ({spans}) AS t WHERE value <> '' AND {_SQL_CHECKS.get(r.entity_type, 'true')}")
+    return _resolved_sql(" UNION ALL ".join(each), "start - stop, start, ord")
+
+
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+ORACLES["default_pack"] = _pack_sql(load_pack())
+ORACLES["extended_pack"] = _pack_sql(load_pack("bundled:rules_extended.yaml"))
 
 FLAGGED = [(1, "Token: ABC\ntoken: def"), (2, "x token:ghi"), (3, "TOKEN: é1")]
 
@@ -206,11 +304,30 @@ def _deny_sql(entries: list[Literal]) -> str:
     return f"SELECT doc_id, start, stop, value, CASE {types} END AS entity_type FROM ({_spans_sql('documents', pattern)}) AS s"
 
 
+def _bounded_sql(entries: list[Literal]) -> str:
+    """Exact entries with boundaries told by the characters beside each occurrence, then the leftmost and longest ones."""
+    each = []
+    for e in entries:
+        lit = e.value.replace("'", "''")
+        edge = lambda at: f"NOT regexp_matches(substr(text, {at}, 1), '[\\pL\\pN_]')"
+        tests = [edge("start") + " OR start = 0"] * (e.word_boundary and (e.value[0].isalnum() or e.value[0] == "_")) + [edge("stop + 1")] * (e.word_boundary and (e.value[-1].isalnum() or e.value[-1] == "_"))
+        found = f"SELECT doc_id, text, CAST(unnest(list_transform(range(1, len(p)), lambda i: list_sum(list_transform(p[1:i], lambda x: length(x))) + (i - 1) * {len(e.value)})) AS INTEGER) AS start FROM (SELECT doc_id, text, string_split(text, '{lit}') AS p FROM documents) AS a"
+        each.append(f"SELECT doc_id, start, stop, '{lit}' AS value, '{e.entity_type}' AS entity_type FROM (SELECT *, start + {len(e.value)} AS stop FROM ({found}) AS b) AS c WHERE " + " AND ".join(f"({t})" for t in tests or ["true"]))
+    return f"""
+WITH RECURSIVE c AS ({" UNION ALL ".join(each)}),
+lists AS (SELECT doc_id, list({{'a': start, 'b': stop, 'v': value, 't': entity_type}} ORDER BY start, start - stop) AS l FROM c GROUP BY doc_id),
+fold AS (SELECT doc_id, 0 AS i, l, 0 AS last, false AS taken FROM lists
+  UNION ALL SELECT doc_id, i + 1, l, CASE WHEN l[i + 1].a >= last THEN l[i + 1].b ELSE last END, l[i + 1].a >= last FROM fold WHERE i < len(l))
+SELECT doc_id, l[i].a AS start, l[i].b AS stop, l[i].v AS value, l[i].t AS entity_type FROM fold WHERE taken
+"""
+
+
 #: Entries without word boundaries: RE2 takes letters beyond ASCII for the edge of a word.
 BARE = [Literal("ORGANIZATION", "tion the", True, False), Literal("OTHER", "ing", True, False), Literal("PERSON", "tion", True, False)]
 QUERIES["denylist_bare"] = _deny(BARE)
 ORACLES["denylist_bare"] = _deny_sql(BARE)
 QUERIES["denylist_exact"] = _deny(EXACT)
+ORACLES["denylist_exact"] = _bounded_sql(EXACT)
 QUERIES["denylist_automaton"] = _deny(BARE[1:], "aho")
 ORACLES["denylist_automaton"] = _deny_sql(BARE[1:])
 BARE_CASELESS = [Literal("IDENTIFIER", "TION", False, False), Literal("OTHER", "ed.", False, False)]

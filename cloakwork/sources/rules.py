@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 DEEPEST = 8
 DEFAULT_PACK = "rules_default.yaml"
+DEFAULT_PROMPT = "bundled:prompt_default.txt"
 EXTENDED_PACK = "rules_extended.yaml"
 
 #: Names of flags, and the Java inline flag of each. ASCII has none: it leaves the Unicode flag out.

@@ -12,12 +12,24 @@ from cloakwork.sources.rules import Literal, Rule
 
 class Handler(BaseHTTPRequestHandler):
     def do_POST(self):
+        if self.path == "/chat":
+            return self.chat()
         text = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["text"]
         status, body = {"good": (200, b'{"spans": [{"label": "x", "start": 0, "end": 4, "text": "good"}]}'), "busy": (503, b""), "junk": (200, b"<html>"), "odd": (200, b"[]")}[text]
         self.send_response(status)
         self.end_headers()
         self.wfile.write(body)
 
+    def chat(self):
+        """Says what it was asked; a user text in braces is the answer."""
+        asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        text = asked["messages"][1]["content"]
+        told = json.dumps({"entities": [{"text": f"{asked['model']}", "type": "M"}, {"text": asked["messages"][0]["content"], "type": "P"}, {"text": self.headers["Authorization"], "type": "K"}, {"text": "nowhere", "type": "X"}, "odd"]})
+        reply = text if text.startswith("{") else f"Sure: {told}"
+        self.send_response(200)
+        self.end_headers()
+        self.wfile.write(json.dumps({"choices": [{"message": {"content": reply}}]} if text != "none" else {}).encode())
+
     def log_message(self, *args):
         pass
 
@@ -69,3 +81,32 @@ def test_chunks(spark):
     df = spark.createDataFrame([("",), ("a  b\nc ",), (" x",), ("é" * 15,)], "t string")
     got = df.select(synthetic.chunks(F.col("t")).alias("w"), synthetic.chunks(F.col("t"), 7).alias("f")).collect()
     assert [r.w for r in got] == [[], ["a  ", "b\n", "c "], [" ", "x"], ["é" * 15]] and [len(r.f) for r in got] == [0, 1, 1, 3]
+
+
+def test_chat_client(spark, url):
+    """Model, prompt and key, from the client or from the call; entities that aren't in the text are dropped."""
+    texts = ["m1 under p1 with Bearer k1", "m2 under p2 with Bearer k2", '{"entities": {}}', '{"entities": []}', "none", "{broken"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    make = lambda: remote.chat_client(url.replace("/detect", "/chat"), "m1", "p1", "k1")
+    own = {r.i: (r.status, r.error_kind, [(s.label, s.text) for s in r.spans]) for r in remote.detect(df, make).collect()}
+    assert own[0] == ("ok", None, [("M", "m1"), ("P", "p1"), ("K", "Bearer k1")]) and own[1] == ("ok", None, [])
+    assert own[2] == own[4] == own[5] == ("unavailable", "shape", []) and own[3] == ("ok", None, [])
+    other = {r.i: [s.text for s in r.spans] for r in remote.detect(df, make, {"llm_model": "m2", "llm_prompt": "p2", "llm_key": "k2"}).collect()}
+    assert other[1] == ["m2", "p2", "Bearer k2"] and other[0] == []
+
+
+def test_store(spark, tmp_path):
+    from cloakwork.operators.storage import TableStore
+
+    store = TableStore(spark, str(tmp_path / "s"), "k string, v int, put_ts timestamp", ["k"], ttl_seconds=60)
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, v int, at string").selectExpr("k", "v", "cast(at as timestamp) as put_ts", "1 as extra")
+    assert store.rows().count() == 0
+    store.compact()
+    store.put(rows(("a", 1, "2024-01-01 00:00:00"), ("b", 1, "2024-01-01 00:00:00"), (None, 5, "2024-01-01 00:00:30")))
+    store.put(rows(("a", 2, "2024-01-01 00:00:30"), ("a", 3, "2024-01-01 00:00:30")))
+    (tmp_path / "s" / "put-unfinished").mkdir()
+    want = [(None, 5), ("a", 3), ("b", 1)]
+    for _ in range(2):
+        assert sorted(((r.k, r.v) for r in store.rows().collect()), key=str) == sorted(want, key=str)
+        store.compact()
+    assert sorted((r.v for r in store.rows("2024-01-01 00:01:10").collect())) == [3, 5]
