@@ -9,9 +9,11 @@ the next stage. All stages but the last return the columns of documents.
    and one row of those repeated with doc_id and text.
 3. ``decontaminate`` drops documents in which a 10-word window of a benchmark item occurs.
 4. ``secrets`` replaces secrets by a mask in the text (n_chars follows); no document is dropped.
-5. ``encode`` adds sampled piece ids as ``ids``, and keeps documents' other columns.
+5. ``encode`` adds sampled piece ids as a last column, ``ids``, or ids_1 and so on if documents have an ``ids`` of their own.
 
-Extra columns are kept by all stages; names that start with two underscores are reserved.
+Extra columns are kept by all stages; names that start with two underscores are reserved. What a stage wrote is deleted once the
+next one has written its result. Null texts go in the first stage; a null doc_id is a key like others (near_dup says what of
+it stays), repeated rows leave one, and an empty table gives an empty result with all columns.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from cloakwork.llm import near_dup as duplicates
 from cloakwork.llm import piece_sampling as pieces
 from cloakwork.llm import secret_scan as secret
 from cloakwork.llm.common import shared_dir, table
+from cloakwork.session import remove
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +55,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encode(docs.drop("ids"))
+    return pieces.encode(docs)
 
 
 STAGES = [("language_id", language_id), ("near_dup", near_dup), ("decontaminate", decontaminate), ("secrets", secrets), ("encode", encode)]
@@ -65,11 +68,15 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; each result is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/cloakwork/pipeline-{uuid.uuid4().hex}"
+    before = None
     for i, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         path = f"{folder}/{i}-{name}"
         out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
 
 
