@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cloakwork.session import shared_dir, spread, written
 
-__all__ = ["ascii_lower", "shared_dir", "small_batches", "table", "table_schema", "text_key", "worker_cache", "written"]
+__all__ = ["ascii_lower", "free_name", "shared_dir", "small_batches", "table", "table_schema", "text_key", "worker_cache", "written"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -30,6 +30,11 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or with the first number behind it under which df has no column yet."""
+    return next(x for x in (name, *(f"{name}_{i}" for i in range(1, len(df.columns) + 2))) if x not in df.columns)
+
+
 def text_key(text: Column) -> Column:
     """64 bits that tell texts of one doc_id apart, null included."""
     return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())

@@ -93,16 +93,17 @@ def bundle(keys: np.ndarray, counts: np.ndarray, dim: int, n: int, letters: dict
     return total
 
 
-def learn(docs: DataFrame, label: str = "lang", text: str = "text", usable: Column | None = None, order: Column | None = None, per_language: int = 4000, dim: int = 2048, n: int = 3) -> Profiles:
+def learn(docs: DataFrame, label: str = "lang", text: str = "text", usable: Column | None = None, order: Column | None = None, per_language: int = 4000, most_languages: int = 2000, dim: int = 2048, n: int = 3) -> Profiles:
     """Prototypes from labelled rows.
 
     ``per_language`` bounds the rows learned from in each language (in expectation): their share follows from exact
-    counts of labels, and rows are taken by a hash of ``order``, so the same rows are taken at every partitioning.
+    counts of labels, and rows are taken by a hash of ``order``, each value of it once, so the same rows are taken at every
+    partitioning and repeated ones don't add up. ``most_languages`` bounds the languages that are learned, the commonest ones.
     """
     spark = docs.sparkSession
     order = F.col("doc_id") if order is None else order
     rows = docs.where((F.lit(True) if usable is None else usable) & F.col(label).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}  # as many rows as there are languages
+    counts = {r[0]: r[1] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(most_languages).collect()}
     languages = sorted(counts)
     if not languages:
         return Profiles([], np.zeros((0, dim)), n)
@@ -126,7 +127,8 @@ def learn(docs: DataFrame, label: str = "lang", text: str = "text", usable: Colu
             total = bundle(keys, np.array([own[k] for k in sorted(own)]), dim, n, letters)
             yield pa.RecordBatch.from_pydict({"language": [language], "vector": [total.tolist()]})
 
-    parts = sample.select(F.col(label).alias("language"), F.col(text).alias("body"))
+    once = sample.groupBy(F.col(label).alias("language"), order.cast("string").alias("__order")).agg(F.min(text).alias("body"))
+    parts = once.select("language", "body")
     # The bounded sample goes to eight tasks, so at most 8 vectors a language come to the driver.
     parts = parts.repartition(8).mapInArrow(bundled, "language string, vector array<double>")
     sums = {k: np.zeros(dim) for k in languages}
@@ -146,7 +148,7 @@ class Scorer:
         self.clear()
 
     def clear(self) -> None:
-        self.place, self.known = {}, np.zeros((0, len(self.p.languages)))
+        self.place, self.known = {}, np.zeros((1024, len(self.p.languages)))
 
     def places(self, keys: np.ndarray) -> np.ndarray:
         new = [k for k in keys.tolist() if k not in self.place]
@@ -154,9 +156,13 @@ class Scorer:
             if len(self.place) + len(new) > self.most:
                 self.clear()
                 new = keys.tolist()
-            scored = [gram_vectors(np.array(new[i : i + 512], np.uint64), self.dim, self.p.n, self.letters) @ self.p.vectors.T for i in range(0, len(new), 512)]
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-            self.known = np.concatenate([self.known, *scored])
+            at, end = len(self.place), len(self.place) + len(new)
+            while end > len(self.known):  # twice the room, so that what is known is seldom copied
+                self.known = np.concatenate([self.known, np.zeros_like(self.known)])
+            for i in range(0, len(new), 512):
+                part = new[i : i + 512]
+                self.known[at + i : at + i + len(part)] = gram_vectors(np.array(part, np.uint64), self.dim, self.p.n, self.letters) @ self.p.vectors.T
+            self.place.update(zip(new, range(at, end)))
         return np.fromiter(map(self.place.__getitem__, keys.tolist()), np.int64, len(keys))
 
     def score(self, text: str | None) -> tuple[str, float]:

@@ -18,7 +18,7 @@ shared bigram never raises the coefficient, so a run starts at a line with one,
 many bigrams; that loses nothing.
 
 Shared bigrams of the other segments are counted by looking each bigram up in the broadcast bigrams of the templates (a fixed set whose size is
-checked), so no segment is paired with a template with which it shares nothing. One scan; what is exchanged is a row for
+counted; more than ``most_bigrams`` are looked up in blocks, with the same result), so no segment is paired with a template with which it shares nothing. One scan; what is exchanged is a row for
 each document and the counts of hits.
 
 Defined results: null and empty texts and segments of fewer than two words match nothing; rows repeated in documents are
@@ -33,28 +33,42 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cloakwork.functions.arrays import let as _let
+from cloakwork.functions.arrays import record as _record
+from cloakwork.functions.arrays import running_sum
 from cloakwork.llm.common import ascii_lower, text_key
 from cloakwork.llm.decontaminate import WORD, words_of
 
 #: Wording of public licences and of common notices.
 TEMPLATES = {
+    "AGPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
     "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     "BSD-line": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "BSL-1.0-notice": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)",
     "CC-BY-4.0-line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0-line": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC0-1.0-line": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "EPL-2.0-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "GPL-2.0-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA",
     "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "LGPL-2.1-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA",
+    "LGPL-3.0-notice": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this library. If not, see <https://www.gnu.org/licenses/>.",
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "MIT-line": "Released under the MIT License.",
     "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "Reserved-line": "All rights reserved.",
-    "SPDX-MIT-line": "SPDX-License-Identifier: MIT",
     "SPDX-Apache-2.0-line": "SPDX-License-Identifier: Apache-2.0",
+    "SPDX-BSD-3-Clause-line": "SPDX-License-Identifier: BSD-3-Clause",
+    "SPDX-GPL-3.0-line": "SPDX-License-Identifier: GPL-3.0-or-later",
+    "SPDX-MIT-line": "SPDX-License-Identifier: MIT",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
 }
 
 LEVELS = ["line", "paragraph", "text", "run"]
@@ -74,23 +88,13 @@ def template_table(spark, templates: dict[str, str]) -> DataFrame:
     return rows.select("name", _bigrams(words_of(F.col("text"))).alias("b")).select("name", F.size("b").alias("size"), F.explode("b").alias("bigram"))
 
 
-def _let(value: Column, use) -> Column:
-    """use(value) with value evaluated once."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
-def _record(**fields: Column) -> Column:
-    """A struct; aliases would be lost inside of arrays."""
-    return F.named_struct(*[x for k, v in fields.items() for x in (F.lit(k), v)])
-
-
 def _positions(body: Column) -> Column:
     """All pairs of neighbouring words in order: first's word index in the text's pairs, of its line; hash; lines and paragraphs of both words; line of the last equal pair before."""
     newlines = lambda c: F.size(F.split(c, "\n", -1)) - 1
     steps = F.zip_with(F.split(body, PARAGRAPHS, -1), F.regexp_extract_all(body, F.lit(PARAGRAPHS), F.lit(0)), lambda p, gap: _record(part=p, n=newlines(p) + newlines(F.coalesce(gap, F.lit("")))))
 
     def words(steps: Column) -> Column:
-        bases = F.aggregate(steps, F.array(F.lit(0)), lambda at, x: F.concat(at, F.array(F.element_at(at, -1) + x["n"])))
+        bases = F.concat(F.array(F.lit(0)), running_sum(F.transform(steps, lambda x: x["n"])))
         of_line = lambda line, place, p: F.transform(words_of(line), lambda w, i: _record(w=w, line=place, p=p, i=i))
         return _let(bases, lambda at: F.flatten(F.transform(steps, lambda x, p: F.flatten(F.transform(F.split(x["part"], "\n", -1), lambda line, i: of_line(line, F.get(at, p) + i, p))))))
 
@@ -190,13 +194,23 @@ def anchors(templates: dict[str, str], percent: int) -> list[str]:
     return chosen
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "text", doc_id: str = "doc_id", percent: int = 80) -> DataFrame:
+def _blocks(sizes: dict[str, int], most: int) -> list[list[str]]:
+    """Names of templates in blocks of at most ``most`` bigrams, or of one template; at least one block."""
+    out, left = [[]], most
+    for name, size in sorted(sizes.items()):
+        if size > left and out[-1]:
+            out.append([])
+            left = most
+        out[-1].append(name)
+        left -= size
+    return out
+
+
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "text", doc_id: str = "doc_id", percent: int = 80, most_bigrams: int = MOST_BIGRAMS) -> DataFrame:
     """One row per row of docs: doc_id, matches (array of template, dice, level, place; best first)."""
     spark = docs.sparkSession
     known = template_table(spark, TEMPLATES if templates is None else templates)
-    n, low, high = known.agg(F.count("*"), F.min("size"), F.max("size")).first()
-    if n > MOST_BIGRAMS:
-        raise ValueError(f"{n} template bigrams; scan with subsets of at most {MOST_BIGRAMS} and unite the results")
+    low, high = known.agg(F.min("size"), F.max("size")).first()
     by_name = [(r["name"], r["size"], r["b"]) for r in known.groupBy("name", "size").agg(F.collect_set("bigram").alias("b")).orderBy("name").collect()]
     low, high = (low or 1) * percent / (200 - percent), (high or 0) * (200 - percent) / percent
     body = F.coalesce(F.col(text), F.lit(""))
@@ -234,9 +248,13 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "
     # The bounds stand inside the generator: a filter would be pushed below and cut the words again.
     within = F.when(F.col("level") == -1, F.array(F.lit(0).cast("bigint"))).when(F.size("b").between(low, high), F.col("b"))
     each = sized.select("doc_id", "__key", "runs", "level", "place", F.size("b").alias("own"), F.explode(within).alias("bigram"))
-    side = known.select(F.col("bigram").alias("tb"), "name", "size")
     bounded = (F.col("own") * (200 - percent) >= F.col("size") * percent) & (F.col("size") * (200 - percent) >= F.col("own") * percent)
-    hit = each.join(F.broadcast(side), (F.col("bigram") == F.col("tb")) & (F.col("level") >= 0) & bounded, "left").where((F.col("level") == -1) | F.col("name").isNotNull())
+    hit = None
+    for i, names in enumerate(_blocks({name: size for name, size, _ in by_name}, most_bigrams)):
+        side = known.where(F.col("name").isin(names)).select(F.col("bigram").alias("tb"), "name", "size")
+        one = each if i == 0 else each.where("level >= 0")  # a document's own row comes once
+        one = one.join(F.broadcast(side), (F.col("bigram") == F.col("tb")) & (F.col("level") >= 0) & bounded, "left").where((F.col("level") == -1) | F.col("name").isNotNull())
+        hit = one if hit is None else hit.unionByName(one)
     # A document's rows come from one task, so partial aggregation does nearly all of the work. Sets hold at most a
     # template's bigrams, and make repeated rows count once.
     counted = hit.groupBy("doc_id", "__key", "level", "place", "own", "name", "size").agg(F.count("*").alias("rows"), F.size(F.collect_set("bigram")).alias("shared"), F.first("runs", ignorenulls=True).alias("runs"))

@@ -10,15 +10,19 @@ links reach.
    class is verified on full sets against the pivot with which it shares most bands, then, in buckets that still hold
    several components, against the pivots of other components. So a group of n near copies around a text costs a few n
    verifications, not n^2 / 2.
-3. What may be left are links between classes of different components that share a bucket. They are found exactly, by a
-   prefix join over the classes of such buckets: shingles are ordered rare first, two linked sets share one of their first
-   few shingles, and the places at which they share it bound their intersection. Pairs are formed only across components.
+3. What may be left are links between classes of different components that share a bucket, and so its pivot. They are
+   found exactly, by a prefix join over differences from the pivot: a set is what it has beside the pivot and what it lacks of
+   it, and two sets are linked if their differences share enough. In groups of texts made from one template a shingle
+   that nearly all have tells nothing, but one that a text lacks does. Differences are ordered rare first, two linked sets share
+   one of their first few, and the places at which they share it bound what they share. Where many sets share one,
+   that one is taken out and the group is ordered anew, now by what is rare inside of it, before any pair is formed.
+   Pairs are formed only across components.
 4. Components are taken over all links by alternating large-star and small-star.
 
 The number of bands follows from the threshold: two sets at the threshold share no bucket with probability below 1e-7.
 Every step exchanges keys, digests or sets of candidates, never the pairs of a group; hot keys meet in sort-merge joins
 that adaptive execution can split, or in aggregates that combine before the shuffle. Intermediate tables go to the shared
-folder, so that a lost executor costs a reread.
+folder, so that a lost executor costs a reread; all but what the result reads are deleted at the end.
 
 Defined results: null and empty texts have no shingles, are linked with nothing and are their own component (kept). The
 component's id is its least doc_id that isn't null; a row with a null doc_id is kept only if its component has no other
@@ -34,10 +38,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakwork.llm.common import small_batches, table_schema, text_key, written
+from cloakwork.session import Scratch
 
 ROWS = 4
 MISS = 1e-7
@@ -45,6 +50,8 @@ SKETCH = 1 << 18
 KNOWN_WORDS = 300_000
 #: Up to so many candidates are broadcast to the texts; more are joined with a shuffle of the texts.
 FEW = 200_000
+#: Groups of more sets than this that share a difference are ordered anew, up to so many times; both decide speed only.
+LARGE, DEEPEST = 32, 3
 C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -165,7 +172,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("cls").alias("x"), F.col("items").alias("xs"))
     right = sets.select(F.col("cls").alias("y"), F.col("items").alias("ys"))
     both = pairs.select("x", "y").join(left, "x").join(right, "y").select("x", "y", (F.size("xs") + F.size("ys")).alias("n"), F.size(F.array_intersect("xs", "ys")).alias("shared"))
-    return both.where(F.col("shared") * 100 >= (F.col("n") - F.col("shared")) * percent).select("x", "y")
+    return both.where(_linked(F.col("shared"), F.col("n"), percent)).select("x", "y")
+
+
+def _linked(shared: Column, sizes: Column, percent: int) -> Column:
+    return shared * 100 >= (sizes - shared) * percent
 
 
 def _is_forest_of_stars(e: DataFrame) -> bool:
@@ -174,84 +185,120 @@ def _is_forest_of_stars(e: DataFrame) -> bool:
     return ends.groupBy("v").agg(F.sum("up").alias("up"), F.count("*").alias("n")).where("up > 1 or (up = 1 and n > 1)").isEmpty()
 
 
-def connected(edges: DataFrame, most: int = 50) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """(v, root) for every vertex of edges (x, y): alternating large-star and small-star until only stars are left.
 
     Vertices may be of any ordered type; root is the least vertex of the component.
     """
-    e = written(edges.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).where("a != b").distinct(), "edges")
-    for _ in range(most):
-        if _is_forest_of_stars(e):
-            return e.select(F.col("a").alias("v"), F.col("b").alias("root")).union(e.select(F.col("b").alias("v"), F.col("b").alias("root"))).distinct()
+    scratch = Scratch(edges.sparkSession, "components")
+    e = scratch.written(edges.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).where("a != b").distinct(), "edges")
+    while not _is_forest_of_stars(e):
         # large-star: each larger neighbour of a vertex goes to the least of the neighbourhood
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-        large = written(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct(), "large-star")
+        least = scratch.written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large = scratch.written(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct(), "large-star")
+        scratch.drop("edges", "least")
         # small-star: each vertex and its smaller neighbours go to the least of these
-        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        least = scratch.written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         joined = large.join(least, "a")
         small = joined.select("a", F.col("m").alias("b")).union(joined.select(F.col("b").alias("a"), F.col("m").alias("b")))
-        e = written(small.where("a != b").distinct(), "small-star")
-    raise RuntimeError(f"components did not settle in {most} rounds")
+        e = scratch.written(small.where("a != b").distinct(), "edges")
+        scratch.drop("large-star", "least")
+    roots = written(e.select(F.col("a").alias("v"), F.col("b").alias("root")).union(e.select(F.col("b").alias("v"), F.col("b").alias("root"))).distinct(), "roots")
+    scratch.drop()
+    return roots
 
 
-def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """Rare-first prefixes of sets (cls, root, items): token, cls, root, size, weight, pos, indexed.
+def _differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """For members (pivot, cls): how their sets differ from the pivot's.
 
-    The order is by a count sketch of fixed size, then by hash. Any order gives exact results; a better one, fewer pairs.
+    Columns: pivot, cls, n (size of the set), common (with the pivot), np (size of the pivot's), linked (with the pivot),
+    items (hashes that the set has beside the pivot's, and complements of those that it lacks) and w: two
+    members are linked if their items share at least w + w. That is |A & B| = |P| - lacked by A - lacked by B + shared, put
+    into the condition on |A & B|, |A| and |B|.
+    """
+    pivots = sets.select(F.col("cls").alias("pivot"), F.col("items").alias("ps"))
+    both = members.join(sets.select("cls", "items"), "cls").join(pivots, "pivot")
+    has, lacks = F.array_except("items", "ps"), F.array_except("ps", "items")
+    told = both.select("pivot", "cls", F.size("items").alias("n"), F.size("ps").alias("np"), has.alias("has"), lacks.alias("lacks"))
+    told = told.withColumn("common", F.col("np") - F.size("lacks"))
+    t = percent / (100 + percent)
+    w = F.size("lacks") * F.lit(1 - t) + F.size("has") * F.lit(t) - F.col("np") * F.lit(0.5 - t)
+    items = F.concat("has", F.transform("lacks", lambda x: F.bitwise_not(x)))
+    return told.select("pivot", "cls", "n", "common", "np", _linked(F.col("common"), F.col("n") + F.col("np"), percent).alias("linked"), w.alias("w"), items.alias("items"))
+
+
+def _prefixes(rows: DataFrame) -> DataFrame:
+    """Rare-first prefixes of rows (gid, pivot, cls, root, w, least, items): token, gid, pivot, cls, root, w, size, pos, indexed.
+
+    Of two members of a group the one of smaller w has all that must be met in its indexed prefix, the other in its whole
+    prefix, as no member has a smaller w than ``least``. The order is by a count sketch of fixed size, then by hash. Any order
+    gives exact results; a better one, fewer pairs.
     """
-    spark = sets.sparkSession
-    counts = sets.select(F.explode("items").alias("t")).groupBy(F.pmod("t", F.lit(SKETCH)).alias("slot")).count()
+    spark = rows.sparkSession
+    slots = F.transform("items", lambda t: F.pmod(F.xxhash64("gid", t), F.lit(SKETCH)).cast("int"))
+    counts = rows.select(F.explode(slots).alias("slot")).groupBy("slot").count()
     sketch = np.zeros(SKETCH, np.int64)  # fixed size, whatever the corpus
     got = counts.toPandas()
     sketch[got["slot"].to_numpy(np.int64)] = got["count"].to_numpy(np.int64)
     shared = spark.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["token", "gid", "pivot", "cls", "root", "w", "size", "pos", "indexed"]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.int32(), pa.int32(), pa.bool_()]
         for batch in batches:
-            columns = [[], [], [], [], [], [], []]
-            for cls, root, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            columns: list[list] = [[] for _ in names]
+            *plain, all_items, all_slots = batch.columns
+            for (gid, pivot, cls, root, w, least), items, where in zip(zip(*(c.to_pylist() for c in plain)), all_items, all_slots):
                 s = np.asarray(items.values, np.int64)
                 n = len(s)
-                often = shared.value[s % SKETCH]
-                probe = n - -(-percent * n // 100) + 1
-                index = n - -(-2 * percent * n // (100 + percent)) + 1
-                order = np.lexsort((s, often))[:probe]
-                for c, v in zip(columns, (s[order].tolist(), [cls] * len(order), [root] * len(order), [n] * len(order), [int(often[order[:index]].sum())] * len(order), range(len(order)), [i < index for i in range(len(order))])):
+                probe, index = (n - max(1, math.ceil(need - 1e-9)) + 1 for need in (w + least, 2 * w))
+                if probe <= 0:
+                    continue
+                order = np.lexsort((s, shared.value[np.asarray(where.values, np.int64)]))[:probe]
+                for c, v in zip(columns, (s[order].tolist(), *([x] * len(order) for x in (gid, pivot, cls, root, w, n)), range(len(order)), [i < index for i in range(len(order))])):
                     c.extend(v)
-            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["token", "cls", "root", "size", "weight", "pos", "indexed"])
-
-    return sets.select("cls", "root", "items").mapInArrow(run, "token bigint, cls binary, root binary, size int, weight bigint, pos int, indexed boolean")
-
-
-def _across(sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of classes of different roots whose prefixes allow a link. sets: cls, root, items."""
-    rows = written(_prefixes(sets, percent), "prefixes")
-    mixed = rows.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r != s").select("token")
-    rows = written(rows.join(mixed, "token"), "mixed-prefixes")
-    p, q = rows.alias("p"), rows.where("indexed").alias("q")
-    smaller = F.struct("q.size", "q.weight", "q.cls") < F.struct("p.size", "p.weight", "p.cls")
-    need = F.ceil((F.col("p.size") + F.col("q.size")) * F.lit(percent) / F.lit(100 + percent) - 1e-9)
-    fits = F.least(F.col("p.size") - F.col("p.pos"), F.col("q.size") - F.col("q.pos")) >= need
-    pairs = p.join(q, (F.col("p.token") == F.col("q.token")) & (F.col("p.root") != F.col("q.root")) & smaller & (F.col("q.size") * 100 >= F.col("p.size") * percent) & fits)
-    return pairs.select(F.col("p.cls").alias("x"), F.col("q.cls").alias("y")).distinct()
-
-
-def _with_pivots(rows: DataFrame) -> DataFrame:
-    """(x, y, together) for rows (bucket, cls, degree, root): each class, its buckets' pivots of another root, and in how
-    many buckets it meets them.
-    """
-    top = rows.groupBy("bucket").agg(F.max(F.struct("degree", "cls", "root")).alias("top")).select("bucket", F.col("top.cls").alias("y"), F.col("top.root").alias("y_root"))
-    return rows.select("bucket", F.col("cls").alias("x"), "root").join(written(top, "pivots"), "bucket").where("root != y_root").groupBy("x", "y").agg(F.count("*").alias("together"))
-
-
-def _unsettled(rows: DataFrame, roots: DataFrame) -> DataFrame:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+
+    sent = rows.select("gid", "pivot", "cls", "root", "w", "least", "items", slots.alias("slots"))
+    return sent.mapInArrow(run, "token bigint, gid bigint, pivot binary, cls binary, root binary, w double, size int, pos int, indexed boolean")
+
+
+def _across(rows: DataFrame, scratch: Scratch, depth: int = 1) -> DataFrame:
+    """Pairs (pivot, x, y) of classes of different roots whose prefixes allow a link. rows: gid, pivot, cls, root, w, items."""
+    groups = rows.groupBy("gid").agg(F.min(F.struct("w", "cls", "root")).alias("first"), F.min("root").alias("r"), F.max("root").alias("s")).where("r != s").select("gid", F.col("first.w").alias("least"), F.col("first.cls").alias("y"), F.col("first.root").alias("y_root"))
+    rows = scratch.written(rows.join(groups, "gid"), f"group-members-{depth}")
+    # Two members that need share nothing more are both linked with the one of least w, through which they meet.
+    free = rows.where((F.col("w") + F.col("least") <= 1e-9) & (F.col("root") != F.col("y_root"))).select("pivot", F.col("cls").alias("x"), "y")
+    prefixes = scratch.written(_prefixes(rows), f"prefixes-{depth}")
+    met = prefixes.groupBy("gid", "token").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("n"), F.avg("size").alias("mean")).where("r != s")
+    # To order a group anew moves its members' items once more, which pays off where pairs would be more than that.
+    large = (F.col("n") > LARGE) & (F.col("n") * 2 > F.col("mean")) if depth < DEEPEST else F.lit(False)
+    found = scratch.written(prefixes.join(met.select("gid", "token", large.alias("large")), ["gid", "token"]), f"met-{depth}")
+    p, q = found.where("not large").alias("p"), found.where("indexed and not large").alias("q")
+    smaller = F.struct("q.w", "q.cls") < F.struct("p.w", "p.cls")
+    fits = F.least(F.col("p.size") - F.col("p.pos"), F.col("q.size") - F.col("q.pos")) >= F.ceil(F.col("p.w") + F.col("q.w") - 1e-9)
+    pairs = p.join(q, (F.col("p.gid") == F.col("q.gid")) & (F.col("p.token") == F.col("q.token")) & (F.col("p.root") != F.col("q.root")) & smaller & fits)
+    pairs = pairs.select("p.pivot", F.col("p.cls").alias("x"), F.col("q.cls").alias("y")).union(free)
+    again = found.where("large").select("gid", "cls", "token")
+    if depth == DEEPEST or again.isEmpty():
+        return pairs
+    # What a group shares counts half for each of two members.
+    inner = again.join(rows, ["gid", "cls"]).select(F.xxhash64("gid", "token").alias("gid"), "pivot", "cls", "root", (F.col("w") - 0.5).alias("w"), F.array_remove("items", F.col("token")).alias("items"))
+    return pairs.union(_across(inner, scratch, depth + 1))
+
+
+def _pivots(rows: DataFrame) -> DataFrame:
+    """(bucket, y, y_root): of rows (bucket, cls, degree, root), each bucket's class of the largest degree."""
+    return rows.groupBy("bucket").agg(F.max(F.struct("degree", "cls", "root")).alias("top")).select("bucket", F.col("top.cls").alias("y"), F.col("top.root").alias("y_root"))
+
+
+def _unsettled(rows: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
     """rows (bucket, cls, degree) with their roots, of buckets with more than one root."""
     rooted = rows.join(roots.withColumnRenamed("v", "cls"), "cls", "left").select("bucket", "cls", "degree", F.coalesce("root", "cls").alias("root"))
-    rooted = written(rooted, "rooted")
+    rooted = scratch.written(rooted, "rooted")
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r != s").select("bucket")
-    return written(rooted.join(mixed, "bucket"), "unsettled")
+    return scratch.written(rooted.join(mixed, "bucket"), "unsettled")
 
 
 def _stars(roots: DataFrame) -> DataFrame:
@@ -260,35 +307,48 @@ def _stars(roots: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of docs: doc_id, __key (of the text), n_shingles, component_id, kept."""
-    sig = written(signatures(docs, k, percent, text, doc_id), "signatures")
+    scratch = Scratch(docs.sparkSession, "near-dup")
+    sig = scratch.written(signatures(docs, k, percent, text, doc_id), "signatures")
     classes = sig.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "__key")).alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
-    classes = written(classes, "classes")
+    classes = scratch.written(classes, "classes")
 
     rows = classes.select("cls", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("mates")).where("mates > 1")
-    rows = written(rows.join(shared, "bucket"), "buckets")
+    rows = scratch.written(rows.join(shared, "bucket"), "buckets")
     degree = rows.groupBy("cls").agg(F.sum("mates").alias("degree"))
-    rows = written(rows.select("bucket", "cls").join(degree, "cls"), "ranked")
-    candidates = written(degree.select("cls").join(classes.select("cls", "rep"), "cls"), "candidates")
-    sets = written(_sets(docs, candidates, k, text, doc_id), "sets")
+    rows = scratch.written(rows.select("bucket", "cls").join(degree, "cls"), "ranked")
+    candidates = scratch.written(degree.select("cls").join(classes.select("cls", "rep"), "cls"), "candidates")
+    sets = scratch.written(_sets(docs, candidates, k, text, doc_id), "sets")
+    scratch.drop("buckets", "candidates")
 
-    tried = _with_pivots(rows.withColumn("root", F.col("cls")))
+    top = scratch.written(_pivots(rows.withColumn("root", F.col("cls"))).select("bucket", "y"), "pivots")
+    tried = rows.select("bucket", F.col("cls").alias("x")).join(top, "bucket").where("x != y").groupBy("x", "y").agg(F.count("*").alias("together"))
     best = tried.groupBy("x").agg(F.max(F.struct("together", "y")).alias("top")).select("x", F.col("top.y").alias("y"))
-    roots = connected(written(_verified(best, sets, percent), "links"))
-    rows = _unsettled(rows, roots)
-    if not rows.isEmpty():
-        more = _verified(_with_pivots(rows), sets, percent)
-        roots = connected(_stars(roots).union(more))
-        rows = _unsettled(rows.drop("root"), roots)
+    roots = connected(scratch.written(_verified(best, sets, percent), "links"))
+    rows = _unsettled(rows, roots, scratch)
     if not rows.isEmpty():
-        pairs = written(_across(rows.select("cls", "root").distinct().join(sets, "cls"), percent), "across")
-        roots = connected(_stars(roots).union(_verified(pairs, sets, percent)))
+        # Members of the same component as their pivot stay: they may be linked with those that aren't.
+        top = scratch.written(_pivots(rows), "pivots").select("bucket", F.col("y").alias("pivot"))
+        members = rows.select("bucket", "cls").join(top, "bucket").where("cls != pivot").select("pivot", "cls").distinct()
+        apart = scratch.written(_differences(members, sets, percent), "differences")
+        scratch.drop("sets", "links")
+        roots = connected(_stars(roots).union(apart.where("linked").select(F.col("cls").alias("x"), F.col("pivot").alias("y"))))
+        of = lambda c: F.coalesce(c, F.col("cls"))
+        rooted = apart.join(roots.withColumnRenamed("v", "cls"), "cls", "left").select("pivot", "cls", "w", "items", of(F.col("root")).alias("root"))
+        pairs = _across(rooted.select(F.xxhash64("pivot").alias("gid"), "pivot", "cls", "root", "w", "items"), scratch)
+        pairs = scratch.written(pairs.groupBy("x", "y").agg(F.min("pivot").alias("pivot")), "across")
+        if not pairs.isEmpty():
+            side = lambda name: apart.select("pivot", F.col("cls").alias(name), F.struct("n", "np", "common", "items").alias(f"{name}s"))
+            both = pairs.join(side("x"), ["pivot", "x"]).join(side("y"), ["pivot", "y"])
+            shared = F.col("xs.common") + F.col("ys.common") - F.col("xs.np") + F.size(F.array_intersect("xs.items", "ys.items"))
+            roots = connected(_stars(roots).union(both.where(_linked(shared, F.col("xs.n") + F.col("ys.n"), percent)).select("x", "y")))
 
     grouped = roots.withColumnRenamed("v", "cls").join(classes.select("cls", "least_id"), "cls")
-    of_root = written(grouped.groupBy("root").agg(F.min("least_id").alias("component")), "component-ids")
+    of_root = scratch.written(grouped.groupBy("root").agg(F.min("least_id").alias("component")), "component-ids")
     of_class = grouped.select("cls", "root").join(of_root, "root").select("cls", "component")
     lone = classes.where("copies > 1").select("cls", "least_id").join(of_class.select("cls"), "cls", "left_anti").select("cls", F.col("least_id").alias("component"))
-    ids = written(of_class.union(lone).withColumn("hit", F.lit(True)), "class-ids")
+    ids = scratch.written(of_class.union(lone).withColumn("hit", F.lit(True)), "class-ids")
+    scratch.keep("signatures", "class-ids")
     out = sig.select("doc_id", "__key", "n_shingles", "cls").join(ids, "cls", "left")
     component = F.when(F.col("hit"), F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "__key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
@@ -297,6 +357,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", repeats: bool = True) -> DataFrame:
     """docs without the documents that aren't kept; all columns stay. Without ``repeats``, rows of the same doc_id (null too) and text leave one."""
     gone = components(docs, k, percent, text, doc_id).where("not kept").select(F.col("doc_id").alias("__id"), "__key").distinct()
+    gone = written(gone, "duplicates")  # a table of known size: where it is small, texts aren't shuffled to meet it
     mine = docs.withColumn("__key2", text_key(F.col(text)))
     left = mine.join(gone, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__key2") == F.col("__key")), "left_anti")
     return (left if repeats else left.dropDuplicates([doc_id, "__key2"])).drop("__key2")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakwork.llm.common import small_batches, worker_cache
+from cloakwork.llm.common import free_name, small_batches, worker_cache
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LONG = 64
@@ -298,8 +298,9 @@ def _schema(df: DataFrame, *more: str) -> str:
 
 
 def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", model: str = MODEL, alpha: float = 0.5, seed: int = 0, ids: str = "ids") -> DataFrame:
-    """docs with a column of sampled piece ids. Narrow: no shuffle."""
+    """docs with a last column of sampled piece ids, called ``ids`` or, if docs has such a column, ids_1 and so on. Narrow."""
     spark = docs.sparkSession
+    ids = free_name(docs, ids)
     small_batches(spark)
     vocabulary = _shared(spark, model)
     at, by = docs.columns.index(text), docs.columns.index(key)
@@ -315,8 +316,9 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", model: str
 
 
 def decode(encoded: DataFrame, ids: str = "ids", model: str = MODEL, text: str = "decoded") -> DataFrame:
-    """encoded with a column of the texts that its ids spell."""
+    """encoded with a last column of the texts that its ids spell, named like that of ``encode``."""
     spark = encoded.sparkSession
+    text = free_name(encoded, text)
     small_batches(spark)
     vocabulary = _shared(spark, model)
     at = encoded.columns.index(ids)

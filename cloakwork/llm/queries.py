@@ -141,7 +141,7 @@ def _op5_sql() -> str:
     words = lambda x: f"regexp_extract_all(translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
     bigrams = lambda w: f"list_distinct(list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1]))"
     return rf"""
-WITH t AS (SELECT name, {bigrams('w')} AS b FROM (SELECT name, {words('text')} AS w FROM (VALUES {values}) AS v(name, text))),
+WITH RECURSIVE t AS (SELECT name, {bigrams('w')} AS b FROM (SELECT name, {words('text')} AS w FROM (VALUES {values}) AS v(name, text))),
 d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
 seg AS (
   SELECT doc_id, 0 AS level, i - 1 AS place, p[i] AS body FROM (SELECT doc_id, string_split(body, chr(10)) AS p FROM d), unnest(range(1, len(p) + 1)) AS u(i)
@@ -149,9 +149,26 @@ seg AS (
   UNION ALL SELECT doc_id, 2, 0, body FROM d WHERE len(string_split_regex(body, '\n[ \t]*\n[ \t\n\f\r]*')) > 1),
 own AS (SELECT doc_id, level, place, {bigrams('w')} AS b FROM (SELECT doc_id, level, place, {words('body')} AS w FROM seg) WHERE len(w) > 1),
 hit AS (SELECT doc_id, level, place, name, len(o.b) + len(t.b) AS n, len(list_intersect(o.b, t.b)) AS shared FROM own AS o JOIN t ON len(o.b) * 120 >= len(t.b) * 80 AND len(t.b) * 120 >= len(o.b) * 80 AND list_has_any(o.b, t.b)),
-good AS (SELECT *, round(shared * 2 / n, 6) AS dice FROM hit WHERE shared * 200 >= n * 80),
-best AS (SELECT doc_id, count(*) AS n_matches, string_agg(name || ':' || ['line', 'paragraph', 'text'][level + 1] || ':' || place, ',' ORDER BY dice DESC, level, name, place) AS matches,
-         first(name ORDER BY dice DESC, level, name, place) AS license, max(dice) AS dice FROM good GROUP BY doc_id)
+good AS (SELECT doc_id, level, place, name, round(shared * 2 / n, 6) AS dice FROM hit WHERE shared * 200 >= n * 80),
+-- runs of lines: from each line with a shared bigram, the bigrams that are new since then, line by line
+tok AS (SELECT doc_id, line, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM (SELECT doc_id, place AS line, {words('body')} AS w FROM seg WHERE level = 0)),
+bg AS (SELECT *, lag(a) OVER (PARTITION BY doc_id, h ORDER BY pos) AS before FROM (SELECT doc_id, row_number() OVER o AS pos, line AS a, lead(line) OVER o AS b, word || ' ' || lead(word) OVER o AS h FROM tok WINDOW o AS (PARTITION BY doc_id ORDER BY line, k)) WHERE b IS NOT NULL),
+tb AS (SELECT name, len(b) AS size, unnest(b) AS h FROM t),
+likely AS (SELECT doc_id, name, size FROM (SELECT DISTINCT doc_id, h FROM bg) JOIN tb USING (h) GROUP BY doc_id, name, size HAVING count(*) * 120 >= size * 80),
+starts AS (SELECT DISTINCT l.doc_id, l.name, l.size, a AS i FROM likely AS l JOIN tb ON tb.name = l.name JOIN bg ON bg.doc_id = l.doc_id AND bg.h = tb.h),
+grown AS (SELECT s.doc_id, s.name, s.size, i, g.b AS j, count(*) OVER r AS own, count(tb.h) OVER r AS shared FROM starts AS s JOIN bg AS g ON g.doc_id = s.doc_id AND g.a >= i AND coalesce(g.before, -1) < i LEFT JOIN tb ON tb.name = s.name AND tb.h = g.h
+  WINDOW r AS (PARTITION BY s.doc_id, s.name, i ORDER BY g.pos)),
+runs AS (SELECT doc_id, name, i, j, round(max(shared) * 2 / (max(own) + size), 6) AS dice FROM grown WHERE j > i GROUP BY doc_id, name, size, i, j HAVING max(shared) * 200 >= (max(own) + size) * 80),
+para AS (SELECT doc_id, k - 1 AS k, coalesce(list_sum(list_transform(p[1:k - 1], lambda x: len(x) - len(replace(x, chr(10), '')))), 0) + coalesce(list_sum(list_transform(g[1:k - 1], lambda x: len(x) - len(replace(x, chr(10), '')))), 0) AS top, len(p[k]) - len(replace(p[k], chr(10), '')) AS more
+  FROM (SELECT doc_id, string_split_regex(body, '\n[ \t]*\n[ \t\n\f\r]*') AS p, regexp_extract_all(body, '\n[ \t]*\n[ \t\n\f\r]*') AS g FROM d WHERE doc_id IN (SELECT doc_id FROM runs)), unnest(range(1, len(p) + 1)) AS u(k)),
+free AS (SELECT * FROM runs AS r WHERE NOT EXISTS (SELECT 1 FROM good AS m WHERE m.doc_id = r.doc_id AND m.name = r.name AND (m.level = 2 OR (m.level = 0 AND m.place BETWEEN i AND j)
+  OR (m.level = 1 AND m.place BETWEEN (SELECT k FROM para WHERE para.doc_id = r.doc_id AND i BETWEEN top AND top + more) AND (SELECT k FROM para WHERE para.doc_id = r.doc_id AND j BETWEEN top AND top + more))))),
+lists AS (SELECT doc_id, list({{'i': i, 'j': j, 'name': name, 'dice': dice}} ORDER BY dice DESC, j - i, i, j, name) AS l FROM free GROUP BY doc_id),
+fold AS (SELECT doc_id, 0 AS n, l, l[1:0] AS kept FROM lists
+  UNION ALL SELECT doc_id, n + 1, l, CASE WHEN len(list_filter(kept, lambda o: o.name = l[n + 1].name AND o.i <= l[n + 1].j AND l[n + 1].i <= o.j)) = 0 THEN list_append(kept, l[n + 1]) ELSE kept END FROM fold WHERE n < len(l)),
+every AS (SELECT * FROM good UNION ALL SELECT doc_id, 3, x.i, x.name, x.dice FROM (SELECT doc_id, unnest(kept) AS x FROM fold WHERE n = len(l))),
+best AS (SELECT doc_id, count(*) AS n_matches, string_agg(name || ':' || ['line', 'paragraph', 'text', 'run'][level + 1] || ':' || place, ',' ORDER BY dice DESC, level, name, place) AS matches,
+         first(name ORDER BY dice DESC, level, name, place) AS license, max(dice) AS dice FROM every GROUP BY doc_id)
 SELECT d.doc_id, license, dice, coalesce(n_matches, 0) AS n_matches, coalesce(matches, '') AS matches FROM d LEFT JOIN best USING (doc_id)
 """
 

@@ -74,6 +74,30 @@ def test_against_brute_force(spark, k, percent):
     assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(i) for i, _, _, kept in brute(rows, k, percent) if kept)
 
 
+def test_texts_of_one_template_form_few_pairs(spark, monkeypatch):
+    """Nearly all pairs share most shingles and none of these tells anything; what a text lacks of the template does."""
+    r = random.Random(8)
+    rows = []
+    for i in range(400):
+        w = [f"w{k}" for k in range(100)]
+        for _ in range(2):
+            w[r.randrange(100)] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    formed, across = [], N._across
+
+    def counted(*arguments):
+        pairs = across(*arguments)
+        formed.append(pairs.select("x", "y").distinct().count())
+        return pairs
+
+    monkeypatch.setattr(N, "_across", counted)
+    monkeypatch.setattr(N, "LARGE", 4)  # so that groups of this small table are ordered anew
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = N.components(docs, 3, 85).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, brute(rows, 3, 85)))
+    assert len(formed) > 1 and formed[-1] < 25 * len(rows)  # of 79,800 pairs; the outermost call ends last
+
+
 def test_empty(spark):
     assert N.components(documents(spark, ["a"]).limit(0)).count() == 0
     assert [tuple(r) for r in N.components(documents(spark, [None])).select("n_shingles", "component_id", "kept").collect()] == [(0, 0, True)]

@@ -16,8 +16,25 @@ def test_stages(spark, tmp_path):
     spark.createDataFrame(rows, DOCS).withColumns(extra).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "An item of ten words that stands in the benchmark")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = {r.doc_id: r for r in P.run(spark, str(tmp_path)).collect()}
-    assert out[1].lang_pred == out[1].cls == "clash" and out[1].ids != "clash"
-    assert set(out) == {1, 6, 7} and out[6].text == "note [SECRET] here" and out[6].n_chars == len(out[6].text) and out[7].text == "a clean text" and out[7].ids
+    assert out[1].lang_pred == out[1].cls == out[1].ids == "clash" and out[1].ids_1
+    assert set(out) == {1, 6, 7} and out[6].text == "note [SECRET] here" and out[6].n_chars == len(out[6].text) and out[7].text == "a clean text" and out[7].ids_1
+
+
+def test_awkward_tables(spark, tmp_path):
+    """Empty tables; nulls in any column, repeated rows, ties, and a long text, through all stages."""
+    import corpus_pipeline as P
+
+    long = " ".join(f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100 % 10]}{'efghijklmn'[i // 1000 % 10]}" for i in range(9000))
+    rows = [(1, long, "en", "s", 1), (1, long, "en", "s", 1), (None, long + " and a little", None, None, None), (None, "a text of no id", None, None, None), (None, "a text of no id", None, None, None), (2, "a tie of two texts", "en", "s", 1), (2, "a tie with another one", "fr", None, 1), (3, None, None, None, None), (4, "", "en", "s", 0), (None, None, None, None, None), (5, "token=abcdefgh1 " * 3000, "en", "s", 1)]
+    items = [(None, None), (1, ""), (2, "words of no document at all here")]
+    for name, mine, theirs in (("full", rows, items), ("no_items", rows, []), ("empty", [], items)):
+        spark.createDataFrame(mine, DOCS).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame(theirs, "item_id bigint, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        out = P.run(spark, f"{tmp_path}/{name}")
+        assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "ids"]
+        got = sorted(repr((r.doc_id, r.text)) for r in out.collect())
+        left = [(1, long), (None, "a text of no id"), (2, "a tie of two texts"), (2, "a tie with another one"), (5, "[SECRET] " * 3000)]
+        assert got == (sorted(map(repr, left)) if mine else [])
 
 
 def test_queries_are_registered():
