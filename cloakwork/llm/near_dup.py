@@ -10,12 +10,12 @@ links reach.
    class is verified on full sets against the pivot with which it shares most bands, then, in buckets that still hold
    several components, against the pivots of other components. So a group of n near copies around a text costs a few n
    verifications, not n^2 / 2.
-3. What may be left are links between classes of different components that share a bucket, and so its pivot. They are
-   found exactly, by a prefix join over differences from the pivot: a set is what it has beside the pivot and what it lacks of
-   it, and two sets are linked if their differences share enough. In groups of texts made from one template a shingle
-   that nearly all have tells nothing, but one that a text lacks does. Differences are ordered rare first, two linked sets share
-   one of their first few, and the places at which they share it bound what they share. Where many sets share one,
-   that one is taken out and the group is ordered anew, now by what is rare inside of it, before any pair is formed.
+3. What may be left are links between classes of different components that share a bucket. They are found exactly, by a
+   prefix join over the classes of such buckets: shingles are ordered rare first, two linked sets share one of their first
+   few shingles, and the places at which they share it bound their intersection. Where many sets share one, as texts made from one
+   template do, that shingle is taken out and the group is put as differences from one of its sets: what each has beside it
+   and what it lacks of it. A shingle that nearly all have tells nothing, but one that a text lacks does. Two linked sets
+   share enough of their differences, so the group is joined by its own rare-first prefixes before any pair is formed.
    Pairs are formed only across components.
 4. Components are taken over all links by alternating large-star and small-star.
 
@@ -50,8 +50,8 @@ SKETCH = 1 << 18
 KNOWN_WORDS = 300_000
 #: Up to so many candidates are broadcast to the texts; more are joined with a shuffle of the texts.
 FEW = 200_000
-#: Groups of more sets than this that share a difference are ordered anew, up to so many times; both decide speed only.
-LARGE, DEEPEST = 32, 3
+#: Groups of more sets than this that share an item are put as differences anew, up to so many times; both decide speed only.
+LARGE, DEEPEST = 32, 4
 C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -209,88 +209,119 @@ def connected(edges: DataFrame) -> DataFrame:
     return roots
 
 
-def _differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """For members (pivot, cls): how their sets differ from the pivot's.
+def _ordered(slots: np.ndarray, items: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Places of items, rare first: by a count sketch, then by hash. The same order for all members of a group."""
+    return np.lexsort((items, often[slots]))
 
-    Columns: pivot, cls, n (size of the set), common (with the pivot), np (size of the pivot's), linked (with the pivot),
-    items (hashes that the set has beside the pivot's, and complements of those that it lacks) and w: two
-    members are linked if their items share at least w + w. That is |A & B| = |P| - lacked by A - lacked by B + shared, put
-    into the condition on |A & B|, |A| and |B|.
-    """
-    pivots = sets.select(F.col("cls").alias("pivot"), F.col("items").alias("ps"))
-    both = members.join(sets.select("cls", "items"), "cls").join(pivots, "pivot")
-    has, lacks = F.array_except("items", "ps"), F.array_except("ps", "items")
-    told = both.select("pivot", "cls", F.size("items").alias("n"), F.size("ps").alias("np"), has.alias("has"), lacks.alias("lacks"))
-    told = told.withColumn("common", F.col("np") - F.size("lacks"))
-    t = percent / (100 + percent)
-    w = F.size("lacks") * F.lit(1 - t) + F.size("has") * F.lit(t) - F.col("np") * F.lit(0.5 - t)
-    items = F.concat("has", F.transform("lacks", lambda x: F.bitwise_not(x)))
-    return told.select("pivot", "cls", "n", "common", "np", _linked(F.col("common"), F.col("n") + F.col("np"), percent).alias("linked"), w.alias("w"), items.alias("items"))
-
-
-def _prefixes(rows: DataFrame) -> DataFrame:
-    """Rare-first prefixes of rows (gid, pivot, cls, root, w, least, items): token, gid, pivot, cls, root, w, size, pos, indexed.
-
-    Of two members of a group the one of smaller w has all that must be met in its indexed prefix, the other in its whole
-    prefix, as no member has a smaller w than ``least``. The order is by a count sketch of fixed size, then by hash. Any order
-    gives exact results; a better one, fewer pairs.
+
+def _prefixes(rows: DataFrame, often) -> DataFrame:
+    """Rare-first prefixes of rows (gid, cls, root, w, least, items, slots): token, gid, cls, root, w, size, pos, indexed.
+
+    Two members of a group are linked if they share w + w of their items. The one of smaller w has what must be met in its
+    indexed prefix, the other in its whole prefix, as no member has a smaller w than ``least``. Any order gives exact results;
+    a better one, fewer pairs.
     """
-    spark = rows.sparkSession
-    slots = F.transform("items", lambda t: F.pmod(F.xxhash64("gid", t), F.lit(SKETCH)).cast("int"))
-    counts = rows.select(F.explode(slots).alias("slot")).groupBy("slot").count()
-    sketch = np.zeros(SKETCH, np.int64)  # fixed size, whatever the corpus
-    got = counts.toPandas()
-    sketch[got["slot"].to_numpy(np.int64)] = got["count"].to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["token", "gid", "pivot", "cls", "root", "w", "size", "pos", "indexed"]
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.int32(), pa.int32(), pa.bool_()]
+        names = ["token", "gid", "cls", "root", "w", "size", "pos", "indexed"]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.float64(), pa.int32(), pa.int32(), pa.bool_()]
         for batch in batches:
             columns: list[list] = [[] for _ in names]
             *plain, all_items, all_slots = batch.columns
-            for (gid, pivot, cls, root, w, least), items, where in zip(zip(*(c.to_pylist() for c in plain)), all_items, all_slots):
+            for (gid, cls, root, w, least), items, slots in zip(zip(*(c.to_pylist() for c in plain)), all_items, all_slots):
                 s = np.asarray(items.values, np.int64)
                 n = len(s)
                 probe, index = (n - max(1, math.ceil(need - 1e-9)) + 1 for need in (w + least, 2 * w))
                 if probe <= 0:
                     continue
-                order = np.lexsort((s, shared.value[np.asarray(where.values, np.int64)]))[:probe]
-                for c, v in zip(columns, (s[order].tolist(), *([x] * len(order) for x in (gid, pivot, cls, root, w, n)), range(len(order)), [i < index for i in range(len(order))])):
+                order = _ordered(np.asarray(slots.values, np.int64), s, often.value)[:probe]
+                for c, v in zip(columns, (s[order].tolist(), *([x] * len(order) for x in (gid, cls, root, w, n)), range(len(order)), [i < index for i in range(len(order))])):
                     c.extend(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
-    sent = rows.select("gid", "pivot", "cls", "root", "w", "least", "items", slots.alias("slots"))
-    return sent.mapInArrow(run, "token bigint, gid bigint, pivot binary, cls binary, root binary, w double, size int, pos int, indexed boolean")
+    return rows.select("gid", "cls", "root", "w", "least", "items", "slots").mapInArrow(run, "token bigint, gid bigint, cls binary, root binary, w double, size int, pos int, indexed boolean")
+
+
+def _behind(rows: DataFrame, often) -> DataFrame:
+    """gid, token, cls, root, w, items: for rows (gid, cls, root, w, items, slots, tokens), what stands behind each of the tokens.
+
+    A pair belongs to the group of the first item that it shares; the rest of what it shares is behind. That item counts half for
+    each of the two.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.float64(), pa.list_(pa.int64())]
+        made = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["gid", "token", "cls", "root", "w", "items"])
+        for batch in batches:
+            out, held = [[], [], [], [], [], []], 0
+            *plain, all_items, all_slots, all_tokens = batch.columns
+            for (gid, cls, root, w), items, slots, tokens in zip(zip(*(c.to_pylist() for c in plain)), all_items, all_slots, all_tokens):
+                s = np.asarray(items.values, np.int64)
+                s = s[_ordered(np.asarray(slots.values, np.int64), s, often.value)]
+                for t in tokens.as_py():
+                    rest = s[int(np.nonzero(s == t)[0][0]) + 1 :]
+                    for c, v in zip(out, (gid, t, cls, root, w - 0.5, rest)):
+                        c.append(v)
+                    held += len(rest)
+                    if held > 1 << 20:
+                        yield made(out)
+                        out, held = [[], [], [], [], [], []], 0
+            yield made(out)
+
+    return rows.select("gid", "cls", "root", "w", "items", "slots", "tokens").mapInArrow(run, "gid bigint, token bigint, cls binary, root binary, w double, items array<bigint>")
+
+
+def _small(table: DataFrame, weight: Column, most: int) -> DataFrame:
+    """The table, to be broadcast if the sum of weights is at most ``most``."""
+    return F.broadcast(table) if (table.agg(F.sum(weight)).first()[0] or 0) <= most else table
+
+
+def _as_differences(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows (gid, cls, root, w, items), each group as differences from the items of one member.
+
+    With P the member's items, |A & B| is |P|, less what A lacks, less what B lacks, plus what their differences share (what both
+    have beside P, and what both lack); so what A lacks goes to its w, and |P| is taken off in halves.
+    """
+    chosen = scratch.written(rows.groupBy("gid").agg(F.min_by("items", F.struct(F.xxhash64("cls"), "cls")).alias("ps")), "chosen")
+    both = rows.join(_small(chosen, F.size("ps"), 4 << 20), "gid").select("gid", "cls", "root", "w", F.array_except("items", "ps").alias("has"), F.array_except("ps", "items").alias("lacks"), F.size("ps").alias("np"))
+    return both.select("gid", "cls", "root", (F.col("w") + F.size("lacks") - F.col("np") / 2).alias("w"), F.concat("has", F.transform("lacks", lambda x: F.bitwise_not(x))).alias("items"))
 
 
 def _across(rows: DataFrame, scratch: Scratch, depth: int = 1) -> DataFrame:
-    """Pairs (pivot, x, y) of classes of different roots whose prefixes allow a link. rows: gid, pivot, cls, root, w, items."""
+    """Pairs (x, y) of classes of different roots that may share w + w items. rows: gid, cls, root, w, items."""
     groups = rows.groupBy("gid").agg(F.min(F.struct("w", "cls", "root")).alias("first"), F.min("root").alias("r"), F.max("root").alias("s")).where("r != s").select("gid", F.col("first.w").alias("least"), F.col("first.cls").alias("y"), F.col("first.root").alias("y_root"))
-    rows = scratch.written(rows.join(groups, "gid"), f"group-members-{depth}")
+    slots = F.transform("items", lambda t: F.pmod(F.xxhash64("gid", t), F.lit(SKETCH)).cast("int"))
+    groups = _small(scratch.written(groups, "groups"), F.lit(1), FEW)
+    rows = scratch.written(rows.join(groups, "gid").withColumn("slots", slots), f"members-{depth}")
     # Two members that need share nothing more are both linked with the one of least w, through which they meet.
-    free = rows.where((F.col("w") + F.col("least") <= 1e-9) & (F.col("root") != F.col("y_root"))).select("pivot", F.col("cls").alias("x"), "y")
-    prefixes = scratch.written(_prefixes(rows), f"prefixes-{depth}")
-    met = prefixes.groupBy("gid", "token").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("n"), F.avg("size").alias("mean")).where("r != s")
-    # To order a group anew moves its members' items once more, which pays off where pairs would be more than that.
+    free = rows.where((F.col("w") + F.col("least") <= 1e-9) & (F.col("root") != F.col("y_root"))).select(F.col("cls").alias("x"), "y")
+    sketch = np.zeros(SKETCH, np.int64)  # fixed size, whatever the corpus
+    got = rows.select(F.explode("slots").alias("slot")).groupBy("slot").count().toPandas()
+    sketch[got["slot"].to_numpy(np.int64)] = got["count"].to_numpy(np.int64)
+    often = rows.sparkSession.sparkContext.broadcast(sketch)
+    prefixes = scratch.written(_prefixes(rows, often), f"prefixes-{depth}")
+    # To put a group anew moves its members' items once more, which pays off where its pairs would be more than that.
     large = (F.col("n") > LARGE) & (F.col("n") * 2 > F.col("mean")) if depth < DEEPEST else F.lit(False)
-    found = scratch.written(prefixes.join(met.select("gid", "token", large.alias("large")), ["gid", "token"]), f"met-{depth}")
+    met = prefixes.groupBy("gid", "token").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("n"), F.avg("size").alias("mean")).where("r != s").select("gid", "token", large.alias("large"))
+    found = scratch.written(prefixes.join(met, ["gid", "token"]), f"met-{depth}")
     p, q = found.where("not large").alias("p"), found.where("indexed and not large").alias("q")
     smaller = F.struct("q.w", "q.cls") < F.struct("p.w", "p.cls")
     fits = F.least(F.col("p.size") - F.col("p.pos"), F.col("q.size") - F.col("q.pos")) >= F.ceil(F.col("p.w") + F.col("q.w") - 1e-9)
     pairs = p.join(q, (F.col("p.gid") == F.col("q.gid")) & (F.col("p.token") == F.col("q.token")) & (F.col("p.root") != F.col("q.root")) & smaller & fits)
-    pairs = pairs.select("p.pivot", F.col("p.cls").alias("x"), F.col("q.cls").alias("y")).union(free)
-    again = found.where("large").select("gid", "cls", "token")
+    pairs = pairs.select(F.col("p.cls").alias("x"), F.col("q.cls").alias("y")).union(free)
+    again = found.where("large").groupBy("gid", "cls").agg(F.collect_list("token").alias("tokens"))  # at most a prefix
     if depth == DEEPEST or again.isEmpty():
         return pairs
-    # What a group shares counts half for each of two members.
-    inner = again.join(rows, ["gid", "cls"]).select(F.xxhash64("gid", "token").alias("gid"), "pivot", "cls", "root", (F.col("w") - 0.5).alias("w"), F.array_remove("items", F.col("token")).alias("items"))
-    return pairs.union(_across(inner, scratch, depth + 1))
+    inner = _behind(again.join(rows, ["gid", "cls"]), often).withColumn("gid", F.xxhash64("gid", "token")).drop("token")
+    return pairs.union(_across(_as_differences(scratch.written(inner, f"behind-{depth}"), scratch), scratch, depth + 1))
 
 
-def _pivots(rows: DataFrame) -> DataFrame:
-    """(bucket, y, y_root): of rows (bucket, cls, degree, root), each bucket's class of the largest degree."""
-    return rows.groupBy("bucket").agg(F.max(F.struct("degree", "cls", "root")).alias("top")).select("bucket", F.col("top.cls").alias("y"), F.col("top.root").alias("y_root"))
+def _with_pivots(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(x, y, together) for rows (bucket, cls, degree, root): each class, its buckets' pivots of another root, and in how
+    many buckets it meets them.
+    """
+    top = rows.groupBy("bucket").agg(F.max(F.struct("degree", "cls", "root")).alias("top")).select("bucket", F.col("top.cls").alias("y"), F.col("top.root").alias("y_root"))
+    return rows.select("bucket", F.col("cls").alias("x"), "root").join(scratch.written(top, "pivots"), "bucket").where("root != y_root").groupBy("x", "y").agg(F.count("*").alias("together"))
 
 
 def _unsettled(rows: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
@@ -321,27 +352,20 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text
     sets = scratch.written(_sets(docs, candidates, k, text, doc_id), "sets")
     scratch.drop("buckets", "candidates")
 
-    top = scratch.written(_pivots(rows.withColumn("root", F.col("cls"))).select("bucket", "y"), "pivots")
-    tried = rows.select("bucket", F.col("cls").alias("x")).join(top, "bucket").where("x != y").groupBy("x", "y").agg(F.count("*").alias("together"))
+    tried = _with_pivots(rows.withColumn("root", F.col("cls")), scratch)
     best = tried.groupBy("x").agg(F.max(F.struct("together", "y")).alias("top")).select("x", F.col("top.y").alias("y"))
     roots = connected(scratch.written(_verified(best, sets, percent), "links"))
     rows = _unsettled(rows, roots, scratch)
     if not rows.isEmpty():
-        # Members of the same component as their pivot stay: they may be linked with those that aren't.
-        top = scratch.written(_pivots(rows), "pivots").select("bucket", F.col("y").alias("pivot"))
-        members = rows.select("bucket", "cls").join(top, "bucket").where("cls != pivot").select("pivot", "cls").distinct()
-        apart = scratch.written(_differences(members, sets, percent), "differences")
-        scratch.drop("sets", "links")
-        roots = connected(_stars(roots).union(apart.where("linked").select(F.col("cls").alias("x"), F.col("pivot").alias("y"))))
-        of = lambda c: F.coalesce(c, F.col("cls"))
-        rooted = apart.join(roots.withColumnRenamed("v", "cls"), "cls", "left").select("pivot", "cls", "w", "items", of(F.col("root")).alias("root"))
-        pairs = _across(rooted.select(F.xxhash64("pivot").alias("gid"), "pivot", "cls", "root", "w", "items"), scratch)
-        pairs = scratch.written(pairs.groupBy("x", "y").agg(F.min("pivot").alias("pivot")), "across")
-        if not pairs.isEmpty():
-            side = lambda name: apart.select("pivot", F.col("cls").alias(name), F.struct("n", "np", "common", "items").alias(f"{name}s"))
-            both = pairs.join(side("x"), ["pivot", "x"]).join(side("y"), ["pivot", "y"])
-            shared = F.col("xs.common") + F.col("ys.common") - F.col("xs.np") + F.size(F.array_intersect("xs.items", "ys.items"))
-            roots = connected(_stars(roots).union(both.where(_linked(shared, F.col("xs.n") + F.col("ys.n"), percent)).select("x", "y")))
+        more = _verified(_with_pivots(rows, scratch), sets, percent)
+        roots = connected(_stars(roots).union(more))
+        rows = _unsettled(rows.drop("root"), roots, scratch)
+    if not rows.isEmpty():
+        # Sets are linked if they share percent / (100 + percent) of the sum of their sizes.
+        w = F.size("items") * F.lit(percent / (100 + percent))
+        members = rows.select("cls", "root").distinct().join(sets, "cls").select(F.lit(0).cast("bigint").alias("gid"), "cls", "root", w.alias("w"), "items")
+        pairs = scratch.written(_across(members, scratch).distinct(), "across")
+        roots = connected(_stars(roots).union(_verified(pairs, sets, percent)))
 
     grouped = roots.withColumnRenamed("v", "cls").join(classes.select("cls", "least_id"), "cls")
     of_root = scratch.written(grouped.groupBy("root").agg(F.min("least_id").alias("component")), "component-ids")
@@ -356,8 +380,13 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", repeats: bool = True) -> DataFrame:
     """docs without the documents that aren't kept; all columns stay. Without ``repeats``, rows of the same doc_id (null too) and text leave one."""
-    gone = components(docs, k, percent, text, doc_id).where("not kept").select(F.col("doc_id").alias("__id"), "__key").distinct()
-    gone = written(gone, "duplicates")  # a table of known size: where it is small, texts aren't shuffled to meet it
+    found = components(docs, k, percent, text, doc_id).groupBy("doc_id", "__key").agg(F.min("kept").alias("kept"), F.count("*").alias("rows"))
+    # A table of known size: where it is small, texts aren't shuffled to meet it.
+    found = written(found.where("not kept or rows > 1").select(F.col("doc_id").alias("__id"), "__key", "kept"), "duplicates")
     mine = docs.withColumn("__key2", text_key(F.col(text)))
-    left = mine.join(gone, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__key2") == F.col("__key")), "left_anti")
-    return (left if repeats else left.dropDuplicates([doc_id, "__key2"])).drop("__key2")
+    met = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__key2") == F.col("__key"))
+    left = mine.join(found.where("not kept"), met, "left_anti")
+    if not repeats:
+        again = found.where("kept")
+        left = left.join(again, met, "left_anti").union(left.join(again, met, "left_semi").dropDuplicates([doc_id, "__key2"]))
+    return left.drop("__key2")
