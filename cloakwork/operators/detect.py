@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cloakwork.functions import spans as S
 from cloakwork.functions import text as T
+from cloakwork.functions.arrays import let, record, running_sum, runs
 from cloakwork.model import (
     CANDIDATES,
     MATCHES,
@@ -231,9 +232,15 @@ def denylist_candidates(text: Column, entries: list[Literal]) -> Column:
         fragments = sorted((literal_pattern(e) for e in mine), key=len, reverse=True)
         pattern = ("(?dU)" if exact else "(?dUiu)") + "|".join(f"(?:{f})" for f in fragments)
         types = {(e.value if exact else e.value.lower()): e.entity_type for e in mine}
-        lookup = F.create_map(*[F.lit(x) for k, v in types.items() for x in (k, v)])
         hits = S.find(text, pattern, "", 0 if exact else 1, stripped=False)
-        kind = lambda v: F.try_element_at(lookup, v if exact else F.lower(v))  # noqa: B023, E731
+
+        def kind(v: Column) -> Column:
+            """The entry's type: sets of values by type, each of which is one look into a hash set."""
+            found = F.lit(None).cast("string")
+            for t in dict.fromkeys(types.values()):  # noqa: B023
+                found = F.when((v if exact else F.lower(v)).isin([k for k, x in types.items() if x == t]), t).otherwise(found)  # noqa: B023
+            return found
+
         typed = F.transform(hits, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), kind(c["value"]).alias("entity_type"), c["ord"].alias("ord")))  # noqa: B023
         found.append(F.filter(typed, lambda c: c["entity_type"].isNotNull()).cast(CANDIDATES))
     return F.concat(*found) if found else S.no_candidates()
@@ -312,16 +319,14 @@ def extract_spans(text: Column, raw: Column) -> Column:
 def merge_spans(text: Column, placed: Column) -> Column:
     """Neighbouring spans of a type become one if nothing, or little and nothing but connecting characters, is between."""
 
-    def step(acc: Column, s: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
+    def joins(last: Column, s: Column) -> Column:
         gap = text.substr(last["end"] + 1, s["start"] - last["end"])
         allowed = _lookup(MERGE_CHARACTERS, s["entity_type"], MERGE_CHARACTERS_OTHERWISE)
         close = (F.length(gap) <= _lookup(MERGE_GAPS, s["entity_type"], MERGE_GAP_OTHERWISE)) & ~F.contains(gap, F.lit("\n\n")) & (F.btrim(gap, allowed) == "")
-        joins = (last["entity_type"] == s["entity_type"]) & (s["start"] >= last["end"]) & ((s["start"] == last["end"]) | close)
-        one = F.struct(F.when(joins, last["start"]).otherwise(s["start"]).alias("start"), s["end"].alias("end"), s["entity_type"].alias("entity_type"))
-        return F.concat(F.when(joins, F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(acc), F.array(one).cast(PLACED))
+        return (last["entity_type"] == s["entity_type"]) & (s["start"] >= last["end"]) & ((s["start"] == last["end"]) | close)
 
-    return F.aggregate(F.array_sort(placed), F.array().cast(PLACED), step)
+    groups = let(F.sort_array(placed), lambda v: runs(v, lambda s, i: ~F.coalesce(joins(F.get(v, i - 1), s), F.lit(False))))
+    return F.transform(groups, lambda g: record(start=F.get(g, 0)["start"], end=F.element_at(g, -1)["end"], entity_type=F.get(g, 0)["entity_type"])).cast(PLACED)
 
 
 def split_spans(text: Column, placed: Column) -> Column:
@@ -329,14 +334,10 @@ def split_spans(text: Column, placed: Column) -> Column:
 
     def cut(s: Column) -> Column:
         body = text.substr(s["start"] + 1, s["end"] - s["start"])
-        sized = F.zip_with(F.split(body, "\n{2,}", -1), F.regexp_extract_all(body, F.lit("\n{2,}"), F.lit(0)), lambda p, g: F.struct(F.length(p).alias("part"), F.coalesce(F.length(g), F.lit(0)).alias("gap")))
-        walked = F.aggregate(
-            sized,
-            F.struct(s["start"].alias("pos"), F.array().cast(PLACED).alias("out")),
-            lambda a, x: F.struct((a["pos"] + x["part"] + x["gap"]).alias("pos"), F.concat(a["out"], F.array(F.struct(a["pos"].alias("start"), (a["pos"] + x["part"]).alias("end"), s["entity_type"].alias("entity_type"))).cast(PLACED)).alias("out")),
-            lambda a: a["out"],
-        )
-        return F.filter(walked, lambda x: x["end"] > x["start"])
+        sized = F.zip_with(F.split(body, "\n{2,}", -1), F.regexp_extract_all(body, F.lit("\n{2,}"), F.lit(0)), lambda p, g: record(part=F.length(p), both=F.length(p) + F.coalesce(F.length(g), F.lit(0))))
+        one = lambda x, end: record(start=s["start"] + end - x["both"], end=s["start"] + end - x["both"] + x["part"], entity_type=s["entity_type"])
+        walked = let(sized, lambda v: F.zip_with(v, running_sum(F.transform(v, lambda x: x["both"])), one))
+        return F.filter(walked, lambda x: x["end"] > x["start"]).cast(PLACED)
 
     return F.flatten(F.transform(placed, cut))
 

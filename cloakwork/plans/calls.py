@@ -295,7 +295,9 @@ def action_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["action_matrix"] = action_matrix
-ORACLES["action_matrix"] = "SELECT * FROM (VALUES (0, 'NONE'), (1, 'NONE'), (2, 'GUARDRAIL_INTERVENED'), (3, 'BLOCKED'), (4, 'WAIT'), (5, 'GUARDRAIL_INTERVENED'), (6, 'NONE'), (7, 'BLOCKED')) AS v(id, action)"
+ORACLES["action_matrix"] = f"""SELECT id, CASE WHEN n = 0 THEN 'NONE' WHEN blocked THEN 'BLOCKED' WHEN input_type = 'response' AND waits THEN 'WAIT'
+  WHEN (input_type = 'request' AND n_entities > 0) OR (input_type = 'response' AND changed) THEN 'GUARDRAIL_INTERVENED' ELSE 'NONE' END AS action
+FROM {values(ACTED, ['id', 'input_type', 'n', 'n_entities', 'changed', 'waits', 'blocked'])}"""
 
 RUNS = [("a", "regex", "crash", True), ("a", "llm", "ok", True), ("b", "llm", "unavailable", True), ("b", "gliner_pii", "unavailable", False), ("c", "llm", "unavailable", False), ("d", "privacy_filter", "crash", True), ("d", "llm", "unavailable", True)]
 
@@ -322,8 +324,11 @@ def detector_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["detector_subset"] = detector_subset
-_all = ",".join(DETECTORS)
-ORACLES["detector_subset"] = f"SELECT * FROM (VALUES (1, 'llm,regex', ''), (2, '{_all}', 'nothing'), (3, '{_all}', ''), (4, 'regex', 'bogus'), (5, '{_all}', NULL)) AS v(id, active, unknown)"
+ORACLES["detector_subset"] = f"""
+WITH w AS (SELECT id, wanted, unnest(coalesce(string_split(wanted, ','), [NULL])) AS d, generate_subscripts(coalesce(string_split(wanted, ','), [NULL]), 1) AS i FROM {values(SUBSETS, ['id', 'wanted'])}),
+g AS (SELECT id, wanted, d, min(i) AS i, d IN ({", ".join(f"'{d}'" for d in DETECTORS)}) AS known FROM w GROUP BY id, wanted, d)
+SELECT id, coalesce(string_agg(d, ',' ORDER BY i) FILTER (known), '{",".join(DETECTORS)}') AS active, CASE WHEN wanted IS NOT NULL THEN coalesce(string_agg(d, ',' ORDER BY i) FILTER (NOT known), '') END AS unknown FROM g GROUP BY id, wanted
+"""
 
 OVERRIDDEN = [
     ("detector_mode", '"regex, llm"', '["regex","llm"]'), ("detector_mode", '["regex"," llm "]', '["regex","llm"]'), ("faker_locale", '"a,b,c,d"', None), ("faker_locale", '["pt_BR"]', '["pt_BR"]'),
@@ -361,7 +366,7 @@ def bearer_token(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["bearer_token"] = bearer_token
-ORACLES["bearer_token"] = "SELECT * FROM (VALUES (1, 'abc'), (2, 'x y'), (3, NULL), (4, NULL), (5, NULL), (6, NULL)) AS v(id, token)"
+ORACLES["bearer_token"] = f"""SELECT id, CASE WHEN lower(k) = 'authorization' AND regexp_matches(lower(v), '^ *bearer ') THEN nullif(nullif(trim(substr(trim(v), 8)), '[present]'), '') END AS token FROM {values(HEADERS, ['id', 'k', 'v'])}"""
 
 
 def trace_line(spark: SparkSession, sf_dir: str) -> DataFrame:

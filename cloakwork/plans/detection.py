@@ -295,13 +295,13 @@ def _deny(entries: list[Literal], backend: str = "regex"):
     return run
 
 
-def _deny_sql(entries: list[Literal]) -> str:
+def _deny_sql(entries: list[Literal], source: str = "documents") -> str:
     """The alternation, longest fragment first, with ASCII word characters told apart from letters beyond by hand."""
     fragments = sorted((D.literal_pattern(e) for e in entries), key=len, reverse=True)
     exact = entries[0].case_sensitive
     pattern = ("" if exact else "(?i)") + "|".join(f"(?:{f})" for f in fragments)
     types = " ".join(f"WHEN {'value' if exact else 'lower(value)'} = '{e.value if exact else e.value.lower()}' THEN '{e.entity_type}'" for e in entries)
-    return f"SELECT doc_id, start, stop, value, CASE {types} END AS entity_type FROM ({_spans_sql('documents', pattern)}) AS s"
+    return f"SELECT doc_id, start, stop, value, CASE {types} END AS entity_type FROM ({_spans_sql(source, pattern)}) AS s"
 
 
 def _bounded_sql(entries: list[Literal]) -> str:
@@ -345,4 +345,4 @@ def denylist_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["denylist_boundary"] = denylist_boundary
-ORACLES["denylist_boundary"] = _deny_sql(PEOPLE).replace("FROM documents", f"FROM (SELECT CAST(doc_id AS BIGINT) AS doc_id, text FROM {values(NAMED, ['doc_id', 'text'])})")
+ORACLES["denylist_boundary"] = _deny_sql(PEOPLE, f"(SELECT CAST(doc_id AS BIGINT) AS doc_id, text FROM {values(NAMED, ['doc_id', 'text'])})")

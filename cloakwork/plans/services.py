@@ -12,14 +12,14 @@ from cloakwork.operators import registry as G
 from cloakwork.operators import remote, report
 from cloakwork.operators import detect as D
 from cloakwork.operators import policy, quality
-from cloakwork.plans.calls import _C, NAME, OVERRIDDEN, RULES, _drain
-from cloakwork.plans.detection import _spans_sql
+from cloakwork.plans.calls import _C, NAME, OVERRIDDEN, _drain
+from cloakwork.plans.detection import BARE, _deny_sql, _spans_sql
 from cloakwork.plans.fixtures import frame, values
 from cloakwork.plans.scores import ORACLES as SCORES
 from cloakwork.plans.scores import speedups
-from cloakwork.session import shared_dir
+from cloakwork.session import shared_dir, spread
 from cloakwork.sources import requests
-from cloakwork.sources.rules import Literal, Rule
+from cloakwork.sources.rules import Rule
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -61,9 +61,11 @@ def warm_final(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"request_source": request_source, "request_stream": request_stream, "request_admission": request_admission, "warm_final": warm_final}
-ORACLES["request_source"] = ORACLES["request_stream"] = "SELECT * FROM (VALUES ('a', 'request', NULL, 0, 'x'), ('a', 'request', NULL, 1, 'y'), ('b', 'response', false, 0, 'z'), ('d', 'response', true, 0, 'w')) AS v(call_id, input_type, is_final, text_idx, text)"
+_ACCEPTED = f"(SELECT b::JSON AS r FROM {values([(b,) for b in BODIES], ['b'])} WHERE strlen(b) <= 300 AND json_valid(b))"
+ORACLES["request_source"] = ORACLES["request_stream"] = f"""SELECT r->>'call_id' AS call_id, r->>'input_type' AS input_type, CAST(r->>'is_final' AS BOOLEAN) AS is_final, CAST(i AS INTEGER) AS text_idx, r->'texts'->>i AS text
+FROM {_ACCEPTED} AS x, unnest(range(0, CAST(json_array_length(r->'texts') AS BIGINT))) AS u(i)"""
 ORACLES["request_admission"] = f"SELECT CAST(strlen(b) AS INTEGER) AS bytes, CASE WHEN strlen(b) > 300 THEN 'too large' ELSE 'malformed' END AS reason FROM {values([(b,) for b in BODIES[4:]], ['b'])}"
-ORACLES["warm_final"] = "SELECT * FROM (VALUES ('a', NULL), ('c', true), ('d', true)) AS v(call_id, is_final)"
+ORACLES["warm_final"] = f"SELECT r->>'call_id' AS call_id, CAST(r->>'is_final' AS BOOLEAN) AS is_final FROM {_ACCEPTED} AS x WHERE coalesce(r->>'is_final', '') <> 'false'"
 
 ASKED = [(1, "Ann met Bob"), (2, "Ann met Bob"), (3, " \n"), (4, "please time out"), (5, "bad shape"), (6, "crash now"), (7, "nobody"), (8, None)]
 
@@ -93,19 +95,56 @@ def remote_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["remote_detector"] = remote_detector
 ORACLES["remote_detector"] = "SELECT * FROM (VALUES (1, 'ok', NULL, 'Ann,Bob'), (2, 'ok', NULL, 'Ann,Bob'), (3, 'ok', NULL, ''), (4, 'unavailable', 'timeout', ''), (5, 'unavailable', 'shape', ''), (6, 'crash', 'KeyError', ''), (7, 'ok', NULL, ''), (8, 'ok', NULL, '')) AS v(id, status, error_kind, people)"
 
-SIDE_BY_SIDE = [(1, "ann@example.org wrote to ann@example.org", None), (2, "ann@example.org at 10.0.0.1", "denylist"), (3, "at 10.0.0.1 with Zephyr", "denylist,regex"), (4, "at 10.0.0.1", "bogus")]
+SIDE_BY_SIDE = "[A-Z][a-z]{9,}|tion"
 
 
 def detector_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two detectors over calls, narrowed row by row."""
-    calls = frame(spark, SIDE_BY_SIDE, "call_id int, text string, mode string").select("call_id", F.array("text").alias("texts"), F.split("mode", ",").alias("detector_mode"))
-    both = [G.DenylistDetector((Literal("OTHER", "Zephyr"), Literal("USERNAME", "ann@example.org"))), G.RuleDetector(tuple(RULES))]
-    found = G.detect_calls(calls, both).select("call_id", F.explode_outer("entities").alias("e")).where("e is not null")
-    return found.select("call_id", "e.text", "e.entity_type", F.array_join("e.source_detectors", ",").alias("sources"))
+    """Two detectors over all turns of each conversation, narrowed row by row."""
+    turns = spread(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text"))
+    calls = turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]).alias("texts"))
+    modes = F.array(F.lit(None).cast("string"), F.lit("denylist"), F.lit("denylist,regex"), F.lit("bogus"))
+    calls = calls.withColumn("detector_mode", F.split(F.get(modes, (F.col("conv_id") % 4).cast("int")), ","))
+    both = [G.DenylistDetector(tuple(BARE)), G.RuleDetector((Rule("PERSON", SIDE_BY_SIDE, ("ASCII",)),))]
+    found = G.detect_calls(calls, both).select("conv_id", F.explode_outer("entities").alias("e")).where("e is not null")
+    return found.select("conv_id", "e.text", "e.entity_type", F.array_join("e.source_detectors", ",").alias("sources"))
 
 
 QUERIES["detector_fanout"] = detector_fanout
-ORACLES["detector_fanout"] = "SELECT * FROM (VALUES (1, 'ann@example.org', 'EMAIL_ADDRESS', 'regex,denylist'), (2, 'ann@example.org', 'USERNAME', 'denylist'), (3, '10.0.0.1', 'IPV4_ADDRESS', 'regex'), (3, 'Zephyr', 'OTHER', 'denylist'), (4, '10.0.0.1', 'IPV4_ADDRESS', 'regex')) AS v(call_id, text, entity_type, sources)"
+ORACLES["detector_fanout"] = f"""
+WITH h AS (SELECT doc_id // 1000 AS conv_id, doc_id % 1000 * 10 AS place, value, 'PERSON' AS kind, 'regex' AS det FROM ({_spans_sql(_C, SIDE_BY_SIDE)}) AS a WHERE doc_id // 1000 % 4 <> 1
+ UNION ALL SELECT doc_id // 1000, doc_id % 1000 * 10 + 1, value, entity_type, 'denylist' FROM ({_deny_sql(BARE, _C)}) AS b),
+f AS (SELECT conv_id, value, det, min(place) AS k, arg_min(kind, place) AS kind FROM h GROUP BY conv_id, value, det)
+SELECT conv_id, value AS text, arg_min(kind, k) AS entity_type, string_agg(det, ',' ORDER BY k) AS sources FROM f GROUP BY conv_id, value
+"""
+
+NAMES = "[A-Z][a-z]+(?: [A-Z][a-z]+)*"
+
+
+def _tagger():
+    """A recorded service: words with their tags; neighbouring capitalised words are one person."""
+    import re
+
+    def ask(text: str, arguments: dict) -> list:
+        rows = []
+        for m in re.finditer(f"{NAMES}|[^ ]+", text):
+            words = [(w.start() + m.start(), w.end() + m.start()) for w in re.finditer("[^ ]+", m[0])] if re.fullmatch(NAMES, m[0]) else []
+            marks = "S" if len(words) == 1 else "B" + "I" * (len(words) - 2) + "E"
+            rows += [{"label": f"{k}-private_person", "start": a, "end": b} for k, (a, b) in zip(marks, words)] or [{"label": "O", "start": m.start(), "end": m.end()}]
+        return rows
+
+    return ask
+
+
+def tag_service(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A service that classifies tokens, over all turns; its tags are put together here."""
+    turns = spread(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text"))
+    tokens = F.transform("spans", lambda s: F.struct(s["label"].alias("tag"), s["start"].alias("start"), s["end"].alias("end")))
+    found = remote.detect(turns, _tagger).select("conv_id", "turn", F.explode(D.decode_tags(F.col("text"), tokens)).alias("s"))
+    return found.select("conv_id", "turn", "s.start", F.col("s.end").alias("stop"), F.col("s.text").alias("value"))
+
+
+QUERIES["tag_service"] = tag_service
+ORACLES["tag_service"] = f"SELECT doc_id // 1000 AS conv_id, doc_id % 1000 AS turn, start, stop, value FROM ({_spans_sql(_C, NAMES)}) AS a"
 
 
 def headline_report(spark: SparkSession, sf_dir: str) -> DataFrame:

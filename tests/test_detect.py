@@ -116,3 +116,44 @@ def test_escaped_keys_match_themselves(key):
 def test_rule_without_native_form():
     with pytest.raises(ValueError):
         D.rule_candidates(None, [Rule("A", "(a)|(b)")])
+
+
+def test_many_matches_in_a_long_text(spark):
+    """20,000 matches, overlapping ones of a second rule, marks that the search uses itself, characters beyond the BMP."""
+    import re
+
+    text = "".join(f"k{i % 97}=v{i}; \ufdd1é𝄞" for i in range(20_000))
+    rules = [Rule("TOKEN", r"k(\d+)=v\d+", ("ASCII",)), Rule("OTHER", r"=v\d+;", ("ASCII",)), Rule("PATH", r"[^é]{2}é", ("ASCII",))]
+    df = spark.createDataFrame([(1, text), (2, "k1=v"), (3, None), (4, "\ufdd0k1=v2\ufdd3")], "i int, text string")
+    got = {r.i: [(c.start, c.end, c.value, c.entity_type) for c in r.candidates] for r in D.scan(df, rules).collect()}
+
+    def brute(t):
+        found = []
+        for r in rules:
+            for m in re.finditer(r.pattern, t or "", re.ASCII):
+                g = 1 if m.re.groups else 0
+                found.append((m.start(g), m.end(g), m[g].strip(), r.entity_type))
+        return found
+
+    for i, t in df.collect():
+        assert got[i] == brute(t)
+    kept = {r.i: r.candidates for r in D.scan(df, rules[:2], strategy="longest").collect()}
+    assert len(kept[1]) == 40_000 and all(a.end <= b.start for a, b in zip(sorted(kept[1], key=lambda c: c.start), sorted(kept[1], key=lambda c: c.start)[1:]))
+
+
+def test_dedup_against_a_fold(spark):
+    import random
+
+    from cloakwork.model import ATTRIBUTED
+    from cloakwork.operators import resolve as R
+
+    r = random.Random(1)
+    rows = [(i, [(r.choice(["", "a", "b", "É", "long one"]), r.choice(["PERSON", "URL"]), [r.choice(["regex", "llm", "denylist"])]) for _ in range(n)]) for i, n in enumerate([0, 1, 2, 7, 30, 3000])]
+    got = {x.i: [(m.text, m.entity_type, m.source_detectors) for m in x.d] for x in spark.createDataFrame(rows, f"i int, m {ATTRIBUTED}").select("i", R.dedup(F.col("m")).alias("d")).collect()}
+    for i, matches in rows:
+        want: dict = {}
+        for text, kind, sources in matches:
+            if text:
+                _, known = want.setdefault(text, (kind, []))
+                known += [s for s in sources if s not in known]
+        assert got[i] == [(k, *v) for k, v in want.items()]

@@ -20,3 +20,10 @@ assert e.entry(s).count()
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=280)
     assert done.returncode == 0, done.stderr[-3000:]
+
+
+def test_queries_are_listed_without_a_session():
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; from pyspark import SparkContext; assert set(e.oracle_sql()) <= set(e.queries()) and SparkContext._active_spark_context is None"
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=280)
+    assert done.returncode == 0, done.stderr[-3000:]
