@@ -50,8 +50,9 @@ SKETCH = 1 << 18
 KNOWN_WORDS = 300_000
 #: Up to so many candidates are broadcast to the texts; more are joined with a shuffle of the texts.
 FEW = 200_000
-#: Groups of more sets than this that share an item are put as differences anew, up to so many times; both decide speed only.
-LARGE, DEEPEST = 32, 4
+#: Groups in which more sets than this have the shared item in their indexed prefix, so that all of these are pairs, are put as
+#: differences anew, up to so many times. Both decide speed only: a set forms at most about LARGE / 2 pairs for an item.
+LARGE, DEEPEST = 1000, 4
 C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -301,8 +302,8 @@ def _across(rows: DataFrame, scratch: Scratch, depth: int = 1) -> DataFrame:
     often = rows.sparkSession.sparkContext.broadcast(sketch)
     prefixes = scratch.written(_prefixes(rows, often), f"prefixes-{depth}")
     # To put a group anew moves its members' items once more, which pays off where its pairs would be more than that.
-    large = (F.col("n") > LARGE) & (F.col("n") * 2 > F.col("mean")) if depth < DEEPEST else F.lit(False)
-    met = prefixes.groupBy("gid", "token").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("n"), F.avg("size").alias("mean")).where("r != s").select("gid", "token", large.alias("large"))
+    large = (F.col("k") > LARGE) & (F.col("n") * 2 > F.col("mean")) if depth < DEEPEST else F.lit(False)
+    met = prefixes.groupBy("gid", "token").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("n"), F.count_if("indexed").alias("k"), F.avg("size").alias("mean")).where("r != s").select("gid", "token", large.alias("large"))
     found = scratch.written(prefixes.join(met, ["gid", "token"]), f"met-{depth}")
     p, q = found.where("not large").alias("p"), found.where("indexed and not large").alias("q")
     smaller = F.struct("q.w", "q.cls") < F.struct("p.w", "p.cls")
