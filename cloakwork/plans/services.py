@@ -126,7 +126,7 @@ def _tagger():
 
     def ask(text: str, arguments: dict) -> list:
         rows = []
-        for m in re.finditer(f"{NAMES}|[^ ]+", text):
+        for m in re.finditer(f"{NAMES}|[^A-Z ]+|[A-Z ]", text):
             words = [(w.start() + m.start(), w.end() + m.start()) for w in re.finditer("[^ ]+", m[0])] if re.fullmatch(NAMES, m[0]) else []
             marks = "S" if len(words) == 1 else "B" + "I" * (len(words) - 2) + "E"
             rows += [{"label": f"{k}-private_person", "start": a, "end": b} for k, (a, b) in zip(marks, words)] or [{"label": "O", "start": m.start(), "end": m.end()}]
