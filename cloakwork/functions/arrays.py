@@ -1,6 +1,6 @@
 """Array expressions whose cost stays near linear in the length of the array.
 
-A fold that appends to its accumulator copies what it has for each element, so it is quadratic. The scan below works in
+A fold copies its accumulator at each element, so one that appends to it is quadratic. The scan below works in
 blocks of about the square root of the length: n^1.5 copies at most, whatever is scanned.
 """
 
@@ -22,6 +22,12 @@ def record(**fields: Column) -> Column:
     return F.named_struct(*[x for k, v in fields.items() for x in (F.lit(k), v)])
 
 
+def blocks(v: Column) -> Column:
+    """An array that isn't empty, cut into blocks of about the square root of its length."""
+    width = F.ceil(F.sqrt(F.size(v))).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / width).cast("int")), lambda b: F.slice(v, b * width + 1, width))
+
+
 def prefix(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
     """Inclusive running results of an associative ``combine``: [v1, v1 + v2, ...]."""
 
@@ -29,12 +35,11 @@ def prefix(values: Column, combine: Callable[[Column, Column], Column]) -> Colum
         return F.aggregate(F.slice(block, F.lit(2), F.size(block)), F.slice(block, F.lit(1), F.lit(1)), lambda acc, x: F.concat(acc, F.array(combine(F.element_at(acc, -1), x))))
 
     def cut(v: Column) -> Column:
-        width = F.ceil(F.sqrt(F.size(v))).cast("int")
-        return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / width).cast("int")), lambda b: grown(F.slice(v, b * width + 1, width)))
+        return F.transform(blocks(v), grown)
 
-    def joined(blocks: Column) -> Column:
-        totals = grown(F.transform(blocks, lambda x: F.element_at(x, -1)))
-        return let(totals, lambda t: F.flatten(F.transform(blocks, lambda x, i: F.when(i == 0, x).otherwise(F.transform(x, lambda y: combine(F.get(t, i - 1), y))))))
+    def joined(parts: Column) -> Column:
+        totals = grown(F.transform(parts, lambda x: F.element_at(x, -1)))
+        return let(totals, lambda t: F.flatten(F.transform(parts, lambda x, i: F.when(i == 0, x).otherwise(F.transform(x, lambda y: combine(F.get(t, i - 1), y))))))
 
     return let(values, lambda v: F.when(F.size(v) < 2, v).otherwise(let(cut(v), joined)))
 
@@ -61,8 +66,8 @@ def runs(values: Column, fresh: Callable[[Column, Column], Column]) -> Column:
 CHUNK = 1000
 
 
-def pieces(text: Column, ranges: Column, between: str = "") -> Column:
-    """The text's pieces [first, last) of an array of structs (first, last) in order, with ``between`` after all but the last."""
+def slices(text: Column, ranges: Column) -> Column:
+    """The text's pieces [first, last) of an array of structs (first, last), one a range."""
     empty = F.array().cast("array<string>")
 
     def cut(chunks: Column, r: Column) -> Column:
@@ -71,4 +76,9 @@ def pieces(text: Column, ranges: Column, between: str = "") -> Column:
         return F.when(r["last"] > r["first"], F.array_join(whole, "")).otherwise(F.lit(""))
 
     chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
-    return let(F.coalesce(chunks, empty), lambda c: F.array_join(F.transform(ranges, lambda r: cut(c, r)), between))
+    return let(F.coalesce(chunks, empty), lambda c: F.transform(ranges, lambda r: cut(c, r)))
+
+
+def pieces(text: Column, ranges: Column, between: str = "") -> Column:
+    """The text's pieces [first, last) of an array of structs (first, last) in order, with ``between`` after all but the last."""
+    return F.array_join(slices(text, ranges), between)

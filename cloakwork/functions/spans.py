@@ -1,16 +1,17 @@
 """Span expressions: finding matches with their places, greedy allocation, replacement. All stay in Catalyst.
 
-None of them appends to a growing array, so a text of many matches costs little more than its patterns.
+None of them appends to one growing array, so a text of many matches costs little more than its patterns.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cloakwork.functions.arrays import let, record, running_max, running_sum, runs
+from cloakwork.functions.arrays import blocks, let, record, running_max, running_sum, runs, slices
 from cloakwork.functions.text import strip
 from cloakwork.model import CANDIDATES
 
@@ -47,27 +48,34 @@ def find_all(text: Column, sought: list[Sought], stripped: bool = True) -> Colum
     """
     if not sought:
         return no_candidates()
-    plain = F.translate(text, "".join(MARKS), OTHER * 4)
+    clean = ~reduce(lambda a, b: a | b, [F.contains(text, F.lit(mark)) for mark in MARKS])
 
     def marked(s: Sought) -> Column:
         said = f"{BEGIN}$0{LEAD}$1{VALUE}$2{END}" if s.grouped else f"{BEGIN}$0{LEAD}{VALUE}$0{END}"
         guard = text.rlike(s.pattern) if s.needs is None else F.contains(text, F.lit(s.needs)) & text.rlike(s.pattern)
-        return record(body=F.when(guard, F.regexp_replace(plain, F.lit(s.pattern), F.lit(said))), kind=F.lit(s.entity_type), ord=F.lit(s.order))
+        within = lambda t: F.regexp_replace(t, F.lit(s.pattern), F.lit(said))
+        body = F.when(guard, F.when(clean, within(text)).otherwise(within(F.translate(text, "".join(MARKS), OTHER * 4))))
+        return record(body=body, kind=F.lit(s.entity_type), ord=F.lit(s.order))
 
     def measured(piece: Column) -> Column:
         lead, value, end = F.instr(piece, LEAD), F.instr(piece, VALUE), F.instr(piece, END)
         return record(len=lead - 1, lead=value - lead - 1, value=piece.substr(value + 1, end - value - 1), rest=F.length(piece) - end)
 
     def placed(m: Column) -> Column:
-        def candidate(x: Column, end: Column) -> Column:
+        def site(x: Column, end: Column) -> Column:
             start = end - x["len"] + x["lead"]
-            # Of a text that has marks itself, values are cut out again.
-            value = F.when(text == plain, x["value"]).otherwise(text.substr(start + 1, F.length(x["value"])))
-            return record(start=start, end=start + F.length(x["value"]), value=strip(value) if stripped else value, entity_type=m["kind"], ord=m["ord"])
+            return record(first=start, last=start + F.length(x["value"]), value=x["value"])
+
+        def candidate(x: Column, value: Column) -> Column:
+            return record(start=x["first"], end=x["last"], value=strip(value) if stripped else value, entity_type=m["kind"], ord=m["ord"])
+
+        def valued(sites: Column) -> Column:
+            # The values of a text that has marks itself are cut out of it again, out of all chunks at once.
+            return F.when(clean, F.transform(sites, lambda x: candidate(x, x["value"]))).otherwise(F.zip_with(sites, slices(text, sites), candidate))
 
         def spans(parts: Column) -> Column:
             ends = lambda x: running_sum(F.transform(x, lambda y, i: y["len"] + F.when(i == 0, F.length(F.get(parts, 0))).otherwise(F.get(x, i - 1)["rest"])))
-            return let(F.transform(F.slice(parts, F.lit(2), F.size(parts)), measured), lambda x: F.zip_with(x, ends(x), candidate))
+            return let(let(F.transform(F.slice(parts, F.lit(2), F.size(parts)), measured), lambda x: F.zip_with(x, ends(x), site)), valued)
 
         return let(F.split(m["body"], BEGIN, -1), spans)
 
@@ -89,16 +97,33 @@ def greedy(candidates: Column, strategy: str = "longest") -> Column:
     ends = lambda v: running_max(F.transform(v, lambda c: c["end"]))
     cut = lambda v: let(ends(v), lambda top: runs(v, lambda c, i: c["start"] >= F.get(top, i - 1)))
 
-    keyed = "array<struct<k1:int,k2:int,k3:int,end:int,value:string,entity_type:string>>"
+    item = "struct<k1:int,k2:int,k3:int,end:int,value:string,entity_type:string>"
     key = lambda c: F.struct((c["start"] - c["end"] if long else c["ord"]).alias("k1"), c["start"].alias("k2"), c["ord"].alias("k3"), c["end"].alias("end"), c["value"].alias("value"), c["entity_type"].alias("entity_type"))
 
-    def step(acc: Column, c: Column) -> Column:
-        clash = F.exists(acc, lambda a: (a["k2"] < c["end"]) & (c["k2"] < a["end"]))
-        return F.when(clash, acc).otherwise(F.concat(acc, F.array(c).cast(keyed)))
+    def before(placed: Column, at: Column) -> Column:
+        """How many of those in ``placed``, which are in order, start before a place, by halving."""
+        half = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        halved = lambda s, _: F.when(s["lo"] >= s["hi"], s).when(F.get(placed, half(s))["start"] < at, record(lo=half(s) + 1, hi=s["hi"])).otherwise(record(lo=s["lo"], hi=half(s)))
+        return F.aggregate(F.sequence(F.lit(0), F.log2(F.size(placed) + 1).cast("int")), record(lo=F.lit(0), hi=F.size(placed)), halved)["lo"]
+
+    def fold(block: Column, room=lambda c: F.lit(True)) -> Column:
+        clash = lambda taken, c: F.exists(taken, lambda a: (a["k2"] < c["end"]) & (c["k2"] < a["end"]))
+        return F.aggregate(block, F.array().cast(f"array<{item}>"), lambda taken, c: F.when(clash(taken, c) | ~room(c), taken).otherwise(F.concat(taken, F.array(c))))
+
+    def allocate(mine: Column) -> Column:
+        """Candidates by priority, in blocks. A fold copies its result at each step, so the inner one, over a block, has only
+        what that block adds; what earlier blocks added overlaps nowhere, so of those that start before a candidate's end
+        the last one tells whether there is room."""
+
+        def put(placed: Column, block: Column) -> Column:
+            room = lambda c: let(before(placed, c["end"]), lambda n: (n == 0) | (F.get(placed, n - 1)["end"] <= c["k2"]))
+            return F.sort_array(F.concat(placed, F.transform(fold(block, room), lambda c: record(start=c["k2"], end=c["end"], item=c))))
+
+        return F.transform(F.aggregate(blocks(mine), F.array().cast(f"array<struct<start:int,end:int,item:{item}>>"), put), lambda x: x["item"])
 
     def accept(run: Column) -> Column:
-        mine = F.transform(run, key).cast(keyed)
-        return F.when(F.size(run) < 2, mine).otherwise(F.aggregate(F.sort_array(mine), F.array().cast(keyed), step))
+        mine = F.sort_array(F.transform(run, key).cast(f"array<{item}>"))
+        return F.when(F.size(run) < 2, mine).when(F.size(run) <= 64, fold(mine)).otherwise(let(mine, allocate))
 
     kept = F.sort_array(F.flatten(F.transform(let(sorted_, cut), accept)))
     return F.transform(kept, lambda c: F.struct(c["k2"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), c["entity_type"].alias("entity_type"), c["k3"].alias("ord"))).cast(CANDIDATES)

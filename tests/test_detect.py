@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -157,3 +158,36 @@ def test_dedup_against_a_fold(spark):
                 _, known = want.setdefault(text, (kind, []))
                 known += [s for s in sources if s not in known]
         assert got[i] == [(k, *v) for k, v in want.items()]
+
+
+def _seconds(df, expression):
+    began = time.perf_counter()
+    got = df.select(expression.alias("out")).first()[0]
+    return got, time.perf_counter() - began
+
+
+def test_cost_follows_the_number_of_matches(spark):
+    """20,000 matches of one rule in one text; texts that have the marks themselves take the longer way."""
+    n = 20_000
+    for text in ("ab12 " * n, S.BEGIN + "ab12 " * n):
+        df = spark.createDataFrame([(text,)], "text string")
+        found = S.find(F.col("text"), r"(?dU)ab\d+", "X", 0)
+        _seconds(df.withColumn("text", F.substring("text", 1, 50)), found)
+        got, took = _seconds(df, found)
+        assert len(got) == n and {c.value for c in got} == {"ab12"} and took < 8
+        assert all(text[c.start : c.end] == "ab12" for c in got[:: n // 50])
+
+
+@pytest.mark.parametrize("strategy", ["longest", "priority"])
+def test_one_long_run_is_allocated_in_seconds(spark, strategy):
+    """20,000 candidates, each overlapping the next one."""
+    rnd = random.Random(7)
+    run = [(2 * i, 2 * i + rnd.randint(3, 9), str(i), "T", i % 5) for i in range(20_000)]
+    df = spark.createDataFrame([(run,)], "c array<struct<start:int,end:int,value:string,entity_type:string,ord:int>>")
+    got, took = _seconds(df, S.greedy(F.col("c"), strategy))
+    taken, kept = set(), []
+    for c in sorted(run, key=(lambda c: (c[0] - c[1], c[0], c[4])) if strategy == "longest" else (lambda c: (c[4], c[0]))):
+        if taken.isdisjoint(range(c[0], c[1])):
+            taken.update(range(c[0], c[1]))
+            kept.append(c)
+    assert [tuple(c) for c in got] == kept and took < 15
