@@ -25,15 +25,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakwork.llm.common import small_batches, worker_cache
+from cloakwork.llm.common import small_batches, table_schema, worker_cache, written
 
 UNKNOWN = "und"
 SEED = 0x5EED
+DIM = 2048
+
+
+def chance(dim: int = DIM, sigmas: float = 2.0) -> float:
+    """A cosine that unlike texts seldom reach: products of unrelated vectors of dim signs spread by 1 / sqrt(dim)."""
+    return sigmas / dim**0.5
 
 
 @dataclass
 class Profiles:
-    """Language names in alphabetical order and their prototypes, one unit vector a row."""
+    """A block of language names in alphabetical order and their prototypes, one unit vector a row."""
 
     languages: list[str]
     vectors: np.ndarray
@@ -93,24 +99,25 @@ def bundle(keys: np.ndarray, counts: np.ndarray, dim: int, n: int, letters: dict
     return total
 
 
-def learn(docs: DataFrame, label: str = "lang", text: str = "text", usable: Column | None = None, order: Column | None = None, per_language: int = 4000, most_languages: int = 2000, dim: int = 2048, n: int = 3) -> Profiles:
-    """Prototypes from labelled rows.
+def _sampled(rows: DataFrame, label: str, order: Column, per_language: int, most_broadcast: int) -> DataFrame:
+    """The rows that are learned from: of each language a share that follows from its exact count, by a hash of ``order``."""
+    span = 1 << 20
+    counts = rows.groupBy(F.col(label).alias("__label")).count()
+    share = written(counts.select("__label", F.least(F.lit(span), F.ceil(F.lit(per_language * span) / F.col("count"))).alias("__share")), "languages")
+    share = F.broadcast(share) if share.count() <= most_broadcast else share
+    return rows.join(share, F.col(label) == F.col("__label")).where(F.pmod(F.xxhash64(order.cast("string")), F.lit(span)) < F.col("__share"))
+
+
+def learn(docs: DataFrame, label: str = "lang", text: str = "text", usable: Column | None = None, order: Column | None = None, per_language: int = 4000, dim: int = DIM, n: int = 3, most_broadcast: int = 50_000) -> DataFrame:
+    """Prototypes of all labels, as a table in the shared folder: language, vector (of length 1), n.
 
-    ``per_language`` bounds the rows learned from in each language (in expectation): their share follows from exact
-    counts of labels, and rows are taken by a hash of ``order``, each value of it once, so the same rows are taken at every
-    partitioning and repeated ones don't add up. ``most_languages`` bounds the languages that are learned, the commonest ones.
+    ``per_language`` bounds the rows learned from in each language (in expectation): their share follows from exact counts of
+    labels, and rows are taken by a hash of ``order``, each value of it once, so the same rows are taken at every partitioning
+    and repeated ones don't add up. The counts are broadcast if there are at most ``most_broadcast`` labels.
     """
-    spark = docs.sparkSession
     order = F.col("doc_id") if order is None else order
-    rows = docs.where((F.lit(True) if usable is None else usable) & F.col(label).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(most_languages).collect()}
-    languages = sorted(counts)
-    if not languages:
-        return Profiles([], np.zeros((0, dim)), n)
-    span = 1 << 20
-    share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(span, -(-per_language * span // counts[k])))])
-    sample = rows.where(F.col(text).isNotNull() & (F.pmod(F.xxhash64(order.cast("string")), F.lit(span)) < share[F.col(label)]))
-    small_batches(spark)
+    rows = docs.where((F.lit(True) if usable is None else usable) & F.col(label).isNotNull() & F.col(text).isNotNull())
+    small_batches(docs.sparkSession)
 
     def bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted: dict[str, dict[int, float]] = {}
@@ -127,16 +134,25 @@ def learn(docs: DataFrame, label: str = "lang", text: str = "text", usable: Colu
             total = bundle(keys, np.array([own[k] for k in sorted(own)]), dim, n, letters)
             yield pa.RecordBatch.from_pydict({"language": [language], "vector": [total.tolist()]})
 
-    once = sample.groupBy(F.col(label).alias("language"), order.cast("string").alias("__order")).agg(F.min(text).alias("body"))
-    parts = once.select("language", "body")
-    # The bounded sample goes to eight tasks, so at most 8 vectors a language come to the driver.
-    parts = parts.repartition(8).mapInArrow(bundled, "language string, vector array<double>")
-    sums = {k: np.zeros(dim) for k in languages}
-    for r in parts.collect():
-        sums[r[0]] += np.array(r[1])
-    learned = [k for k in languages if np.any(sums[k])]
-    stacked = np.stack([sums[k] / np.linalg.norm(sums[k]) for k in learned]) if learned else np.zeros((0, dim))
-    return Profiles(learned, stacked, n)
+    once = _sampled(rows, label, order, per_language, most_broadcast).groupBy(F.col(label).alias("language"), order.cast("string").alias("__order")).agg(F.min(text).alias("body"))
+    # A language's rows go to four tasks at most, whose sums are added then.
+    dealt = once.withColumn("__part", F.pmod(F.xxhash64("__order"), F.lit(4))).repartition("language", "__part").select("language", "body")
+    parts = dealt.mapInArrow(bundled, "language string, vector array<double>").groupBy("language").agg(F.collect_list("vector").alias("parts"))
+    total = F.aggregate(F.slice("parts", F.lit(2), F.size("parts")), F.get("parts", F.lit(0)), lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+    summed = written(parts.select("language", total.alias("vector")), "language-sums")
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
+    return summed.withColumn("length", length).where("length > 0").select("language", F.transform("vector", lambda x: x / F.col("length")).alias("vector"), F.lit(n).alias("n"))
+
+
+def in_blocks(learned: DataFrame, most: int = 1000) -> Iterator[Profiles]:
+    """The prototypes in alphabetical order, ``most`` of them at a time: so many vectors come to the driver and go to a task at once."""
+    last, n = None, most
+    while n == most:
+        rows = (learned if last is None else learned.where(F.col("language") > last)).orderBy("language").limit(most).collect()
+        n = len(rows)
+        if n:
+            last = rows[-1].language
+            yield Profiles([r.language for r in rows], np.array([r.vector for r in rows]), rows[0].n)
 
 
 class Scorer:
@@ -166,6 +182,7 @@ class Scorer:
         return np.fromiter(map(self.place.__getitem__, keys.tolist()), np.int64, len(keys))
 
     def score(self, text: str | None) -> tuple[str, float]:
+        """The best language and its cosine, which is below 0 for texts unlike all of them."""
         keys = grams_of(text, self.p.n) if text else np.zeros(0, np.uint64)
         if not len(keys) or not self.p.languages:
             return UNKNOWN, 0.0
@@ -174,24 +191,34 @@ class Scorer:
         products = counts @ self.known[places]
         best = int(np.argmax(products))
         length = np.sqrt(self.dim * float(np.square(counts, dtype=np.float64).sum()))
-        return self.p.languages[best], float(min(1.0, max(0.0, products[best] / length)))
+        return self.p.languages[best], float(products[best] / length)
 
 
-def identify(docs: DataFrame, profiles: Profiles, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """One row per row of docs: the columns ``keep`` (default doc_id), and language and score under ``names``. Narrow: no shuffle."""
-    small_batches(docs.sparkSession)
-    keep = ["doc_id"] if keep is None else keep
-    sent = docs.select(*keep, F.col(text).alias("__body"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), f"`{names[0]}` string, `{names[1]}` double"])
+def _better(docs: DataFrame, profiles: Profiles) -> DataFrame:
+    """docs, whose last columns are a text, and the best language and cosine so far; the first one stays among equals."""
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(profiles)
         for batch in batches:
-            found = [scorer.score(x) for x in batch.column(len(keep)).to_pylist()]
-            columns = [batch.column(i) for i in range(len(keep))] + [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
+            found = [old if old[0] != UNKNOWN and new[1] <= old[1] else new for body, *old in zip(*(c.to_pylist() for c in batch.columns[-3:])) for new in [scorer.score(body)]]
+            columns = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *columns], names=batch.schema.names)
+
+    return docs.mapInArrow(predict, table_schema(docs))
+
 
-    return sent.mapInArrow(predict, schema)
+def identify(docs: DataFrame, learned: DataFrame, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score"), most: int = 1000) -> DataFrame:
+    """One row per row of docs: the columns ``keep`` (default doc_id), and language and score under ``names``. Narrow: no shuffle.
+
+    Texts are compared with ``most`` prototypes at a time and keep the best so far, so the number of languages has no bound
+    and a task holds no more than a block of them.
+    """
+    small_batches(docs.sparkSession)
+    keep = ["doc_id"] if keep is None else keep
+    out = docs.select(*keep, F.col(text).alias("__body"), F.lit(UNKNOWN).alias(names[0]), F.lit(0.0).alias(names[1]))
+    for profiles in in_blocks(learned, most):
+        out = _better(out, profiles)
+    return out.withColumn(names[1], F.least(F.lit(1.0), F.greatest(F.lit(0.0), names[1]))).drop("__body")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -202,5 +229,4 @@ def held_out(doc_id: Column) -> Column:
 def label_documents(docs: DataFrame, **parameters) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row; learns only from rows that aren't held out."""
     usable = F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
-    profiles = learn(docs, usable=usable, **parameters)
-    return identify(docs, profiles).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return identify(docs, learn(docs, usable=usable, **parameters)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

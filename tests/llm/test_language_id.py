@@ -45,10 +45,23 @@ def test_linear_score_equals_bundled_vectors():
     proto = L.bundle(*np.unique(L.grams_of("rain again and again"), return_counts=True), 512, 3, letters)
     profiles = L.Profiles(["x"], (proto / np.linalg.norm(proto))[None, :], 3)
     direct = vector @ proto / np.linalg.norm(proto) / np.sqrt(512 * np.square(counts).sum())
-    assert abs(L.Scorer(profiles).score("the rain in spain")[1] - max(0, direct)) < 1e-9
+    assert abs(L.Scorer(profiles).score("the rain in spain")[1] - direct) < 1e-9
 
 
 def test_labels_of_held_out_rows_are_not_used(spark):
     docs = corpus(spark)
     lied = docs.withColumn("lang", F.when(L.held_out(F.col("doc_id")), "zz").otherwise(F.col("lang")))
     assert {r.lang_pred for r in L.label_documents(lied).collect()} == {"en", "de"}
+
+
+def test_more_labels_than_one_block(spark):
+    """2,500 labels: none is left out, whatever the block; each label's texts have a word of their own."""
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3)) * 3
+    rows = [(i * 4 + j, f"{word(i)} {word(i)} {word(i)[::-1]}", f"l{i:04d}", "s", 1) for i in range(2500) for j in range(4)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(4)
+    learned = L.learn(docs, dim=256)
+    assert learned.count() == 2500
+    sample = docs.where("doc_id % 97 = 0")
+    few = {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in L.identify(sample, learned, most=400).collect()}
+    one = {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in L.identify(sample, learned, most=5000).collect()}
+    assert few == one and len(few) == 104 and all(v[0] == f"l{k // 4:04d}" for k, v in few.items())

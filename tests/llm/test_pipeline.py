@@ -45,3 +45,14 @@ def test_queries_are_registered():
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names and set(queries.ORACLES) <= set(names)
     assert "localCheckpoint" not in inspect.getsource(near_dup)
+
+
+def test_language_stage_decides_by_its_profiles(spark):
+    """Texts in scripts that no labelled row has go, labelled or short ones stay."""
+    import corpus_pipeline as P
+
+    known = [(i, f"the weather {w} would not change with the others in the old house", "en", "s", 1) for i, w in enumerate("abcdefghijklmnopqrst")]
+    other = ["привет как дела сегодня утром в городе", "これは日本語の文章です", "καλημέρα τι κάνεις σήμερα εδώ", "안녕하세요 오늘 날씨가 좋네요", "שלום מה שלומך היום בבוקר", "สวัสดีครับวันนี้อากาศดี"]
+    odd = [(100 + i, t, None, "s", 1) for i, t in enumerate(other)] + [(200, "The weather.", None, "s", 1), (201, "house", None, "s", 1)]
+    kept = {r.doc_id for r in P.language_id(spark, spark.createDataFrame(known + odd, DOCS), "").collect()}
+    assert kept >= {*range(20), 200, 201} and len(kept & set(range(100, 106))) <= 2
