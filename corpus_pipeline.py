@@ -3,8 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the docs of
 the next stage. All stages but the last return the columns of documents.
 
-1. ``language_id`` drops documents of which no language can be told: null texts and texts without a letter. Profiles are
-   learned from the stage's own labelled rows that aren't held out; the columns of what stays are unchanged.
+1. ``language_id`` drops documents of which no language can be told: null texts, texts without a letter, and texts whose
+   best cosine is no higher than what unrelated vectors reach by chance (``language_id.chance``), as those in scripts that no
+   labelled row has. Profiles are learned from the stage's own labelled rows that aren't held out; the columns of what stays
+   are unchanged.
 2. ``near_dup`` keeps one document of each near-duplicate group (5-word shingles, similarity of 0.8 or more),
    and one row of those repeated with doc_id and text.
 3. ``decontaminate`` drops documents in which a 10-word window of a benchmark item occurs.
@@ -34,10 +36,10 @@ from cloakwork.session import remove
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     usable = F.col("doc_id").isNotNull() & ~languages.held_out(F.col("doc_id"))
-    profiles = languages.learn(docs, usable=usable)
-    known = languages.identify(docs, profiles, keep=docs.columns, names=("__lang", "__score"))
+    learned = languages.learn(docs, usable=usable)
+    known = languages.identify(docs, learned, keep=docs.columns, names=("__lang", "__score"))
     # With nothing to learn from, no document has a known language; then only those without letters go.
-    told = F.col("__lang") != languages.UNKNOWN if profiles.languages else F.col("text").rlike(r"\p{L}")
+    told = F.col("text").rlike(r"\p{L}") if learned.isEmpty() else (F.col("__lang") != languages.UNKNOWN) & (F.col("__score") > languages.chance())
     return known.where(told).select(*docs.columns)
 
 
