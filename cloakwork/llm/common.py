@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cloakwork.session import shared_dir, spread, written
 
-__all__ = ["ascii_lower", "free_name", "shared_dir", "small_batches", "table", "table_schema", "text_key", "worker_cache", "written"]
+__all__ = ["ascii_lower", "commonest_length", "finite", "free_name", "shared_dir", "small_batches", "table", "table_schema", "text_key", "worker_cache", "written"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -55,3 +55,15 @@ def worker_cache(key: tuple, make: Callable):
 def table_schema(df: DataFrame) -> str:
     """The columns of df as a schema string."""
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def finite(vector: Column) -> Column:
+    """Whether a vector is there and none of its entries is null, infinite or no number."""
+    return vector.isNotNull() & F.forall(vector, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False)))
+
+
+def commonest_length(df: DataFrame, vector: str) -> int:
+    """The length that most of the finite vectors have, the greatest of equally common ones; 0 if there is none."""
+    lengths = df.where(finite(F.col(vector))).groupBy(F.size(vector).alias("d")).count()
+    found = lengths.orderBy(F.desc("count"), F.desc("d")).first()
+    return found.d if found else 0

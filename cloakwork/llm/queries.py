@@ -251,3 +251,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 ORACLES["op8_quality_rules"] = _op8_sql()
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cloakwork.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
