@@ -38,7 +38,7 @@ def products(df: DataFrame, columns: list[Column], most: int = 10_000) -> np.nda
     """
     d = len(columns)
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    named = df.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)])
+    named = df.select(*[F.coalesce(c, F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(columns)])  # sums of what can't be null are cheaper
     out = np.zeros((d, d))
     for k in range(0, len(pairs), most):
         sums = named.selectExpr(*[f"sum(c{i} * c{j}) AS s{i}_{j}" for i, j in pairs[k : k + most]]).first()
