@@ -30,7 +30,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloakwork.llm.common import commonest_length, finite, small_batches
-from cloakwork.llm.whitening import products
 
 OUT = "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint"
 LISTED = pa.schema([("anchor_id", pa.int64()), ("slot", pa.int32()), ("id", pa.int64()), ("score", pa.int64())])
@@ -48,7 +47,18 @@ class Rotation:
 
 def rotation(rows: DataFrame, d: int, shares: tuple[float, ...] = (0.5, 0.75, 0.9)) -> Rotation:
     """Cuts fall where the leading components first hold such shares of all squared lengths."""
-    values, vectors = np.linalg.eigh(products(rows, [F.get("x", i) for i in range(d)]))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((d, d))
+        for batch in batches:
+            x = np.asarray(batch.column(0).flatten(), float).reshape(batch.num_rows, d)
+            total += x.T @ x
+        yield pa.RecordBatch.from_pydict({"at": pa.array(range(d * d), pa.int32()), "s": total.ravel()})
+
+    moments = np.zeros(d * d)
+    for r in rows.select("x").mapInArrow(summed, "at int, s double").groupBy("at").agg(F.sum("s").alias("s")).collect():
+        moments[r.at] = r.s
+    values, vectors = np.linalg.eigh(moments.reshape(d, d))
     held = np.cumsum(np.maximum(values[::-1], 0.0))
     cuts = {int(np.searchsorted(held, s * held[-1])) + 1 for s in shares} if held[-1] > 0 else set()
     return Rotation(np.ascontiguousarray(vectors[:, ::-1]), sorted(c for c in cuts if c < d))
