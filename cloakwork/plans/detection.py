@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cloakwork.functions import spans as S
 from cloakwork.functions import text as T
+from cloakwork.operators import denylist as N
 from cloakwork.operators import detect as D
 from cloakwork.plans.fixtures import frame, values
 from cloakwork.session import spread
@@ -328,6 +329,35 @@ QUERIES["denylist_bare"] = _deny(BARE)
 ORACLES["denylist_bare"] = _deny_sql(BARE)
 QUERIES["denylist_exact"] = _deny(EXACT)
 ORACLES["denylist_exact"] = _bounded_sql(EXACT)
+
+
+def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A denylist as a table: pairs of neighbouring words of the benchmark, and its long words whatever their case and surroundings."""
+    words = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("w"))
+    pairs = words.select(F.explode(F.transform(F.slice("w", F.lit(2), F.size("w")), lambda x, i: F.concat_ws(" ", F.get("w", i), x))).alias("value"), F.lit("PHRASE").alias("entity_type"), F.lit(True).alias("case_sensitive"), F.lit(True).alias("word_boundary"))
+    long = words.select(F.explode(F.filter("w", lambda x: F.length(x) >= 8)).alias("value"), F.lit("TERM").alias("entity_type"), F.lit(False).alias("case_sensitive"), F.lit(False).alias("word_boundary"))
+    return pairs.unionByName(long)
+
+
+def denylist_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = N.detect(docs(spark, sf_dir), listed(spark, sf_dir), ["doc_id"]).select("doc_id", F.explode_outer("candidates").alias("c")).where("c is not null")
+    return found.select("doc_id", "c.start", F.col("c.end").alias("stop"), "c.value", "c.entity_type")
+
+
+QUERIES["denylist_entries"] = denylist_entries
+ORACLES["denylist_entries"] = _resolved_sql(r"""
+    WITH w AS (SELECT regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+    e AS MATERIALIZED (SELECT DISTINCT x AS needle, 0 AS ord, 'PHRASE' AS entity_type FROM (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS x FROM w) AS a
+          UNION ALL SELECT DISTINCT lower(x), 1, 'TERM' FROM (SELECT unnest(w) AS x FROM w) AS a WHERE length(x) >= 8),
+    d AS (SELECT doc_id, text, CASE WHEN ord = 0 THEN text ELSE lower(text) END AS body, ord FROM documents, (VALUES (0), (1)) AS o(ord) WHERE length(text) >= 3),
+    g AS MATERIALIZED (SELECT doc_id, ord, unnest(range(1, len(c) - 1)) AS i, unnest(list_transform(range(1, len(c) - 1), lambda i: concat(c[i], c[i + 1], c[i + 2], c[i + 3], c[i + 4], c[i + 5]))) AS six FROM (SELECT doc_id, ord, string_split(body, '') AS c FROM d) AS a),
+    near AS MATERIALIZED (SELECT doc_id, g.ord AS ord, i, needle, entity_type FROM g JOIN e ON six = left(needle, 6) AND g.ord = e.ord WHERE length(needle) >= 6
+             UNION ALL SELECT doc_id, g.ord, i, needle, entity_type FROM g JOIN e ON left(six, 3) = left(needle, 3) AND g.ord = e.ord WHERE length(needle) < 6),
+    SELECT d.doc_id, CAST(i - 1 AS INTEGER) AS start, CAST(i - 1 + length(needle) AS INTEGER) AS stop, substr(text, i, length(needle)) AS value, entity_type, d.ord
+    FROM near JOIN d ON near.doc_id = d.doc_id AND near.ord = d.ord WHERE substr(body, i, length(needle)) = needle AND (d.ord = 1
+      OR ((i = 1 OR NOT regexp_matches(substr(text, i, 1), '[\pL\pN_]') OR NOT regexp_matches(substr(text, i - 1, 1), '[\pL\pN_]'))
+      AND (NOT regexp_matches(right(needle, 1), '[\pL\pN_]') OR NOT regexp_matches(substr(text, i + length(needle), 1), '[\pL\pN_]'))))
+""", "start - stop, start, ord")
 QUERIES["denylist_automaton"] = _deny(BARE[1:], "aho")
 ORACLES["denylist_automaton"] = _deny_sql(BARE[1:])
 BARE_CASELESS = [Literal("IDENTIFIER", "TION", False, False), Literal("OTHER", "ed.", False, False)]
