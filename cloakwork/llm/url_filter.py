@@ -7,7 +7,9 @@ ratio, entropy of characters, counts of parameters, dots, hyphens and other mark
 
 Features are column expressions. Suffix statistics are counted over all labelled URLs and kept in a table, which is joined:
 broadcast if it has at most ``most_broadcast`` rows (they are counted), by a shuffle on the suffix otherwise. A URL that the
-trees are fitted on has those of the other folds only (folds go by a hash of the URL), so no label tells of itself. Trees
+trees are fitted on has those of the other folds only (folds go by a hash of the URL), as shares of what these folds hold, so no label
+tells of itself and shares have the same scale in fit and scoring. A suffix without labelled URLs is a case of its own: it has the share of all, and
+one in ``HIDDEN`` of the URLs fitted on is shown so, from which the trees learn to go by the other features then. Trees
 are fitted on at most about ``most_rows`` distinct labelled URLs, taken by a hash of the URL whose share follows from the
 number of distinct ones, and weighted by how often they come: so the fit grows neither with the corpus nor with repeated
 rows. Scoring reads the url column only and is narrow while the statistics are broadcast.
@@ -92,6 +94,8 @@ def suffix_of(host: Column) -> Column:
 
 
 FOLDS = 5
+#: One in so many of the URLs that the trees are fitted on has its suffix hidden.
+HIDDEN = 3
 
 
 @dataclass
@@ -104,6 +108,8 @@ class UrlModel:
     broadcast: bool = True
     total: int = 0
     bad: int = 0
+    total_in: list[int] | None = None
+    bad_in: list[int] | None = None
 
 
 def _fold() -> Column:
@@ -115,8 +121,13 @@ def _with_features(urls: DataFrame, m: UrlModel, others_only: bool = False) -> D
     out = urls.withColumns({f"f_{k}": v.cast("double") for k, v in features(F.col("url"), F.col("host"), F.col("path")).items()})
     stats = F.broadcast(m.suffixes) if m.broadcast else m.suffixes
     out = out.withColumn("__suffix", suffix_of(F.col("host"))).join(stats.withColumnRenamed("suffix", "__s"), F.col("__suffix") == F.col("__s"), "left")
-    of = lambda c: F.coalesce(F.col(c) - (F.get(f"{c}_in", _fold()) if others_only else F.lit(0)), F.lit(0))
-    out = out.withColumns({"f_suffix_seen": of("seen") / m.total, "f_suffix_blocked": (of("bad") + 10 * m.bad / m.total) / (of("seen") + 10)})
+    own = lambda listed: F.get(listed, _fold()) if others_only else F.lit(0)
+    listed = lambda values: F.array(*map(F.lit, values))
+    of = lambda c: F.coalesce(F.col(c) - own(F.col(f"{c}_in")), F.lit(0))
+    total, bad = F.greatest(F.lit(m.total) - own(listed(m.total_in)), F.lit(1)), F.lit(m.bad) - own(listed(m.bad_in))
+    hidden = F.pmod(F.xxhash64(F.lit("hidden"), F.col("url")), F.lit(HIDDEN)) == 0 if others_only else F.lit(False)
+    known = (of("seen") > 0) & ~hidden
+    out = out.withColumns({"f_suffix_known": known.cast("double"), "f_suffix_seen": F.when(known, of("seen") / total).otherwise(0.0), "f_suffix_blocked": F.when(known, (of("bad") + 10 * bad / total) / (of("seen") + 10)).otherwise(bad / total)})
     return out.drop("__suffix", "__s", "seen", "bad", "seen_in", "bad_in")
 
 
@@ -129,10 +140,11 @@ def train(labelled: DataFrame, most_rows: int = 20_000, most_broadcast: int = 50
         F.array(*[F.sum(in_fold(k)) for k in range(FOLDS)]).alias("seen_in"), F.array(*[F.sum(in_fold(k) * F.col("blocked")) for k in range(FOLDS)]).alias("bad_in"),
     )
     per = written(per, "suffixes")
-    known, n, bad = per.agg(F.count("*"), F.sum("seen"), F.sum("bad")).first()
+    in_folds = [F.sum(F.get(c, k)) for c in ("seen_in", "bad_in") for k in range(FOLDS)]
+    known, n, bad, *of_folds = per.agg(F.count("*"), F.sum("seen"), F.sum("bad"), *in_folds).first()
     if not n or bad in (0, n):
         return UrlModel(None, "block" if n and bad == n else "allow")
-    m = UrlModel(None, "allow", per, known <= most_broadcast, n, bad)
+    m = UrlModel(None, "allow", per, known <= most_broadcast, n, bad, of_folds[:FOLDS], of_folds[FOLDS:])
     span = 1 << 30
     distinct = rows.agg(F.approx_count_distinct("url", 0.01)).first()[0] + 1
     taken = rows.where(F.pmod(F.xxhash64("url"), F.lit(span)) < min(span, most_rows * span // distinct))
