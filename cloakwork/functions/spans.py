@@ -129,7 +129,53 @@ def greedy(candidates: Column, strategy: str = "longest") -> Column:
     return F.transform(kept, lambda c: F.struct(c["k2"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), c["entity_type"].alias("entity_type"), c["k3"].alias("ord"))).cast(CANDIDATES)
 
 
-def replace_all(text: Column, pattern: Column, mapping: Column) -> Column:
-    """One pass; each match of the column pattern (an alternation of escaped keys) becomes its value in the map."""
-    kept = F.zip_with(F.split(text, pattern, F.lit(-1)), F.regexp_extract_all(text, pattern, F.lit(0)), lambda g, m: F.concat(g, F.coalesce(F.try_element_at(mapping, m), F.lit(""))))
-    return F.when(pattern.isNull() | (pattern == ""), text).otherwise(F.array_join(kept, ""))
+def occurrences(text: Column, key: Column) -> Column:
+    """First and last (exclusive) place of each occurrence of a literal, those that overlap each other too; no pattern is made of it.
+
+    The text must not have BEGIN in it.
+    """
+    n = F.length(key)
+    gaps = F.transform(F.split(F.replace(text, key, F.lit(BEGIN)), BEGIN, -1), F.length)
+    apart = lambda g: F.transform(running_sum(F.slice(g, F.lit(1), F.size(g) - 1)), lambda x, i: x + i * n)
+    # What is left out begins within one of those found, by a period of the key behind it.
+    periods = F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda q: (q < n) & (key.substr(q + 1, n - q) == key.substr(F.lit(1), n - q)))
+    again = lambda starts: F.flatten(F.transform(periods, lambda q: F.filter(F.transform(starts, lambda i: i + q), lambda j: text.substr(j + 1, n) == key)))
+    first = lambda k: key.substr(F.lit(1), F.lit(k))
+    never = (first(1) != key.substr(n, F.lit(1))) & ~F.contains(key.substr(F.lit(2), n), first(2))  # what ends a key like that doesn't begin it
+    every = lambda starts: F.when(never, starts).otherwise(F.array_distinct(F.concat(starts, again(starts))))
+    return F.transform(let(let(gaps, apart), every), lambda i: record(first=i.cast("int"), last=(i + n).cast("int")))
+
+
+def replace_all(text: Column, entries: Column, old: str, new: str) -> Column:
+    """The text with the field ``old`` of each of the entries replaced by its field ``new``, in one pass.
+
+    At each place the longest literal counts, from left to right. Places are found literal by literal and put in order; what is spliced
+    then is the text between them, so neither a pattern nor a text is made anew for each literal.
+    """
+    sites = "array<struct<first:int,size:int,last:int,old:string,new:string>>"
+    clean = ~F.contains(text, F.lit(BEGIN))
+
+    def found(body: Column, e: Column, key: Column) -> Column:
+        return F.transform(occurrences(body, key), lambda o: record(first=o["first"], size=o["first"] - o["last"], last=o["last"], old=e[old], new=e[new]))
+
+    def of(e: Column) -> Column:
+        other = lambda c: F.translate(c, BEGIN, OTHER)
+        near = lambda: let(found(other(text), e, other(e[old])), lambda f: F.zip_with(f, slices(text, f), lambda x, v: F.when(v == x["old"], x)))
+        return F.when(clean, found(text, e, e[old])).otherwise(F.filter(near(), lambda x: x.isNotNull()))
+
+    def chosen(all_: Column) -> Column:
+        candidates = F.transform(all_, lambda x, i: record(start=x["first"], end=x["last"], value=x["old"], entity_type=x["new"], ord=i)).cast(CANDIDATES)
+        return F.sort_array(F.transform(greedy(candidates, "priority"), lambda c: record(first=c["start"], last=c["end"], new=c["entity_type"])))
+
+    def apart(all_: Column) -> Column:
+        clash = F.exists(F.zip_with(all_, F.slice(all_, F.lit(2), F.size(all_)), lambda a, b: F.coalesce(b["first"] < a["last"], F.lit(False))), lambda x: x)
+        return F.when(clash, chosen(all_)).otherwise(F.transform(all_, lambda x: record(first=x["first"], last=x["last"], new=x["new"])))
+
+    def spliced(kept: Column) -> Column:
+        ends = F.concat(F.array(F.lit(0)), F.transform(kept, lambda k: k["last"]))
+        between = slices(text, F.zip_with(ends, F.transform(kept, lambda k: k["first"]), lambda a, b: record(first=a, last=F.coalesce(b, F.length(text)))))
+        return F.array_join(F.zip_with(between, kept, lambda g, k: F.concat(g, F.coalesce(k["new"], F.lit("")))), "")
+
+    present = F.filter(entries, lambda e: (F.length(e[old]) > 0) & F.contains(text, e[old]))
+    several = lambda p: let(let(F.sort_array(F.flatten(F.transform(p, of)).cast(sites)), apart), spliced)
+    return F.when(text.isNull() | entries.isNull(), text).otherwise(let(present, lambda p: F.when(F.size(p) == 0, text).otherwise(several(p))))

@@ -11,19 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakwork.functions import spans as S
-from cloakwork.functions import text as T
 from cloakwork.operators import detect as D
 from cloakwork.operators import resolve as R
 from cloakwork.operators import surrogate as X
 from cloakwork.sources.rules import Rule
 
 
-def alternation(keys: Column) -> Column:
-    """L1: escaped keys, the longest first."""
-    ordered = F.transform(F.array_sort(F.transform(keys, lambda k: F.struct((-F.length(k)).alias("n"), k.alias("k")))), lambda x: x["k"])
-    return F.array_join(F.transform(ordered, T.escape_regex), "|")
-
-
 def rule_matches(text: Column, rules: list[Rule], strategy: str = "longest") -> Column:
     """Accepted rule matches of one text, as (text, entity_type)."""
     return D.normalized(S.greedy(D.rule_candidates(text, rules), strategy))
@@ -39,9 +32,7 @@ def anonymize(calls: DataFrame, entities: Column, salt: str, use_realistic: bool
     """Adds ``entries`` (surrogate, original, entity_type, source_detectors) and ``anonymized`` (the new texts)."""
     found = calls.withColumn("__entities", entities)
     found = found.withColumn("entries", X.assign(F.col("__entities"), salt, use_realistic, locale)).drop("__entities")
-    found = found.withColumn("__map", F.map_from_arrays(F.transform("entries", lambda e: e["original"]), F.transform("entries", lambda e: e["surrogate"])))
-    found = found.withColumn("__pattern", alternation(F.map_keys("__map")))
-    return found.withColumn("anonymized", F.transform(texts, lambda t: S.replace_all(t, F.col("__pattern"), F.col("__map")))).drop("__map", "__pattern")
+    return found.withColumn("anonymized", F.transform(texts, lambda t: S.replace_all(t, F.col("entries"), "original", "surrogate")))
 
 
 def anonymize_rules(calls: DataFrame, rules: list[Rule], salt: str, strategy: str = "longest", **parameters) -> DataFrame:
@@ -56,8 +47,6 @@ def restore(responses: DataFrame, vault: DataFrame, ttl_seconds: int = 120, subs
     kept = vault.select(F.col("call_id").alias("__call"), "entries", "put_ts")
     # The put may be recorded with the response's own time, so only the age is bounded.
     joined = responses.join(kept, (F.col("call_id") == F.col("__call")) & (F.unix_micros(at) - F.unix_micros("put_ts") <= ttl_seconds * 1_000_000), "left")
-    joined = joined.withColumn("__map", F.map_from_arrays(F.transform("entries", lambda e: e["surrogate"]), F.transform("entries", lambda e: e["original"])))
-    joined = joined.withColumn("__pattern", alternation(F.map_keys("__map")))
-    swapped = F.transform(texts, lambda t: S.replace_all(t, F.col("__pattern"), F.col("__map"))) if substitute else F.col(texts)
-    out = joined.withColumn("restored", F.when(F.col("__map").isNull(), F.col(texts)).otherwise(swapped)).withColumn("late", F.col("__map").isNull())
-    return out.drop("__map", "__pattern", "__call", "entries", "put_ts")
+    swapped = F.transform(texts, lambda t: S.replace_all(t, F.col("entries"), "surrogate", "original")) if substitute else F.col(texts)
+    out = joined.withColumn("restored", F.when(F.col("entries").isNull(), F.col(texts)).otherwise(swapped)).withColumn("late", F.col("entries").isNull())
+    return out.drop("__call", "entries", "put_ts")
