@@ -20,6 +20,7 @@ from cloakwork.session import shared_dir, spread
 from cloakwork.sources import rules as rule_source
 from cloakwork.sources.rules import Rule
 from cloakwork.streaming import gate as G
+from cloakwork.streaming import vault as K
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -470,12 +471,31 @@ def restore_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.col("call_id").alias("doc_id"), F.size("entries").cast("bigint").alias("n"), F.col("entries").isNull().alias("late"))
 
 
+def vault_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5, T6, T8 as keyed state: each response comes twice, and again when the time to live is over."""
+    v = _vault(spark, sf_dir).select("call_id", "entries", "put_ts")
+    asked = _asked(spark, sf_dir).select("call_id", "ts")
+    late = asked.withColumn("ts", F.col("ts") + F.expr("interval 1 day"))
+    every = asked.withColumn("n", F.lit(1)).unionByName(asked.withColumn("n", F.lit(2))).unionByName(late.withColumn("n", F.lit(3)))
+    before = {k: spark.conf.get(k, None) for k in K.PROVIDER}
+    for k, value in K.PROVIDER.items():
+        spark.conf.set(k, value)
+    try:
+        done = _drain(K.restore_stream(_source(every, "asked"), _source(v, "puts"), V.TTL_SECONDS), "restored")
+    finally:
+        for k, value in before.items():
+            spark.conf.set(k, value) if value is not None else spark.conf.unset(k)
+    return done.select(F.col("call_id").alias("doc_id"), "n", F.size("entries").cast("bigint").alias("entries"), F.col("entries").isNull().alias("late"))
+
+
 def entity_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An addition of ours: events by type and hour."""
     return G.entity_rates(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
-QUERIES |= {"restore_stream": restore_stream, "entity_rates": entity_rates}
+QUERIES |= {"restore_stream": restore_stream, "vault_state": vault_state, "entity_rates": entity_rates}
+ORACLES["vault_state"] = f"""WITH {_ENTITIES}, l AS (SELECT doc_id, count(*) AS c FROM t WHERE {_LIVE} AND {_STAMP} <= TIMESTAMP '2024-01-01 00:04:00' GROUP BY doc_id)
+SELECT doc_id, n, CASE WHEN n < 3 THEN c END AS entries, c IS NULL OR n = 3 AS late FROM documents CROSS JOIN (VALUES (1), (2), (3)) AS v(n) LEFT JOIN l USING (doc_id)"""
 ORACLES["restore_stream"] = f"""WITH {_ENTITIES}, l AS (SELECT doc_id, count(*) AS n FROM t WHERE {_LIVE} AND {_STAMP} <= TIMESTAMP '2024-01-01 00:04:00' GROUP BY doc_id)
 SELECT doc_id, n, n IS NULL AS late FROM documents LEFT JOIN l USING (doc_id)"""
 ORACLES["entity_rates"] = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL"
