@@ -176,6 +176,32 @@ def stored_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.peek(_asked(spark, sf_dir), store.rows("2024-01-01 00:04:00")).select(F.col("call_id").alias("doc_id"), "surrogate", "original", "entity_type")
 
 
+@query(f"WITH {_ENTITIES} SELECT doc_id, token AS surrogate, value AS original, kind AS entity_type, doc_id % 3 = 0 AS taken FROM t")
+def popped_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a pop takes out of a store, and what stays; a second pop of the same calls takes nothing."""
+    rows = _vault(spark, sf_dir)
+    store = TableStore(spark, f"{shared_dir(spark)}/cloakwork/store-{uuid.uuid4().hex}", rows.schema, ["call_id"], ttl_seconds=V.TTL_SECONDS)
+    store.put(rows)
+    asked = _asked(spark, sf_dir).where("call_id % 3 = 0")
+    taken = store.pop(asked).unionByName(store.pop(asked)).withColumn("taken", F.lit(True))
+    return taken.unionByName(store.rows().withColumn("taken", F.lit(False))).select(F.col("call_id").alias("doc_id"), F.inline("entries"), "taken").select("doc_id", "surrogate", "original", "entity_type", "taken")
+
+
+@query(f"WITH {_ENTITIES} SELECT doc_id, token AS surrogate, value AS original, kind AS entity_type FROM t")
+def streamed_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of puts into a store, run to its end and, with its progress lost, once more; each batch counts once."""
+    rows, folder = _vault(spark, sf_dir), f"{shared_dir(spark)}/cloakwork/stream-{uuid.uuid4().hex}"
+    store = TableStore(spark, f"{folder}/store", rows.schema, ["call_id"])
+    rows.write.parquet(f"{folder}/puts")
+    for progress in ("first", "again"):
+        puts = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/puts")
+        q = puts.writeStream.foreachBatch(store.sink("puts")).option("checkpointLocation", f"{folder}/{progress}").trigger(availableNow=True).start()
+        if not q.awaitTermination(300):
+            q.stop()
+            raise TimeoutError("the stream of puts did not end")
+    return store.rows().select(F.col("call_id").alias("doc_id"), F.inline("entries")).select("doc_id", "surrogate", "original", "entity_type")
+
+
 @query("SELECT text, min(conv_id) AS first_conv FROM conversations GROUP BY text")
 def stored_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cache in which the first writer wins."""
