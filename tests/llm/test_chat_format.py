@@ -1,4 +1,5 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -42,3 +43,22 @@ def test_rendering(spark):
     assert C.format_chats(spark.createDataFrame(rows, SCHEMA).limit(0)).count() == 0
     lone = spark.createDataFrame([(None, 3, "user", "hi <|x|>")] * 2, SCHEMA)
     assert [tuple(g) for g in C.format_chats(lone).collect()] == [(None, 1, 2, "<|im_start|>user\nhi <\\|x|><|im_end|>\n")]
+
+
+def test_empty_table(spark):
+    out = C.format_chats(spark.createDataFrame([], SCHEMA))
+    assert out.columns == ["conv_id", "n_turns", "copies", "rendered"] and out.count() == 0
+
+
+def test_a_third_of_all_rows_in_one_conversation(spark):
+    """A long conversation and its snapshot of all turns but the last; the others are equal to each other in threes."""
+    n = 20_000
+    turn = lambda i: ("user" if i % 2 == 0 else "assistant", f"turn {i}")
+    df = spark.range(2 * n - 1).select(F.when(F.col("id") < n, 1).otherwise(2).cast("bigint").alias("conv_id"), (F.col("id") % n).alias("turn"))
+    df = df.select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("turn "), "turn").alias("text"))
+    rest = spark.range(n).select((10 + F.floor(F.col("id") / 4)).alias("conv_id"), (F.col("id") % 4).alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("other "), F.floor(F.col("id") / 12)).alias("text"))
+    began = time.perf_counter()
+    out = {r.conv_id: r for r in C.format_chats(df.unionByName(rest)).collect()}
+    assert time.perf_counter() - began < 60
+    assert len(out) == 1 + -(-n // 12) and (out[1].n_turns, out[1].copies) == (n, 1)
+    assert out[1].rendered == "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in map(turn, range(n)))

@@ -89,3 +89,9 @@ def test_unigram_scores_are_used_as_they_are():
     p = math.exp(-0.5) / (math.exp(-0.5) + math.exp(-4.0))
     assert abs(got[(4, 3)] / 20_000 - p) < 0.01
     assert np.array_equal(own.encode(["ab"], [5])[0], own.encode(["zz", "ab"][1:], [5])[0])
+
+
+def test_empty_table(spark):
+    none = documents(spark, [])
+    assert P.encode(none).columns == [*none.columns, "ids"] and P.encode(none).count() == 0
+    assert P.decode(P.encode(none)).count() == 0 and P.digest(none).count() == 0

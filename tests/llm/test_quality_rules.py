@@ -98,3 +98,8 @@ def test_the_expression_equals_the_model(spark):
     got = Q.judge(docs).toPandas().set_index("doc_id").sort_index()
     assert np.allclose(got["posterior"], want) and (got["kept"] == ~got["base_failed"] & (want >= 0.5)).all()
     assert got["kept"][:60].sum() >= 55 and (got["posterior"][60:70] < got["posterior"][1]).all()
+
+
+def test_empty_table(spark):
+    out = Q.judge(documents(spark, []))
+    assert {"doc_id", "n_words", "base_failed", "kept", "posterior"} <= set(out.columns) and out.count() == 0
