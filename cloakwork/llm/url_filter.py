@@ -109,7 +109,6 @@ class UrlModel:
     total: int = 0
     bad: int = 0
     total_in: list[int] | None = None
-    bad_in: list[int] | None = None
 
 
 def _fold() -> Column:
@@ -124,10 +123,10 @@ def _with_features(urls: DataFrame, m: UrlModel, others_only: bool = False) -> D
     own = lambda listed: F.get(listed, _fold()) if others_only else F.lit(0)
     listed = lambda values: F.array(*map(F.lit, values))
     of = lambda c: F.coalesce(F.col(c) - own(F.col(f"{c}_in")), F.lit(0))
-    total, bad = F.greatest(F.lit(m.total) - own(listed(m.total_in)), F.lit(1)), F.lit(m.bad) - own(listed(m.bad_in))
+    total, share = F.greatest(F.lit(m.total) - own(listed(m.total_in)), F.lit(1)), m.bad / m.total  # of all folds, or it would tell of the own one
     hidden = F.pmod(F.xxhash64(F.lit("hidden"), F.col("url")), F.lit(HIDDEN)) == 0 if others_only else F.lit(False)
     known = (of("seen") > 0) & ~hidden
-    out = out.withColumns({"f_suffix_known": known.cast("double"), "f_suffix_seen": F.when(known, of("seen") / total).otherwise(0.0), "f_suffix_blocked": F.when(known, (of("bad") + 10 * bad / total) / (of("seen") + 10)).otherwise(bad / total)})
+    out = out.withColumns({"f_suffix_known": known.cast("double"), "f_suffix_seen": F.when(known, of("seen") / total).otherwise(0.0), "f_suffix_blocked": F.when(known, (of("bad") + 10 * share) / (of("seen") + 10)).otherwise(share)})
     return out.drop("__suffix", "__s", "seen", "bad", "seen_in", "bad_in")
 
 
@@ -140,11 +139,11 @@ def train(labelled: DataFrame, most_rows: int = 20_000, most_broadcast: int = 50
         F.array(*[F.sum(in_fold(k)) for k in range(FOLDS)]).alias("seen_in"), F.array(*[F.sum(in_fold(k) * F.col("blocked")) for k in range(FOLDS)]).alias("bad_in"),
     )
     per = written(per, "suffixes")
-    in_folds = [F.sum(F.get(c, k)) for c in ("seen_in", "bad_in") for k in range(FOLDS)]
+    in_folds = [F.sum(F.get("seen_in", k)) for k in range(FOLDS)]
     known, n, bad, *of_folds = per.agg(F.count("*"), F.sum("seen"), F.sum("bad"), *in_folds).first()
     if not n or bad in (0, n):
         return UrlModel(None, "block" if n and bad == n else "allow")
-    m = UrlModel(None, "allow", per, known <= most_broadcast, n, bad, of_folds[:FOLDS], of_folds[FOLDS:])
+    m = UrlModel(None, "allow", per, known <= most_broadcast, n, bad, of_folds)
     span = 1 << 30
     distinct = rows.agg(F.approx_count_distinct("url", 0.01)).first()[0] + 1
     taken = rows.where(F.pmod(F.xxhash64("url"), F.lit(span)) < min(span, most_rows * span // distinct))

@@ -69,7 +69,7 @@ def by_hand(url, labels):
         "length": len(u), "host_length": len(host), "path_length": len(path), "depth": path.count("/"), "digit_ratio": sum(c in "0123456789" for c in u) / max(1, len(u)), "path_digits": sum(c in "0123456789" for c in path),
         "entropy": entropy(u), "host_entropy": entropy(host), "parameters": query.count("&") + 1 if query else 0, "query_length": len(query), "labels": host.count(".") + 1, "hyphens": host.count("-"), "percents": u.count("%"),
         "fragment": int("#" in u), "secure": int(u.startswith("https://")), "trailing_slash": int(path.endswith("/")), "extension": int(bool(re.search(r"\.[A-Za-z0-9]{1,5}$", path))),
-        "suffix_seen": len(mine) / len(labels), "suffix_blocked": (sum(mine) + 10 * sum(b for _, b in labels) / len(labels)) / (len(mine) + 10),
+        "suffix_known": int(bool(mine)), "suffix_seen": len(mine) / len(labels), "suffix_blocked": (sum(mine) + 10 * sum(b for _, b in labels) / len(labels)) / (len(mine) + 10),
     }
 
 
@@ -128,3 +128,15 @@ def test_no_label_tells_of_itself(spark):
     m = U.train(urls)
     out = U._with_features(urls, m, others_only=True).select("f_suffix_seen", "f_suffix_blocked").distinct().collect()
     assert len(out) == 1 and out[0].f_suffix_seen == 0
+
+
+def test_shares_have_one_scale(spark):
+    """What a suffix shows in the fit is close to what it shows in scoring, but where it is hidden; one without labels shows as those do."""
+    rows = [(f"http://h{i}.{'abc'[i % 3]}/{i}", i % 2) for i in range(3000)]
+    urls = U.with_parts(spark.createDataFrame(rows, "url string, blocked int"))
+    m = U.train(urls)
+    fit = U._with_features(urls, m, others_only=True).collect()
+    told, hidden = [r for r in fit if r.f_suffix_known], [r for r in fit if not r.f_suffix_known]
+    assert 800 < len(hidden) < 1200 and all(abs(r.f_suffix_seen - 1 / 3) < 0.03 for r in told)
+    new = U._with_features(U.with_parts(spark.createDataFrame([("http://x.other/", None), ("http://x.a/", None)], "url string, blocked int")), m).orderBy("url").collect()
+    assert abs(new[0].f_suffix_seen - 1 / 3) < 1e-9 and (new[1].f_suffix_known, new[1].f_suffix_seen, new[1].f_suffix_blocked) == (0, 0, hidden[0].f_suffix_blocked)
