@@ -33,11 +33,13 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cloakwork.functions.arrays import blocks, running_max, running_sum
 from cloakwork.functions.arrays import let as _let
 from cloakwork.functions.arrays import record as _record
-from cloakwork.functions.arrays import running_sum
+from cloakwork.functions.spans import greedy
 from cloakwork.llm.common import ascii_lower, text_key
 from cloakwork.llm.decontaminate import WORD, words_of
+from cloakwork.model import CANDIDATES
 
 #: Wording of public licences and of common notices.
 TEMPLATES = {
@@ -122,10 +124,20 @@ def _runs(body: Column, known: list, percent: int) -> Column:
     every = longs(sorted({x for _, _, b in known for x in b}))
     none = F.array().cast(RUN)
 
-    def of_start(t: Column, marked: Column, s: Column) -> Column:
-        fresh = lambda length: F.filter(F.slice(marked, s["line_k"] + 1, length), lambda x: x["last"] < s["a"])
-        # Few pairs of a text are repeated, so a short stretch mostly has enough.
-        own = F.slice(_let(fresh((t["most"] + 1) * 4), lambda x: F.when(F.size(x) > t["most"], x).otherwise(fresh(F.size(marked)))), F.lit(1), t["most"] + 1)
+    def of_start(t: Column, marked: Column, index: Column, s: Column) -> Column:
+        fresh = lambda v: F.filter(v, lambda x: x["last"] < s["a"])
+        near = fresh(F.slice(marked, s["line_k"] + 1, (t["most"] + 1) * 4))
+
+        def further() -> Column:
+            """From the blocks that have a pair not seen since the start; each gives at least one, so most + 1 of them are enough."""
+            block = F.floor(s["line_k"] / F.size(F.get(index, 0)["v"])).cast("int")
+            own = F.filter(F.get(index, block)["v"], lambda x: (x["k"] >= s["line_k"]) & (x["last"] < s["a"]))
+            later = F.slice(F.filter(F.slice(index, block + 2, F.size(index)), lambda b: b["low"] < s["a"]), F.lit(1), t["most"] + 1)
+            return F.concat(own, F.flatten(F.transform(later, lambda b: fresh(b["v"]))))
+
+        # Few pairs of a text are repeated, so a short stretch mostly has enough, or reaches the end.
+        enough = lambda x: (F.size(x) > t["most"]) | (s["line_k"] + (t["most"] + 1) * 4 >= F.size(marked))
+        own = F.slice(_let(near, lambda x: F.when(enough(x), x).otherwise(further())), F.lit(1), t["most"] + 1)
         ended = lambda o: F.zip_with(o, F.slice(o, F.lit(2), t["most"] + 1), lambda x, y: _record(b=x["b"], pb=x["pb"], hit=x["hit"], ends=F.coalesce(y["b"] != x["b"], F.lit(True))))
 
         def step(acc: Column, x: Column) -> Column:
@@ -138,9 +150,11 @@ def _runs(body: Column, known: list, percent: int) -> Column:
         return F.aggregate(_let(own, ended), _record(own=F.lit(0), shared=F.lit(0), out=none), step, lambda acc: acc["out"])
 
     def of_template(t: Column, positions: Column) -> Column:
-        marked = F.transform(positions, lambda x: _record(**{c: x[c] for c in ("line_k", "a", "b", "pa", "pb", "last")}, hit=F.array_contains(t["b"], x["h"])))
-        starts = lambda m: F.array_distinct(F.transform(F.filter(m, lambda x: x["hit"]), lambda x: _record(a=x["a"], line_k=x["line_k"], pa=x["pa"])))
-        return _let(marked, lambda m: F.flatten(F.transform(starts(m), lambda s: of_start(t, m, s))))
+        marked = F.transform(positions, lambda x: _record(**{c: x[c] for c in ("k", "line_k", "a", "b", "pa", "pb", "last")}, hit=F.array_contains(t["b"], x["h"])))
+        hits = lambda m: F.transform(F.filter(m, lambda x: x["hit"]), lambda x: _record(a=x["a"], line_k=x["line_k"], pa=x["pa"]))
+        starts = lambda m: _let(hits(m), lambda h: F.filter(h, lambda x, i: (i == 0) | (F.get(h, i - 1)["a"] != x["a"])))
+        index = lambda m: F.transform(blocks(m), lambda v: _record(low=F.array_min(F.transform(v, lambda x: x["last"])), v=v))
+        return _let(marked, lambda m: F.when(F.size(m) == 0, none).otherwise(_let(index(m), lambda b: F.flatten(F.transform(starts(m), lambda s: of_start(t, m, b, s))))))
 
     if not known:
         return none
@@ -150,18 +164,39 @@ def _runs(body: Column, known: list, percent: int) -> Column:
     return _let(likely, lambda ts: F.when(F.size(ts) > 0, found(ts)).otherwise(none))
 
 
-def _chosen(runs: Column, matches: Column) -> Column:
-    """The runs to report beside the matches of the other segments, as matches."""
+def _without(runs: Column, matches: Column, level: int, first: str, last: str) -> Column:
+    """The runs in whose [first, last] no match of the level and their template has its place.
+
+    Places and runs are put in one order, runs by where they end; the last place before tells.
+    """
+    run = "struct<name:string,dice:double,start:int,end:int,pa:int,pb:int>"
+    places = F.transform(F.filter(matches, lambda m: m["level"] == level), lambda m: _record(name=m["template"], at=m["place"], run=F.lit(None).cast(run)))
+    asked = F.transform(runs, lambda r: _record(name=r["name"], at=r[last], run=r))
+
+    def free(both: Column) -> Column:
+        before = running_max(F.transform(both, lambda x: F.when(x["run"].isNull(), _record(name=x["name"], at=x["at"]))))
+        inside = lambda x, seen: F.coalesce((seen["name"] == x["name"]) & (seen["at"] >= x["run"][first]), F.lit(False))
+        return F.filter(F.zip_with(both, before, lambda x, seen: F.when(~inside(x, seen), x["run"])), lambda r: r.isNotNull())
+
+    return _let(places, lambda at: F.when(F.size(at) == 0, runs).otherwise(_let(F.sort_array(F.concat(at, asked)), free)))
 
-    def elsewhere(r: Column) -> Column:
-        inside = lambda m: (m["level"] == 2) | ((m["level"] == 0) & m["place"].between(r["start"], r["end"])) | ((m["level"] == 1) & m["place"].between(r["pa"], r["pb"]))
-        return F.exists(matches, lambda m: (m["template"] == r["name"]) & inside(m))
 
-    ordered = F.sort_array(F.transform(F.filter(runs, lambda r: ~elsewhere(r)), lambda r: _record(order=-r["dice"], n=r["end"] - r["start"], start=r["start"], end=r["end"], name=r["name"], dice=r["dice"])))
-    none = F.filter(ordered, lambda r: F.lit(False))
-    apart = lambda out, r: ~F.exists(out, lambda o: (o["name"] == r["name"]) & (o["start"] <= r["end"]) & (r["start"] <= o["end"]))
-    taken = F.aggregate(ordered, none, lambda out, r: F.when(apart(out, r), F.concat(out, F.array(r))).otherwise(out))
-    return F.transform(taken, lambda r: _record(order=r["order"], level=F.lit(3), template=r["name"], place=r["start"], dice=r["dice"]))
+def _chosen(found: DataFrame) -> DataFrame:
+    """``runs`` become those to report beside the matches ``m`` of the other segments, as matches.
+
+    Step by step, since expressions nested deeper than a hundred levels aren't analysed.
+    """
+    some = lambda df, value: df.withColumn("runs", F.when(F.size("runs") > 0, value))
+    texts = F.transform(F.filter("m", lambda m: m["level"] == 2), lambda m: m["template"])
+    beside = some(found, _let(texts, lambda t: F.filter("runs", lambda r: ~F.array_contains(t, r["name"]))))
+    beside = some(beside, _without(F.col("runs"), F.col("m"), 0, "start", "end"))
+    beside = some(beside, _without(F.col("runs"), F.col("m"), 1, "pa", "pb"))
+    ordered = some(beside, F.sort_array(F.transform("runs", lambda r: _record(order=-r["dice"], n=r["end"] - r["start"], start=r["start"], end=r["end"], name=r["name"], dice=r["dice"]))))
+    candidates = F.transform("runs", lambda r, i: _record(start=r["start"], end=r["end"] + 1, value=F.lit(""), entity_type=r["name"], ord=i)).cast(CANDIDATES)
+    each = F.transform(F.array_distinct(F.transform("runs", lambda r: r["name"])), lambda name: F.filter("__cand", lambda c: c["entity_type"] == name))
+    parted = ordered.withColumn("__cand", F.when(F.size("runs") > 0, candidates)).withColumn("__cand", F.when(F.size("runs") > 0, each))
+    taken = some(parted, F.transform(F.flatten(F.transform("__cand", lambda v: greedy(v, "priority"))), lambda c: F.get("runs", c["ord"]))).drop("__cand")
+    return some(taken, F.transform("runs", lambda r: _record(order=r["order"], level=F.lit(3), template=r["name"], place=r["start"], dice=r["dice"])))
 
 
 #: Longer anchors are looked for inside words too, which is faster; shorter ones only as words.
@@ -265,8 +300,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "
         F.collect_set(F.when(found, F.struct((-dice).alias("order"), "level", F.col("name").alias("template"), "place", dice.alias("dice")))).alias("m"),
         F.first("runs", ignorenulls=True).alias("runs"),
     )
-    every = F.when(F.size("runs") > 0, F.concat("m", _chosen(F.col("runs"), F.col("m")))).otherwise(F.col("m"))
-    out = one.select("doc_id", "copies", F.array_sort(every).alias("matches"))
+    every = F.when(F.size("runs") > 0, F.concat("m", "runs")).otherwise(F.col("m"))
+    out = _chosen(one).select("doc_id", "copies", F.array_sort(every).alias("matches"))
     return out.select("doc_id", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy"), "matches").drop("__copy")
 
 

@@ -1,4 +1,5 @@
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -103,3 +104,26 @@ def test_licences_in_their_normal_layout(spark):
     for i, name in enumerate(PARTED):
         assert [m[1:] for m in got[i] if m[2] == name] == [(3, name, PROSE.count("\n") + 2)]
     assert N.digest(N.scan(docs.limit(1))).first().matches == f"MIT:run:{PROSE.count(chr(10)) + 2}"
+
+
+def test_many_licence_lines_in_one_text(spark):
+    """The same line over and over, and runs of three lines with others between; times, and the whole result."""
+    n = 16_000
+    lines = "All rights reserved.\n" * n
+    parted = "".join(f"all\nrights\nreserved\nword{i} of{i} page{i}\n" for i in range(n // 4))
+    docs = documents(spark, [lines, parted])
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in N.digest(N.scan(docs)).collect()}
+    assert time.perf_counter() - began < 60
+    assert got[0].matches.split(",")[:n] == [f"Reserved-line:line:{i}" for i in range(n)]
+    assert got[1].matches.split(",") == [f"Reserved-line:run:{4 * i}" for i in range(n // 4)]
+
+
+def test_repeated_lines_against_brute_force(spark):
+    """Texts in which the pairs not seen since a start are few and far."""
+    rare = "".join("all rights\n" * 40 + f"reserved {'x' * i}\n" for i in range(1, 4))
+    texts = [rare, "All rights reserved.\n" * 30 + "all\nrights\nreserved x\n" + "x\n" * 40 + "reserved", ("all rights\n" + "x all\n" * 30 + "reserved all rights\nreserved\n") * 3]
+    docs = documents(spark, texts)
+    got = {r.doc_id: [(m.order, m.level, m.template, m.place) for m in r.matches] for r in N.scan(docs).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == brute_runs(t), t
