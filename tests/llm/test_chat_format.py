@@ -62,3 +62,26 @@ def test_a_third_of_all_rows_in_one_conversation(spark):
     assert time.perf_counter() - began < 60
     assert len(out) == 1 + -(-n // 12) and (out[1].n_turns, out[1].copies) == (n, 1)
     assert out[1].rendered == "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in map(turn, range(n)))
+
+
+def test_conversations_over_many_blocks(spark):
+    """Places and prefix hashes across blocks: a hot conversation, its snapshots, one that leaves it late, and null and negative turns."""
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in settings}
+    said = [(None if i == 0 else i - 300, "user" if i % 2 else None, f"turn {i}" if i % 7 else None) for i in range(900)]
+    rows = [(1, *x) for x in said] + [(c, *x) for c, n in ((2, 899), (3, 450), (4, 1), (5, 900)) for x in said[:n]] + [(6, *x) for x in [*said[:899], (700, "user", "other")]]
+    rows += [(7, 3, "user", f"same turn {i:04}") for i in range(600)] + [(10 + i, 0, "user", f"alone {i}") for i in range(100)] + [(1, *said[5])] * 500
+    random.Random(3).shuffle(rows)
+    df = spark.createDataFrame(rows, SCHEMA)
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        deal = C.prefixes(C._turns(df, "conv_id", "turn", "role", "text")).where("conv_id = 1").orderBy("place").collect()
+        got = C.format_chats(df).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [r.place for r in deal] == list(range(1, 901)) and [r.is_last for r in deal] == [False] * 899 + [True]
+    assert sorted(((g.conv_id, g.n_turns, g.copies) for g in got), key=str) == brute(rows)
+    text = lambda r, t: f"<|im_start|>{r or ''}\n{t or ''}<|im_end|>\n"
+    assert next(g.rendered for g in got if g.conv_id == 1) == "".join(text(r, t) for _, r, t in said)
