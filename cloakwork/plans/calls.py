@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from cloakwork.plans.fixtures import frame, values
 from cloakwork.session import shared_dir, spread
 from cloakwork.sources import rules as rule_source
 from cloakwork.sources.rules import Rule
+from cloakwork.streaming import chunks as C
 from cloakwork.streaming import gate as G
 from cloakwork.streaming import vault as K
 
@@ -433,6 +435,19 @@ def _drain(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+@contextmanager
+def _provider(spark: SparkSession):
+    """The state store that keyed state needs, for the time of a run."""
+    before = {k: spark.conf.get(k, None) for k in K.PROVIDER}
+    for k, value in K.PROVIDER.items():
+        spark.conf.set(k, value)
+    try:
+        yield
+    finally:
+        for k, value in before.items():
+            spark.conf.set(k, value) if value is not None else spark.conf.unset(k)
+
+
 def _source(rows: DataFrame, name: str) -> DataFrame:
     """Rows written as files, read as a stream."""
     spark = rows.sparkSession
@@ -446,15 +461,21 @@ def accumulate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drain(G.accumulate_stream(_source(_chunks(spark, sf_dir), "chunks"), idle_seconds=None), "accumulated")
 
 
+def accumulate_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4 as a stream whose state is a list of chunks."""
+    with _provider(spark):
+        return _drain(C.accumulate(_source(_chunks(spark, sf_dir), "chunks"), idle_seconds=None), "accumulated")
+
+
 def gate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T1 as a stream: the stateless gate over accumulated chunks."""
     rows = G.accumulate(_chunks(spark, sf_dir)).select("call_id", "chunk_idx", F.array(F.concat("accumulated", F.lit(" ["))).alias("texts"), "is_final")
     return _drain(G.gate(_source(rows, "gate")), "gated").select("call_id", "chunk_idx", "action")
 
 
-QUERIES |= {"accumulate_chunks": accumulate_chunks, "accumulate_stream": accumulate_stream, "gate_stream": gate_stream}
+QUERIES |= {"accumulate_chunks": accumulate_chunks, "accumulate_stream": accumulate_stream, "accumulate_state": accumulate_state, "gate_stream": gate_stream}
 _ACC = "FROM conversations, unnest(range(0, (length(text) + 39) // 40)) AS u(i) WHERE role = 'assistant' AND text <> ''"
-ORACLES["accumulate_chunks"] = ORACLES["accumulate_stream"] = f"SELECT conv_id || '-' || turn AS call_id, CAST(i AS INTEGER) AS chunk_idx, substr(text, 1, CAST(40 * (i + 1) AS BIGINT)) AS accumulated, 40 * (i + 1) >= length(text) AS is_final {_ACC}"
+ORACLES["accumulate_chunks"] = ORACLES["accumulate_stream"] = ORACLES["accumulate_state"] = f"SELECT conv_id || '-' || turn AS call_id, CAST(i AS INTEGER) AS chunk_idx, substr(text, 1, CAST(40 * (i + 1) AS BIGINT)) AS accumulated, 40 * (i + 1) >= length(text) AS is_final {_ACC}"
 ORACLES["gate_stream"] = f"SELECT conv_id || '-' || turn AS call_id, CAST(i AS INTEGER) AS chunk_idx, CASE WHEN 40 * (i + 1) >= length(text) THEN 'CHECK' ELSE 'WAIT' END AS action {_ACC}"
 
 
@@ -477,14 +498,8 @@ def vault_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = _asked(spark, sf_dir).select("call_id", "ts")
     late = asked.withColumn("ts", F.col("ts") + F.expr("interval 1 day"))
     every = asked.withColumn("n", F.lit(1)).unionByName(asked.withColumn("n", F.lit(2))).unionByName(late.withColumn("n", F.lit(3)))
-    before = {k: spark.conf.get(k, None) for k in K.PROVIDER}
-    for k, value in K.PROVIDER.items():
-        spark.conf.set(k, value)
-    try:
+    with _provider(spark):
         done = _drain(K.restore_stream(_source(every, "asked"), _source(v, "puts"), V.TTL_SECONDS), "restored")
-    finally:
-        for k, value in before.items():
-            spark.conf.set(k, value) if value is not None else spark.conf.unset(k)
     return done.select(F.col("call_id").alias("doc_id"), "n", F.size("entries").cast("bigint").alias("entries"), F.col("entries").isNull().alias("late"))
 
 

@@ -11,6 +11,7 @@ from cloakwork.functions import spans as S
 from cloakwork.functions import text as T
 from cloakwork.operators import denylist as N
 from cloakwork.operators import detect as D
+from cloakwork.operators import table_function
 from cloakwork.plans.fixtures import frame, values
 from cloakwork.session import spread
 from cloakwork.sources.rules import Literal, Rule, load_pack
@@ -266,6 +267,16 @@ def _pack_sql(rules: list[Rule]) -> str:
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 ORACLES["default_pack"] = _pack_sql(load_pack())
+
+
+def detect_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the default pack as a table function, joined laterally in SQL."""
+    table_function.register(spark, load_pack(), "cloakwork_default")
+    return spark.sql("SELECT d.doc_id, e.* FROM {docs} AS d, LATERAL cloakwork_default(d.text) AS e", docs=docs(spark, sf_dir))
+
+
+QUERIES["detect_lateral"] = detect_lateral
+ORACLES["detect_lateral"] = ORACLES["default_pack"]
 ORACLES["extended_pack"] = _pack_sql(load_pack("bundled:rules_extended.yaml"))
 
 FLAGGED = [(1, "Token: ABC\ntoken: def"), (2, "x token:ghi"), (3, "TOKEN: é1")]

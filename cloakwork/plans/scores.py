@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cloakwork.operators import anonymize as A
 from cloakwork.operators import detect as D
+from cloakwork.operators import history as H
 from cloakwork.operators import quality as Q
 from cloakwork.operators import resolve as R
 from cloakwork.plans.fixtures import frame, values
@@ -159,3 +160,26 @@ c AS (SELECT mix, cache, median(ms) AS m, avg(ms) AS a FROM r GROUP BY mix, cach
 SELECT c.mix, 'none' AS overrides, c.cache, 'memory' AS backend, round(c.m, 6) AS median_ms, round(c.a, 6) AS mean_ms, round(b.m / c.m, 6) AS speedup FROM c JOIN c AS b ON b.mix = c.mix AND b.cache = 'none'
 """
 ORACLES["stat_deltas"] = "SELECT user_id, day, seen - coalesce(lag(seen) OVER (PARTITION BY user_id ORDER BY day), 0) AS seen FROM (SELECT user_id, CAST(ts AS DATE) AS day, max(event_id) AS seen FROM events GROUP BY ALL) AS x"
+
+
+# ---- histories ---------------------------------------------------------------------------------------------------------
+
+
+def history_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn with the length of its history, how many conversations share it and the least of them; no history is gathered."""
+    chained = H.chain(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    known = H.nodes(chained).select("node", "conversations", "owner")
+    return chained.join(known, "node").select("conv_id", "turn", F.col("place").alias("n_sent"), F.col("conversations").alias("n_conversations"), "owner")
+
+
+def history_sent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the last turn of each conversation sends, from the chain; a history that several end with is read once."""
+    chained = H.chain(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    last = chained.groupBy("conv_id").agg(F.max_by("node", "place").alias("node"))
+    return H.sent(chained, last).select("conv_id", F.size("sent").cast("bigint").alias("n_sent"), F.sha2(F.array_join("sent", "|"), 256).alias("sent"))
+
+
+QUERIES |= {"history_chain": history_chain, "history_sent": history_sent}
+ORACLES["history_chain"] = """WITH h AS (SELECT conv_id, turn, list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS sent FROM conversations)
+SELECT conv_id, turn, len(sent) AS n_sent, count(*) OVER (PARTITION BY sent) AS n_conversations, min(conv_id) OVER (PARTITION BY sent) AS owner FROM h"""
+ORACLES["history_sent"] = "SELECT conv_id, count(*) AS n_sent, sha256(string_agg(text, '|' ORDER BY turn)) AS sent FROM conversations GROUP BY conv_id"
