@@ -68,11 +68,14 @@ class Scratch:
 def spread(df: DataFrame) -> DataFrame:
     """df over about as many partitions as there are cores, or more.
 
-    A table of many files or row groups comes back as it is; one that its reader can't split, such as a single small file,
-    is dealt out evenly, since otherwise few cores do all of the work on its rows.
+    A table of many partitions comes back as it is; so does one of at least half as many files as cores. One of few files is
+    dealt out evenly: its partitions may be pieces of one row group, of which all but one are empty, and then few cores
+    do all of the work on its rows. Partitions are that small only where a core's share is less than a full one, so what is dealt out is bounded by that.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if 2 * df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    cores, partitions = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    if partitions > 2 * cores:
+        return df
+    return df if 2 * (len(df.inputFiles()) or partitions) >= cores and 2 * partitions >= cores else df.repartition(cores)
 
 
 def local_session(cpus: int = 8, shuffle_partitions: int | None = None, memory: str = "8g", app: str = "cloakwork") -> SparkSession:
