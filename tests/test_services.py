@@ -110,3 +110,15 @@ def test_store(spark, tmp_path):
         assert sorted(((r.k, r.v) for r in store.rows().collect()), key=str) == sorted(want, key=str)
         store.compact()
     assert sorted((r.v for r in store.rows("2024-01-01 00:01:10").collect())) == [3, 5]
+
+
+def test_detectors_side_by_side(spark):
+    """Each call is narrowed by its own detector_mode; a text keeps its first type and all of its sources."""
+    both = [G.DenylistDetector((Literal("ORGANIZATION", "Ann"), Literal("OTHER", "x1"))), G.RuleDetector((Rule("PERSON", "[A-Z][a-z]+"),))]
+    texts = [None, "", "x1 met Ann", "Bob, Ann"]
+    calls = spark.createDataFrame([(1, texts, None), (2, texts, ["denylist"]), (3, texts, ["denylist", "regex"]), (4, texts, ["bogus"]), (5, [], None), (6, None, None)], "i int, texts array<string>, detector_mode array<string>")
+    got = {r.i: r.found and [tuple(e) for e in r.found] for r in G.detect_calls(calls, both, "found").collect()}
+    all_ = [("Ann", "PERSON", ["regex", "denylist"]), ("x1", "OTHER", ["denylist"]), ("Bob", "PERSON", ["regex"])]
+    assert got[1] == got[3] == got[4] == all_ and got[5] == [] and got[6] is None
+    assert got[2] == [("Ann", "ORGANIZATION", ["denylist"]), ("x1", "OTHER", ["denylist"])]  # longer ones come first in a text
+    assert [tuple(e) for e in G.detect_calls(calls.drop("detector_mode").where("i = 2"), both).first().entities] == all_
