@@ -162,8 +162,8 @@ ORACLES["headline_report"] = SCORES["speedups"]
 def merged_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names in whole conversations, looked at once, or turn by turn where they are long."""
     calls = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]).alias("texts"))
-    found = G.merged_entities(F.col("texts"), G.RuleDetector((Rule("PERSON", NAME), Rule("OTHER", "ANONYMIZER-[A-Z-]+"))), 3000)
-    return calls.select("conv_id", F.explode_outer(found).alias("e")).where("e is not null").select("conv_id", "e.text", "e.entity_type")
+    found = G.detect_merged(calls, G.RuleDetector((Rule("PERSON", NAME), Rule("OTHER", "ANONYMIZER-[A-Z-]+"))), 3000)
+    return found.select("conv_id", F.explode_outer("entities").alias("e")).where("e is not null").select("conv_id", "e.text", "e.entity_type")
 
 
 QUERIES["merged_detect"] = merged_detect

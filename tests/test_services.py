@@ -122,3 +122,12 @@ def test_detectors_side_by_side(spark):
     assert got[1] == got[3] == got[4] == all_ and got[5] == [] and got[6] is None
     assert got[2] == [("Ann", "ORGANIZATION", ["denylist"]), ("x1", "OTHER", ["denylist"])]  # longer ones come first in a text
     assert [tuple(e) for e in G.detect_calls(calls.drop("detector_mode").where("i = 2"), both).first().entities] == all_
+
+
+def test_merged_texts(spark):
+    """Short calls are looked at once, with matches over the break dropped; longer ones text by text."""
+    rule = G.RuleDetector((Rule("PERSON", r"[A-Z][a-z]+"), Rule("OTHER", r"(?s)end.*start"), Rule("PROJECT", "ANONYMIZER-[A-Z-]+")))
+    calls = spark.createDataFrame([(1, ["Ann, Bob", None, "Ann"]), (2, ["the end", "start"]), (3, ["Ann " * 30, "Bob"]), (4, []), (5, None)], "i int, texts array<string>")
+    got = {r.i: r.entities and [tuple(e) for e in r.entities] for r in G.detect_merged(calls, rule, 100).collect()}
+    ann, bob = ("Ann", "PERSON", ["regex"]), ("Bob", "PERSON", ["regex"])
+    assert got == {1: [ann, bob], 2: [], 3: [ann, bob], 4: [], 5: []}
