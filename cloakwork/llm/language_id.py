@@ -67,8 +67,10 @@ def letters_of(text: str) -> np.ndarray:
 
 
 def grams_of(text: str, n: int = 3) -> np.ndarray:
-    """The n-grams as numbers of 21 bits a letter; those without a letter in a row of two are left out."""
+    """The n-grams as numbers of 21 bits a letter; those without a letter in a row of two are left out, as are single blanks."""
     s = letters_of(text)
+    if n == 1:
+        return s[s != 0]
     if len(s) < n:
         return np.zeros(0, np.uint64)
     keys = np.zeros(len(s) - n + 1, np.uint64)

@@ -3,9 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the docs of
 the next stage. All stages but the last return the columns of documents.
 
-1. ``language_id`` drops documents of which no language can be told: null texts, texts without a letter, and texts whose
-   best cosine is no higher than what unrelated vectors reach by chance (``language_id.chance``), as those in scripts that no
-   labelled row has. Profiles are learned from the stage's own labelled rows that aren't held out; the columns of what stays
+1. ``language_id`` drops documents of which no language can be told: null texts, texts without a letter, and texts in scripts
+   that no labelled row has. These are unlike all labelled rows by their trigrams and by their letters too: neither cosine is
+   higher than what unrelated vectors reach by chance (``language_id.chance``). A text that shares letters with labelled rows, but
+   no trigrams, stays. Profiles are learned from the stage's own labelled rows that aren't held out; the columns of what stays
    are unchanged.
 2. ``near_dup`` keeps one document of each near-duplicate group (5-word shingles, similarity of 0.8 or more),
    and one row of those repeated with doc_id and text.
@@ -38,9 +39,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     usable = F.col("doc_id").isNotNull() & ~languages.held_out(F.col("doc_id"))
     learned = languages.learn(docs, usable=usable)
     known = languages.identify(docs, learned, keep=docs.columns, names=("__lang", "__score"))
-    # With nothing to learn from, no document has a known language; then only those without letters go.
-    told = F.col("text").rlike(r"\p{L}") if learned.isEmpty() else (F.col("__lang") != languages.UNKNOWN) & (F.col("__score") > languages.chance())
-    return known.where(told).select(*docs.columns)
+    if learned.isEmpty():  # no document has a known language; then only those without letters go
+        return known.where(F.col("text").rlike(r"\p{L}")).select(*docs.columns)
+    # Few and unlike labelled rows share hardly a trigram with clean texts, but their letters; only texts in doubt are compared by these.
+    letters = languages.learn(docs, usable=usable, n=1)
+    doubtful = known.withColumn("__doubtful", F.when(F.col("__score") <= languages.chance(), F.col("text")))
+    found = languages.identify(doubtful, letters, text="__doubtful", keep=[*docs.columns, "__lang", "__score"], names=("__script", "__likeness"))
+    alike = (F.col("__lang") != languages.UNKNOWN) & (F.col("__score") > languages.chance())
+    return found.where(alike | (F.col("__likeness") > languages.chance(sigmas=4))).select(*docs.columns)
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,3 +56,14 @@ def test_language_stage_decides_by_its_profiles(spark):
     odd = [(100 + i, t, None, "s", 1) for i, t in enumerate(other)] + [(200, "The weather.", None, "s", 1), (201, "house", None, "s", 1)]
     kept = {r.doc_id for r in P.language_id(spark, spark.createDataFrame(known + odd, DOCS), "").collect()}
     assert kept >= {*range(20), 200, 201} and len(kept & set(range(100, 106))) <= 2
+
+
+def test_language_stage_keeps_unlike_texts_in_known_letters(spark):
+    """Few labelled rows, which share hardly a trigram with clean texts: these stay by their letters; other scripts and texts without letters go."""
+    import corpus_pipeline as P
+
+    rows = [(1, "the quick brown fox jumps over a lazy dog", "en", "s", 1), (3, "pack my box with five dozen jugs", "en", "s", 1)]
+    clean = [(10, "mnemosyne askew", None, "s", 1), (11, "Gypsum hydrant", None, "s", 1), (12, "Uhrwerk, Bauamt", None, "s", 1), (None, "ein Igel", None, None, None)]
+    other = [(20, "привет как дела сегодня утром", None, "s", 1), (21, "これは日本語の文章です", None, "s", 1), (22, "안녕하세요 오늘 날씨가", None, "s", 1), (23, "12 - 34", None, "s", 1), (24, None, "en", "s", 1)]
+    kept = {r.text for r in P.language_id(spark, spark.createDataFrame(rows + clean + other, DOCS), "").collect()}
+    assert kept == {r[1] for r in rows + clean}
